@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most rows of a side that may be broadcast, counted before the hint is given; a larger side is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -50,3 +56,28 @@ def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 def nonnull(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Gives this package to the session's executors, once, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    if top.is_dir():
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        path = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+        path.write_bytes(held.getvalue())
+        context.addPyFile(str(path))
+    _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    shipped(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -1,12 +1,16 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import decontam, fingerprint
+from . import bpe, chat, decontam, fingerprint, toxicity
 
 QUERIES = {
+    "op4_chat": chat.query,
+    "op5_bpe": bpe.query,
     "op7_fingerprints": fingerprint.query,
     "op8_decontamination": decontam.query,
+    "op10_toxicity": toxicity.query,
 }
 ORACLES = {
+    "op4_chat": chat.SQL,
     "op7_fingerprints": fingerprint.SQL,
     "op8_decontamination": decontam.SQL,
 }
