@@ -1,12 +1,13 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import bpe, chat, decontam, fingerprint, toxicity
+from . import bpe, chat, decontam, fingerprint, near, toxicity
 
 QUERIES = {
     "op4_chat": chat.query,
     "op5_bpe": bpe.query,
     "op7_fingerprints": fingerprint.query,
     "op8_decontamination": decontam.query,
+    "op9_jaccard": near.query,
     "op10_toxicity": toxicity.query,
 }
 ORACLES = {
