@@ -1,8 +1,9 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import bpe, chat, decontam, fingerprint, near, toxicity
+from . import bpe, chat, decontam, fingerprint, lines, near, toxicity
 
 QUERIES = {
+    "op2_lines": lines.query,
     "op4_chat": chat.query,
     "op5_bpe": bpe.query,
     "op7_fingerprints": fingerprint.query,
