@@ -1,9 +1,10 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import bpe, chat, decontam, fingerprint, lines, near, toxicity
+from . import bpe, chat, decontam, fingerprint, lines, near, substrings, toxicity
 
 QUERIES = {
     "op2_lines": lines.query,
+    "op3_substrings": substrings.query,
     "op4_chat": chat.query,
     "op5_bpe": bpe.query,
     "op7_fingerprints": fingerprint.query,
@@ -12,6 +13,7 @@ QUERIES = {
     "op10_toxicity": toxicity.query,
 }
 ORACLES = {
+    "op3_substrings": substrings.SQL,
     "op4_chat": chat.SQL,
     "op7_fingerprints": fingerprint.SQL,
     "op8_decontamination": decontam.SQL,
