@@ -1,8 +1,9 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import bpe, chat, decontam, fingerprint, lines, near, substrings, toxicity
+from . import bpe, chat, decontam, fingerprint, html, lines, near, substrings, toxicity
 
 QUERIES = {
+    "op1_html": html.query,
     "op2_lines": lines.query,
     "op3_substrings": substrings.query,
     "op4_chat": chat.query,
