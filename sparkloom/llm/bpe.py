@@ -28,6 +28,7 @@ from functools import cache
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import map_arrow, table
 
@@ -282,7 +283,7 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text") ->
                 offsets.append(offsets[-1] + len(a) // 4)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([b for _, b in done], pa.string())], names=[*kept, "ids", "decoded"])
 
-    schema = df.select(*kept).schema.add("ids", "array<int>").add("decoded", "string")
+    schema = df.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("decoded", StringType())
     return map_arrow(df, run, schema)
 
 
@@ -299,7 +300,7 @@ def decode_texts(df: DataFrame, path: str | None = None, ids: str = "ids") -> Da
                 texts.append("".join([*map(d.feed, row or ()), d.close()]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    return map_arrow(df, run, df.select(*kept).schema.add("text", "string"))
+    return map_arrow(df, run, df.select(*kept).schema.add("text", StringType()))
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:

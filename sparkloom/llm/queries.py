@@ -1,6 +1,6 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import bpe, chat, decontam, fingerprint, html, lines, near, substrings, toxicity
+from . import bpe, chat, decontam, fingerprint, html, license, lines, near, substrings, toxicity
 
 QUERIES = {
     "op1_html": html.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_substrings": substrings.query,
     "op4_chat": chat.query,
     "op5_bpe": bpe.query,
+    "op6_licenses": license.query,
     "op7_fingerprints": fingerprint.query,
     "op8_decontamination": decontam.query,
     "op9_jaccard": near.query,
@@ -16,6 +17,7 @@ QUERIES = {
 ORACLES = {
     "op3_substrings": substrings.SQL,
     "op4_chat": chat.SQL,
+    "op6_licenses": license.SQL,
     "op7_fingerprints": fingerprint.SQL,
     "op8_decontamination": decontam.SQL,
 }
