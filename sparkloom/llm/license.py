@@ -27,20 +27,26 @@ from .common import bounded, nonnull, stored, table
 
 LEAST = 0.5
 # What notices of each license say.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
-    "CC0-1.0": "To the extent possible under law the author has waived all copyright and dedicated this work to the public domain CC0 1.0 Universal",
-    "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-    "Proprietary": "Copyright. All rights reserved",
-    "Unlicense": "This is free and unencumbered software released into the public domain",
-}
+TEMPLATES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+    ("CC0-1.0", "To the extent possible under law the author has waived all copyright and dedicated this work to the public domain CC0 1.0 Universal"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("MIT", "Released under the MIT License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Proprietary", "All rights reserved"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+)
 _WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$"
 
@@ -58,34 +64,35 @@ def idf(docs: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
     return {t: math.log((1 + n) / (1 + counted.get(t, 0))) + 1 for t in terms}, math.log(1 + n) + 1
 
 
-def template_weights(docs: DataFrame, given: dict[str, str] = TEMPLATES) -> tuple[DataFrame, DataFrame, float, list[str]]:
-    """(license, term, w: its share of the unit vector), (term, idf), the weight of an unseen word, and the telling words."""
+def template_weights(docs: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[DataFrame, DataFrame, float, list[str]]:
+    """(license, form, term, w: its share of the unit vector), (term, idf), the weight of an unseen word, and the telling words."""
     spark = docs.sparkSession
-    rows = spark.createDataFrame([*given.items()], "license string, text string").select("license", F.explode(words(F.col("text"))).alias("term")).groupBy("license", "term").count().collect()
+    forms = [(name, f"{name} {i}", text) for i, (name, text) in enumerate(given)]
+    rows = spark.createDataFrame(forms, "license string, form string, text string").select("license", "form", F.explode(words(F.col("text"))).alias("term")).groupBy("license", "form", "term").count().collect()
     weight, unseen = idf(docs, sorted({r["term"] for r in rows}))
     unit, telling = [], set()
-    for name in sorted({r["license"] for r in rows}):
-        w = {r["term"]: r["count"] * weight[r["term"]] for r in rows if r["license"] == name}
+    for name, form, _ in forms:
+        w = {r["term"]: r["count"] * weight[r["term"]] for r in rows if r["form"] == form}
         norm, light = sum(v * v for v in w.values()), 0.0
-        unit += [(name, t, v / math.sqrt(norm)) for t, v in w.items()]
+        unit += [(name, form, t, v / math.sqrt(norm)) for t, v in w.items()]
         for v, t in sorted((v, t) for t, v in w.items()):
             light += v * v
             if light >= 0.999 * LEAST * LEAST * norm:
                 telling.add(t)
-    return spark.createDataFrame(unit, "license string, term string, w double"), spark.createDataFrame([*weight.items()], "term string, idf double"), unseen, sorted(telling)
+    return spark.createDataFrame(unit, "license string, form string, term string, w double"), spark.createDataFrame([*weight.items()], "term string, idf double"), unseen, sorted(telling)
 
 
-def own_licenses(docs: DataFrame, key: str, given: dict[str, str] = TEMPLATES) -> DataFrame:
+def own_licenses(docs: DataFrame, key: str, given: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """key, hash (of the text), own_license, score, mostly: of the texts with a license line."""
     unit, weight, unseen, telling = template_weights(docs, given)
-    mark = r"(?i)(?<![a-z0-9])(?:" + "|".join(t.replace(".", r"\.") for t in telling) + ")"
-    some = docs.select(key, "text").where(F.col("text").rlike(mark)).withColumn("hash", F.xxhash64("text")).withColumn("n_all", F.size(words(F.col("text"))))
-    lines = some.select(key, "hash", "n_all", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(mark)).withColumn("words", words(F.col("line")))
+    mark = r"(?<![a-z0-9])(?:" + "|".join(t.replace(".", r"\.") for t in telling) + r")(?![a-z0-9])"
+    some = docs.select(key, "text").where(F.lower("text").rlike(mark)).withColumn("hash", F.xxhash64("text")).withColumn("n_all", F.size(words(F.col("text"))))
+    lines = some.select(key, "hash", "n_all", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.lower("line").rlike(mark)).withColumn("words", words(F.col("line")))
     terms = lines.select(key, "hash", "n_all", "at", F.size("words").alias("n"), F.explode("words").alias("term")).groupBy(key, "hash", "n_all", "at", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     v = terms.join(F.broadcast(weight), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # the templates' words only
     line = [key, "hash", "n_all", "at", "n"]
     norms = v.groupBy(*line).agg(F.sum(F.col("v") * F.col("v")).alias("norm"), F.collect_list(F.struct("term", "v")).alias("vs"))  # as long as the line
-    dots = norms.select(*line, "norm", F.explode("vs").alias("x")).join(F.broadcast(unit), F.col("x.term") == F.col("term")).groupBy(*line, "norm", "license").agg((F.sum(F.col("x.v") * F.col("w")) / F.sqrt("norm")).alias("cosine"))
+    dots = norms.select(*line, "norm", F.explode("vs").alias("x")).join(F.broadcast(unit), F.col("x.term") == F.col("term")).groupBy(*line, "norm", "license", "form").agg((F.sum(F.col("x.v") * F.col("w")) / F.sqrt("norm")).alias("cosine"))
     least = dots.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= LEAST)
     best = least.groupBy(key, "hash", "n_all").agg(F.min(F.struct((-F.col("cosine")).alias("score"), "at", "license", "n")).alias("b"))
     return best.select(key, "hash", F.col("b.license").alias("own_license"), (-F.col("b.score")).alias("score"), (F.col("b.n") * 2 >= F.col("n_all")).alias("mostly"))
@@ -125,19 +132,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, "doc_id").select("doc_id", "path", "own_license", "score", "license", "inherited")
 
 
-_GIVEN = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
+_GIVEN = ", ".join(f"('{n}', {i}, '{t}')" for i, (n, t) in enumerate(TEMPLATES))
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source || '/' || lang || '/' || doc_id || '.txt' AS path, source || '/' || lang AS dir FROM documents),
-t AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM (VALUES {_GIVEN}) AS v(license, text)) GROUP BY ALL),
+t AS (SELECT license, form, term, count(*) AS tf FROM (SELECT license, form, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM (VALUES {_GIVEN}) AS v(license, form, text)) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM d),
 f AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM d) GROUP BY term),
 i AS (SELECT DISTINCT t.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM t CROSS JOIN n LEFT JOIN f USING (term)),
-u AS (SELECT license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS w FROM t JOIN i USING (term)),
+u AS (SELECT license, form, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY form)) AS w FROM t JOIN i USING (term)),
 l AS (SELECT r, k, regexp_extract_all(lower(s), '{_WORD}') AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d)),
 v AS (SELECT r, k, len(ws) AS n_line, term, count(*) AS tf FROM (SELECT r, k, ws, unnest(ws) AS term FROM l) GROUP BY ALL),
 x AS (SELECT r, k, n_line, term, tf * coalesce(idf, ln(1 + n) + 1) AS v FROM v CROSS JOIN n LEFT JOIN i USING (term)),
 q AS (SELECT r, k, sqrt(sum(v * v)) AS norm FROM x GROUP BY r, k),
-c AS (SELECT r, k, n_line, license, round(sum(v * w) / any_value(norm), 6) AS cosine FROM x JOIN u USING (term) JOIN q USING (r, k) GROUP BY r, k, n_line, license),
+c AS (SELECT r, k, n_line, license, round(sum(v * w) / any_value(norm), 6) AS cosine FROM x JOIN u USING (term) JOIN q USING (r, k) GROUP BY r, k, n_line, license, form),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, k, license) AS o FROM c WHERE cosine >= {LEAST}) WHERE o = 1),
 o AS (SELECT d.*, license AS own_license, coalesce(cosine, 0) AS score, coalesce(n_line * 2 >= len(regexp_extract_all(lower(text), '{_WORD}')), false) AS mostly FROM d LEFT JOIN b USING (r)),
 h AS (SELECT dir, arg_min(own_license, path) AS license FROM o WHERE own_license IS NOT NULL AND mostly GROUP BY dir)
