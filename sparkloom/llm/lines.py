@@ -1,13 +1,13 @@
 """Fuzzy line dedup: one line stays of each group of lines that are near copies.
 
-Lines stand between \\n. Their sets of six-character shingles (a shorter line is one shingle) have MinHash signatures, which are
+Lines stand between \\n. Their sets of eight-character shingles (a shorter line is one shingle) have MinHash signatures, which are
 banded for high recall; lines that share a band are verified by the exact Jaccard similarity of 0.8 or more, and joined by
 distributed union-find. Of each component, copies included, the first line by (doc_id, line number) stays.
 
 Lines of white space alone are never copies and always stay. A document that loses its last line with words is dropped; one that
-never had any stays as it is. Null text has no lines and stays null. Rows that share a doc_id are told apart by a hash of their
-text; of wholly equal rows with one doc_id each keeps the same lines. A null doc_id comes before all others. Other columns pass
-through; n_chars, where there is one, is counted anew.
+never had any stays as it is. Null text has no lines and stays null. Rows that share a doc_id are one document's: each keeps its own first
+line of a component that begins there. A null doc_id comes before all others. Other columns pass through; n_chars, where there is
+one, is counted anew.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import bounded, map_arrow, nonnull, stored, table
 from .components import components
 from .hashing import char_shingles
-from .minhash import Forest, blocks, leaders, verified
-from .near import _distinct, _lists, _SETS
+from .minhash import Forest, groups, members, shared, verified
+from .near import _distinct, joined_sets
 
-SHINGLE, THRESHOLD, BANDS, RECALL = 6, 0.8, 10, 0.99
+SHINGLE, THRESHOLD, BANDS, RECALL = 8, 0.8, 10, 0.99
 #: Characters of lines that are hashed at once; a longer line is hashed by itself.
 CHARS = 1 << 18
-_WORDY = r"[^\x20\x09-\x0D]"
 _WHITE = " \t\n\v\f\r"
 
 
@@ -65,70 +65,68 @@ def band_keys(docs: DataFrame, forest: Forest) -> DataFrame:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc, at, line, node: the lines with words; doc tells rows apart that share a doc_id."""
-    doc = F.struct(F.col("doc_id"), F.xxhash64("text").alias("text_hash")).alias("doc")
-    return docs.select(doc, F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.col("line").rlike(_WORDY)).withColumn("node", F.xxhash64("line"))
+    """id, hash, at, line, node: the lines with words; the text's hash tells rows apart that share an id."""
+    wordy = F.trim(F.col("line"), F.lit(_WHITE)) != ""
+    return docs.select("id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(wordy).withColumn("node", F.xxhash64("line"))
 
 
-def line_sets(lines: DataFrame, members: DataFrame, forest: Forest) -> DataFrame:
-    """The members' shingle sets, from the line where each stands first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, part in _parted(batch.column("line").to_pylist()):
-                shingles, at = char_shingles(part, SHINGLE)
-                items, of = _distinct(shingles, at)
-                held = pa.ListArray.from_arrays(pa.array(of, pa.int32()), pa.array(items.view(np.int64)))
-                cols = [batch.column(c).slice(lo, len(part)) for c in ("node", "component", "block", "n_blocks", "weight")]
-                yield pa.RecordBatch.from_arrays([*cols, _lists(forest.keys(shingles, at)), held], names=["node", "component", "block", "n_blocks", "weight", "keys", "items"])
-
-    asked = lines.join(bounded(members.select("node", "first", "component", "block", "n_blocks", "weight")), "node").where((F.col("doc") == F.col("first.doc")) & (F.col("at") == F.col("first.at")))
-    asked = asked.select("line", "node", "component", "block", "n_blocks", "weight")
-    return map_arrow(asked, run, _SETS)
+def make(column: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = []
+    for lo, part in _parted(column.to_pylist()):
+        items, at = _distinct(*char_shingles(part, SHINGLE))
+        parts.append((np.arange(lo, lo + len(part)), items, at))
+    return joined_sets(parts)
 
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs: doc_id, text. node, first: for the lines that occur again, exactly or nearly, the first (doc, at) of their component."""
+    """docs: id, text. node, least, component: for the lines that occur again, exactly or nearly, the first document of their component."""
     forest = Forest(threshold, BANDS, RECALL)
     lines = lines_of(docs)
-    distinct = stored(lines.groupBy("node").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.length("line")).alias("n_items")), "lines")
-    proposed = components(leaders(band_keys(docs, forest)))
-    members = stored(blocks(proposed.join(distinct, "node").select("node", "component", "first", F.lit(1).cast("long").alias("weight"), "n_items")), "members")
-    joined = components(stored(verified(line_sets(lines, members, forest), threshold), "links"))
-    least = joined.join(distinct.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
-    near = joined.join(least, "component").select("node", "least")
-    return distinct.join(near, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "first").alias("first"))
+    distinct = stored(lines.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("n_items")), "lines")
+    known = distinct.select("node", "id", F.lit(1).cast("long").alias("weight"), "n_items")
+    proposed = stored(members(groups(stored(shared(band_keys(docs, forest)), "shared")), known), "members")
+    texts = lines.join(bounded(proposed.drop("n_items")), ["node", "id"]).withColumnRenamed("line", "text")
+    joined = components(stored(verified(texts, threshold, make), "links"))
+    first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))
+    near = joined.join(first, "component").select("node", "least", "component")
+    return distinct.join(near, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "id").alias("least"), F.coalesce("component", "node").alias("component"))
 
 
-def dropped_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """doc, drop: by document the numbers of the lines that go."""
-    again = lines_of(docs).select("doc", "at", "node").join(classes, "node").where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return again.groupBy("doc").agg(F.collect_list("at").alias("drop"))  # as long as the document
+def copied_lines(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, hash, again: by text its lines that occur again: at, component, and whether the component's first document is this one."""
+    again = lines_of(docs).select("id", "hash", "at", "node").join(bounded(classes), "node")
+    found = again.groupBy("id", "hash").agg(F.collect_list(F.struct("at", "component", (F.col("id") == F.col("least")).alias("here"))).alias("again"))  # as long as the text
+    return found
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with the texts that are left, and n_lines and n_removed (lines with words)."""
-    thin = docs.select("doc_id", "text").where("text IS NOT NULL")
-    thin = thin.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    gone = dropped_lines(thin, stored(line_classes(thin, threshold), "line-classes"))
-    gone = gone.select(F.col("doc.doc_id").alias("_id"), F.col("doc.text_hash").alias("_hash"), F.array_sort("drop").alias("drop"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text"))
+    marked = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    thin = docs.where("text IS NOT NULL").select(marked.alias("id"), "text")
+    gone = stored(copied_lines(thin, stored(line_classes(thin, threshold), "line-classes")), "copied-lines")
+    rows = gone.agg(F.coalesce(F.sum(F.size("again")), F.lit(0))).first()[0]
+    gone = gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "again")
+    keyed = docs.withColumn("_id", marked).withColumn("_hash", F.xxhash64("text"))
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_removed = [], [], []
-            for text, drop in zip(batch.column("text").to_pylist(), batch.column("drop").to_pylist(), strict=True):
-                lines, gone = (text or "").split("\n"), set(drop or ())
+            for text, again in zip(batch.column("text").to_pylist(), batch.column("again").to_pylist(), strict=True):
+                lines, gone, seen = (text or "").split("\n"), set(), set()
+                for x in sorted(again or (), key=lambda x: x["at"]):
+                    if not x["here"] or x["component"] in seen:
+                        gone.add(x["at"])
+                    seen.add(x["component"])
                 texts.append(text if not gone else "\n".join(x for i, x in enumerate(lines) if i not in gone))
                 n_lines.append(sum(bool(x.strip(_WHITE)) for x in lines))
                 n_removed.append(len(gone))
             cols = [*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())]
             out = pa.RecordBatch.from_arrays(cols, names=[*kept, "text", "n_lines", "n_removed"])
-            yield out.filter(pa.array([n == 0 or n > r for n, r in zip(n_lines, n_removed, strict=True)]))
+            yield out.filter(pa.array([n == 0 or n > r for n, r in zip(n_lines, n_removed, strict=True)], pa.bool_()))
 
-    schema = docs.select(*kept, "text").schema.add("n_lines", "long").add("n_removed", "long")
-    out = map_arrow(keyed.join(gone, ["_id", "_hash"], "left").select(*kept, "text", "drop"), run, schema)
+    schema = docs.select(*kept, "text").schema.add("n_lines", LongType()).add("n_removed", LongType())
+    out = map_arrow(keyed.join(bounded(gone, rows), ["_id", "_hash"], "left").select(*kept, "text", "again"), run, schema)
     if "n_chars" in kept:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out

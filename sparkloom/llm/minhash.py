@@ -4,22 +4,22 @@ A signature is a sequence of minima for each tree of the forest. Sorted, the sig
 prefix stand together. `prefix_length` starts from the whole depth and shortens the prefix until the chance that two sets of the
 least similarity share it in some tree reaches the target recall.
 
-`leaders` links every text to the least one of its trie node: as many edges as texts. The candidate components that these edges
-make are cut into blocks, and each pair of blocks goes to one task, which compares exactly every two texts that share a trie node
-in some tree. So no pair is lost within a node, none is counted twice, and none becomes a row: a task returns the number of links
-and one edge for each text. A component of n blocks sends each of its texts n times.
+`shared` keeps the trie nodes that several texts have; `groups` makes nodes of equal texts, which near copies have in many trees,
+one group. A group is cut into blocks, and each pair of blocks goes to one task, which compares exactly every two texts, but for
+those that share a group of a lesser name and are compared there. So no pair is lost, none is counted twice, and none becomes a
+row: a task returns the number of links and one edge for each text. A group of n blocks sends each of its texts n times.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shipped
+from .common import map_arrow, stored
 from .hashing import mix
 
 DEPTH = 8
@@ -53,67 +53,127 @@ class Forest:
         return out
 
 
-def leaders(keyed: DataFrame) -> DataFrame:
-    """keyed: key, node. Edges a, b from each node to the least of its key; keys of one node give none.
+def shared(keyed: DataFrame) -> DataFrame:
+    """keyed: key, node. The distinct rows of those keys that several nodes have.
 
     The rows of a key come sorted to one task, which holds one of them at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, lead = None, None
+        last, held = None, False  # the row before, and whether it still waits for another of its key
         for batch in batches:
             if not len(batch):
                 continue
             k, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-            start = np.ones(len(k), bool)
-            start[1:] = k[1:] != k[:-1]
-            start[0] = key is None or k[0] != key
-            at = np.flatnonzero(start)
-            first = np.concatenate([[lead if lead is not None else n[0]], n[at]])[np.cumsum(start)]
-            key, lead = k[-1], first[-1]
-            on = n != first
-            if on.any():
-                yield pa.RecordBatch.from_arrays([pa.array(n[on]), pa.array(first[on])], names=["a", "b"])
+            if last is not None:
+                k, n = np.append(last[0], k), np.append(last[1], n)
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
+            k, n = k[new], n[new]
+            same = np.zeros(len(k) + 1, bool)
+            same[1:-1] = k[1:] == k[:-1]
+            out = same[:-1] | same[1:]
+            if last is not None and not held:
+                out[0] = False
+            wait = not out[-1] and not (last is not None and not held and len(k) == 1)
+            last, held = (k[-1], n[-1]), wait
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(n[out])], names=["key", "node"])
 
-    return map_arrow(keyed.select("key", "node").repartition("key").sortWithinPartitions("key", "node"), run, "a long, b long").distinct()
+    return map_arrow(keyed.select("key", "node").repartition("key").sortWithinPartitions("key", "node"), run, "key long, node long")
 
 
-def blocks(members: DataFrame) -> DataFrame:
-    """members: node, component, n_items. With block and n_blocks of its component, from the component's size."""
-    total = members.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_items").alias("_i"))
-    total = total.select("component", F.ceil(F.greatest(F.col("_n") / BLOCK_TEXTS, F.col("_i") / BLOCK_ITEMS, F.lit(1.0))).cast("int").alias("n_blocks"))
-    return members.join(total, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+def groups(rows: DataFrame) -> DataFrame:
+    """rows: key, node, of shared keys. group, node: keys of the same nodes are one group, named by a hash of them."""
+    nodes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return rows.join(nodes.select("key", F.xxhash64("n", "x", "y").alias("group")), "key").select("group", "node").distinct()
 
 
-def verified(sets: DataFrame, threshold: float) -> DataFrame:
-    """sets: node, component, block, n_blocks, weight, keys, items (sorted, distinct). Rows a, b, links, some for each node with links.
+def members(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """grouped: group, node; nodes: node, n_items and more. Those together, with block, n_blocks and groups (all of the node's)."""
+    every = grouped.groupBy("node").agg(F.collect_set("group").alias("groups"))  # as many as trees at most
+    known = stored(grouped.join(nodes.join(every, "node"), "node"), "known")
+    total = known.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_items") / BLOCK_ITEMS, F.lit(1.0))).cast("int").alias("n_blocks"))
+    return known.join(total, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
-    b is a node that a is connected with; links adds up to the weights of all nodes linked with a.
+
+#: Makes from texts and nodes: the places of the texts that have sets, and their elements (sorted, distinct) and offsets.
+Make = Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def verified(texts: DataFrame, threshold: float, make: Make) -> DataFrame:
+    """texts: members with weight and text. Rows a, b, links, some for each node with links.
+
+    b is a node that a is connected with; links adds up to the weights of all nodes linked with a. The texts travel, being smaller
+    than their sets, which `make` makes in the tasks.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = sets.withColumn("_o", other).withColumn("_i", F.least("block", "_o")).withColumn("_j", F.greatest("block", "_o"))
-    shipped(sets.sparkSession)
-    return dealt.select("component", "_i", "_j", "block", "node", "weight", "keys", "items").groupBy("component", "_i", "_j").applyInArrow(lambda t: _compare(t, threshold), "a long, b long, links long")
+    dealt = texts.withColumn("_o", other).withColumn("_i", F.least("block", "_o")).withColumn("_j", F.greatest("block", "_o"))
 
-
-def _compare(t: pa.Table, threshold: float) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None else t
+            ids = np.stack([t.column(c).to_numpy() for c in ("group", "_i", "_j")]) if len(t) else np.zeros((3, 0), np.int64)
+            ends = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
+            last = int(ends[-1]) if len(ends) else 0
+            if last:
+                yield from _compared(t.slice(0, last), np.append(0, ends), threshold, make)
+            rest = t.slice(last)
+        if rest is not None and len(rest):
+            yield from _compared(rest, np.array([0, len(rest)]), threshold, make)
+
+    dealt = dealt.select("group", "_i", "_j", "block", "node", "weight", "groups", "text")
+    return map_arrow(dealt.repartition("group", "_i", "_j").sortWithinPartitions("group", "_i", "_j"), run, "a long, b long, links long")
+
+
+def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make) -> Iterator[pa.RecordBatch]:
+    """The links of the groups whose rows stand between the ends."""
     t = t.combine_chunks()
-    node, block, weight = (t.column(c).to_numpy() for c in ("node", "block", "weight"))
-    i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
-    keys = np.array([np.asarray(x) for x in t.column("keys").to_numpy()])
-    items = [np.asarray(x) for x in t.column("items").to_numpy()]
-    left = np.flatnonzero(block == i)
-    right = left if i == j else np.flatnonzero(block == j)
-    met = np.zeros((len(left), len(right)), bool)
-    for k in range(keys.shape[1]):
-        met |= keys[left, k][:, None] == keys[right, k][None, :]
-    met &= node[left][:, None] != node[right][None, :]
-    keep_l, keep_r = met.any(axis=1), met.any(axis=0)
-    left, right, met = left[keep_l], right[keep_r], met[np.ix_(keep_l, keep_r)]
+    rows, flat, at = make(t.column("text").chunk(0), t.column("node").to_numpy())
+    where = np.searchsorted(rows, ends)
+    node, weight, block, group = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "group"))
+    names = t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()
+    found = []
+    for lo, hi in zip(where[:-1], where[1:], strict=True):
+        if hi - lo < 2:
+            continue
+        if hi - lo == 2:  # most groups: two texts
+            a, b = flat[at[lo] : at[lo + 1]], flat[at[lo + 1] : at[lo + 2]]
+            if node[lo] != node[lo + 1] and min({*names[lo]} & {*names[lo + 1]}) == group[lo]:
+                n = len(np.intersect1d(a, b, assume_unique=True))
+                if n >= threshold * (len(a) + len(b) - n) - 1e-9:
+                    low = min(node[lo], node[lo + 1])
+                    found.append((node[lo : lo + 2], np.array([low, low]), weight[[lo + 1, lo]]))
+            continue
+        items = [flat[x:y] for x, y in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=True)]
+        found.append(_block(node[lo:hi], weight[lo:hi], block[lo:hi], names[lo:hi], int(group[lo]), items, threshold))
+    if found:
+        a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(a[n > 0]), pa.array(b[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["a", "b", "links"])
+
+
+def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[list[int]], group: int, items: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One block with itself, or two with each other: the nodes, the least node that each is connected with, the links' weights."""
+    left = np.flatnonzero(block == block.min())
+    one = len(left) == len(block)
+    right = left if one else np.flatnonzero(block == block.max())
+    met = node[left][:, None] != node[right][None, :]
+    lesser: dict[int, list[int]] = {}
+    for r, gs in enumerate(names):
+        for g in gs:
+            if g < group:
+                lesser.setdefault(g, []).append(r)
+    place_l, place_r = (np.full(len(node), -1) for _ in range(2))
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    for rows in lesser.values():
+        if len(rows) > 1:  # these are compared in that group
+            x, y = place_l[rows], place_r[rows]
+            met[np.ix_(x[x >= 0], y[y >= 0])] = False
     size = np.array([len(x) for x in items], np.int64)
     both = _shared([items[x] for x in left], [items[x] for x in right], met)
     linked = met & (both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9)
-    # the least node that each is connected with, inside this pair of blocks
     low_l, low_r = node[left].copy(), node[right].copy()
     top = np.iinfo(np.int64).max
     while linked.any():
@@ -122,9 +182,9 @@ def _compare(t: pa.Table, threshold: float) -> pa.Table:
         if (new_l == low_l).all() and (new_r == low_r).all():
             break
         low_l, low_r = new_l, new_r
-    sides = [(node[left], low_l, linked @ weight[right])] + ([] if i == j else [(node[right], low_r, linked.T @ weight[left])])
+    sides = [(node[left], low_l, linked @ weight[right])] + ([] if one else [(node[right], low_r, linked.T @ weight[left])])
     a, b, n = (np.concatenate(x) for x in zip(*sides, strict=True))
-    return pa.table({"a": a[n > 0], "b": b[n > 0], "links": n[n > 0].astype(np.int64)})
+    return a, b, n
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], met: np.ndarray) -> np.ndarray:

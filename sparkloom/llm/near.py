@@ -22,12 +22,11 @@ from pyspark.sql import functions as F
 from .common import bounded, map_arrow, stored, table
 from .components import components
 from .hashing import chunks, mix, word_shingles
-from .minhash import Forest, blocks, leaders, verified
+from .minhash import Forest, Make, groups, members, shared, verified
 
 SHINGLE, THRESHOLD, TREES, RECALL = 5, 0.8, 16, 0.999
 _NONE = -(1 << 63)
 _SIGNATURE = "id long, set1 long, set2 long, n_items long, keys array<long>"
-_SETS = "node long, component long, block int, n_blocks int, weight long, keys array<long>, items array<long>"
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -71,21 +70,22 @@ def classes_by_id(found: DataFrame) -> DataFrame:
     return found.groupBy("set1", "set2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_items").alias("n_items")).withColumnRenamed("set1", "node")
 
 
-def member_sets(docs: DataFrame, members: DataFrame, forest: Forest, size: int = SHINGLE) -> DataFrame:
-    """The sets and keys of the members (id, node, component, block, n_blocks, weight), made anew from their whole texts."""
+def maker(size: int = SHINGLE) -> Make:
+    def make(column: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = []
+        for rows, items, at, one, _ in _sets(column, size):
+            own = one.view(np.int64) == nodes[rows]  # not another text of the same id
+            parts.append((rows[own], items[np.repeat(own, np.diff(at))], np.concatenate([[0], np.cumsum(np.diff(at)[own])])))
+        return joined_sets(parts)
+
+    return make
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = batch.column("node").to_numpy(zero_copy_only=False)
-            for rows, items, at, one, _ in _sets(batch.column("text"), size):
-                own = one.view(np.int64) == node[rows]  # not another text of the same id
-                keys = _lists(forest.keys(items, at))
-                held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(items.view(np.int64)))
-                cols = [batch.column(c).take(pa.array(rows)) for c in ("node", "component", "block", "n_blocks", "weight")]
-                yield pa.RecordBatch.from_arrays([*cols, keys, held], names=["node", "component", "block", "n_blocks", "weight", "keys", "items"]).filter(pa.array(own))
 
-    asked = docs.select("id", "text").join(bounded(members.select("id", "node", "component", "block", "n_blocks", "weight")), "id")
-    return map_arrow(asked.select("text", "node", "component", "block", "n_blocks", "weight"), run, _SETS)
+def joined_sets(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    rows, items, at = zip(*parts, strict=True)
+    return np.concatenate(rows), np.concatenate(items), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for x in at]))])
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
@@ -95,9 +95,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     found = stored(signatures(docs, forest, size), "signatures")
     distinct = stored(classes_by_id(found), "classes")
     keyed = found.join(distinct.select("set2", "id", "node"), (found["set1"] == distinct["node"]) & (found["set2"] == distinct["set2"]) & (found["id"] == distinct["id"])).select(F.explode("keys").alias("key"), "node")
-    proposed = components(leaders(keyed))
-    members = stored(blocks(proposed.join(distinct, "node").select("node", "component", "id", F.col("copies").alias("weight"), "n_items")), "members")
-    links = stored(verified(member_sets(docs, members, forest, size), threshold), "links")
+    proposed = members(groups(stored(shared(keyed), "shared")), distinct.select("node", "id", F.col("copies").alias("weight"), "n_items"))
+    texts = docs.join(bounded(stored(proposed, "members").drop("n_items")), "id")
+    links = stored(verified(texts, threshold, maker(size)), "links")
     joined = components(links)
     least = joined.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class"))
     more = joined.join(least, "component").select("node", "class").join(links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
