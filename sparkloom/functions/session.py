@@ -1,10 +1,34 @@
-"""Session and table helpers shared by the queries."""
+"""Session and table helpers shared by the operators."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most rows of a side that may be broadcast; counted before the hint is given, a larger side is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, read by Spark alone, so that any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: an iteration's lineage ends here."""
+    spark = df.sparkSession
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("sparkloom.shared.dir", top)
+    path = f"{top.rstrip('/')}/sparkloom/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
