@@ -59,6 +59,8 @@ def nonnull(text: Column) -> Column:
 
 
 _SHIPPED: set[str] = set()
+#: Rows that go to a Python worker at once, unless the session says otherwise than Spark's default: texts can be long.
+BATCH_ROWS = 2000
 
 
 def shipped(spark: SparkSession) -> None:
@@ -79,5 +81,8 @@ def shipped(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    shipped(df.sparkSession)
+    spark = df.sparkSession
+    shipped(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from .hashing import char_shingles
 from .minhash import Forest, groups, members, shared, verified
 from .near import _distinct, joined_sets
 
-SHINGLE, THRESHOLD, BANDS, RECALL = 8, 0.8, 10, 0.99
+SHINGLE, THRESHOLD, BANDS, RECALL = 8, 0.8, 8, 0.995
 #: Characters of lines that are hashed at once; a longer line is hashed by itself.
 CHARS = 1 << 18
 _WHITE = " \t\n\v\f\r"

@@ -37,18 +37,15 @@ class Forest:
         self.threshold, self.trees, self.prefix = threshold, trees, prefix_length(threshold, trees, recall)
         r = np.random.default_rng(7)
         self.factors = r.integers(1, 1 << 31, trees * self.prefix, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-        self.terms = r.integers(0, 1 << 32, trees * self.prefix, dtype=np.uint32)
 
     def keys(self, items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The trie nodes of each set, one for each tree, as 64-bit hashes of tree and prefix: (sets, trees). Sets must not be empty."""
-        low = (items >> np.uint64(32)).astype(np.uint32)
+        low = (items >> np.uint64(20)).astype(np.uint32)
         out = np.empty((len(offsets) - 1, self.trees), np.uint64)
         for t in range(self.trees):
             key = np.full(len(out), t + 1, np.uint64)
             for k in range(t * self.prefix, (t + 1) * self.prefix):
-                v = low * self.factors[k]
-                v += self.terms[k]
-                key = mix(key ^ np.minimum.reduceat(v, offsets[:-1]).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+                key = mix(key ^ np.minimum.reduceat(low * self.factors[k], offsets[:-1]).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
             out[:, t] = mix(key)
         return out
 

@@ -34,13 +34,18 @@ def _lists(rows: np.ndarray) -> pa.ListArray:
 
 
 def _distinct(shingles: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's shingles sorted and without repeats."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((shingles, row))
-    shingles, row = shingles[order], row[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])
-    return shingles[new], np.searchsorted(row[new], np.arange(len(at)))
+    """Each text's shingles, as their upper 52 bits, sorted and without repeats."""
+    low = np.uint64(12)
+    out, ends, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for lo in range(0, len(at) - 1, 4096):  # row and shingle in one number to sort
+        hi = min(lo + 4096, len(at) - 1)
+        row = np.repeat(np.arange(hi - lo, dtype=np.uint64) << np.uint64(52), np.diff(at[lo : hi + 1]))
+        both = np.sort(row | (shingles[at[lo] : at[hi]] >> low))
+        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
+        ends.append(n + np.searchsorted(both, np.arange(1, hi - lo + 1, dtype=np.uint64) << np.uint64(52)) if hi - lo < 4096 else n + np.append(np.searchsorted(both, np.arange(1, 4096, dtype=np.uint64) << np.uint64(52)), len(both)))
+        n += len(both)
+        out.append(both & np.uint64((1 << 52) - 1))
+    return np.concatenate(out), np.concatenate(ends)
 
 
 def _sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
