@@ -6,11 +6,11 @@ inside an article the headings stay. Then each block is classed by itself:
 
 * bad: marked, or more than MOST_LINKED of its characters stand in links;
 * good: in the page's article (article, main), or long enough with the stop-word density of prose;
-* bad: long enough, with too few stop words and outside an article;
+* bad: long enough, with too few stop words and outside an article (open, if the page has no good block at all);
 * short or in between: open. In an article they are open only if they are short.
 
 In the second pass an open block takes the label of the nearest decided block of its own container (article or page) that isn't
-marked; of two as near, good wins; without any it is good.
+marked, nor a list of links inside an article; of two as near, good wins; without any it is good.
 
 Character references are decoded, white space inside a block becomes one blank, the ends are trimmed, empty blocks vanish, and the
 good blocks are joined in page order by \\n. br counts as white space. Null or empty html gives the empty text. Markup that
@@ -164,7 +164,7 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
-            if labels[i] is not None and not found[i].marked:
+            if labels[i] is not None and not found[i].marked and (labels[i] or not found[i].article):
                 last[found[i].article] = (i, labels[i])
             out[i] = last.get(found[i].article)
     done = []
@@ -178,7 +178,10 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = [*blocks(page or "")]
-    labels = second_pass(found, [first_pass(b) for b in found])
+    labels = [first_pass(b) for b in found]
+    if True not in labels:  # no prose in the languages of the stop words: their lack says nothing
+        labels = [None if x is False and not b.marked and b.linked <= MOST_LINKED * len(b.text) else x for x, b in zip(labels, found, strict=True)]
+    labels = second_pass(found, labels)
     return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
 
 
