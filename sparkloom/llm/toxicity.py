@@ -7,7 +7,7 @@
     toxic   the judgement itself
 
 The features are the presence of whole words (`w:`) and of word beginnings of 4 to 6 letters (`p:`), the FEATURES with the most
-evidence for toxic texts; the first two categories' labels are the judgement and the presence of such a feature. Each model is a
+evidence for toxic texts, and whether any strong one is present; the first two categories' labels are the judgement and the presence of such a feature. Each model is a
 ridge-penalised logistic regression; the later ones are trained with out-of-fold probabilities (FOLDS folds, equal texts in one)
 and applied to the probabilities of the models trained on everything.
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .common import map_arrow, nonnull, table
 
 FIT_ROWS = 20_000
-FEATURES, LEAST_TEXTS, FOLDS, RIDGE = 384, 5, 5, 0.3
+FEATURES, LEAST_TEXTS, FOLDS, RIDGE = 384, 5, 5, 0.1
+STRONG_SHARE, STRONG_TIMES = 0.04, 50
 BEGINNINGS = (4, 5, 6)
 CATEGORIES = ("insult", "coded", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -73,16 +74,25 @@ class Finder:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> np.ndarray:
-    """The coefficients, the last one the intercept, by Newton's method."""
+    """The coefficients, the last one the intercept, by Newton's method; a step that makes things worse is halved."""
     x = np.hstack([x, np.ones((len(x), 1))])
     b, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
     penalty[-1] = 1e-4
-    for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * b)
-        step *= min(1, 5 / max(1e-9, np.abs(step).max()))
-        b += step
-        if np.abs(step).max() < 1e-4:
+    loss = lambda z, b: (weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * b * b).sum() / 2
+    z = x @ b
+    now = loss(z, b)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * b)
+        for _ in range(30):
+            after = loss(x @ (b + step), b + step)
+            if after <= now:
+                break
+            step /= 2
+        else:
+            break
+        b, z, before, now = b + step, x @ (b + step), now, after
+        if before - now < 1e-6 * max(1.0, before):
             break
     return b
 
@@ -94,6 +104,8 @@ def probability(x: np.ndarray, b: np.ndarray) -> np.ndarray:
 @dataclass
 class Chain:
     chosen: list[str]
+    #: Whether a feature is strong: in STRONG_SHARE of the toxic texts, and STRONG_TIMES as often as in others.
+    strong: list[bool] = field(default_factory=list)
     models: list[np.ndarray] = field(default_factory=list)
     share: float = 0.0
 
@@ -105,11 +117,9 @@ class Chain:
         kinds = Counter((f, y, tuple(on)) for f, y, on in rows)  # most texts have none of the features: equal rows count together
         fold, toxic = (np.array([k[i] for k in kinds]) for i in (0, 1))
         weight = np.array([*kinds.values()], float)
-        x = np.zeros((len(kinds), len(self.chosen)))
-        for r, (_, _, on) in enumerate(kinds):
-            x[r, list(on)] = 1
-        whole = np.array([f[0] == "w" for f in self.chosen])
-        labels = [toxic * x[:, whole].any(axis=1), toxic * x[:, ~whole].any(axis=1), toxic]
+        x = self._matrix([on for _, _, on in kinds])
+        whole = np.array([f[0] == "w" for f in self.chosen] + [False, False])
+        labels = [toxic * x[:, whole].any(axis=1), toxic * x[:, : len(self.chosen)][:, ~whole[:-2]].any(axis=1), toxic]
         for y in labels:
             self.models.append(logistic(x, y, weight))
             out = np.zeros(len(x))
@@ -123,12 +133,21 @@ class Chain:
         """The categories' probabilities: one row for each text's features."""
         if not self.models:
             return np.full((len(present), len(CATEGORIES)), self.share)
-        x = np.zeros((len(present), len(self.chosen)))
-        for r, on in enumerate(present):
-            x[r, on] = 1
+        x = self._matrix(present)
         for b in self.models:
             x = np.hstack([x, probability(x, b)[:, None]])
-        return x[:, len(self.chosen) :]
+        return x[:, -len(CATEGORIES) :]
+
+    def _matrix(self, present: list) -> np.ndarray:
+        """The features as columns, and at the end whether any strong word or any strong beginning is there."""
+        n = len(self.chosen)
+        x = np.zeros((len(present), n + 2))
+        for r, on in enumerate(present):
+            x[r, list(on)] = 1
+        strong = np.array(self.strong or [False] * n, bool)
+        for at, kind in ((n, "w"), (n + 1, "p")):
+            x[:, at] = x[:, :n][:, strong & np.array([f[0] == kind for f in self.chosen], bool)].any(axis=1)
+        return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:
@@ -137,9 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:
     train = docs.select("doc_id", nonnull(F.col("text")).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(at, 250) for b in batches for at in range(0, len(b), 250)):
             seen: dict[str, list[int]] = {}
-            for y, text in {*zip(batch.column("y").to_pylist(), batch.column("text").to_pylist(), strict=True)}:
+            for y, text in {*zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True)}:
                 for f in features(text):
                     seen.setdefault(f, [0, 0])[1 - y] += 1
             yield pa.RecordBatch.from_arrays([pa.array([*seen]), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], names=["feature", "pos", "neg"])
@@ -149,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:
     counts = map_arrow(train.select("y", "text"), count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     evidence = F.col("pos") * F.log((F.col("pos") + 0.5) / n[1] / ((F.col("neg") + 0.5) / n[0]))
     best = counts.where(F.col("pos") >= LEAST_TEXTS).withColumn("evidence", evidence).where(F.col("evidence") > 0).orderBy(F.desc("evidence"), "feature").limit(FEATURES)
-    chosen = [r["feature"] for r in best.select("feature").collect()]
+    held = best.select("feature", "pos", "neg").collect()
+    chosen = [r["feature"] for r in held]
+    strong = [r["pos"] / n[1] >= STRONG_SHARE and r["pos"] / n[1] >= STRONG_TIMES * r["neg"] / n[0] for r in held]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(chosen)
@@ -157,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:
             yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array([finder(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["fold", "y", "found"])
 
     rows = map_arrow(train.select("fold", "y", "text"), find, "fold int, y int, found array<int>").collect()
-    return Chain(chosen).fit([tuple(r) for r in rows])
+    return Chain(chosen, strong).fit([tuple(r) for r in rows])
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text", least: float = 0.5) -> DataFrame:
