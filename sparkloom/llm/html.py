@@ -1,16 +1,17 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut at block elements into blocks. Containers by name (nav, footer, aside, form ...) or by the words of their class, id
-or role (menu, sidebar, cookie, comments, ad ...) mark their blocks as not of the article; so does a page header, while of a header
-inside an article the headings stay. Then each block is classed by itself:
+The page is cut at block elements into blocks. Elements by name (nav, footer, aside, form ...) or by the words of their class, id
+or role (menu, sidebar, cookie, comments, ad ...), hidden ones, and a page's header hold no text of the article and are left out; of
+a header inside an article the headings stay. Where a page has an article (article, main) with text, what lies outside is left out
+too. Then each block is classed by itself:
 
-* bad: marked, or more than MOST_LINKED of its characters stand in links;
-* good: in the page's article (article, main), or long enough with the stop-word density of prose;
+* bad: more than MOST_LINKED of its characters stand in links;
+* good: in an article and not short, or long enough with the stop-word density of prose;
 * bad: long enough, with too few stop words and outside an article (open, if the page has no good block at all);
-* short or in between: open. In an article they are open only if they are short.
+* short or in between: open.
 
-In the second pass an open block takes the label of the nearest decided block of its own container (article or page) that isn't
-marked, nor a list of links inside an article; of two as near, good wins; without any it is good.
+In the second pass an open block takes the label of the nearest decided block (in an article lists of links decide nothing); of two
+as near, good wins; without any it is good.
 
 Character references are decoded, white space inside a block becomes one blank, the ends are trimmed, empty blocks vanish, and the
 good blocks are joined in page order by \\n. br counts as white space. Null or empty html gives the empty text. Markup that
@@ -46,13 +47,14 @@ VOID = frozenset("area base basefont bgsound br col embed frame hr img input key
 RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas select xmp noembed noframes".split())
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog search head button".split())
 NOT_ARTICLE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads adsbygoogle adv alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion rail recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
 HEADER_WORDS = frozenset("banner header masthead topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,7 +63,6 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     linked: int
-    marked: bool
     article: int  # 0: outside
     heading: bool
 
@@ -87,12 +88,17 @@ def blocks(page: str) -> Iterator[Block]:
         text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(t for t, a in parts if a)).split()))
-            yield Block(text, linked, top.marked or (top.header and not top.heading), top.article, top.heading)
+            yield Block(text, linked, top.article, top.heading)
         parts.clear()
 
+    def add(text: str) -> None:
+        top = stack[-1]
+        if not top.marked and (top.heading or not top.header):
+            parts.append((text, top.link))
+
     while m := _TOKEN.search(page, at):
         if m.start() > at:
-            parts.append((page[at : m.start()], stack[-1].link))
+            add(page[at : m.start()])
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -114,10 +120,10 @@ def blocks(page: str) -> Iterator[Block]:
             if name in BLOCK:
                 yield from flush()
             else:
-                parts.append((" ", False))
+                add(" ")
             continue
         if name == "br":
-            parts.append((" ", stack[-1].link))
+            add(" ")
             continue
         if name in BLOCK:
             yield from flush()
@@ -134,16 +140,16 @@ def blocks(page: str) -> Iterator[Block]:
             articles += 1
             article = articles
         open_ = name not in ("html", "body")
-        marked = top.marked or open_ and (name in NOT_ARTICLE or bool(hints & NOT_ARTICLE_WORDS))
+        marked = top.marked or open_ and (name in NOT_ARTICLE or bool(hints & NOT_ARTICLE_WORDS) or bool(_HIDDEN.search(attributes)))
         header = top.header or name == "header" or open_ and not article and bool(hints & HEADER_WORDS)
         stack.append(_Open(name, marked or (header and not article), article, header, top.heading or name in HEADINGS, top.link or name == "a"))
-    parts.append((page[at:], stack[-1].link))
+    add(page[at:])
     yield from flush()
 
 
 def first_pass(b: Block) -> bool | None:
     """True: good, False: bad, None: open."""
-    if b.marked or b.linked > MOST_LINKED * len(b.text):
+    if b.linked > MOST_LINKED * len(b.text):
         return False
     if b.article:
         return True if len(b.text) >= SHORT or b.heading else None
@@ -164,7 +170,7 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     for out, order in ((before, range(n)), (after, range(n - 1, -1, -1))):
         last: dict[int, tuple[int, bool]] = {}
         for i in order:
-            if labels[i] is not None and not found[i].marked and (labels[i] or not found[i].article):
+            if labels[i] or labels[i] is False and not found[i].article:
                 last[found[i].article] = (i, labels[i])
             out[i] = last.get(found[i].article)
     done = []
@@ -178,9 +184,10 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = [*blocks(page or "")]
+    found = [b for b in found if b.article] or found
     labels = [first_pass(b) for b in found]
     if True not in labels:  # no prose in the languages of the stop words: their lack says nothing
-        labels = [None if x is False and not b.marked and b.linked <= MOST_LINKED * len(b.text) else x for x, b in zip(labels, found, strict=True)]
+        labels = [None if x is False and b.linked <= MOST_LINKED * len(b.text) else x for x, b in zip(labels, found, strict=True)]
     labels = second_pass(found, labels)
     return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
 

@@ -20,8 +20,9 @@ def test_pages_without_an_article():
 
 def test_broken_and_odd_markup():
     assert html.main_text(None) == html.main_text("") == html.main_text("<p> </p>") == ""
-    assert html.main_text("<article><p>one<p>two<b>three<p>four</article>after") == "one\ntwothree\nfour\nafter"
+    assert html.main_text("<article><p>one<p>two<b>three<p>four</article>outside") == "one\ntwothree\nfour"
     assert html.main_text("<article>a < b &lt;i&gt; &amp;amp; &bogus; <p title='x>y'>z") == "a < b <i> &amp; &bogus;\nz"
+    assert html.main_text("<p>a <span class='ad'>no</span><button>no</button>b<i hidden>no</i><div style='display: none'>no</div>") == "a b"
     assert html.main_text("<article>x<!-- <p>no</p> --><script>if (a<b) {}</script>y</article") == "x y"
     assert html.main_text("x" * 300_000 + "<p>" * 5_000).startswith("xxx")
 
