@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (spark.checkpoint.dir); a temporary one only where the session names none (tests)."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("sparkloom.shared.dir", found)
+    return found.rstrip("/")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that all executors share (spark.checkpoint.dir) and read back: an iteration's lineage ends here."""
-    spark = df.sparkSession
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("sparkloom.shared.dir", top)
-    path = f"{top.rstrip('/')}/sparkloom/{name}-{uuid.uuid4().hex}"
+    """df written to a table in the shared folder and read back: it cuts the lineage, and an executor's loss costs no rerun."""
+    path = f"{shared_dir(df.sparkSession)}/sparkloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Gives this package to the session's executors, once, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    if top.is_dir():
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/sparkloom/code-{uuid.uuid4().hex}/sparkloom.zip")
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path)
+        out.write(bytearray(held.getvalue()))
+        out.close()
+        context.addPyFile(path.toString())
+    _SHIPPED.add(context.applicationId)
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
+from ..functions.session import shipped
 
 _SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*(?:`|\Z)|(?<=[=(,:\[!&|?{};])\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*""", re.S)
 _IMPORT = re.compile(r"""\bimport\s+(type\s+)?(?:([\w$*\s{},]+?)\s*from\s*)?(["'])([^"'\n]*)\3""")
@@ -209,6 +210,7 @@ def extract(sources: DataFrame) -> DataFrame:
             told = [json.dumps(facts(t or "", bool(handler.search(p or "")))) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("path"), pa.array(told, pa.string())], names=["file_id", "path", "facts"])
 
+    shipped(sources.sparkSession)
     return sources.select("file_id", "path", "text").mapInArrow(run, "file_id string, path string, facts string")
 
 
