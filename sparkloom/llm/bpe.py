@@ -20,6 +20,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
@@ -32,8 +33,11 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from .common import map_arrow, table
 
-#: Pre-tokens that a worker remembers before it starts anew; pre-tokens of more bytes than LONG aren't remembered.
+#: Pre-tokens that a worker remembers (of about 200 bytes each, twice as many at most); more bytes than LONG aren't remembered.
 CACHE, LONG = 300_000, 48
+#: Pairs of tokens that a worker remembers to be valid or not.
+PAIRS = 200_000
+_NONE = 0xFFFFF << 20
 #: Symbols that a transducer reads between two looks for stable tokens.
 STEP = 64
 
@@ -70,36 +74,41 @@ class Merges:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def short(self, text: str) -> list[str]:
-        """The encoding of a pre-token at once, by the transducer's recurrence; the end-of-word mark is added here."""
-        last, vocab, follows, n = [""], self.vocab, self.follows, len(text)
+    def short(self, text: str) -> list[int]:
+        """The ids of a pre-token at once, by the transducer's recurrence; the end-of-word mark is added here."""
+        n, vocab, follows = len(text), self.vocab.get, self.follows
+        last, sizes = [_NONE] * (n + 1), [0] * (n + 1)
         for k in range(1, n + 1):
-            end = self.end if k == n else ""
-            for size in range(1, k + 1):
-                token = text[k - size : k] + end
-                if (size == 1 or token in vocab) and follows[last[k - size], token]:
-                    last.append(token)
+            for at in range(k - 1, -1, -1):
+                token = vocab(text[at:k] if k < n else text[at:] + self.end)
+                if token is not None and follows[last[at] | token]:
+                    last[k], sizes[k] = token << 20, k - at
                     break
         out = []
         while n > 0:
-            out.append(last[n])
-            n -= len(last[n]) - (len(self.end) if n == len(text) else 0)
-        return out[::-1]
+            out.append(last[n] >> 20)
+            n -= sizes[n]
+        out.reverse()
+        return out
 
 
 class _Follows(dict):
-    """Whether a token can follow another (or none) in an encoding; forgets all when full."""
+    """Whether a token can follow another (or none) in an encoding, by id << 20 | id; forgets all when full."""
 
     def __init__(self, merges: Merges):
         super().__init__()
         self.merges = merges
+        self.text_of = {i: t for t, i in merges.vocab.items()}
 
-    def __missing__(self, key):
-        if len(self) > 2 * CACHE:
+    def __missing__(self, key: int) -> bool:
+        if len(self) > PAIRS:
             self.clear()
-        before, token = key
-        m = self.merges
-        value = self[key] = m.encode(m.symbols(token)) == [token] and (not before or m.encode(m.symbols(before) + m.symbols(token)) == [before, token])
+        m, token = self.merges, self.text_of[key & 0xFFFFF]
+        value = m.encode(m.symbols(token)) == [token]
+        if value and key >> 20 != _NONE >> 20:
+            before = self.text_of[key >> 20]
+            value = m.encode(m.symbols(before) + m.symbols(token)) == [before, token]
+        self[key] = value
         return value
 
 
@@ -115,7 +124,8 @@ class Transducer:
         n, end = len(self.last) - 1, len(self.m.end) if self.m.end and text.endswith(self.m.end) else 0
         for size in range(1, min(self.m.lookahead, n + 1) + 1):
             token = text[len(text) - end - size :]
-            if (size == 1 or token in self.m.vocab) and self.m.follows[self.last[n + 1 - size], token]:
+            before = self.last[n + 1 - size]
+            if token in self.m.vocab and self.m.follows[(self.m.vocab[before] << 20 if before else _NONE) | self.m.vocab[token]]:
                 return token
         raise ValueError("no token ends here")
 
@@ -164,8 +174,8 @@ class _Memo(dict):
             self[key] = value
         return value
 
-    def age(self) -> None:
-        if len(self) > CACHE:
+    def age(self, most: int) -> None:
+        if len(self) > most:
             self.old = dict(self)
             self.clear()
 
@@ -173,7 +183,8 @@ class _Memo(dict):
 class Tokenizer:
     """Of a tokenizer file whose model is BPE with a lower-casing normalizer and an inverted split pattern."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = CACHE):
+        self.remember = remember
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model, steps = told["model"], told["normalizer"]["normalizers"]
@@ -206,33 +217,27 @@ class Tokenizer:
         if held is not None:
             yield from map(self.vocab.__getitem__, t.close(held + self.end))
 
-    def _encoded(self, word: str) -> tuple[bytes, str]:
-        """A pre-token's ids as little-endian 32-bit integers, and its tokens with a blank between."""
+    def _encoded(self, word: str) -> bytes:
+        """A pre-token's ids as little-endian 32-bit integers."""
         symbols = word.encode().decode("latin-1").translate(self.by_byte)
-        ids = array("I", map(self.vocab.__getitem__, self.merges.short(symbols)) if len(symbols) <= LONG else self.stream(symbols))
-        return _little(ids), " ".join(self.text_of[i] for i in ids)
+        return _little(array("I", self.merges.short(symbols) if len(symbols) <= LONG else self.stream(symbols)))
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the decoding that the library gives: the tokens with a blank between."""
-        ids, tokens, at, text = [], [], 0, text or ""
+        ids, at, text, known = [], 0, text or "", self.memo.__getitem__
         spans = [*(self.specials.finditer(text) if self.specials and any(x in text for x in self.special) else ()), None]
         for m in spans:
             part = self.normalized(text[at : m.start()] if m else text[at:])
-            for word in self.pattern.findall(part):
-                a, b = self.memo[word]
-                ids.append(a)
-                tokens.append(b)
+            ids += map(known, self.pattern.findall(part))
             if m:
                 ids.append(_little(array("I", [self.special[m[0]]])))
-                tokens.append(m[0])
                 at = m.end()
-        self.memo.age()
-        return b"".join(ids), " ".join(tokens)
+        self.memo.age(self.remember)
+        out = b"".join(ids)
+        return out, " ".join(map(self.text_of.__getitem__, _numbers(out)))
 
 
 def _little(ids: array) -> bytes:
-    import sys
-
     if sys.byteorder != "little":
         ids.byteswap()
     return ids.tobytes()
@@ -258,9 +263,16 @@ class TextDecoder:
         return self.state.decode(b"", True)
 
 
+def _numbers(ids: bytes) -> Iterable[int]:
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out
+
+
 @cache
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+def tokenizer(path: str, remember: int = CACHE) -> Tokenizer:
+    return Tokenizer(path, remember)
 
 
 def public_path(name: str = "word_bpe_49k.json") -> str:
@@ -269,12 +281,15 @@ def public_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encode_texts(df: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """df with ids (array<int>) and decoded (what the library's decode gives). path: of the tokenizer file, on every executor."""
+def encode_texts(df: DataFrame, path: str | None = None, text: str = "text", remember: int = CACHE) -> DataFrame:
+    """df with ids (array<int>) and decoded (what the library's decode gives). path: of the tokenizer file, on every executor.
+
+    remember: pre-tokens that a worker remembers; fewer take less memory and more time, and give the same.
+    """
     kept = [c for c in df.columns if c not in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path or public_path())
+        t = tokenizer(path or public_path(), remember)
         for batch in batches:
             done = [t.encode(x) for x in batch.column(text).to_pylist()]
             flat = pa.Array.from_buffers(pa.int32(), sum(len(a) for a, _ in done) // 4, [None, pa.py_buffer(b"".join(a for a, _ in done))])

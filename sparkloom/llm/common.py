@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
-import uuid
-import zipfile
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.session import shipped, stored, table  # noqa: F401  for the operators
+
 #: Most rows of a side that may be broadcast, counted before the hint is given; a larger side is shuffled.
 BROADCAST_ROWS = 1_000_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("sparkloom.shared.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set("sparkloom.shared.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to a table in the shared folder and read back: it cuts the lineage, and an executor's loss costs no rerun."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Deletes what stored() wrote."""
     spark = df.sparkSession
@@ -58,31 +36,25 @@ def nonnull(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-_SHIPPED: set[str] = set()
 #: Rows that go to a Python worker at once, unless the session says otherwise than Spark's default: texts can be long.
 BATCH_ROWS = 2000
 
 
-def shipped(spark: SparkSession) -> None:
-    """Gives this package to the session's executors, once, so that Python workers can import it wherever they run."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parents[1]
-    if top.is_dir():
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        path = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
-        path.write_bytes(held.getvalue())
-        context.addPyFile(str(path))
-    _SHIPPED.add(context.applicationId)
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     spark = df.sparkSession
     shipped(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(_tidied(run), schema)
+
+
+def _tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, giving back at its end the memory that it no longer uses: workers live on for other tasks."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return tidy
