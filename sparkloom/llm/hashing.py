@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _RANDOM = np.random.default_rng(20240229)
 _BYTE = _RANDOM.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -96,6 +96,21 @@ def _shingles(values: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray
 
 
 def char_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same of characters: runs of `size` code points."""
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return _shingles(points ^ (points >> np.uint64(29)), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64), size)
+    """The same of characters: runs of `size` code points; a shorter text is filled up with zeros to one run."""
+    full = [t if len(t) >= size else t.ljust(size, "\0") for t in texts]
+    points = np.frombuffer("".join(full).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    points *= np.uint64(0x9E3779B97F4A7C15)
+    points ^= points >> np.uint64(29)
+    forth, back = _powers(_BASES[2], len(points) + 1)
+    points *= forth[:-1]
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(points, out=sums[1:])
+    runs = sums[size:] - sums[:-size] if len(points) >= size else np.zeros(0, np.uint64)
+    runs *= back[: len(runs)]
+    runs ^= runs >> np.uint64(32)
+    runs *= np.uint64(0xD6E8FEB86659FD93)
+    ends = np.cumsum([len(t) for t in full])
+    inside = np.ones(len(runs), bool)  # not across two texts
+    across = ranges(ends[:-1] - size + 1, np.full(max(0, len(ends) - 1), size - 1)) if len(ends) > 1 else np.zeros(0, np.int64)
+    inside[across] = False
+    return runs[inside], np.concatenate([[0], ends - (size - 1) * np.arange(1, len(ends) + 1)]).astype(np.int64)

@@ -83,7 +83,8 @@ def shared(keyed: DataFrame) -> DataFrame:
 def groups(rows: DataFrame) -> DataFrame:
     """rows: key, node, of shared keys. group, node: keys of the same nodes are one group, named by a hash of them."""
     nodes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    return rows.join(nodes.select("key", F.xxhash64("n", "x", "y").alias("group")), "key").select("group", "node").distinct()
+    named = stored(nodes.select("key", F.xxhash64("n", "x", "y").alias("group")), "groups")  # a plain side, so that hot keys can be split
+    return rows.join(named, "key").select("group", "node").distinct()
 
 
 def members(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def members(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
     every = grouped.groupBy("node").agg(F.collect_set("group").alias("groups"))  # as many as trees at most
     known = stored(grouped.join(nodes.join(every, "node"), "node"), "known")
     total = known.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_items") / BLOCK_ITEMS, F.lit(1.0))).cast("int").alias("n_blocks"))
-    return known.join(total, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    return known.join(stored(total, "totals"), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
 
 #: Makes from texts and nodes: the places of the texts that have sets, and their elements (sorted, distinct) and offsets.
@@ -128,6 +129,17 @@ def verified(texts: DataFrame, threshold: float, make: Make) -> DataFrame:
 def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make) -> Iterator[pa.RecordBatch]:
     """The links of the groups whose rows stand between the ends."""
     t = t.combine_chunks()
+    # two texts that are compared in a lesser group too need no sets here
+    told, every = t.column("group").to_numpy(), t.column("groups").chunk(0).to_pylist()
+    pair = ends[:-1][np.diff(ends) == 2]
+    idle = np.array([x for x in pair.tolist() if min({*every[x]} & {*every[x + 1]}) != told[x]], np.int64)
+    if len(idle):
+        keep = np.ones(len(t), bool)
+        keep[idle] = keep[idle + 1] = False
+        ends = np.append(0, np.cumsum(keep))[ends]
+        t = t.filter(pa.array(keep)).combine_chunks()
+        if not len(t):
+            return
     rows, flat, at = make(t.column("text").chunk(0), t.column("node").to_numpy())
     where = np.searchsorted(rows, ends)
     node, weight, block, group = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "group"))
