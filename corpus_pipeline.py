@@ -48,7 +48,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # executors come to this stage with full heaps: its workers stay small
-    done = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), remember=60_000)
+    done = bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), remember=40_000)
     return done.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -35,8 +35,10 @@ from .common import map_arrow, table
 
 #: Pre-tokens that a worker remembers (of about 200 bytes each, twice as many at most); more bytes than LONG aren't remembered.
 CACHE, LONG = 300_000, 48
+#: Texts whose ids and tokens a worker holds at once.
+SLICE = 200
 #: Pairs of tokens that a worker remembers to be valid or not.
-PAIRS = 200_000
+PAIRS = 150_000
 _NONE = 0xFFFFF << 20
 #: Symbols that a transducer reads between two looks for stable tokens.
 STEP = 64
@@ -290,7 +292,7 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text", rem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path or public_path(), remember)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             done = [t.encode(x) for x in batch.column(text).to_pylist()]
             flat = pa.Array.from_buffers(pa.int32(), sum(len(a) for a, _ in done) // 4, [None, pa.py_buffer(b"".join(a for a, _ in done))])
             offsets = [0]
