@@ -1,6 +1,6 @@
 """Fuzzy line dedup: one line stays of each group of lines that are near copies.
 
-Lines stand between \\n. Their sets of eight-character shingles (a shorter line is one shingle) have MinHash signatures, which are
+Lines stand between \\n. Their sets of six-character shingles (a shorter line is one shingle) have MinHash signatures, which are
 banded for high recall; lines that share a band are verified by the exact Jaccard similarity of 0.8 or more, and joined by
 distributed union-find. Of each component, copies included, the first line by (doc_id, line number) stays.
 
@@ -27,7 +27,7 @@ from .hashing import char_shingles
 from .minhash import Forest, groups, members, shared, verified
 from .near import _distinct, joined_sets
 
-SHINGLE, THRESHOLD, BANDS, RECALL = 8, 0.8, 8, 0.995
+SHINGLE, THRESHOLD, BANDS, RECALL = 6, 0.8, 8, 0.995
 #: Characters of lines that are hashed at once; a longer line is hashed by itself.
 CHARS = 1 << 18
 _WHITE = " \t\n\v\f\r"

@@ -137,3 +137,12 @@ def test_word_hashes_tell_words_apart(size):
     hashes, at = hashing.word_shingles(data, offsets, size)
     sets = [tuple(hashes[x:y].tolist()) for x, y in zip(at, at[1:], strict=False)]
     assert (lo, hi) == (0, 6) and sets[0] == sets[4] != sets[3] and sets[1] == sets[2] == () and sets[5] not in sets[:5]
+
+
+def test_line_with_one_edited_word_is_a_near_copy(spark):
+    base = ["abcdef", *WORDS[5:27], "last"]
+    one, other = (" ".join([*base[:10], word, *base[11:]]) for word in ("ghijkl", "zyxwvu"))
+    of = lambda x: {x[i : i + 6] for i in range(len(x) - 5)}
+    assert len(one) == len(other) and len(of(one) & of(other)) / len(of(one) | of(other)) == pytest.approx(104 / 126, abs=0.005)
+    got = lines.dedup_lines(spark.createDataFrame([(1, one), (2, other + "\nsaid once only")], "doc_id long, text string"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: one, 2: "said once only"}
