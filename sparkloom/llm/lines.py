@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bounded, map_arrow, nonnull, stored, table
+from .common import bounded, dropped, map_arrow, nonnull, stored, table
 from .components import components
 from .hashing import char_shingles
 from .minhash import Forest, groups, members, shared, verified
@@ -70,6 +70,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.select("id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(wordy).withColumn("node", F.xxhash64("line"))
 
 
+def texts_of(docs: DataFrame) -> DataFrame:
+    """id, text, node: the lines with words, once for each row that has them."""
+    lines = docs.select("id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("text"))
+    return lines.where(F.trim(F.col("text"), F.lit(_WHITE)) != "").withColumn("node", F.xxhash64("text"))
+
+
 def make(column: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for lo, part in _parted(column.to_pylist()):
@@ -84,8 +90,12 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = lines_of(docs)
     distinct = stored(lines.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("n_items")), "lines")
     known = distinct.select("node", "id", F.lit(1).cast("long").alias("weight"), "n_items")
-    proposed = stored(members(groups(stored(shared(band_keys(docs, forest)), "shared")), known), "members")
-    texts = lines.join(bounded(proposed.drop("n_items")), ["node", "id"]).withColumnRenamed("line", "text")
+    keys = stored(shared(band_keys(docs, forest)), "shared")
+    proposed = stored(members(groups(keys), known), "members")
+    dropped(keys)
+    docs.sparkSession.sparkContext._jvm.System.gc()  # then Spark deletes the shuffle files that nothing refers to
+    once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
+    texts = once.join(bounded(proposed.drop("n_items")), ["node", "id"])
     joined = components(stored(verified(texts, threshold, make), "links"))
     first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))
     near = joined.join(first, "component").select("node", "least", "component")

@@ -142,6 +142,16 @@ def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make) -> It
             return
     rows, flat, at = make(t.column("text").chunk(0), t.column("node").to_numpy())
     where = np.searchsorted(rows, ends)
+    # texts of one id can differ and yet have one set, which counts once
+    part, node = np.repeat(np.arange(len(where) - 1), np.diff(where)), t.column("node").to_numpy()[rows]
+    order = np.lexsort((node, part))
+    again = order[1:][(part[order[1:]] == part[order[:-1]]) & (node[order[1:]] == node[order[:-1]])]
+    if len(again):
+        first = np.ones(len(rows), bool)
+        first[again] = False
+        n = np.diff(at)
+        rows, flat, at = rows[first], flat[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[first])])
+        where = np.searchsorted(rows, ends)
     node, weight, block, group = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "group"))
     names = t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()
     found = []

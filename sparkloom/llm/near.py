@@ -101,7 +101,9 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     distinct = stored(classes_by_id(found), "classes")
     keyed = found.join(distinct.select("set2", "id", "node"), (found["set1"] == distinct["node"]) & (found["set2"] == distinct["set2"]) & (found["id"] == distinct["id"])).select(F.explode("keys").alias("key"), "node")
     proposed = members(groups(stored(shared(keyed), "shared")), distinct.select("node", "id", F.col("copies").alias("weight"), "n_items"))
-    texts = docs.join(bounded(stored(proposed, "members").drop("n_items")), "id")
+    proposed = stored(proposed, "members")
+    once = docs.join(bounded(proposed.select("id").distinct()), "id").dropDuplicates(["id", "text"])
+    texts = once.join(bounded(proposed.drop("n_items")), "id")
     links = stored(verified(texts, threshold, maker(size)), "links")
     joined = components(links)
     least = joined.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class"))

@@ -146,3 +146,26 @@ def test_line_with_one_edited_word_is_a_near_copy(spark):
     assert len(one) == len(other) and len(of(one) & of(other)) / len(of(one) | of(other)) == pytest.approx(104 / 126, abs=0.005)
     got = lines.dedup_lines(spark.createDataFrame([(1, one), (2, other + "\nsaid once only")], "doc_id long, text string"))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: one, 2: "said once only"}
+
+
+def test_repeated_line_is_compared_once(spark, monkeypatch):
+    base = WORDS[:30]
+    one, other = " ".join(base), " ".join([*base[:10], "other", *base[11:]])
+    sent = []
+
+    def counted(texts, *more):
+        sent.append(texts.groupBy("group", "node").count().agg({"count": "max"}).first()[0])
+        return minhash.verified(texts, *more)
+
+    monkeypatch.setattr(lines, "verified", counted)
+    got = lines.dedup_lines(spark.createDataFrame([(1, "\n".join([one] * 500)), (1, one + "\nmore"), (2, other + "\nsaid once only")], "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, one), (1, one + "\nmore"), (2, "said once only")]
+    assert sent == [1]
+
+
+def test_links_of_repeated_rows_that_share_an_id(spark):
+    base = WORDS[:60]
+    one, other = " ".join(base), " ".join([*base[:-1], "other"])
+    rows = [(7, one), (7, one), (7, one.replace(" ", "  ")), (8, other)]
+    got = near.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(7, 7, 3)] * 3 + [(8, 7, 3)]
