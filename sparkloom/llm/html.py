@@ -1,9 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut at block elements into blocks. Elements by name (nav, footer, aside, form ...) or by the words of their class, id
-or role (menu, sidebar, cookie, comments, ad ...), hidden ones, and a page's header hold no text of the article and are left out; of
-a header inside an article the headings stay. Where a page has an article (article, main) with text, what lies outside is left out
-too. Then each block is classed by itself:
+The page is cut at block elements into blocks. Elements by name (nav, footer, aside, form ...), hidden ones, and a page's header
+hold no text of the article and are left out; of a header inside an article the headings stay. Where a page has an article (article,
+main) with text, what lies outside is left out too.
+
+The words of a block element's class, id or role (menu, sidebar, cookie, comments, ad ...) are a hint that it is none of the article.
+Names that deny the word or tell of what the element has (no-sidebar, with-comments, ad-free) give none. A hint is plain, if a name is
+made of such words only (sidebar, cookie-notice), or else part of a compound (layout-sidebar). A plain one is believed, unless the
+page has no good block outside such elements; a compound, unless its element holds more than half of the text of the good blocks
+that plain ones leave. main takes no hint, article none of compounds, neither their own nor those around them. Blocks in elements
+whose hints are believed, and inline elements with a hint, are left out. Then each block is classed by itself:
 
 * bad: more than MOST_LINKED of its characters stand in links;
 * good: in an article and not short, or long enough with the stop-word density of prose;
@@ -49,6 +55,8 @@ NOT_ARTICLE = frozenset("nav footer aside form menu dialog search head button".s
 NOT_ARTICLE_WORDS = frozenset(
     "ad ads adsbygoogle adv alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion rail recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: A name with one of these says that the element has no such thing, or has it besides what it is.
+RELATIONAL = frozenset("no not non none without hide hides hidden has have having with free enabled disabled".split())
 HEADER_WORDS = frozenset("banner header masthead topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -56,6 +64,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\
 _HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[a-z]+")
+_NAME = re.compile(r"([a-z])([A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -65,6 +74,7 @@ class Block:
     linked: int
     article: int  # 0: outside
     heading: bool
+    hints: tuple[tuple[int, bool], ...] = ()  # of the elements around it: their numbers, and whether the hint is plain
 
 
 @dataclass
@@ -75,20 +85,32 @@ class _Open:
     header: bool
     heading: bool
     link: bool
+    hints: tuple[tuple[int, bool], ...] = ()
+
+
+def hint(attributes: str, words: frozenset[str]) -> bool | None:
+    """True: a name in class, id or role is made of these words; False: one has some of them; None: none has, but for relational ones."""
+    found = None
+    for value in _HINTS.findall(attributes):
+        for name in _NAME.sub(r"\1-\2", "".join(value)).lower().split():
+            parts = {*_PART.findall(name)}
+            if parts & words and not parts & RELATIONAL:
+                found = found or parts <= words
+    return found
 
 
 def blocks(page: str) -> Iterator[Block]:
     """The blocks with text, in page order."""
     stack = [_Open("", False, 0, False, False, False)]
     parts: list[tuple[str, bool]] = []
-    at, articles = 0, 0
+    at, articles, numbers = 0, 0, 0
 
     def flush() -> Iterator[Block]:
         top = stack[-1]
         text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(t for t, a in parts if a)).split()))
-            yield Block(text, linked, top.article, top.heading)
+            yield Block(text, linked, top.article, top.heading, top.hints)
         parts.clear()
 
     def add(text: str) -> None:
@@ -134,15 +156,24 @@ def blocks(page: str) -> Iterator[Block]:
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
         top = stack[-1]
-        hints = {w for h in _HINTS.findall(attributes) for w in _PART.findall("".join(h).lower())}
-        article = top.article
+        article, hints = top.article, top.hints
         if name in ("article", "main") and not article:
             articles += 1
             article = articles
         open_ = name not in ("html", "body")
-        marked = top.marked or open_ and (name in NOT_ARTICLE or bool(hints & NOT_ARTICLE_WORDS) or bool(_HIDDEN.search(attributes)))
-        header = top.header or name == "header" or open_ and not article and bool(hints & HEADER_WORDS)
-        stack.append(_Open(name, marked or (header and not article), article, header, top.heading or name in HEADINGS, top.link or name == "a"))
+        marked = top.marked or open_ and (name in NOT_ARTICLE or bool(_HIDDEN.search(attributes)))
+        header = top.header or name == "header"
+        told = hint(attributes, NOT_ARTICLE_WORDS if article else NOT_ARTICLE_WORDS | HEADER_WORDS) if open_ else None
+        if name not in BLOCK:
+            marked = marked or told is not None
+        elif name == "main":
+            hints = ()
+        elif name == "article":
+            hints = tuple(x for x in hints if x[1]) + (((numbers, True),) if told else ())
+        elif told is not None:
+            hints = (*hints, (numbers, told))
+        numbers += 1
+        stack.append(_Open(name, marked or (header and not article), article, header, top.heading or name in HEADINGS, top.link or name == "a", hints))
     add(page[at:])
     yield from flush()
 
@@ -162,6 +193,25 @@ def first_pass(b: Block) -> bool | None:
     return None if stop >= LEAST_STOP else False
 
 
+def believed(found: list[Block]) -> set[int]:
+    """The numbers of the elements whose hints are believed."""
+    good = [first_pass(b) is True for b in found]
+    free = [not any(plain for _, plain in b.hints) for b in found]
+    out: set[int] = set()
+    if any(g and f for g, f in zip(good, free, strict=True)):
+        out = {k for b in found for k, plain in b.hints if plain}
+    else:
+        free = [True] * len(found)
+    whole, held = 0, dict.fromkeys((k for b in found for k, plain in b.hints if not plain), 0)
+    for b, g, f in zip(found, good, free, strict=True):
+        if g and f:
+            whole += len(b.text)
+            for k, plain in b.hints:
+                if not plain:
+                    held[k] += len(b.text)
+    return out | {k for k, n in held.items() if 2 * n <= whole}
+
+
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     """The open blocks take the label of the nearest decided one of their container."""
     n = len(found)
@@ -184,6 +234,8 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     found = [*blocks(page or "")]
+    gone = believed(found)
+    found = [b for b in found if not any(k in gone for k, _ in b.hints)]
     found = [b for b in found if b.article] or found
     labels = [first_pass(b) for b in found]
     if True not in labels:  # no prose in the languages of the stop words: their lack says nothing

@@ -33,3 +33,22 @@ def test_null_repeated_and_extra_columns(spark):
     assert got.columns == ["page_id", "text"]
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "a"), (2, "")]
     assert html.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+def test_names_of_wrappers_do_not_take_the_article():
+    for page in (
+        "<div class='layout no-sidebar'><article><p>{}</p></article></div>",
+        "<div class='content-with-sidebar'><p>{}</p></div>",
+        "<main class='has-comments'><p>{}</p></main>",
+        "<article class='ad-free'><p>{}</p></article>",
+        "<div class='layout-sidebar'><article><p>{}</p></article></div>",
+        "<div class='layout sidebar-left'><p>{}</p><div class='sidebar'>" + PROSE + "</div></div>",
+        "<div class='post-with-ads widgetArea-menu'><p>{}</p><div class='cookieNotice'>" + PROSE + "</div></div>",
+        "<div id='sidebar'><p>{}</p></div>",
+        "<div class='post'><p>{}</p></div><section id='comments'><article class='comment'>" + PROSE * 3 + "</article></section>",
+    ):
+        assert html.main_text(page.format("Here. " + PROSE)) == "Here. " + PROSE.strip(), page
+
+
+def test_short_blocks_beside_a_hint():
+    assert html.main_text(f"<div class=menu>{PROSE}</div><h2>Title</h2><p>By us</p><p>{PROSE}</p>").split("\n") == ["Title", "By us", PROSE.strip()]
