@@ -2,7 +2,7 @@
 
 Every line of every text is a header that may name a license. A line's words (runs of letters and digits in lower case; a dot
 between digits stays) are weighted by their frequency in the line and by ln((1 + texts) / (1 + texts with the word)) + 1, counted
-over all texts for the templates' words; any other word has the weight of a word that no text has. A line's license is the template
+over all texts for every word of the lines that are weighed. A line's license is the template
 with the greatest cosine, at LEAST or more (of equals the first by name); a text's that of its best line (of equals the first line).
 
 Lines are weighed only if they hold a telling word: those that are left of a template when its lightest words go, as long as these
@@ -57,19 +57,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(nonnull(text)), F.lit(_WORD), F.lit(0))
 
 
-def idf(docs: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
-    """The weights of the templates' words over all texts, and that of a word that no text has. terms: as many as the templates have."""
+def idf(docs: DataFrame, terms: list[str]) -> tuple[dict[str, float], int]:
+    """The weights of the templates' words over all texts, and the number of texts. terms: as many as the templates have."""
     seen = docs.select(F.explode(F.array_intersect(words(F.col("text")), F.array(*map(F.lit, terms)))).alias("term"))
     n, counted = docs.count(), {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}
-    return {t: math.log((1 + n) / (1 + counted.get(t, 0))) + 1 for t in terms}, math.log(1 + n) + 1
+    return {t: math.log((1 + n) / (1 + counted.get(t, 0))) + 1 for t in terms}, n
 
 
-def template_weights(docs: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[DataFrame, DataFrame, float, list[str]]:
-    """(license, form, term, w: its share of the unit vector), (term, idf), the weight of an unseen word, and the telling words."""
+def other_weights(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """term, idf: of the asked terms, counted over all texts."""
+    seen = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(bounded(asked), "term", "left_semi")
+    return seen.groupBy("term").count().select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("count"))) + 1).alias("idf"))
+
+
+def template_weights(docs: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[DataFrame, DataFrame, int, list[str]]:
+    """(license, form, term, w: its share of the unit vector), (term, idf), the number of texts, and the telling words."""
     spark = docs.sparkSession
     forms = [(name, f"{name} {i}", text) for i, (name, text) in enumerate(given)]
     rows = spark.createDataFrame(forms, "license string, form string, text string").select("license", "form", F.explode(words(F.col("text"))).alias("term")).groupBy("license", "form", "term").count().collect()
-    weight, unseen = idf(docs, sorted({r["term"] for r in rows}))
+    weight, n = idf(docs, sorted({r["term"] for r in rows}))
     unit, telling = [], set()
     for name, form, _ in forms:
         w = {r["term"]: r["count"] * weight[r["term"]] for r in rows if r["form"] == form}
@@ -79,17 +85,20 @@ def template_weights(docs: DataFrame, given: tuple[tuple[str, str], ...] = TEMPL
             light += v * v
             if light >= 0.999 * LEAST * LEAST * norm:
                 telling.add(t)
-    return spark.createDataFrame(unit, "license string, form string, term string, w double"), spark.createDataFrame([*weight.items()], "term string, idf double"), unseen, sorted(telling)
+    return spark.createDataFrame(unit, "license string, form string, term string, w double"), spark.createDataFrame([*weight.items()], "term string, idf double"), n, sorted(telling)
 
 
 def own_licenses(docs: DataFrame, key: str, given: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """key, hash (of the text), own_license, score, mostly: of the texts with a license line."""
-    unit, weight, unseen, telling = template_weights(docs, given)
+    unit, weight, n, telling = template_weights(docs, given)
     mark = r"(?<![a-z0-9])(?:" + "|".join(t.replace(".", r"\.") for t in telling) + r")(?![a-z0-9])"
     some = docs.select(key, "text").where(F.lower("text").rlike(mark)).withColumn("hash", F.xxhash64("text")).withColumn("n_all", F.size(words(F.col("text"))))
     lines = some.select(key, "hash", "n_all", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.lower("line").rlike(mark)).withColumn("words", words(F.col("line")))
     terms = lines.select(key, "hash", "n_all", "at", F.size("words").alias("n"), F.explode("words").alias("term")).groupBy(key, "hash", "n_all", "at", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    v = terms.join(F.broadcast(weight), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(unseen)))  # the templates' words only
+    terms = stored(terms, "terms")
+    asked = stored(terms.select("term").distinct().join(F.broadcast(weight), "term", "left_anti"), "asked")
+    weight = weight.unionByName(stored(other_weights(docs, asked, n), "weights"))
+    v = terms.join(bounded(weight), "term").withColumn("v", F.col("tf") * F.col("idf"))
     line = [key, "hash", "n_all", "at", "n"]
     norms = v.groupBy(*line).agg(F.sum(F.col("v") * F.col("v")).alias("norm"), F.collect_list(F.struct("term", "v")).alias("vs"))  # as long as the line
     dots = norms.select(*line, "norm", F.explode("vs").alias("x")).join(F.broadcast(unit), F.col("x.term") == F.col("term")).groupBy(*line, "norm", "license", "form").agg((F.sum(F.col("x.v") * F.col("w")) / F.sqrt("norm")).alias("cosine"))

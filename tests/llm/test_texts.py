@@ -236,3 +236,10 @@ def test_toxicity_on_held_out_texts(spark):
 def test_text_digest_of_ids():
     t = bpe.tokenizer(bpe.public_path())
     assert hashlib.sha256(t.encode("a")[0]).hexdigest() == hashlib.sha256((t.vocab["a</w>"]).to_bytes(4, "little")).hexdigest()
+
+
+def test_common_words_beside_a_notice_weigh_little(spark):
+    talk = "see project root details here about code more info our thanks"
+    rows = [(i, f"x/{i}", talk) for i in range(200)] + [(200, "y/a", f"Released under the MIT License {talk}")]
+    done = license.scan(spark.createDataFrame(rows, "id int, path string, text string"), "id").where("own_license IS NOT NULL").collect()
+    assert [(r["id"], r["own_license"]) for r in done] == [(200, "MIT")] and done[0]["score"] > 0.9
