@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import uuid
 from pathlib import Path
 
 VERSION = "0.1.0"
@@ -51,7 +52,10 @@ def _analyze(said: argparse.Namespace) -> None:
     spark = SparkSession.builder.appName("sparkloom").getOrCreate()
     profile = artifacts.benchmark_profile(json.loads(Path(said.benchmark).read_text())) if said.benchmark else None
     past = artifacts.history(spark, said.history) if said.history else None
-    done = analyze(spark, said.path).artifact(history=past, benchmark=profile)
+    found = analyze(spark, said.path)
+    report = said.json or said.html
+    whole = found.write(f"{Path(report).resolve().with_suffix('').as_uri()}-{uuid.uuid4().hex[:8]}") if report else None
+    done = found.artifact(history=past, benchmark=profile, whole=whole)
     if said.history:
         artifacts.archive(spark, said.history, done["metadata"]["generated_at"], done["summary"]["overall"])
     for path, text in ((said.json, artifacts.as_json), (said.html, artifacts.as_html)):

@@ -30,8 +30,19 @@ class Analysis:
     failed_rules: dict[str, str]
     timings: dict[str, float]
 
-    def artifact(self, generated_at: str | None = None, history: DataFrame | None = None, benchmark: dict | None = None, most: int = 1000) -> dict:
-        """The bounded report; tables of any size stay in `tables`."""
+    def write(self, folder: str) -> dict[str, dict]:
+        """Writes what the report is cut from, whole, as JSON lines with Spark: by name, the place in the folder and the number of rows."""
+        found = self.findings.select("id", "rule_id", "category", "severity", "title", "description", "rationale", "recommendation", "file", "line", "column")
+        found = found.withColumn("file", F.when(F.col("file") == self.project.root, ".").otherwise(F.col("file")))
+        whole = {"findings": found, "nodes": self.tables["nodes"], "edges": self.tables["edges"], "deductions": self.score.deductions, "risks": report.risks(self.findings), "policies": self.evaluations}
+        out = {}
+        for name, df in whole.items():
+            df.write.json(f"{folder}/{name}")
+            out[name] = {"place": f"{folder.rsplit('/', 1)[-1]}/{name}", "rows": df.count()}
+        return out
+
+    def artifact(self, generated_at: str | None = None, history: DataFrame | None = None, benchmark: dict | None = None, most: int = 1000, whole: dict | None = None) -> dict:
+        """The bounded report; tables of any size stay in `tables`. whole: where write() put them."""
         row = self.score.total.first().asDict()
         nodes = self.tables["nodes"].count()
         cycles = self.tables["cycles"].count()
@@ -45,7 +56,7 @@ class Analysis:
         pick = lambda df, n: artifacts.rows(df, n)
         return artifacts.checked(
             {
-                "metadata": {"schema": artifacts.SCHEMA_ID, "generated_at": now, "timings": self.timings},
+                "metadata": {"schema": artifacts.SCHEMA_ID, "generated_at": now, "timings": self.timings} | ({"tables": whole} if whole else {}),
                 "project": {"name": self.project.name, "framework": self.project.framework, "package_manager": self.project.package_manager, "workspace": self.project.workspace, "root": "."},
                 "summary": {"overall": row["overall"], "grade": row["grade"], **counts},
                 "metrics": report.metrics(self.tables["modules"], self.tables["nodes"]).first().asDict(),

@@ -151,3 +151,25 @@ def test_artifact_checks():
     for bad in ({}, ok | {"sampleSize": 0}, ok | {"score": {"p25": 9, "p50": 1, "p75": 2}}, ok | {"cohort": " "}, ok | {"framework": ""}):
         with pytest.raises(TypeError):
             artifacts.benchmark_profile(bad)
+
+
+def test_command_line_writes_whole_tables_beside_the_report(spark, tmp_path, monkeypatch):
+    import json
+
+    from sparkloom import cli
+    from sparkloom.plans.engine import Analysis
+
+    home = tmp_path / "p"
+    home.mkdir()
+    (home / "package.json").write_text('{"name": "p"}')
+    for k in range(4):
+        (home / f"m{k}.ts").write_text(f"import x from './m{(k + 1) % 4}'\nexport const a{k} = x\n")
+    cut = Analysis.artifact
+    monkeypatch.setattr(Analysis, "artifact", lambda self, **more: cut(self, most=1, **more))
+    assert cli.main(["analyze", str(home), "--json", str(tmp_path / "out.json")]) == 0
+    told = json.loads((tmp_path / "out.json").read_text())
+    for name, most in (("nodes", 4), ("edges", 4)):
+        table = told["metadata"]["tables"][name]
+        assert len(told["graph"][name]) == 1 and table["rows"] == spark.read.json(str(tmp_path / table["place"])).count() >= most
+    found = told["metadata"]["tables"]["findings"]
+    assert found["rows"] >= len(told["findings"])
