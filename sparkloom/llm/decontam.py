@@ -82,7 +82,7 @@ def matches(docs: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
     Texts without candidates pass through; the others get theirs by a left join, broadcast if it is counted to be small.
     """
     by_doc = found.join(bounded(items), "item").groupBy("doc").agg(F.collect_list(F.struct("item_id", "item_words", "offset", "windows")).alias("found"))  # as many as the text has windows
-    joined = docs.join(bounded(by_doc, found.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()[0]), "doc", "left").withColumn("words", words(F.col("text")))
+    joined = docs.join(bounded(by_doc), "doc", "left").withColumn("words", words(F.col("text")))
 
     def holds(x: Column, w: Column) -> Column:
         at = x["offset"] + w["start"]

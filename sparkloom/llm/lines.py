@@ -6,8 +6,8 @@ distributed union-find. Of each component, copies included, the first line by (d
 
 Lines of white space alone are never copies and always stay. A document that loses its last line with words is dropped; one that
 never had any stays as it is. Null text has no lines and stays null. Rows that share a doc_id are one document's: each keeps its own first
-line of a component that begins there. A null doc_id comes before all others. Other columns pass through; n_chars, where there is
-one, is counted anew.
+line of a component that begins there. A null doc_id comes before all others. Other columns pass through (names that
+begin with _line_ are the operator's own); n_chars, where there is one, is counted anew.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from pyspark.sql.types import LongType
 from .common import bounded, dropped, map_arrow, nonnull, stored, table
 from .components import components
 from .hashing import char_shingles
-from .minhash import Forest, groups, members, shared, verified
+from .minhash import HOT_SAMPLE, Forest, connected, groups, hot_keys, members, prefix_length, shared, sized
 from .near import _distinct, joined_sets
 
-SHINGLE, THRESHOLD, BANDS, RECALL = 6, 0.8, 8, 0.995
+SHINGLE, THRESHOLD, BANDS, RECALL = 6, 0.8, 11, 0.995
 #: Characters of lines that are hashed at once; a longer line is hashed by itself.
 CHARS = 1 << 18
 _WHITE = " \t\n\v\f\r"
@@ -51,17 +51,17 @@ def node(line: str) -> int:
 
 
 def band_keys(docs: DataFrame, forest: Forest) -> DataFrame:
-    """key, node: each line's bands, once for a batch."""
+    """p0 (the band's key), node: each line's bands, once for a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lines = [*{x: None for t in batch.column("text").to_pylist() for x in t.split("\n") if x.strip(_WHITE)}]
             for _, part in _parted(lines):
-                keys = forest.keys(*char_shingles(part, SHINGLE)).view(np.int64)
+                keys = forest.paths(*char_shingles(part, SHINGLE))[:, :, 0].view(np.int64)
                 nodes = np.array([node(x) for x in part], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(nodes, keys.shape[1]))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(nodes, keys.shape[1]))], names=["p0", "node"])
 
-    return map_arrow(docs.select(nonnull(F.col("text")).alias("text")), run, "key long, node long")
+    return map_arrow(docs.select(nonnull(F.col("text")).alias("text")), run, "p0 long, node long")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -86,17 +86,20 @@ def make(column: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs: id, text. node, least, component: for the lines that occur again, exactly or nearly, the first document of their component."""
-    forest = Forest(threshold, BANDS, RECALL)
+    forest = Forest(threshold, BANDS, (prefix_length(threshold, BANDS, RECALL),))
     lines = lines_of(docs)
     distinct = stored(lines.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max(F.length("line")).alias("n_items")), "lines")
     known = distinct.select("node", "id", F.lit(1).cast("long").alias("weight"), "n_items")
-    keys = stored(shared(band_keys(docs, forest)), "shared")
-    proposed = stored(members(groups(keys), known), "members")
+    hot = hot_keys(band_keys(docs.sample(min(1.0, HOT_SAMPLE / max(1, docs.count())), 5), forest))
+    keys = stored(shared(band_keys(docs, forest), hot), "shared")
+    grouped = stored(groups(keys.select("key", "node")), "grouped")
+    size = sized(grouped, known)
+    proposed = stored(members(grouped, size, grouped.join(size.where("n_blocks = 1").select("group"), "group", "left_semi"), known), "members")
     dropped(keys)
     docs.sparkSession.sparkContext._jvm.System.gc()  # then Spark deletes the shuffle files that nothing refers to
     once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
     texts = once.join(bounded(proposed.drop("n_items")), ["node", "id"])
-    joined = components(stored(verified(texts, threshold, make), "links"))
+    joined = components(stored(connected(texts, forest, make), "links"))
     first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))
     near = joined.join(first, "component").select("node", "least", "component")
     return distinct.join(near, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "id").alias("least"), F.coalesce("component", "node").alias("component"))
@@ -114,15 +117,14 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     marked = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     thin = docs.where("text IS NOT NULL").select(marked.alias("id"), "text")
     gone = stored(copied_lines(thin, stored(line_classes(thin, threshold), "line-classes")), "copied-lines")
-    rows = gone.agg(F.coalesce(F.sum(F.size("again")), F.lit(0))).first()[0]
-    gone = gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "again")
-    keyed = docs.withColumn("_id", marked).withColumn("_hash", F.xxhash64("text"))
+    gone = gone.select(F.col("id").alias("_line_id"), F.col("hash").alias("_line_hash"), F.col("again").alias("_line_again"))
+    keyed = docs.withColumn("_line_id", marked).withColumn("_line_hash", F.xxhash64("text"))
     kept = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_lines, n_removed = [], [], []
-            for text, again in zip(batch.column("text").to_pylist(), batch.column("again").to_pylist(), strict=True):
+            for text, again in zip(batch.column("text").to_pylist(), batch.column("_line_again").to_pylist(), strict=True):
                 lines, gone, seen = (text or "").split("\n"), set(), set()
                 for x in sorted(again or (), key=lambda x: x["at"]):
                     if not x["here"] or x["component"] in seen:
@@ -136,7 +138,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield out.filter(pa.array([n == 0 or n > r for n, r in zip(n_lines, n_removed, strict=True)], pa.bool_()))
 
     schema = docs.select(*kept, "text").schema.add("n_lines", LongType()).add("n_removed", LongType())
-    out = map_arrow(keyed.join(bounded(gone, rows), ["_id", "_hash"], "left").select(*kept, "text", "again"), run, schema)
+    out = map_arrow(keyed.join(bounded(gone), ["_line_id", "_line_hash"], "left").select(*kept, "text", "_line_again"), run, schema)
     if "n_chars" in kept:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out

@@ -1,13 +1,19 @@
-"""MinHash LSH forests: candidates by sorted prefix tries, exact Jaccard verification in blocks.
+"""MinHash tries: candidates by shared prefixes of signatures, exact Jaccard verification in blocks.
 
-A signature is a sequence of minima for each tree of the forest. Sorted, the signatures are a trie, and the texts that share a
-prefix stand together. `prefix_length` starts from the whole depth and shortens the prefix until the chance that two sets of the
-least similarity share it in some tree reaches the target recall.
+A signature is a sequence of minima for each tree. `Forest` names the trie nodes on the path of a set, one for each depth of
+`depths` (shallow to deep), by hashes of tree and prefix. `shared` brings the paths sorted to the tasks, so that a task holds one
+row at a time and reads from neighbouring rows how deep a path is shared. A trie node that a sample shows to be hot is known to be
+shared: its rows need not meet, and are dealt by the next deeper node, or by themselves.
 
-`shared` keeps the trie nodes that several texts have; `groups` makes nodes of equal texts, which near copies have in many trees,
-one group. A group is cut into blocks, and each pair of blocks goes to one task, which compares exactly every two texts, but for
-those that share a group of a lesser name and are compared there. So no pair is lost, none is counted twice, and none becomes a
-row: a task returns the number of links and one edge for each text. A group of n blocks sends each of its texts n times.
+`groups` makes trie nodes of equal texts, which near copies have in many trees, one group. A group is cut into blocks.
+
+`verified` compares exactly every two texts of a group that don't share a group of a lesser name, and are compared there; it counts
+links. No pair becomes a row: a task returns the number of links and one edge for each text. A group of n blocks sends each of its
+texts n times, since all its pairs are asked for.
+
+`connected` asks for the connected components alone. A block is compared with itself and with two hubs of the group; what that
+connects goes on as one, and only the texts outside the group's greatest component meet the other blocks. So near copies of one
+text, however many, are sent once.
 """
 
 from __future__ import annotations
@@ -19,94 +25,179 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stored
+from .common import bounded, map_arrow, stored
+from .components import components
 from .hashing import mix
 
 DEPTH = 8
 #: Texts, and elements of their sets, that a block has on average at most.
-BLOCK_TEXTS, BLOCK_ITEMS = 1024, 1_000_000
+BLOCK_TEXTS, BLOCK_ITEMS = 256, 1_000_000
+#: Texts that are looked at for hot trie nodes, about, and of these how many have a hot one. It decides where rows go, not what comes out.
+HOT_SAMPLE, HOT_TEXTS = 20_000, 200
+_LAST = np.iinfo(np.int64).max
+_SALT = 64
+
+
+def chance(similarity: float, depth: int, trees: int) -> float:
+    """The probability that two sets of that similarity share a prefix of that depth in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def prefix_length(threshold: float, trees: int, recall: float, depth: int = DEPTH) -> int:
     """The longest prefix at which two sets of that similarity meet in some tree with that probability; 1 if none does."""
-    return next((r for r in range(depth, 0, -1) if 1 - (1 - threshold**r) ** trees >= recall), 1)
+    return next((r for r in range(depth, 0, -1) if chance(threshold, r, trees) >= recall), 1)
 
 
 class Forest:
-    def __init__(self, threshold: float, trees: int, recall: float):
-        self.threshold, self.trees, self.prefix = threshold, trees, prefix_length(threshold, trees, recall)
+    def __init__(self, threshold: float, trees: int, depths: tuple[int, ...]):
+        self.threshold, self.trees, self.depths = threshold, trees, tuple(sorted(depths))
         r = np.random.default_rng(7)
-        self.factors = r.integers(1, 1 << 31, trees * self.prefix, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.factors = r.integers(1, 1 << 31, trees * self.depths[-1], dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-    def keys(self, items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The trie nodes of each set, one for each tree, as 64-bit hashes of tree and prefix: (sets, trees). Sets must not be empty."""
+    def paths(self, items: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The trie nodes of each set, as 64-bit hashes of tree and prefix: (sets, trees, depths). Sets must not be empty."""
         low = (items >> np.uint64(20)).astype(np.uint32)
-        out = np.empty((len(offsets) - 1, self.trees), np.uint64)
+        out = np.empty((len(offsets) - 1, self.trees, len(self.depths)), np.uint64)
         for t in range(self.trees):
             key = np.full(len(out), t + 1, np.uint64)
-            for k in range(t * self.prefix, (t + 1) * self.prefix):
-                key = mix(key ^ np.minimum.reduceat(low * self.factors[k], offsets[:-1]).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
-            out[:, t] = mix(key)
+            for k in range(self.depths[-1]):
+                key = mix(key ^ np.minimum.reduceat(low * self.factors[t * self.depths[-1] + k], offsets[:-1]).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+                if k + 1 in self.depths:
+                    out[:, t, self.depths.index(k + 1)] = mix(key)
         return out
 
 
-def shared(keyed: DataFrame) -> DataFrame:
-    """keyed: key, node. The distinct rows of those keys that several nodes have.
+def _path_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c[0] == "p" and c[1:].isdigit()]
 
-    The rows of a key come sorted to one task, which holds one of them at a time.
-    """
+
+def hot_keys(keyed: DataFrame) -> DataFrame:
+    """keyed: p0, p1 ..., node, of a sample of the texts. key: the trie nodes that many of them have; as many as fit HOT_SAMPLE / HOT_TEXTS, times trees and depths."""
+    rows = keyed.select(F.explode(F.array(*_path_columns(keyed))).alias("key"), "node").distinct()
+    return stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT_TEXTS).select("key"), "hot")
+
+
+def shared(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """keyed: p0, p1 ... (shallow to deep), node. level (from 1), key, node: the distinct rows of those trie nodes that several texts have."""
+    path = _path_columns(keyed)
+    if hot.isEmpty():
+        dealt = keyed.select(*path, "node", F.lit(0).alias("known")).repartition("p0")
+    else:
+        for i, p in enumerate(path):
+            keyed = keyed.join(F.broadcast(hot.select(F.col("key").alias(p), F.lit(True).alias(f"h{i}"))), p, "left")  # HOT_SAMPLE bounds it
+        known, part = F.lit(len(path)), F.xxhash64(path[-1], F.pmod("node", F.lit(_SALT)))
+        for i in range(len(path) - 1, -1, -1):
+            known, part = F.when(F.col(f"h{i}").isNull(), i).otherwise(known), F.when(F.col(f"h{i}").isNull(), F.col(path[i])).otherwise(part)
+        dealt = keyed.select(*path, "node", known.cast("int").alias("known"), part.alias("part")).repartition("part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, False  # the row before, and whether it still waits for another of its key
+        last: tuple[np.ndarray, np.ndarray, np.ndarray, int] | None = None  # the row before: path, node, known, depth shared with the row before it
+
+        def told(p: np.ndarray, node: np.ndarray, depth: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for level in range(1, p.shape[1] + 1):
+                on = depth >= level
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(on.sum(), level, np.int32)), pa.array(p[on, level - 1]), pa.array(node[on])], names=["level", "key", "node"])
+
         for batch in batches:
             if not len(batch):
                 continue
-            k, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
+            p = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in path], 1)
+            node, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "known"))
+            before = 0
             if last is not None:
-                k, n = np.append(last[0], k), np.append(last[1], n)
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-            k, n = k[new], n[new]
-            same = np.zeros(len(k) + 1, bool)
-            same[1:-1] = k[1:] == k[:-1]
-            out = same[:-1] | same[1:]
-            if last is not None and not held:
-                out[0] = False
-            wait = not out[-1] and not (last is not None and not held and len(k) == 1)
-            last, held = (k[-1], n[-1]), wait
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(k[out]), pa.array(n[out])], names=["key", "node"])
-
-    return map_arrow(keyed.select("key", "node").repartition("key").sortWithinPartitions("key", "node"), run, "key long, node long")
-
-
-def groups(rows: DataFrame) -> DataFrame:
-    """rows: key, node, of shared keys. group, node: keys of the same nodes are one group, named by a hash of them."""
+                p, node, known, before = np.concatenate([last[0], p]), np.concatenate([last[1], node]), np.concatenate([last[2], known]), last[3]
+            new = np.ones(len(p), bool)
+            new[1:] = (node[1:] != node[:-1]) | (p[1:] != p[:-1]).any(1)
+            p, node, known = p[new], node[new], known[new]
+            both = np.cumprod(p[1:] == p[:-1], axis=1).sum(1)
+            left = np.concatenate([[before], both])
+            depth = np.maximum(np.maximum(left[:-1], both), known[:-1])
+            yield from told(p[:-1], node[:-1], depth)
+            last = p[-1:], node[-1:], known[-1:], int(left[-1])
+        if last is not None:
+            yield from told(last[0], last[1], np.maximum(last[2], last[3]))
+
+    dealt = dealt.sortWithinPartitions(*path, "node").select(*path, "node", "known")
+    return map_arrow(dealt, run, "level int, key long, node long")
+
+
+def groups(rows: DataFrame, round_: int = 0) -> DataFrame:
+    """rows: key, node, of shared keys. group, node: keys of the same nodes are one group, named by the round and a hash of the nodes."""
     nodes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    named = stored(nodes.select("key", F.xxhash64("n", "x", "y").alias("group")), "groups")  # a plain side, so that hot keys can be split
+    name = F.lit(round_ << 58).cast("long").bitwiseOR(F.shiftrightunsigned(F.xxhash64("n", "x", "y"), 6))
+    named = stored(nodes.select("key", name.alias("group")), "groups")  # a plain side, so that hot keys can be split
     return rows.join(named, "key").select("group", "node").distinct()
 
 
-def members(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """grouped: group, node; nodes: node, n_items and more. Those together, with block, n_blocks and groups (all of the node's)."""
-    every = grouped.groupBy("node").agg(F.collect_set("group").alias("groups"))  # as many as trees at most
-    known = stored(grouped.join(nodes.join(every, "node"), "node"), "known")
-    total = known.groupBy("group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_items") / BLOCK_ITEMS, F.lit(1.0))).cast("int").alias("n_blocks"))
-    return known.join(stored(total, "totals"), "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+def sized(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
+    """grouped: group, node; nodes: node, n_items. By group: n_blocks, and two of its nodes, the hubs."""
+    total = grouped.join(nodes.select("node", "n_items"), "node").groupBy("group")
+    n = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_items") / BLOCK_ITEMS, F.lit(1.0))
+    return stored(total.agg(F.ceil(n).cast("int").alias("n_blocks"), F.min("node").alias("hub"), F.max("node").alias("hub2")), "sized")
+
+
+def members(grouped: DataFrame, size: DataFrame, every: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of grouped with those of nodes, the group's size, the row's block, and `groups`: in which of `every` (group, node) the node is."""
+    held = every.groupBy("node").agg(F.collect_set("group").alias("groups"))  # as many as trees and rounds at most
+    known = stored(grouped.join(nodes.join(held, "node", "left"), "node"), "known")
+    return known.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
 
 
 #: Makes from texts and nodes: the places of the texts that have sets, and their elements (sorted, distinct) and offsets.
 Make = Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: From the similarities of links to one over the chance that a search finds such, by depth of the prefixes (the last axis).
+Missed = Callable[[np.ndarray], np.ndarray]
+_LINKS = "a long, b long, links long, pairs long, expected array<double>"
 
 
-def verified(texts: DataFrame, threshold: float, make: Make) -> DataFrame:
-    """texts: members with weight and text. Rows a, b, links, some for each node with links.
+def verified(texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
+    """texts: members with weight and text. Rows a, b, links, pairs, expected, some for each node with links.
 
-    b is a node that a is connected with; links adds up to the weights of all nodes linked with a. The texts travel, being smaller
-    than their sets, which `make` makes in the tasks.
+    b is a node that a is connected with; links adds up to the weights of all nodes linked with a, pairs to their number, and expected
+    to how many there are for each that a search finds, for each of the forest's depths. The texts travel, being smaller than their
+    sets, which `make` makes in the tasks.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = texts.withColumn("_o", other).withColumn("_i", F.least("block", "_o")).withColumn("_j", F.greatest("block", "_o"))
+    dealt = texts.withColumn("_o", other).withColumn("_i", F.least("block", "_o")).withColumn("_j", F.greatest("block", "_o")).withColumn("order", F.col("group"))
+    return _compare(dealt, forest, make)
+
+
+def connected(texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
+    """The same rows, but of as many links only as connect what is connected; `groups` of texts names groups of one block alone."""
+    big = F.col("n_blocks") > 1
+    here = F.when(big & ((F.col("node") == F.col("hub")) | (F.col("node") == F.col("hub2"))), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))
+    order = F.when(big, F.lit(int(_LAST))).otherwise(F.col("group")).alias("order")
+    columns = ["group", "node", "weight", "groups", "text"]
+    first = texts.withColumn("_i", F.explode(here)).select(*columns, "_i", F.col("_i").alias("_j"), F.col("_i").alias("block"), order)
+    links = stored(_compare(first, forest, make), "links")
+    large = texts.where(big).select("group", "node", "block", "n_blocks")
+    if large.isEmpty():
+        return links
+    of = large.join(components(links), "node", "left").select("group", "node", "block", "n_blocks", F.coalesce("component", "node").alias("component"))
+    of = stored(of, "connected")
+    most = of.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    most = stored(most.where(F.col("n") < F.col("all")).select("group", "most", F.ceil((F.col("all") - F.col("n")) / BLOCK_TEXTS).cast("int").alias("n_rest")), "rest")
+    if most.isEmpty():
+        return links
+    of = of.join(bounded(most), "group").withColumn("rest", F.col("component") != F.col("most"))
+    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_rest")).cast("int")
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a block of the rest is numbered from -1 down, so that it can't be one of the others
+    with_rest = F.transform(to("n_rest"), lambda i: F.struct((-1 - F.greatest(i, mine)).alias("i"), (-1 - F.least(i, mine)).alias("j")))
+    with_most = F.transform(to("n_blocks"), lambda i: F.struct((-1 - mine).alias("i"), i.alias("j")))
+    most_with = F.transform(to("n_rest"), lambda i: F.struct((-1 - i).alias("i"), F.col("block").alias("j")))
+    tasks = F.explode(F.when(F.col("rest"), F.concat(with_rest, with_most)).otherwise(most_with))
+    pairs = of.withColumn("t", tasks).select("group", "node", F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), F.when(F.col("rest"), -1 - mine).otherwise(F.col("block")).alias("_block"))
+    second = texts.where(big).select(*columns, order).join(stored(pairs, "second"), ["group", "node"]).withColumnRenamed("_block", "block")
+    return links.unionByName(stored(_compare(second, forest, make), "links"))
+
+
+def _compare(dealt: DataFrame, forest: Forest, make: Make) -> DataFrame:
+    threshold, trees, depths = forest.threshold, forest.trees, np.array(forest.depths)
+
+    def missed(s: np.ndarray) -> np.ndarray:
+        return 1 / (1 - (1 - s[..., None] ** depths) ** trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -117,22 +208,23 @@ def verified(texts: DataFrame, threshold: float, make: Make) -> DataFrame:
             ends = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
             last = int(ends[-1]) if len(ends) else 0
             if last:
-                yield from _compared(t.slice(0, last), np.append(0, ends), threshold, make)
+                yield from _compared(t.slice(0, last), np.append(0, ends), threshold, make, missed)
             rest = t.slice(last)
         if rest is not None and len(rest):
-            yield from _compared(rest, np.array([0, len(rest)]), threshold, make)
+            yield from _compared(rest, np.array([0, len(rest)]), threshold, make, missed)
 
-    dealt = dealt.select("group", "_i", "_j", "block", "node", "weight", "groups", "text")
-    return map_arrow(dealt.repartition("group", "_i", "_j").sortWithinPartitions("group", "_i", "_j"), run, "a long, b long, links long")
+    dealt = dealt.select("group", "_i", "_j", "block", "node", "weight", "order", "groups", "text")
+    return map_arrow(dealt.repartition("group", "_i", "_j").sortWithinPartitions("group", "_i", "_j"), run, _LINKS)
 
 
-def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make) -> Iterator[pa.RecordBatch]:
+def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make, missed: Missed) -> Iterator[pa.RecordBatch]:
     """The links of the groups whose rows stand between the ends."""
     t = t.combine_chunks()
     # two texts that are compared in a lesser group too need no sets here
-    told, every = t.column("group").to_numpy(), t.column("groups").chunk(0).to_pylist()
+    told, every = t.column("order").to_numpy(), [x or [] for x in t.column("groups").chunk(0).to_pylist()]
+    elsewhere = lambda x, y, order: min({*x} & {*y}, default=_LAST) < order
     pair = ends[:-1][np.diff(ends) == 2]
-    idle = np.array([x for x in pair.tolist() if min({*every[x]} & {*every[x + 1]}) != told[x]], np.int64)
+    idle = np.array([x for x in pair.tolist() if elsewhere(every[x], every[x + 1], told[x])], np.int64)
     if len(idle):
         keep = np.ones(len(t), bool)
         keep[idle] = keep[idle + 1] = False
@@ -152,29 +244,30 @@ def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make) -> It
         n = np.diff(at)
         rows, flat, at = rows[first], flat[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[first])])
         where = np.searchsorted(rows, ends)
-    node, weight, block, group = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "group"))
-    names = t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()
+    node, weight, block, last = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "order"))
+    names = [x or [] for x in t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()]
     found = []
     for lo, hi in zip(where[:-1], where[1:], strict=True):
         if hi - lo < 2:
             continue
         if hi - lo == 2:  # most groups: two texts
             a, b = flat[at[lo] : at[lo + 1]], flat[at[lo + 1] : at[lo + 2]]
-            if node[lo] != node[lo + 1] and min({*names[lo]} & {*names[lo + 1]}) == group[lo]:
+            if node[lo] != node[lo + 1] and not elsewhere(names[lo], names[lo + 1], last[lo]):
                 n = len(np.intersect1d(a, b, assume_unique=True))
                 if n >= threshold * (len(a) + len(b) - n) - 1e-9:
                     low = min(node[lo], node[lo + 1])
-                    found.append((node[lo : lo + 2], np.array([low, low]), weight[[lo + 1, lo]]))
+                    found.append((node[lo : lo + 2], np.array([low, low]), weight[[lo + 1, lo]], np.ones(2, np.int64), missed(np.full(2, n / (len(a) + len(b) - n)))))
             continue
         items = [flat[x:y] for x, y in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=True)]
-        found.append(_block(node[lo:hi], weight[lo:hi], block[lo:hi], names[lo:hi], int(group[lo]), items, threshold))
+        found.append(_block(node[lo:hi], weight[lo:hi], block[lo:hi], names[lo:hi], int(last[lo]), items, threshold, missed))
     if found:
-        a, b, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(a[n > 0]), pa.array(b[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["a", "b", "links"])
+        a, b, links, pairs, expected = (np.concatenate(x) for x in zip(*found, strict=True))
+        on = pairs > 0
+        yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(links[on].astype(np.int64)), pa.array(pairs[on].astype(np.int64)), pa.ListArray.from_arrays(np.arange(on.sum() + 1, dtype=np.int32) * expected.shape[1], expected[on].reshape(-1))], names=["a", "b", "links", "pairs", "expected"])
 
 
-def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[list[int]], group: int, items: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One block with itself, or two with each other: the nodes, the least node that each is connected with, the links' weights."""
+def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[list[int]], group: int, items: list[np.ndarray], threshold: float, missed: Missed) -> tuple[np.ndarray, ...]:
+    """One block with itself, or two with each other: the nodes, the least node that each is connected with, the links' weights, number and expectation."""
     left = np.flatnonzero(block == block.min())
     one = len(left) == len(block)
     right = left if one else np.flatnonzero(block == block.max())
@@ -192,18 +285,24 @@ def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[
             met[np.ix_(x[x >= 0], y[y >= 0])] = False
     size = np.array([len(x) for x in items], np.int64)
     both = _shared([items[x] for x in left], [items[x] for x in right], met)
-    linked = met & (both >= threshold * (size[left][:, None] + size[right][None, :] - both) - 1e-9)
+    union = size[left][:, None] + size[right][None, :] - both
+    linked = met & (both >= threshold * union - 1e-9)
     low_l, low_r = node[left].copy(), node[right].copy()
-    top = np.iinfo(np.int64).max
     while linked.any():
-        new_l = np.minimum(low_l, np.where(linked, low_r[None, :], top).min(axis=1))
-        new_r = np.minimum(low_r, np.where(linked, new_l[:, None], top).min(axis=0))
+        new_l = np.minimum(low_l, np.where(linked, low_r[None, :], _LAST).min(axis=1))
+        new_r = np.minimum(low_r, np.where(linked, new_l[:, None], _LAST).min(axis=0))
         if (new_l == low_l).all() and (new_r == low_r).all():
             break
         low_l, low_r = new_l, new_r
-    sides = [(node[left], low_l, linked @ weight[right])] + ([] if one else [(node[right], low_r, linked.T @ weight[left])])
-    a, b, n = (np.concatenate(x) for x in zip(*sides, strict=True))
-    return a, b, n
+    x, y = np.nonzero(linked)
+    each = missed(both[x, y] / union[x, y])
+    seen = [np.zeros((n, each.shape[1])) for n in linked.shape]
+    np.add.at(seen[0], x, each)
+    np.add.at(seen[1], y, each)
+    sides = [(node[left], low_l, linked @ weight[right], linked.sum(1), seen[0])]
+    if not one:
+        sides.append((node[right], low_r, linked.T @ weight[left], linked.sum(0), seen[1]))
+    return tuple(np.concatenate(x) for x in zip(*sides, strict=True))
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], met: np.ndarray) -> np.ndarray:

@@ -1,13 +1,19 @@
 """N-gram Jaccard join: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words stand between ASCII white space and are taken unchanged; a text of one to four words has one shingle, an empty one none.
-Texts of equal shingle sets are one class, counted before anything is compared. A MinHash LSH forest proposes, by trie prefixes
-shortened until RECALL is reached at the threshold; the sets of 64-bit shingle hashes decide.
-
-Result, one row for each input row: doc_id, class_id (the least doc_id that it is connected with by links, its own if none) and
-n_links (the other rows at 0.8 or more; copies count, though no pair of them is made). Null and empty texts have no links and are
-classes of their own. Rows that share a doc_id count as copies or links of each other by their texts. A null doc_id takes part,
-and comes before all others. Columns besides doc_id and text are ignored.
+Texts of equal shingle sets are one class, counted before anything is compared. A MinHash LSH forest proposes: the signatures stand
+sorted in prefix tries, one for each tree; texts that share a prefix of the greatest of DEPTHS are compared first. Each verified
+pair's similarity tells how likely such a prefix was to find it, and so how many like it were missed; as long as the estimated
+share of the pairs that are found is less than TARGET, the prefixes are shortened to the next depth, and what meets there and
+didn't before is compared. One pair of exactly the threshold is added to the estimate, so that few or no finds never stop the
+search. At the least depth the chance of such a pair is RECALL or more. The sets of 52-bit shingle hashes decide.
+
+Result, one row for each input row: doc_id, class_id (the least doc_id that it is connected with by links, its own if none),
+n_links (the other rows at 0.8 or more; copies count, though no pair of them is made), text_hash, and first: whether the row is its
+class's (of several with that doc_id and different texts the one of the least hash; equal rows all are). Null and empty texts have
+no links and are classes of their own. Rows that share a doc_id count as copies or links of each other by their texts. A null
+doc_id takes part, and comes before all others. Columns besides doc_id and text are ignored. Without `links`, n_links is null and
+only as many pairs are compared as the classes need.
 """
 
 from __future__ import annotations
@@ -22,11 +28,15 @@ from pyspark.sql import functions as F
 from .common import bounded, map_arrow, stored, table
 from .components import components
 from .hashing import chunks, mix, word_shingles
-from .minhash import Forest, Make, groups, members, shared, verified
+from .minhash import HOT_SAMPLE, Forest, Make, chance, connected, groups, hot_keys, members, prefix_length, shared, sized, verified
 
 SHINGLE, THRESHOLD, TREES, RECALL = 5, 0.8, 16, 0.999
+#: The estimated share of all links at which the search ends before the least depth.
+TARGET = 0.99999
+#: How deep the first prefixes are, and by how much they are shortened at a time, down to what the recall needs at the threshold.
+DEEPEST, STEP = 8, 2
 _NONE = -(1 << 63)
-_SIGNATURE = "id long, set1 long, set2 long, n_items long, keys array<long>"
+_SIGNATURE = "id long, hash long, set1 long, set2 long, n_items long, paths array<long>"
 
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
@@ -59,20 +69,29 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def signatures(docs: DataFrame, forest: Forest, size: int = SHINGLE) -> DataFrame:
-    """docs: id, text. The texts with shingles: id, two hashes of the shingle set, its size, and the forest's keys."""
+    """docs: id, text. The texts with shingles: id, the text's hash, two hashes of the shingle set, its size, and its paths, tree by tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            ids, hashes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "hash"))
             for rows, items, at, one, two in _sets(batch.column("text"), size):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(at)), _lists(forest.keys(items, at))], names=["id", "set1", "set2", "n_items", "keys"])
+                paths = forest.paths(items, at).reshape(len(rows), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(hashes[rows]), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.diff(at)), _lists(paths)], names=["id", "hash", "set1", "set2", "n_items", "paths"])
+
+    return map_arrow(docs.select("id", F.xxhash64("text").alias("hash"), "text"), run, _SIGNATURE)
+
 
-    return map_arrow(docs.select("id", "text"), run, _SIGNATURE)
+def classes_of_copies(found: DataFrame) -> DataFrame:
+    """The copies' classes: node (a hash of the shingle set), set2, id and hash (of the first row), copies, n_items, paths."""
+    first = F.min(F.struct("id", "hash")).alias("f")
+    return found.groupBy("set1", "set2").agg(first, F.count(F.lit(1)).alias("copies"), F.first("n_items").alias("n_items"), F.first("paths").alias("paths")).select(F.col("set1").alias("node"), "set2", "f.id", "f.hash", "copies", "n_items", "paths")
 
 
-def classes_by_id(found: DataFrame) -> DataFrame:
-    """The copies' classes: node (a hash of the shingle set), id (the least), copies, n_items."""
-    return found.groupBy("set1", "set2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n_items").alias("n_items")).withColumnRenamed("set1", "node")
+def by_tree(distinct: DataFrame, forest: Forest) -> DataFrame:
+    """p0, p1 ..., node: the paths, a row for each tree."""
+    n = len(forest.depths)
+    path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(forest.trees - 1)), lambda t: F.slice("paths", t * n + 1, n))).alias("path")
+    return distinct.select("node", path).select(*(F.col("path")[i].alias(f"p{i}") for i in range(n)), "node")
 
 
 def maker(size: int = SHINGLE) -> Make:
@@ -93,27 +112,64 @@ def joined_sets(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple
     return np.concatenate(rows), np.concatenate(items), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x) for x in at]))])
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """docs: doc_id, text. doc_id, class_id, n_links."""
-    forest = Forest(threshold, trees, recall)
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), "text")
+def depths_for(threshold: float, trees: int, recall: float) -> tuple[int, ...]:
+    """The depths of the forest: from the one that the recall needs at the threshold up to DEEPEST."""
+    least = prefix_length(threshold, trees, recall, DEEPEST)
+    return tuple(sorted({*range(DEEPEST, least, -STEP), least}))
+
+
+def similar(docs: DataFrame, distinct: DataFrame, forest: Forest, make: Make, links: bool) -> DataFrame:
+    """a, b, links: of the distinct texts (node, id, hash, copies, n_items, paths) by the forest, its prefixes shortened until TARGET."""
+    n = distinct.count()
+    paths = by_tree(distinct, forest)
+    hot = hot_keys(by_tree(distinct.sample(min(1.0, HOT_SAMPLE / max(1, n)), 5), forest))
+    nodes_of = stored(shared(paths, hot), "shared")
+    known = distinct.select("node", "id", "hash", F.col("copies").alias("weight"), "n_items")
+    found: DataFrame | None = None
+    names: DataFrame | None = None
+    size: DataFrame | None = None
+    pairs, expected = 0, [0.0] * len(forest.depths)
+    for round_, (level, depth) in enumerate(sorted(enumerate(forest.depths, 1), reverse=True)):
+        grouped = groups(nodes_of.where(F.col("level") == level).select("key", "node"), round_)
+        if names is not None:  # groups of the same nodes were compared before
+            bare = lambda c: F.col(c).bitwiseAND(F.lit((1 << 58) - 1))
+            grouped = grouped.join(names.select(bare("group").alias("_g")).distinct(), bare("group") == F.col("_g"), "left_anti")
+        grouped = stored(grouped, "grouped")
+        own = sized(grouped, known)
+        size = own if size is None else size.unionByName(own)
+        names = grouped if names is None else names.unionByName(grouped)
+        every = names if links else names.join(size.where("n_blocks = 1").select("group"), "group", "left_semi")
+        proposed = stored(members(grouped, own, every, known), "members")
+        # repeated rows that share a doc_id are sent once
+        once = docs.join(bounded(proposed.select("id", "hash").distinct()), ["id", "hash"]).dropDuplicates(["id", "hash"])
+        texts = once.join(bounded(proposed.drop("n_items")), ["id", "hash"])
+        told = stored((verified if links else connected)(texts, forest, make), "links")
+        found = told if found is None else found.unionByName(told)
+        row = told.agg(F.coalesce(F.sum("pairs"), F.lit(0)), *(F.coalesce(F.sum(F.col("expected")[i]), F.lit(0.0)) for i in range(len(expected)))).first()
+        pairs, expected = pairs + row[0], [x + y for x, y in zip(expected, row[1:], strict=True)]
+        if (pairs + 1) / (expected[level - 1] + 1 / chance(forest.threshold, depth, forest.trees)) >= TARGET:
+            break
+    return found.select("a", "b", "links")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, recall: float = RECALL, links: bool = True) -> DataFrame:
+    """docs: doc_id, text. doc_id, class_id, n_links, text_hash, first."""
+    forest = Forest(threshold, trees, depths_for(threshold, trees, recall))
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("id"), F.xxhash64("text").alias("hash"), "text")
     found = stored(signatures(docs, forest, size), "signatures")
-    distinct = stored(classes_by_id(found), "classes")
-    keyed = found.join(distinct.select("set2", "id", "node"), (found["set1"] == distinct["node"]) & (found["set2"] == distinct["set2"]) & (found["id"] == distinct["id"])).select(F.explode("keys").alias("key"), "node")
-    proposed = members(groups(stored(shared(keyed), "shared")), distinct.select("node", "id", F.col("copies").alias("weight"), "n_items"))
-    proposed = stored(proposed, "members")
-    once = docs.join(bounded(proposed.select("id").distinct()), "id").dropDuplicates(["id", "text"])
-    texts = once.join(bounded(proposed.drop("n_items")), "id")
-    links = stored(verified(texts, threshold, maker(size)), "links")
-    joined = components(links)
-    least = joined.join(distinct.select("node", "id"), "node").groupBy("component").agg(F.min("id").alias("class"))
-    more = joined.join(least, "component").select("node", "class").join(links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
-    told = distinct.join(more, "node", "left").select("node", "set2", F.coalesce("class", "id").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    of = found.select("id", "set1", "set2").join(told, (F.col("set1") == told["node"]) & (found["set2"] == told["set2"])).select("id", "class", "links")
-    bare = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", F.col("id").alias("class"), F.lit(0).cast("long").alias("links"))
+    distinct = stored(classes_of_copies(found), "classes")
+    told = stored(similar(docs, distinct, forest, maker(size), links), "links")
+    joined = components(told)
+    least = joined.join(distinct.select("node", "id", "hash"), "node").groupBy("component").agg(F.min(F.struct("id", "hash")).alias("class"))
+    more = joined.join(least, "component").select("node", "class").join(told.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links")), "node", "left")
+    counted = F.col("copies") - 1 + F.coalesce("links", F.lit(0)) if links else F.lit(None)
+    of_set = distinct.join(more, "node", "left").select(F.col("node").alias("set1"), "set2", F.coalesce("class", F.struct("id", "hash")).alias("class"), counted.cast("long").alias("links"))
+    of = found.select("id", "hash", "set1", "set2").join(of_set, ["set1", "set2"]).select("id", "hash", "class", "links")
+    bare = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("id", "hash", F.struct("id", "hash").alias("class"), F.lit(0 if links else None).cast("long").alias("links"))
     name = lambda c: F.when(F.col(c) != _NONE, F.col(c))
-    return of.unionByName(bare).select(name("id").alias("doc_id"), name("class").alias("class_id"), F.col("links").cast("long").alias("n_links"))
+    first = (F.col("id") == F.col("class.id")) & (F.col("hash") == F.col("class.hash"))
+    return of.unionByName(bare).select(name("id").alias("doc_id"), name("class.id").alias("class_id"), F.col("links").alias("n_links"), F.col("hash").alias("text_hash"), first.alias("first"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links")

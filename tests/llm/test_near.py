@@ -52,23 +52,36 @@ def test_join_against_brute_force(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got.collect()} == dict(enumerate(truth([shingles(x) for x in t])))
 
 
-def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
-    r = random.Random(5)
-    base = [r.choice(WORDS) for _ in range(120)]
-    t = []
-    for _ in range(90):
+def near_copies(n, seed=5, length=120, edits=1):
+    r = random.Random(seed)
+    base = [r.choice(WORDS) for _ in range(length)]
+    out = []
+    for _ in range(n):
         own = list(base)
-        own[r.randrange(120)] = r.choice(WORDS)
-        t.append(" ".join(own))
-    got = near.jaccard_classes(spark.createDataFrame([*enumerate(t)], "doc_id long, text string"))
-    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in got.collect()} == dict(enumerate(truth([shingles(x) for x in t])))
+        for _ in range(edits):
+            own[r.randrange(length)] = r.choice(WORDS)
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize(("edits", "hot", "links"), [(1, True, True), (2, False, False), (2, True, False)])
+def test_large_group_of_near_copies_in_blocks(spark, monkeypatch, edits, hot, links):
+    """With two edits about half of the pairs are links, so classes need more than the hubs."""
+    monkeypatch.setattr(minhash, "BLOCK_TEXTS", 16)
+    if hot:
+        monkeypatch.setattr(minhash, "HOT_TEXTS", 3)
+    t = [*near_copies(90, edits=edits), *near_copies(5, seed=6), *texts()]
+    got = near.jaccard_classes(spark.createDataFrame([*enumerate(t)], "doc_id long, text string"), links=links).collect()
+    said = dict(enumerate(truth([shingles(x) for x in t])))
+    assert {x["doc_id"]: x["class_id"] for x in got} == {i: c for i, (c, _) in said.items()}
+    assert {x["doc_id"]: x["n_links"] for x in got} == ({i: n for i, (_, n) in said.items()} if links else dict.fromkeys(said))
+    assert {x["doc_id"] for x in got if x["first"]} >= {c for c, _ in said.values()}
 
 
 def test_null_and_repeated_ids_and_empty_tables(spark):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, None)]
     got = near.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, None, 2), (7, None, 2), (7, None, 2), (8, 8, 0)], key=str)
+    assert sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()), key=str) == sorted([(None, None, 2), (7, None, 2), (7, None, 2), (8, 8, 0)], key=str)
     assert near.jaccard_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -85,7 +98,7 @@ def test_components(spark):
 
 def line_truth(rows):
     lines_ = [(i, k, x) for i, t in rows if t is not None for k, x in enumerate(t.split("\n")) if x.strip()]
-    kept = {(lines_[n][0], lines_[n][1]) for n in {c for c, _ in truth([{x[i : i + 8] for i in range(max(1, len(x) - 7))} for _, _, x in lines_])}}
+    kept = {(lines_[n][0], lines_[n][1]) for n in {c for c, _ in truth([{x[i : i + 6] for i in range(max(1, len(x) - 5))} for _, _, x in lines_])}}
     out = {}
     for i, t in rows:
         if t is None:
@@ -107,23 +120,61 @@ def test_lines_against_brute_force(spark):
         own[0] = r.choice(WORDS)
         pool.append(" ".join(own))
     rows = [(i, "\n".join(r.choice(pool) for _ in range(r.choice((1, 4))))) for i in range(40)] + [(40, None), (41, ""), (42, " \n\t"), (43, "é" * 50_000), (44, pool[0] + "\n\n" + pool[0] + "\nonly here, said once")]
-    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, lang string, n_chars long")
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in rows], "doc_id long, text string, again string, n_chars long")
     got = lines.dedup_lines(df)
-    assert {*got.columns} == {"doc_id", "text", "lang", "n_chars", "n_lines", "n_removed"}
+    assert {*got.columns} == {"doc_id", "text", "again", "n_chars", "n_lines", "n_removed"}
     told = got.collect()
     assert {x["doc_id"]: x["text"] for x in told} == line_truth(rows)
     assert all(x["n_chars"] == (None if x["text"] is None else len(x["text"])) for x in told)
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
-def test_shared_keys_across_batches(spark):
-    rows = [(k, n) for k in range(50) for n in range(k % 4)] + [(3, 0)]
+@pytest.mark.parametrize("hot", [[], [3], [3, 103]])
+def test_shared_paths_across_batches(spark, hot):
+    """A trie of two levels: 12 nodes at the top, their children named by 100 and more."""
+    r = random.Random(4)
+    rows = [(k, 100 + k + 50 * r.randrange(2), n) for k in range(12) for n in range(k % 4 if k != 3 else 40)] + [(3, 103, 0), (3, 103, 0)]
+    keys = spark.createDataFrame([(k,) for k in hot], "key long")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
     try:
-        got = minhash.shared(spark.createDataFrame(rows, "key long, node long")).collect()
+        got = minhash.shared(spark.createDataFrame(rows, "p0 long, p1 long, node long"), keys).collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
-    assert sorted(map(tuple, got)) == sorted((k, n) for k in range(50) for n in range(k % 4) if k % 4 > 1)
+    said = set()
+    for level in (1, 2):
+        by = {}
+        for x in rows:
+            by.setdefault(x[:level], set()).add(x[-1])
+        said |= {(level, k[-1], n) for k, v in by.items() if len(v) > 1 for n in v}
+    assert {tuple(x) for x in got} == said
+
+
+def test_recall_of_the_candidates_at_the_threshold(spark):
+    """Pairs of 0.8 to 0.84: at least 0.95 of them are found, by both operators' parameters."""
+    r, sets = random.Random(11), []
+    while len(sets) < 400:
+        n = r.choice((18, 45, 90, 270))
+        both = -(-8 * n // 10)
+        a, rest = {r.randrange(1 << 63) for _ in range(both)}, [r.randrange(1 << 63) for _ in range(n - both)]
+        cut_ = r.randrange(len(rest) + 1)
+        sets.append((sorted(a | {*rest[:cut_]}), sorted(a | {*rest[cut_:]})))
+    import numpy as np
+
+    for forest in (minhash.Forest(0.8, lines.BANDS, (minhash.prefix_length(0.8, lines.BANDS, lines.RECALL),)), minhash.Forest(0.8, near.TREES, near.depths_for(0.8, near.TREES, near.RECALL))):
+        paths = [forest.paths(np.array(sum(side, []), np.uint64), np.concatenate([[0], np.cumsum([len(x) for x in side])])) for side in map(list, zip(*sets, strict=True))]
+        assert (paths[0][:, :, 0] == paths[1][:, :, 0]).any(1).mean() >= 0.98
+
+
+def test_prefixes_shorten_by_what_is_found(spark, monkeypatch):
+    """Pairs that deep prefixes hardly miss end the search early; pairs at the threshold don't."""
+    rounds = []
+    monkeypatch.setattr(near, "groups", lambda rows, k: rounds.append(k) or minhash.groups(rows, k))
+    run = lambda t: near.jaccard_classes(spark.createDataFrame([*enumerate(t)], "doc_id long, text string")).count()
+    run(near_copies(80, length=3000))
+    assert rounds == [0]
+    rounds.clear()
+    run(near_copies(40, length=100, edits=1))
+    assert rounds == [0, 1, 2]
 
 
 @pytest.mark.parametrize("size", [1, 5])
@@ -155,9 +206,9 @@ def test_repeated_line_is_compared_once(spark, monkeypatch):
 
     def counted(texts, *more):
         sent.append(texts.groupBy("group", "node").count().agg({"count": "max"}).first()[0])
-        return minhash.verified(texts, *more)
+        return minhash.connected(texts, *more)
 
-    monkeypatch.setattr(lines, "verified", counted)
+    monkeypatch.setattr(lines, "connected", counted)
     got = lines.dedup_lines(spark.createDataFrame([(1, "\n".join([one] * 500)), (1, one + "\nmore"), (2, other + "\nsaid once only")], "doc_id long, text string"))
     assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(1, one), (1, one + "\nmore"), (2, "said once only")]
     assert sent == [1]
@@ -168,4 +219,4 @@ def test_links_of_repeated_rows_that_share_an_id(spark):
     one, other = " ".join(base), " ".join([*base[:-1], "other"])
     rows = [(7, one), (7, one), (7, one.replace(" ", "  ")), (8, other)]
     got = near.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(map(tuple, got.collect())) == [(7, 7, 3)] * 3 + [(8, 7, 3)]
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == [(7, 7, 3)] * 3 + [(8, 7, 3)]
