@@ -2,12 +2,12 @@
 
 toxicity         drops the documents that the classifier chain rejects
 line dedup       drops lines that are near copies of earlier ones, and documents of which nothing is left
-jaccard join     keeps one document, that of the least doc_id, of each group of near copies
+jaccard join     keeps one document, that of the least doc_id (and of its several texts one), of each group of near copies
 decontamination  drops the documents that benchmark windows contaminate
 bpe              encodes the texts; returns token ids and a digest of the decoded text
 
 Nulls: a null text is never toxic, near another or contaminated, and has no tokens. Empty tables give empty tables of the same columns.
-Wholly repeated rows are one document from the jaccard join on.
+Rows of equal doc_id and text are one document from the jaccard join on; rows of equal doc_id and other texts are judged each by itself.
 """
 
 from __future__ import annotations
@@ -29,16 +29,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = near.jaccard_classes(docs.select("doc_id", "text"))
-    gone = stored(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct(), "gone")
-    left = docs.join(bounded(gone), "doc_id", "left_anti")
-    again = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    n = again.count()
-    if not n:
+    classes = near.jaccard_classes(docs.select("doc_id", "text"), links=False)
+    gone = stored(classes.where("NOT first").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(F.col("_gone_id")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_gone_hash"))
+    left = docs.join(bounded(gone), same, "left_anti")
+    # rows of equal id and text are one document
+    again = stored(docs.groupBy(F.col("doc_id").alias("_again_id"), F.xxhash64("text").alias("_again_hash")).count().where("count > 1").drop("count"), "again")
+    if again.isEmpty():
         return left.select(*docs.columns)
-    twice = F.broadcast(again) if n <= 1_000_000 else again
-    same = left["doc_id"].eqNullSafe(twice["doc_id"])
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    twice = left["doc_id"].eqNullSafe(F.col("_again_id")) & F.xxhash64(left["text"]).eqNullSafe(F.col("_again_hash"))
+    rest = bounded(again)
+    return left.join(rest, twice, "left_anti").unionByName(left.join(rest, twice, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: SQL can't express the classifier, MinHash candidates or BPE; tests hold each stage against a brute-force version.
+#: SQL can't express the classifier, MinHash candidates or BPE; tests/llm/test_pipeline.py holds it against a brute-force version.
 ORACLE_SQL = None
 
 
