@@ -1,110 +1,145 @@
 """License scans: sparse TF-IDF cosine to license templates, then inheritance from the nearest directory above.
 
-Every line of every text is a header that may name a license. A line's words (runs of letters and digits in lower case; a dot
-between digits stays) are weighted by their frequency in the line and by ln((1 + texts) / (1 + texts with the word)) + 1, counted
-over all texts for every word of the lines that are weighed. A line's license is the template
-with the greatest cosine, at LEAST or more (of equals the first by name); a text's that of its best line (of equals the first line).
-
-Lines are weighed only if they hold a telling word: those that are left of a template when its lightest words go, as long as these
-together weigh less than LEAST of it. Without one of them no line can reach that cosine, so nothing is lost.
-
-A text whose own license line holds at least half of its words, or whose name says so (LICENSE, LICENCE, COPYING), is a license
+A text is weighed in units: each of its lines; each paragraph of several lines (between blank lines), so that wrapped notices and
+header blocks count as one; and, if it has no more than FILE_WORDS words, the whole of it, as a license file. Templates are short
+notices, the headers that licenses ask for, whole texts of the short licenses, and SPDX lines. A unit's words (runs of letters and
+digits in lower case) are weighted by their frequency in the unit and by ln((1 + texts) / (1 + texts with the word)) + 1, counted
+over all words of all texts. A unit's license is the template with the greatest cosine, at LEAST or more (SPDX lines, which differ
+in the name alone, at LEAST_SPDX); a text's is that of its best unit (of equals the whole text, then paragraphs, then lines; then
+the first unit; then the first license by name).
+
+Units are weighed only if they hold a telling word: those that are left of a template when its lightest words go, as long as these
+together weigh less than LEAST of it. Without one of them no unit can reach that cosine, so nothing is lost. Equal texts are weighed
+once.
+
+A text whose license unit holds at least half of its words, or whose name says so (LICENSE, LICENCE, COPYING), is a license
 file: it holds for its directory. A file without a license of its own inherits that of the nearest directory above that has one (the
 lowest path of several). Directories are resolved first, once each; the files then join their directory.
 
-Null texts have no lines. A null path is a file without directory: it inherits nothing. Repeated rows are judged each. Other
-columns pass through `scan`; columns of the results' names are replaced.
+Null texts have no units. A null path is a file without directory: it inherits nothing. Repeated rows are judged each. Other
+columns pass through `scan`, nulls included; columns of the results' names are replaced, names that begin with _lic_ are its own.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded, nonnull, stored, table
 
-LEAST = 0.5
-# What notices of each license say.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
+LEAST, LEAST_SPDX, FILE_WORDS = 0.5, 0.9, 600
+# What licenses and notices of them say.
+_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+_AS_IS = "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_TWO = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THREE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+_ISC_END = "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_END = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} Public License for more details. You should have received a copy of the GNU {0} Public License along with this program. If not, see https://www.gnu.org/licenses/."
+_GNU_KINDS = (("GPL-2.0", "General", "2"), ("GPL-3.0", "General", "3"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3"))
+_APACHE = "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+_APACHE_END = "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+_UNLICENSE = "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+_ZLIB = "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+_CC_KINDS = (("CC-BY-4.0", "Attribution"), ("CC-BY-NC-4.0", "Attribution NonCommercial"), ("CC-BY-SA-4.0", "Attribution ShareAlike"), ("CC-BY-ND-4.0", "Attribution NoDerivatives"))
+_TEXTS = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0"), ("Apache-2.0", _APACHE), ("Apache-2.0", _APACHE + " " + _APACHE_END), ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", _BSD_TWO), ("BSD-2-Clause", "BSD 2-Clause License " + _BSD_TWO + " " + _BSD_END),
+    ("BSD-3-Clause", _BSD_TWO + " " + _BSD_THREE), ("BSD-3-Clause", "BSD 3-Clause License " + _BSD_TWO + " " + _BSD_THREE + " " + _BSD_END), ("BSD-3-Clause", _BSD_THREE),
     ("CC0-1.0", "To the extent possible under law the author has waived all copyright and dedicated this work to the public domain CC0 1.0 Universal"),
-    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("MIT", "Released under the MIT License"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("Proprietary", "All rights reserved"),
-    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("ISC", _ISC), ("ISC", "ISC License " + _ISC + " " + _ISC_END),
+    ("MIT", "Released under the MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", _GRANT), ("MIT", "MIT License " + _GRANT + " " + _AS_IS),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Proprietary", "All rights reserved"), ("Unlicense", "This is free and unencumbered software released into the public domain"), ("Unlicense", _UNLICENSE), ("Zlib", _ZLIB),
+)
+_NOTICES = "This work is licensed under the GNU {0} Public License, version {1}"
+_SPDX = "0BSD AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC-BY-ND-4.0 CC0-1.0 EPL-2.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense Zlib".split()
+
+#: (license, text, least cosine)
+TEMPLATES = tuple(
+    (name, text, least)
+    for found, least in (
+        (_TEXTS, LEAST),
+        ([(n, t.format(kind, v)) for n, kind, v in _GNU_KINDS for t in (_GNU, _GNU + " " + _GNU_END, _NOTICES)], LEAST),
+        ([(n, t) for n, kind in _CC_KINDS for t in (f"This work is licensed under a Creative Commons {kind} 4.0 International License", f"Licensed under {n.replace('CC-', 'CC ').replace('-4.0', ' 4.0')}")], LEAST),
+        ([(n.removesuffix(end), f"SPDX-License-Identifier: {n}{end}") for n in _SPDX for end in (("", "-only", "-or-later") if "GPL" in n else ("",))], LEAST_SPDX),
+    )
+    for name, text in found
 )
-_WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
+_BREAK = "[^a-z0-9]+"
 _FILE = r"(?i)(^|/)(licen[cs]e|copying)[^/]*$"
-
-
+_BLANK = r"\n[ \t\r]*\n"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(nonnull(text)), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(nonnull(text)), _BREAK, -1), "")
 
 
-def idf(docs: DataFrame, terms: list[str]) -> tuple[dict[str, float], int]:
-    """The weights of the templates' words over all texts, and the number of texts. terms: as many as the templates have."""
-    seen = docs.select(F.explode(F.array_intersect(words(F.col("text")), F.array(*map(F.lit, terms)))).alias("term"))
-    n, counted = docs.count(), {r["term"]: r["count"] for r in seen.groupBy("term").count().collect()}
-    return {t: math.log((1 + n) / (1 + counted.get(t, 0))) + 1 for t in terms}, n
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """term, df: of every word, over all texts."""
+    return docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def other_weights(docs: DataFrame, asked: DataFrame, n: int) -> DataFrame:
-    """term, idf: of the asked terms, counted over all texts."""
-    seen = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(bounded(asked), "term", "left_semi")
-    return seen.groupBy("term").count().select("term", (F.log((F.lit(1.0) + n) / (1 + F.col("count"))) + 1).alias("idf"))
+def _idf(df: Column, n: int) -> Column:
+    return F.log((F.lit(1.0) + n) / (1 + df)) + 1
 
 
-def template_weights(docs: DataFrame, given: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[DataFrame, DataFrame, int, list[str]]:
-    """(license, form, term, w: its share of the unit vector), (term, idf), the number of texts, and the telling words."""
-    spark = docs.sparkSession
-    forms = [(name, f"{name} {i}", text) for i, (name, text) in enumerate(given)]
-    rows = spark.createDataFrame(forms, "license string, form string, text string").select("license", "form", F.explode(words(F.col("text"))).alias("term")).groupBy("license", "form", "term").count().collect()
-    weight, n = idf(docs, sorted({r["term"] for r in rows}))
+def template_weights(frequencies: DataFrame, n: int, given: tuple[tuple[str, str, float], ...] = TEMPLATES) -> tuple[DataFrame, list[str]]:
+    """(license, form, least, term, w: the term's share of the unit vector), and the telling words. As many as the templates have."""
+    spark = frequencies.sparkSession
+    counts = [Counter(re.findall(r"[a-z0-9]+", text.lower())) for _, text, _ in given]
+    asked = spark.createDataFrame([(t,) for t in sorted(set().union(*counts))], "term string")
+    seen = {r["term"]: r["df"] for r in frequencies.join(F.broadcast(asked), "term").collect()}
     unit, telling = [], set()
-    for name, form, _ in forms:
-        w = {r["term"]: r["count"] * weight[r["term"]] for r in rows if r["form"] == form}
+    for form, ((name, _, least), tf) in enumerate(zip(given, counts, strict=True)):
+        w = {t: c * (math.log((1 + n) / (1 + seen.get(t, 0))) + 1) for t, c in tf.items()}
         norm, light = sum(v * v for v in w.values()), 0.0
-        unit += [(name, form, t, v / math.sqrt(norm)) for t, v in w.items()]
+        unit += [(name, form, least, t, v / math.sqrt(norm)) for t, v in w.items()]
         for v, t in sorted((v, t) for t, v in w.items()):
             light += v * v
-            if light >= 0.999 * LEAST * LEAST * norm:
+            if light >= 0.999 * least * least * norm:
                 telling.add(t)
-    return spark.createDataFrame(unit, "license string, form string, term string, w double"), spark.createDataFrame([*weight.items()], "term string, idf double"), n, sorted(telling)
-
-
-def own_licenses(docs: DataFrame, key: str, given: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """key, hash (of the text), own_license, score, mostly: of the texts with a license line."""
-    unit, weight, n, telling = template_weights(docs, given)
-    mark = r"(?<![a-z0-9])(?:" + "|".join(t.replace(".", r"\.") for t in telling) + r")(?![a-z0-9])"
-    some = docs.select(key, "text").where(F.lower("text").rlike(mark)).withColumn("hash", F.xxhash64("text")).withColumn("n_all", F.size(words(F.col("text"))))
-    lines = some.select(key, "hash", "n_all", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.lower("line").rlike(mark)).withColumn("words", words(F.col("line")))
-    terms = lines.select(key, "hash", "n_all", "at", F.size("words").alias("n"), F.explode("words").alias("term")).groupBy(key, "hash", "n_all", "at", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    terms = stored(terms, "terms")
-    asked = stored(terms.select("term").distinct().join(F.broadcast(weight), "term", "left_anti"), "asked")
-    weight = weight.unionByName(stored(other_weights(docs, asked, n), "weights"))
-    v = terms.join(bounded(weight), "term").withColumn("v", F.col("tf") * F.col("idf"))
-    line = [key, "hash", "n_all", "at", "n"]
-    norms = v.groupBy(*line).agg(F.sum(F.col("v") * F.col("v")).alias("norm"), F.collect_list(F.struct("term", "v")).alias("vs"))  # as long as the line
-    dots = norms.select(*line, "norm", F.explode("vs").alias("x")).join(F.broadcast(unit), F.col("x.term") == F.col("term")).groupBy(*line, "norm", "license", "form").agg((F.sum(F.col("x.v") * F.col("w")) / F.sqrt("norm")).alias("cosine"))
-    least = dots.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= LEAST)
-    best = least.groupBy(key, "hash", "n_all").agg(F.min(F.struct((-F.col("cosine")).alias("score"), "at", "license", "n")).alias("b"))
-    return best.select(key, "hash", F.col("b.license").alias("own_license"), (-F.col("b.score")).alias("score"), (F.col("b.n") * 2 >= F.col("n_all")).alias("mostly"))
+    return spark.createDataFrame(unit, "license string, form int, least double, term string, w double"), sorted(telling)
+
+
+def units(texts: DataFrame, telling: list[str]) -> DataFrame:
+    """texts: a, b, text. a, b, n_all, kind (0 the whole, 1 a paragraph, 2 a line), at, words: the units with a telling word."""
+    some = F.array(*map(F.lit, telling))
+    made = lambda kind: lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("at"), words(x).alias("words"))
+    several = lambda x: x.contains("\n")
+    paragraphs = F.transform(F.filter(F.split("text", _BLANK, -1), several), made(1))
+    n_all = F.size(words(F.col("text")))
+    whole = F.when(several(F.col("text")) & (n_all <= FILE_WORDS), F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("at"), words(F.col("text")).alias("words"))))
+    every = F.concat(F.coalesce(whole, F.array().cast("array<struct<kind:int,at:int,words:array<string>>>")), paragraphs, F.transform(F.split("text", "\n", -1), made(2)))
+    found = texts.select("a", "b", n_all.alias("n_all"), F.explode(F.filter(every, lambda u: F.arrays_overlap(u["words"], some))).alias("u"))
+    return found.select("a", "b", "n_all", "u.kind", "u.at", "u.words")
+
+
+def own_licenses(docs: DataFrame, given: tuple[tuple[str, str, float], ...] = TEMPLATES) -> DataFrame:
+    """docs: text. a, b (two hashes of the text), own_license, score, mostly: of the texts with a license unit."""
+    frequencies, n = stored(document_frequencies(docs), "frequencies"), docs.count()
+    unit, telling = template_weights(frequencies, n, given)
+    marked = docs.select("text").where(F.arrays_overlap(words(F.col("text")), F.array(*map(F.lit, telling)))).select(*_hashes(), "text").dropDuplicates(["a", "b"])
+    key = ["a", "b", "n_all", "kind", "at", "n"]
+    terms = units(marked, telling).select("a", "b", "n_all", "kind", "at", F.size("words").alias("n"), F.explode("words").alias("term"))
+    terms = stored(terms.groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf")), "terms")
+    asked = stored(frequencies.join(bounded(terms.select("term").distinct()), "term", "left_semi"), "asked")
+    v = stored(terms.join(bounded(asked), "term").select(*key, "term", (F.col("tf") * _idf(F.col("df"), n)).alias("v")), "weighted")
+    norms = v.groupBy(*key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dots = v.join(F.broadcast(unit), "term").groupBy(*key, "license", "form", "least").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
+    least = dots.join(norms, key).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= F.col("least"))
+    best = least.groupBy("a", "b", "n_all").agg(F.min(F.struct((-F.col("cosine")).alias("score"), "kind", "at", "license", "n")).alias("x"))
+    return best.select("a", "b", F.col("x.license").alias("own_license"), (-F.col("x.score")).alias("score"), (F.col("x.n") * 2 >= F.col("n_all")).alias("mostly"))
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("a"), F.xxhash64("text", F.lit(1)).alias("b")]
 
 
 def directory(path: Column) -> Column:
@@ -123,39 +158,44 @@ def inherited(files: DataFrame) -> DataFrame:
     return steps.join(holds, "above").groupBy("dir").agg(F.max_by("license", "depth").alias("license"))
 
 
-def scan(files: DataFrame, key: str = "path") -> DataFrame:
-    """files: path, text, key. files with own_license, score, license and inherited."""
+def scan(files: DataFrame) -> DataFrame:
+    """files: path, text. files with own_license, score, license and inherited."""
     names = ("own_license", "score", "license", "inherited")
     kept = [c for c in files.columns if c not in names]
-    own = stored(own_licenses(files, key), "licenses")
-    some = files.select(key, "path", F.xxhash64("text").alias("hash")).join(bounded(own), [key, "hash"])
+    own = stored(own_licenses(files.select("text")), "licenses")
+    some = files.select("path", *_hashes()).join(bounded(own), ["a", "b"])
     by_dir = inherited(files.select("path", F.lit(None).cast("string").alias("own_license"), F.lit(False).alias("mostly")).unionByName(some.select("path", "own_license", "mostly")))
-    done = files.select(*kept).withColumn("hash", F.xxhash64("text")).join(bounded(own.drop("mostly")), [key, "hash"], "left")
-    done = done.withColumn("dir", F.when(F.col("path").isNotNull(), directory(F.col("path")))).join(bounded(by_dir), "dir", "left")
-    return done.select(*kept, "own_license", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("own_license", "license").alias("license"), (F.col("own_license").isNull() & F.col("license").isNotNull()).alias("inherited"))
+    own = own.select(F.col("a").alias("_lic_a"), F.col("b").alias("_lic_b"), F.col("own_license").alias("_lic_own"), F.col("score").alias("_lic_score"))
+    by_dir = by_dir.select(F.col("dir").alias("_lic_dir"), F.col("license").alias("_lic_above"))
+    done = files.select(*kept).withColumns({"_lic_a": F.xxhash64("text"), "_lic_b": F.xxhash64("text", F.lit(1))}).join(bounded(own), ["_lic_a", "_lic_b"], "left")
+    done = done.withColumn("_lic_dir", F.when(F.col("path").isNotNull(), directory(F.col("path")))).join(bounded(by_dir), "_lic_dir", "left")
+    mine, above = F.col("_lic_own"), F.col("_lic_above")
+    return done.select(*kept, mine.alias("own_license"), F.coalesce("_lic_score", F.lit(0.0)).alias("score"), F.coalesce(mine, above).alias("license"), (mine.isNull() & above.isNotNull()).alias("inherited"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as files named source/lang/doc_id.txt."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat("source", F.lit("/"), "lang", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"))
-    return scan(docs, "doc_id").select("doc_id", "path", "own_license", "score", "license", "inherited")
+    return scan(docs).select("doc_id", "path", "own_license", "score", "license", "inherited")
 
 
-_GIVEN = ", ".join(f"('{n}', {i}, '{t}')" for i, (n, t) in enumerate(TEMPLATES))
+_GIVEN = ", ".join(f"('{n}', {i}, {least}, '{t}')" for i, (n, t, least) in enumerate(TEMPLATES))
+_UNITS = f"""SELECT r, 2 AS kind, k, string_split(text, chr(10))[k] AS s FROM (SELECT r, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM d)
+  UNION ALL SELECT r, 1, k, p[k] FROM (SELECT r, p, unnest(range(1, len(p) + 1)) AS k FROM (SELECT r, list_filter(string_split_regex(text, '{_BLANK}'), lambda x: contains(x, chr(10))) AS p FROM d))
+  UNION ALL SELECT r, 0, 1, text FROM d WHERE contains(text, chr(10)) AND n_all <= {FILE_WORDS}"""
 SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source || '/' || lang || '/' || doc_id || '.txt' AS path, source || '/' || lang AS dir FROM documents),
-t AS (SELECT license, form, term, count(*) AS tf FROM (SELECT license, form, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM (VALUES {_GIVEN}) AS v(license, form, text)) GROUP BY ALL),
+WITH d AS (SELECT *, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_all FROM (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, source || '/' || lang || '/' || doc_id || '.txt' AS path, source || '/' || lang AS dir FROM documents)),
+t AS (SELECT license, form, least, term, count(*) AS tf FROM (SELECT license, form, least, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM (VALUES {_GIVEN}) AS v(license, form, least, text)) GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM d),
-f AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '{_WORD}')) AS term FROM d) GROUP BY term),
-i AS (SELECT DISTINCT t.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM t CROSS JOIN n LEFT JOIN f USING (term)),
-u AS (SELECT license, form, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY form)) AS w FROM t JOIN i USING (term)),
-l AS (SELECT r, k, regexp_extract_all(lower(s), '{_WORD}') AS ws FROM (SELECT r, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d)),
-v AS (SELECT r, k, len(ws) AS n_line, term, count(*) AS tf FROM (SELECT r, k, ws, unnest(ws) AS term FROM l) GROUP BY ALL),
-x AS (SELECT r, k, n_line, term, tf * coalesce(idf, ln(1 + n) + 1) AS v FROM v CROSS JOIN n LEFT JOIN i USING (term)),
-q AS (SELECT r, k, sqrt(sum(v * v)) AS norm FROM x GROUP BY r, k),
-c AS (SELECT r, k, n_line, license, round(sum(v * w) / any_value(norm), 6) AS cosine FROM x JOIN u USING (term) JOIN q USING (r, k) GROUP BY r, k, n_line, license, form),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, k, license) AS o FROM c WHERE cosine >= {LEAST}) WHERE o = 1),
-o AS (SELECT d.*, license AS own_license, coalesce(cosine, 0) AS score, coalesce(n_line * 2 >= len(regexp_extract_all(lower(text), '{_WORD}')), false) AS mostly FROM d LEFT JOIN b USING (r)),
+f AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT r, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM d) GROUP BY term),
+u AS (SELECT license, form, least, term, v / sqrt(sum(v * v) OVER (PARTITION BY form)) AS w FROM (SELECT t.*, tf * (ln((1 + n) / (1 + coalesce(df, 0))) + 1) AS v FROM t CROSS JOIN n LEFT JOIN f USING (term))),
+l AS (SELECT r, kind, k, regexp_extract_all(lower(s), '[a-z0-9]+') AS ws FROM ({_UNITS})),
+v AS (SELECT r, kind, k, n_unit, term, count(*) AS tf FROM (SELECT r, kind, k, len(ws) AS n_unit, unnest(ws) AS term FROM l WHERE list_has_any(ws, (SELECT list(DISTINCT term) FROM t))) GROUP BY ALL),
+x AS (SELECT r, kind, k, n_unit, term, tf * (ln((1 + n) / (1 + df)) + 1) AS v FROM v CROSS JOIN n JOIN f USING (term)),
+q AS (SELECT r, kind, k, sqrt(sum(v * v)) AS norm FROM x GROUP BY ALL),
+c AS (SELECT r, kind, k, n_unit, license, least, round(sum(v * w) / any_value(norm), 6) AS cosine FROM x JOIN u USING (term) JOIN q USING (r, kind, k) GROUP BY r, kind, k, n_unit, license, form, least),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY cosine DESC, kind, k, license) AS o FROM c WHERE cosine >= least) WHERE o = 1),
+o AS (SELECT d.*, license AS own_license, coalesce(cosine, 0) AS score, coalesce(n_unit * 2 >= n_all, false) AS mostly FROM d LEFT JOIN b USING (r)),
 h AS (SELECT dir, arg_min(own_license, path) AS license FROM o WHERE own_license IS NOT NULL AND mostly GROUP BY dir)
 SELECT doc_id, path, own_license, score::DOUBLE AS score, coalesce(own_license, h.license) AS license, own_license IS NULL AND h.license IS NOT NULL AS inherited
 FROM o LEFT JOIN h USING (dir)

@@ -127,10 +127,24 @@ def test_bpe_columns(spark):
 def test_licenses_and_inheritance(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [("a/LICENSE", mit), ("a/b/c/x.py", "code\n" + "w " * 40), ("a/b/y.py", apache + "\n" + "w " * 60), ("z/q.py", "nothing here"), ("top.txt", None), (None, "license talk"), ("a/b/c/x.py", "code\n" + "w " * 40), ("a/b/c/d/NOTICE", apache), ("a/b/c/d/e/f.py", "")]
-    done = license.scan(spark.createDataFrame([(i, p, t, "?") for i, (p, t) in enumerate(rows)], "id int, path string, text string, license string"), "id")
+    done = license.scan(spark.createDataFrame([(i, p, t, "?") for i, (p, t) in enumerate(rows)], "id int, path string, text string, license string"))
     got = {r["id"]: (r["own_license"], r["license"], r["inherited"]) for r in done.collect()}
     assert got == {0: ("MIT", "MIT", False), 1: (None, "MIT", True), 2: ("Apache-2.0", "Apache-2.0", False), 3: (None, None, False), 4: (None, None, False), 5: (None, None, False), 6: (None, "MIT", True), 7: ("Apache-2.0", "Apache-2.0", False), 8: (None, "Apache-2.0", True)}
-    assert license.scan(spark.createDataFrame([], "id int, path string, text string"), "id").count() == 0
+    assert license.scan(spark.createDataFrame([], "id int, path string, text string")).count() == 0
+
+
+def test_whole_texts_headers_and_spdx_lines(spark):
+    texts = {n: t for n, t, _ in license.TEMPLATES if n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC") and not t.startswith("SPDX")}  # the longest of each
+    texts = {n: max((t for m, t, _ in license.TEMPLATES if m == n), key=len) for n in texts}
+    wrap = lambda t, k=9: "\n".join(" * " + " ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    gnu = [t for n, t, _ in license.TEMPLATES if n == "GPL-3.0"][1]
+    filler = "\n\n" + "\n".join(f"line {i} of the code does thing {i * 7}" for i in range(300))
+    rows = [(f"{n}/f", "Copyright (c) 2020 Someone\n\n" + wrap(t)) for n, t in texts.items()]
+    rows += [("GPL-3.0/a", wrap(gnu) + filler), ("MIT/b", texts["MIT"].removeprefix("MIT License ")), ("MIT/c", "# SPDX-License-Identifier: MIT" + filler), ("GPL-2.0/d", "// SPDX-License-Identifier: GPL-2.0-only\nint x;"), ("None/e", "# SPDX-License-Identifier: Foo-9.9" + filler), ("None/g", "we kommen mit dem license plate" + filler)]
+    df = spark.createDataFrame([(None if i == 0 else i, p, t, "h", "d") for i, (p, t) in enumerate(rows)], "id int, path string, text string, hash string, dir string")
+    got = license.scan(df).collect()
+    assert {r["path"]: r["own_license"] or "None" for r in got} == {p: p.split("/")[0] for p, _ in rows}
+    assert {r["hash"] for r in got} == {"h"} and {r["dir"] for r in got} == {"d"} and all(r["score"] > 0.8 for r in got if r["own_license"])
 
 
 # --- fingerprints -------------------------------------------------------------------------------------------------------------
@@ -241,5 +255,5 @@ def test_text_digest_of_ids():
 def test_common_words_beside_a_notice_weigh_little(spark):
     talk = "see project root details here about code more info our thanks"
     rows = [(i, f"x/{i}", talk) for i in range(200)] + [(200, "y/a", f"Released under the MIT License {talk}")]
-    done = license.scan(spark.createDataFrame(rows, "id int, path string, text string"), "id").where("own_license IS NOT NULL").collect()
+    done = license.scan(spark.createDataFrame(rows, "id int, path string, text string")).where("own_license IS NOT NULL").collect()
     assert [(r["id"], r["own_license"]) for r in done] == [(200, "MIT")] and done[0]["score"] > 0.9
