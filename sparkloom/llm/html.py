@@ -1,33 +1,39 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut at block elements into blocks. Elements by name (nav, footer, aside, form ...), hidden ones, and a page's header
-hold no text of the article and are left out; of a header inside an article the headings stay. Where a page has an article (article,
-main) with text, what lies outside is left out too.
+The page is cut at block elements into blocks. Elements by name (nav, footer, aside ...), hidden ones, and a page's header hold no
+text of the article and are left out; of a header inside an article the headings stay.
 
-The words of a block element's class, id or role (menu, sidebar, cookie, comments, ad ...) are a hint that it is none of the article.
-Names that deny the word or tell of what the element has (no-sidebar, with-comments, ad-free) give none. A hint is plain, if a name is
-made of such words only (sidebar, cookie-notice), or else part of a compound (layout-sidebar). A plain one is believed, unless the
-page has no good block outside such elements; a compound, unless its element holds more than half of the text of the good blocks
-that plain ones leave. main takes no hint, article none of compounds, neither their own nor those around them. Blocks in elements
-whose hints are believed, and inline elements with a hint, are left out. Then each block is classed by itself:
+A form, and the words of a block element's class, id or role (menu, sidebar, cookie, comments, ad ...), are hints that it is none of
+the article. Names that deny the word or tell of what the element has (no-sidebar, with-comments, ad-free) give none. A hint is plain,
+if it is a form's or a name made of such words only (sidebar, cookie-notice), or else part of a compound (layout-sidebar). Hints are
+believed by what the blocks say (below): the good blocks (in an article open ones too) with the fewest plain hints around them are
+free, and the plain hints around those are not believed, but all others are; a compound is, unless its element holds more than half of the text of the free good blocks. main takes no hint, article none of compounds, neither
+their own nor those around them. Blocks in elements whose hints are believed, and inline elements with a hint, are left out.
+
+First pass: each block is classed by itself:
 
 * bad: more than MOST_LINKED of its characters stand in links;
-* good: in an article and not short, or long enough with the stop-word density of prose;
+* good: long enough with the stop-word density of prose (in an article SHORT characters and LEAST_STOP will do);
 * bad: long enough, with too few stop words and outside an article (open, if the page has no good block at all);
 * short or in between: open.
 
-In the second pass an open block takes the label of the nearest decided block (in an article lists of links decide nothing); of two
+Where the good blocks in articles (article, main) have at least a third of the good blocks' text, what lies outside articles is left
+out; else articles (of teasers, say) count as any element.
+
+Second pass: an open block takes the label of the nearest decided block (in an article lists of links decide nothing); of two
 as near, good wins; without any it is good.
 
-Character references are decoded, white space inside a block becomes one blank, the ends are trimmed, empty blocks vanish, and the
-good blocks are joined in page order by \\n. br counts as white space. Null or empty html gives the empty text. Markup that
-isn't closed lasts to the end of what holds it. Every row is treated by itself, repeated ones too; other columns pass through.
+Character references are decoded within each run of text, white space inside a block becomes one blank, the ends are trimmed, empty
+blocks vanish, and the good blocks are joined in page order by \\n. br counts as white space. Null or empty html gives the empty
+text. Markup that isn't closed lasts to the end of what holds it. The time is in proportion to the page's length, whatever its markup.
+Every row is treated by itself, repeated ones too; other columns pass through.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,7 +57,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 #: Their content is no text of the page.
 RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas select xmp noembed noframes".split())
-NOT_ARTICLE = frozenset("nav footer aside form menu dialog search head button".split())
+OUT = frozenset("nav footer aside menu dialog search head button".split())
 NOT_ARTICLE_WORDS = frozenset(
     "ad ads adsbygoogle adv alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion rail recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -68,13 +74,27 @@ _NAME = re.compile(r"([a-z])([A-Z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+@dataclass(eq=False)
+class Hint:
+    """A hinted element and the hinted ones around it."""
+
+    number: int  # of the element
+    plain: bool
+    up: Hint | None
+    bare: Hint | None = None  # the same without compounds
+    depth: int = 0  # plain ones
+
+    def __post_init__(self):
+        self.depth = self.plain + (self.up.depth if self.up else 0)
+
+
 @dataclass
 class Block:
     text: str
     linked: int
     article: int  # 0: outside
     heading: bool
-    hints: tuple[tuple[int, bool], ...] = ()  # of the elements around it: their numbers, and whether the hint is plain
+    hint: Hint | None = None
 
 
 @dataclass
@@ -85,7 +105,38 @@ class _Open:
     header: bool
     heading: bool
     link: bool
-    hints: tuple[tuple[int, bool], ...] = ()
+    hint: Hint | None = None
+
+
+class _Stack:
+    """The open elements; ends are found in constant time for each element that they close."""
+
+    def __init__(self):
+        self.items = [_Open("", False, 0, False, False, False)]
+        self.open: Counter[str] = Counter()  # block elements by name
+        self.inline: list[Counter[str]] = [Counter()]  # inline ones, since each block element
+
+    def push(self, x: _Open) -> None:
+        self.items.append(x)
+        if x.name in BLOCK:
+            self.open[x.name] += 1
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][x.name] += 1
+
+    def pop(self) -> str:
+        name = self.items.pop().name
+        if name in BLOCK:
+            self.open[name] -= 1
+            self.inline.pop()
+        else:
+            self.inline[-1][name] -= 1
+        return name
+
+    def close(self, name: str) -> None:
+        if (self.open if name in BLOCK else self.inline[-1])[name]:
+            while self.pop() != name:
+                pass
 
 
 def hint(attributes: str, words: frozenset[str]) -> bool | None:
@@ -99,24 +150,35 @@ def hint(attributes: str, words: frozenset[str]) -> bool | None:
     return found
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The blocks with text, in page order."""
-    stack = [_Open("", False, 0, False, False, False)]
+def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
+    """The blocks with text, in page order; hints: to take all hinted elements, each after those around it."""
+    stack, told = _Stack(), [] if hints is None else hints
     parts: list[tuple[str, bool]] = []
     at, articles, numbers = 0, 0, 0
 
     def flush() -> Iterator[Block]:
-        top = stack[-1]
-        text = " ".join(html.unescape("".join(t for t, _ in parts)).split())
+        top = stack.items[-1]
+        text = " ".join("".join(t for t, _ in parts).split())
         if text:
-            linked = len(" ".join(html.unescape("".join(t for t, a in parts if a)).split()))
-            yield Block(text, linked, top.article, top.heading, top.hints)
+            linked = len(" ".join("".join(t for t, a in parts if a).split()))
+            yield Block(text, linked, top.article, top.heading, top.hint)
         parts.clear()
 
     def add(text: str) -> None:
-        top = stack[-1]
+        top = stack.items[-1]
         if not top.marked and (top.heading or not top.header):
-            parts.append((text, top.link))
+            parts.append((html.unescape(text), top.link))
+
+    def hinted(plain: bool, up: Hint | None) -> Hint:
+        bare = up.bare if up else None
+        if plain and bare is not up:
+            bare = Hint(numbers, True, bare)
+            bare.bare = bare
+            told.append(bare)
+        x = Hint(numbers, plain, up)
+        x.bare = x if plain and bare is up else bare
+        told.append(x)
+        return x
 
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -128,12 +190,7 @@ def blocks(page: str) -> Iterator[Block]:
         if m[1] or m[4]:
             if name in BLOCK:
                 yield from flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if name not in BLOCK and stack[k].name in BLOCK:
-                    break
+            stack.close(name)
             continue
         attributes = m[3] if m[2] else m[6]
         if name in RAW:
@@ -149,31 +206,33 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if name in BLOCK:
             yield from flush()
-            while len(stack) > 1 and stack[-1].name not in BLOCK:  # a block ends what inline markup was left open
+            while len(stack.items) > 1 and stack.items[-1].name not in BLOCK:  # a block ends what inline markup was left open
                 stack.pop()
-            if stack[-1].name == "p" or stack[-1].name in _CLOSES.get(name, ()):
+            if stack.items[-1].name == "p" or stack.items[-1].name in _CLOSES.get(name, ()):
                 stack.pop()
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
             continue
-        top = stack[-1]
-        article, hints = top.article, top.hints
+        top = stack.items[-1]
+        article, up = top.article, top.hint
         if name in ("article", "main") and not article:
             articles += 1
             article = articles
         open_ = name not in ("html", "body")
-        marked = top.marked or open_ and (name in NOT_ARTICLE or bool(_HIDDEN.search(attributes)))
+        marked = top.marked or open_ and (name in OUT or bool(_HIDDEN.search(attributes)))
         header = top.header or name == "header"
-        told = hint(attributes, NOT_ARTICLE_WORDS if article else NOT_ARTICLE_WORDS | HEADER_WORDS) if open_ else None
+        found = hint(attributes, NOT_ARTICLE_WORDS if article else NOT_ARTICLE_WORDS | HEADER_WORDS) if open_ else None
+        if name == "form":
+            found = True
         if name not in BLOCK:
-            marked = marked or told is not None
+            marked = marked or found is not None
         elif name == "main":
-            hints = ()
+            up = None
         elif name == "article":
-            hints = tuple(x for x in hints if x[1]) + (((numbers, True),) if told else ())
-        elif told is not None:
-            hints = (*hints, (numbers, told))
+            up = hinted(True, up.bare if up else None) if found else up.bare if up else None
+        elif found is not None:
+            up = hinted(found, up)
         numbers += 1
-        stack.append(_Open(name, marked or (header and not article), article, header, top.heading or name in HEADINGS, top.link or name == "a", hints))
+        stack.push(_Open(name, marked or header and not article, article, header, top.heading or name in HEADINGS, top.link or name == "a", up))
     add(page[at:])
     yield from flush()
 
@@ -182,34 +241,36 @@ def first_pass(b: Block) -> bool | None:
     """True: good, False: bad, None: open."""
     if b.linked > MOST_LINKED * len(b.text):
         return False
-    if b.article:
-        return True if len(b.text) >= SHORT or b.heading else None
     found = _WORD.findall(b.text.lower())
     stop = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
     if len(b.text) < SHORT or b.heading:
         return None
-    if stop >= PROSE_STOP and len(b.text) >= LONG:
+    if stop >= (LEAST_STOP if b.article else PROSE_STOP) and len(b.text) >= (SHORT if b.article else LONG):
         return True
-    return None if stop >= LEAST_STOP else False
-
-
-def believed(found: list[Block]) -> set[int]:
-    """The numbers of the elements whose hints are believed."""
-    good = [first_pass(b) is True for b in found]
-    free = [not any(plain for _, plain in b.hints) for b in found]
-    out: set[int] = set()
-    if any(g and f for g, f in zip(good, free, strict=True)):
-        out = {k for b in found for k, plain in b.hints if plain}
-    else:
-        free = [True] * len(found)
-    whole, held = 0, dict.fromkeys((k for b in found for k, plain in b.hints if not plain), 0)
-    for b, g, f in zip(found, good, free, strict=True):
-        if g and f:
-            whole += len(b.text)
-            for k, plain in b.hints:
-                if not plain:
-                    held[k] += len(b.text)
-    return out | {k for k, n in held.items() if 2 * n <= whole}
+    return None if stop >= LEAST_STOP or b.article else False
+
+
+def left_out(found: list[Block], labels: list[bool | None], hints: list[Hint]) -> set[Hint]:
+    """The hinted elements that are believed to be none of the article, and all inside them."""
+    depth = lambda b: b.hint.depth if b.hint else 0
+    good = [b for b, label in zip(found, labels, strict=True) if label or b.article and label is None]
+    least = min(map(depth, good), default=0)
+    free = [b for b in good if depth(b) == least]
+    held: dict[int, int] = {}
+    for b in free:
+        held[id(b.hint)] = held.get(id(b.hint), 0) + len(b.text)
+    inside: Counter[int] = Counter()  # text of the free good blocks, by element
+    for x in reversed(hints):
+        n = held.get(id(x), 0)
+        if n and x.up:
+            held[id(x.up)] = held.get(id(x.up), 0) + n
+        inside[x.number] += n
+    whole, out = sum(len(b.text) for b in free), set()
+    for x in hints:
+        n = inside[x.number]
+        if x.up in out or (not n if x.plain else 2 * n <= whole):
+            out.add(x)
+    return out
 
 
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
@@ -233,11 +294,18 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
 
 
 def main_text(page: str | None) -> str:
-    found = [*blocks(page or "")]
-    gone = believed(found)
-    found = [b for b in found if not any(k in gone for k, _ in b.hints)]
-    found = [b for b in found if b.article] or found
+    hints: list[Hint] = []
+    found = [*blocks(page or "", hints)]
     labels = [first_pass(b) for b in found]
+    out = left_out(found, labels, hints)
+    kept = [(b, x) for b, x in zip(found, labels, strict=True) if b.hint not in out]
+    size = lambda inside: sum(len(b.text) for b, x in kept if x and bool(b.article) == inside)
+    if 2 * size(True) < size(False):
+        for b, _ in kept:
+            b.article = 0
+        kept = [(b, first_pass(b)) for b, _ in kept]
+    kept = [x for x in kept if x[0].article] or kept
+    found, labels = [b for b, _ in kept], [x for _, x in kept]
     if True not in labels:  # no prose in the languages of the stop words: their lack says nothing
         labels = [None if x is False and b.linked <= MOST_LINKED * len(b.text) else x for x, b in zip(labels, found, strict=True)]
     labels = second_pass(found, labels)

@@ -1,3 +1,7 @@
+import time
+
+import pytest
+
 from sparkloom.llm import html
 
 PROSE = "This is one of the paragraphs that the article has, and it is as long as it is because the rules ask for it, with many of the words that prose is made of. "
@@ -52,3 +56,30 @@ def test_names_of_wrappers_do_not_take_the_article():
 
 def test_short_blocks_beside_a_hint():
     assert html.main_text(f"<div class=menu>{PROSE}</div><h2>Title</h2><p>By us</p><p>{PROSE}</p>").split("\n") == ["Title", "By us", PROSE.strip()]
+
+
+def test_whole_pages_in_a_form_and_teasers_beside_the_text():
+    nav, foot = "<nav><a href=/>Home</a> <a href=/b>More</a></nav>", f"<footer>{PROSE}</footer>"
+    assert html.main_text(f"<form action=x>{nav}<article><p>{PROSE}</p><p>Well.</p></article><aside>{PROSE}</aside>{foot}</form>") == PROSE.strip() + "\nWell."
+    assert html.main_text(f"<form id=aspnet>{nav}<div><p>{PROSE}</p></div><div class=comments><p>{PROSE * 9}</p></div></form>") == PROSE.strip()
+    assert html.main_text(f"<article><a href=/n>Read the next one that we have</a><p>A teaser for it.</p></article><div class=text><p>{PROSE}</p><p>{PROSE}</p></div>{foot}").endswith("\n".join([PROSE.strip()] * 2))
+    assert html.main_text(f"<div class=layout><form class=search>Search {PROSE}</form><main><p>{PROSE}</p></main></div>") == PROSE.strip()
+    assert html.main_text(f"<article><p>Only this.</p></article><div class=cookie-notice>{PROSE}</div><footer>{PROSE}</footer>") == "Only this."
+
+
+def test_density_decides_in_articles_too():
+    block = html.Block("zxq " * 40, 0, 1, False)
+    assert html.first_pass(block) is None and html.first_pass(html.Block(PROSE, 0, 1, False)) is True and html.first_pass(html.Block(PROSE, len(PROSE), 1, False)) is False
+
+
+def test_references_do_not_join_across_markup():
+    assert html.main_text("<p>a &am<b>p;</b> &amp;lt; b</p>") == "a &amp; &lt; b"
+
+
+@pytest.mark.parametrize("markup", ["<b>{0}</i>", "<div class=menu>{0}", "<div class='layout-menu'>{0}</p>", "<a href='{0}", "<p class=\"{0}", "<{0}", "</b>{0}<i>", "<article class=menu>{0}", "&#{0}", "<!--{0}", "<td>{0}</tr>", "<script>{0}"])
+def test_time_is_linear_in_odd_markup(markup):
+    before, after = markup.split("{0}")
+    n = 1_000_000 // len(markup)
+    began = time.process_time()
+    html.main_text(before * n + after * n)
+    assert time.process_time() - began < 12  # a quadratic pass would take hours
