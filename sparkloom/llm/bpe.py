@@ -3,13 +3,17 @@
 `Transducer` reads a pre-token symbol by symbol. Of the encoding of each prefix it keeps the last token alone: the one token that
 ends there and forms a valid pair with the last token of the prefix before it (a pair is valid if its own text encodes to just that
 pair; an encoding is right if and only if all its adjacent pairs are). A token is stable, and goes out, once the back pointers of
-all prefixes that a later token could still follow, the last `lookahead` ones, run through it; what lies before is forgotten, so memory doesn't grow with the
-pre-token. `lookahead` follows from the merge list: the most symbols of one token, beyond which no later token can reach.
+all prefixes that a later token could still follow, the last `lookahead` ones, run through it; what lies before is forgotten, so
+memory doesn't grow with the pre-token. `lookahead` follows from the merge list: the most symbols of one token, beyond which no later
+token can reach. Every pre-token goes through it; the outputs for short ones are remembered, up to CACHE of them.
 
 `Tokenizer` does what a tokenizer file of this kind says: special tokens, NFC, lower case, the split pattern, bytes as characters,
-and the end-of-word mark; the files' other settings are refused. Short pre-tokens are remembered, up to CACHE of them.
+and the end-of-word mark; the files' other settings are refused. A text is read in pieces of about PIECE characters, cut before white
+space, which no pre-token holds and no normal form joins with what stands before it; ids go out piece by piece.
 
-`TextDecoder` turns tokens back into text as they come: a state machine over UTF-8 bytes that gives out whole characters only.
+Decoders take ids as they come. `TokenDecoder` gives what the library's decode gives for a file without decoder: the tokens'
+characters for bytes, a blank between tokens; its state is whether a token went before. `TextDecoder` gives text again: a state machine
+over UTF-8 bytes that gives out whole characters only.
 
 Null texts count as empty and have no tokens; repeated rows are encoded each; the other columns of the input pass through
 `encode_texts`, where columns of the results' names are replaced.
@@ -20,6 +24,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -35,8 +40,10 @@ from .common import map_arrow, table
 
 #: Pre-tokens that a worker remembers (of about 200 bytes each, twice as many at most); more bytes than LONG aren't remembered.
 CACHE, LONG = 300_000, 48
-#: Texts whose ids and tokens a worker holds at once.
+#: Texts whose ids and tokens a worker holds at once in encode_texts, which gives them out; digests hold one piece.
 SLICE = 200
+#: Characters of a text that are encoded together, about.
+PIECE = 1 << 16
 #: Pairs of tokens that a worker remembers to be valid or not.
 PAIRS = 150_000
 _NONE = 0xFFFFF << 20
@@ -76,23 +83,6 @@ class Merges:
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
         return symbols
 
-    def short(self, text: str) -> list[int]:
-        """The ids of a pre-token at once, by the transducer's recurrence; the end-of-word mark is added here."""
-        n, vocab, follows = len(text), self.vocab.get, self.follows
-        last, sizes = [_NONE] * (n + 1), [0] * (n + 1)
-        for k in range(1, n + 1):
-            for at in range(k - 1, -1, -1):
-                token = vocab(text[at:k] if k < n else text[at:] + self.end)
-                if token is not None and follows[last[at] | token]:
-                    last[k], sizes[k] = token << 20, k - at
-                    break
-        out = []
-        while n > 0:
-            out.append(last[n] >> 20)
-            n -= sizes[n]
-        out.reverse()
-        return out
-
 
 class _Follows(dict):
     """Whether a token can follow another (or none) in an encoding, by id << 20 | id; forgets all when full."""
@@ -115,53 +105,66 @@ class _Follows(dict):
 
 
 class Transducer:
-    """feed() symbols, then close() with the last one; both give the tokens that have become stable."""
+    """feed() symbols, one character each, then close() with the last one; both give the ids that have become stable."""
 
     def __init__(self, merges: Merges):
-        #: Of what isn't forgotten: the symbols, and by prefix the last token; at 0 the last stable token, if any.
-        self.m, self.text, self.last, self.since = merges, "", [""], 0
-
-    def _token(self, text: str) -> str:
-        """The last token of the encoding of what has been read, `text` being its unforgotten part."""
-        n, end = len(self.last) - 1, len(self.m.end) if self.m.end and text.endswith(self.m.end) else 0
-        for size in range(1, min(self.m.lookahead, n + 1) + 1):
-            token = text[len(text) - end - size :]
-            before = self.last[n + 1 - size]
-            if token in self.m.vocab and self.m.follows[(self.m.vocab[before] << 20 if before else _NONE) | self.m.vocab[token]]:
-                return token
-        raise ValueError("no token ends here")
-
-    def feed(self, symbol: str) -> list[str]:
-        self.text += symbol
-        self.last.append(self._token(self.text))
-        self.since += 1
-        return self._stable() if self.since >= STEP and len(self.last) > self.m.lookahead + 1 else []
-
-    def _path(self, at: int) -> list[int]:
-        path = [at]
-        while at > 0 and self.last[at]:
-            at -= len(self.last[at])
-            path.append(at)
+        #: Of what isn't forgotten: the symbols; by prefix the last token (its id << 20) and its length; at 0 the last stable token, if any.
+        self.m, self.text, self.last, self.sizes = merges, "", [_NONE], [0]
+
+    def _read(self, symbols: str, end: str = "") -> None:
+        """Reads symbols; `end` belongs to the last one."""
+        text, last, sizes, vocab, follows, reach = self.text + symbols, self.last, self.sizes, self.m.vocab.get, self.m.follows, self.m.lookahead
+        n = len(text)
+        for k in range(len(last), n + 1):
+            for at in range(k - 1, max(k - reach, 0) - 1, -1):
+                token = vocab(text[at:k] if k < n else text[at:] + end)
+                if token is not None and follows[last[at] | token]:
+                    last.append(token << 20)
+                    sizes.append(k - at)
+                    break
+            else:
+                raise ValueError("no token ends here")
+        self.text = text
+
+    def feed(self, symbols: str) -> list[int]:
+        out = []
+        for at in range(0, len(symbols), STEP):
+            self._read(symbols[at : at + STEP])
+            if len(self.last) > self.m.lookahead + 1:
+                out += self._stable()
+        return out
+
+    def close(self, symbol: str) -> list[int]:
+        self._read(symbol, self.m.end)
+        return self._tokens(len(self.last) - 1)
+
+    def _tokens(self, at: int) -> list[int]:
+        out = []
+        while at > 0:
+            out.append(self.last[at] >> 20)
+            at -= self.sizes[at]
+        out.reverse()
+        return out
+
+    def _path(self, at: int) -> set[int]:
+        path = {at}
+        while at > 0:
+            at -= self.sizes[at]
+            path.add(at)
         return path
 
-    def _stable(self) -> list[str]:
-        self.since = 0
+    def _stable(self) -> list[int]:
         n = len(self.last) - 1
-        common = set(self._path(n))
+        common = self._path(n)
         for at in range(n - 1, n - self.m.lookahead - 1, -1):
-            common &= set(self._path(at))
+            common &= self._path(at)
         to = max(common, default=0)
         if to <= 0:
             return []
-        out = [self.last[p] for p in reversed(self._path(to)) if p > 0]
-        self.last, self.text = self.last[to:], self.text[to:]  # the last stable token stays, for the pairs to come
+        out = self._tokens(to)
+        self.last, self.sizes, self.text = self.last[to:], [0, *self.sizes[to + 1 :]], self.text[to:]  # the last stable token stays, for the pairs to come
         return out
 
-    def close(self, symbol: str) -> list[str]:
-        token = self._token(self.text + symbol)
-        at = len(self.last) - (len(token) - (len(self.m.end) if self.m.end and token.endswith(self.m.end) else 0))
-        return [self.last[p] for p in reversed(self._path(at)) if p > 0] + [token]
-
 
 class _Memo(dict):
     """Short pre-tokens' encodings; when full, only those asked for again outlive the next filling."""
@@ -209,34 +212,44 @@ class Tokenizer:
         # each character by itself: Python alone knows a final sigma
         return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[int]:
+    def stream(self, symbols: str) -> Iterator[int]:
         """The ids of one pre-token, given as characters for bytes, as they become stable."""
-        t, held = Transducer(self.merges), None
-        for x in symbols:
-            if held is not None:
-                yield from map(self.vocab.__getitem__, t.feed(held))
-            held = x
-        if held is not None:
-            yield from map(self.vocab.__getitem__, t.close(held + self.end))
+        t = Transducer(self.merges)
+        for at in range(0, len(symbols) - 1, STEP):
+            yield from t.feed(symbols[at : min(at + STEP, len(symbols) - 1)])
+        yield from t.close(symbols[-1:])
 
     def _encoded(self, word: str) -> bytes:
         """A pre-token's ids as little-endian 32-bit integers."""
-        symbols = word.encode().decode("latin-1").translate(self.by_byte)
-        return _little(array("I", self.merges.short(symbols) if len(symbols) <= LONG else self.stream(symbols)))
-
-    def encode(self, text: str | None) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit integers, and the decoding that the library gives: the tokens with a blank between."""
-        ids, at, text, known = [], 0, text or "", self.memo.__getitem__
-        spans = [*(self.specials.finditer(text) if self.specials and any(x in text for x in self.special) else ()), None]
-        for m in spans:
-            part = self.normalized(text[at : m.start()] if m else text[at:])
-            ids += map(known, self.pattern.findall(part))
-            if m:
-                ids.append(_little(array("I", [self.special[m[0]]])))
-                at = m.end()
-        self.memo.age(self.remember)
-        out = b"".join(ids)
-        return out, " ".join(map(self.text_of.__getitem__, _numbers(out)))
+        return _little(array("I", self.stream(word.encode().decode("latin-1").translate(self.by_byte))))
+
+    def encode(self, text: str | None) -> Iterator[bytes]:
+        """The ids as little-endian 32-bit integers, piece by piece."""
+        known = self.memo.__getitem__
+        for piece in _pieces(text or ""):
+            ids, at = [], 0
+            for m in [*(self.specials.finditer(piece) if self.specials and any(x in piece for x in self.special) else ()), None]:
+                part = self.normalized(piece[at : m.start()] if m else piece[at:])
+                ids += map(known, self.pattern.findall(part))
+                if m:
+                    ids.append(_little(array("I", [self.special[m[0]]])))
+                    at = m.end()
+            self.memo.age(self.remember)
+            yield b"".join(ids)
+
+
+_WHITE = re.compile("[ \t\n\r]")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE:
+        m = _WHITE.search(text, at + PIECE)
+        if m is None:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
 
 
 def _little(ids: array) -> bytes:
@@ -245,15 +258,32 @@ def _little(ids: array) -> bytes:
     return ids.tobytes()
 
 
+class TokenDecoder:
+    """Ids (as bytes) to what the library gives for a file without decoder, piece by piece."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self.t, self.begun = tokenizer, False
+
+    def feed(self, ids: bytes) -> str:
+        if not ids:
+            return ""
+        out = " ".join(map(self.t.text_of.__getitem__, _numbers(ids)))
+        out, self.begun = " " + out if self.begun else out, True
+        return out
+
+    def close(self) -> str:
+        return ""
+
+
 class TextDecoder:
-    """Tokens to text, piece by piece: bytes go through a UTF-8 state machine, the end-of-word mark becomes a blank."""
+    """Ids (as bytes) to text, piece by piece: bytes go through a UTF-8 state machine, the end-of-word mark becomes a blank."""
 
     def __init__(self, tokenizer: Tokenizer):
         self.t = tokenizer
         self.byte_of = {c: b for b, c in self.t.by_byte.items()}
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, token_id: int) -> str:
+    def _one(self, token_id: int) -> str:
         token = self.t.text_of[token_id]
         if token_id in self.t.special.values():
             return self.state.decode(b"", True) + token
@@ -261,6 +291,9 @@ class TextDecoder:
         out = self.state.decode(bytes(self.byte_of[c] for c in (token[: -len(self.t.end)] if end else token)), end)
         return out + " " * end
 
+    def feed(self, ids: bytes) -> str:
+        return "".join(map(self._one, _numbers(ids)))
+
     def close(self) -> str:
         return self.state.decode(b"", True)
 
@@ -293,12 +326,16 @@ def encode_texts(df: DataFrame, path: str | None = None, text: str = "text", rem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path or public_path(), remember)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
-            done = [t.encode(x) for x in batch.column(text).to_pylist()]
-            flat = pa.Array.from_buffers(pa.int32(), sum(len(a) for a, _ in done) // 4, [None, pa.py_buffer(b"".join(a for a, _ in done))])
-            offsets = [0]
-            for a, _ in done:
-                offsets.append(offsets[-1] + len(a) // 4)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array([b for _, b in done], pa.string())], names=[*kept, "ids", "decoded"])
+            ids, decoded, offsets = [], [], [0]
+            for x in batch.column(text).to_pylist():
+                d, parts = TokenDecoder(t), []
+                for piece in t.encode(x):
+                    ids.append(piece)
+                    parts.append(d.feed(piece))
+                decoded.append("".join([*parts, d.close()]))
+                offsets.append(sum(map(len, ids[-len(parts) :])) // 4 + offsets[-1])
+            flat = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(ids))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(decoded, pa.string())], names=[*kept, "ids", "decoded"])
 
     schema = df.select(*kept).schema.add("ids", ArrayType(IntegerType())).add("decoded", StringType())
     return map_arrow(df, run, schema)
@@ -314,21 +351,29 @@ def decode_texts(df: DataFrame, path: str | None = None, ids: str = "ids") -> Da
             texts = []
             for row in batch.column(ids).to_pylist():
                 d = TextDecoder(t)
-                texts.append("".join([*map(d.feed, row or ()), d.close()]))
+                texts.append(d.feed(_little(array("I", row or ()))) + d.close())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], names=[*kept, "text"])
 
     return map_arrow(df, run, df.select(*kept).schema.add("text", StringType()))
 
 
 def digests(df: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, hashed as they are made so that no ids travel."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; ids are decoded and hashed as they come, so that a worker holds a piece of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path or public_path())
         for batch in batches:
-            done = [t.encode(x) for x in batch.column("text").to_pylist()]
-            hexes = [pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in ((a for a, _ in done), (b.encode() for _, b in done))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(a) // 4 for a, _ in done], pa.int64()), *hexes], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            out = []
+            for text in batch.column("text").to_pylist():
+                d, n, ids, decoded = TokenDecoder(t), 0, hashlib.sha256(), hashlib.sha256()
+                for piece in t.encode(text):
+                    n += len(piece) // 4
+                    ids.update(piece)
+                    decoded.update(d.feed(piece).encode())
+                decoded.update(d.close().encode())
+                out.append((n, ids.hexdigest(), decoded.hexdigest()))
+            n, a, b = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_arrow(df.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

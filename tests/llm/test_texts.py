@@ -79,13 +79,24 @@ def odd_texts():
     return fixed + ["".join(r.choice(letters) for _ in range(r.randint(1, 80))) for _ in range(400)] + ["".join(r.choice("etaoinshr") for _ in range(3000)) for _ in range(3)]
 
 
-def test_bpe_as_the_library(both):
+def test_bpe_as_the_library(both, monkeypatch):
     mine, library = both
-    for text in odd_texts():
-        said = library.encode(text, add_special_tokens=False).ids
-        ids, decoded = mine.encode(text)
-        assert list(memoryview(ids).cast("I")) == said
-        assert decoded == library.decode(said, skip_special_tokens=False)
+    for piece in (bpe.PIECE, 7):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        for text in odd_texts():
+            said = library.encode(text, add_special_tokens=False).ids
+            ids, d = [*mine.encode(text)], bpe.TokenDecoder(mine)
+            assert list(memoryview(b"".join(ids)).cast("I")) == said
+            assert "".join(map(d.feed, ids)) == library.decode(said, skip_special_tokens=False)
+
+
+def test_digests_of_the_documents_as_the_library(spark, both):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in bpe.digests(docs).collect():
+        said = both[1].encode(text[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(said) and r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in said)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(both[1].decode(said, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_transducer_equals_merging_and_keeps_little(both):
@@ -96,8 +107,8 @@ def test_transducer_equals_merging_and_keeps_little(both):
         out, t = [], bpe.Transducer(merges)
         for c in text[:-1]:
             out += t.feed(c)
-        out += t.close(text[-1] + merges.end)
-        assert out == merges.encode([*text[:-1], text[-1] + merges.end])
+        out += t.close(text[-1])
+        assert [both[0].text_of[x] for x in out] == merges.encode([*text[:-1], text[-1] + merges.end])
     t, most = bpe.Transducer(merges), 0
     for c in "abcdefghi" * 3000:
         t.feed(c)
@@ -107,8 +118,8 @@ def test_transducer_equals_merging_and_keeps_little(both):
 
 def test_decoder_gives_whole_characters(both):
     d = bpe.TextDecoder(both[0])
-    ids = memoryview(both[0].encode("naïve 日本 🎉 <|endoftext|>!")[0]).cast("I")
-    parts = [d.feed(i) for i in ids] + [d.close()]
+    ids = b"".join(both[0].encode("naïve 日本 🎉 <|endoftext|>!"))
+    parts = [d.feed(ids[i : i + 4]) for i in range(0, len(ids), 4)] + [d.close()]
     assert "".join(parts) == "naïve 日本 🎉 <|endoftext|>! " and "�" not in "".join(parts)
 
 
@@ -249,7 +260,7 @@ def test_toxicity_on_held_out_texts(spark):
 
 def test_text_digest_of_ids():
     t = bpe.tokenizer(bpe.public_path())
-    assert hashlib.sha256(t.encode("a")[0]).hexdigest() == hashlib.sha256((t.vocab["a</w>"]).to_bytes(4, "little")).hexdigest()
+    assert hashlib.sha256(b"".join(t.encode("a"))).hexdigest() == hashlib.sha256((t.vocab["a</w>"]).to_bytes(4, "little")).hexdigest()
 
 
 def test_common_words_beside_a_notice_weigh_little(spark):
