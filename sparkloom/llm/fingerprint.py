@@ -1,12 +1,13 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A text is split at blank lines into sections and at line ends into paragraphs. A paragraph's node is the SHA-256 of its text,
-a section's node that of its paragraphs' nodes, the root that of the sections' nodes. Equal roots mean equal texts; where roots
-differ, `differences` walks down only the branches that differ. `phrases` is the level below the paragraphs: runs of at most four
-words between punctuation marks, from which `likeness` measures how much two texts share.
-
-Null text counts as empty. The empty text has one section with one empty paragraph. Rows with equal ids are each fingerprinted;
-other columns are kept, and a column of the same name as a result is replaced.
+A text is split at blank lines into sections and at line ends into paragraphs, and a paragraph into phrases: runs of at most four
+words between punctuation marks, with the marks and blanks behind them. A phrase's node, the leaf, is the SHA-256 of its text; a
+paragraph's node that of its leaves, a section's node that of its paragraphs' nodes, the root that of the sections' nodes. Equal roots
+mean equal texts; where roots differ, `differences` walks down only the branches that differ. `likeness` is the share of the leaves
+that two trees have in common.
+
+Null text counts as empty. The empty text has one section with one empty paragraph and no leaf. Rows with equal ids are each
+fingerprinted; other columns are kept, and a column of the same name as a result is replaced.
 """
 
 from __future__ import annotations
@@ -16,43 +17,35 @@ from pyspark.sql import functions as F
 
 from .common import nonnull, table
 
-PHRASE = r"[^ .,;!?\n]+(?: [^ .,;!?\n]+){0,3}"
-#: Rows that neighbours() sorts together, on average.
-BUCKET_ROWS = 1024
-
-
-def sections(text: Column) -> Column:
-    """The paragraphs' nodes, by section: array<array<string>>."""
-    return F.transform(F.split(nonnull(text), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), lambda p: F.sha2(p, 256)))
+#: Every character of a paragraph is in one phrase.
+PHRASE = r"[^ .,;!?]+(?: [^ .,;!?]+){0,3}[ .,;!?]*|[ .,;!?]+"
+#: Rows that neighbours() sorts together, on average; the most ranges that it makes; and ids that it looks at for each range.
+BUCKET_ROWS, RANGES, LOOKS = 1024, 1 << 16, 20
 
 
-def section_nodes(sections_: Column) -> Column:
-    return F.transform(sections_, lambda ps: F.sha2(F.array_join(ps, ""), 256))
+def leaves(text: Column) -> Column:
+    """The leaves, by section and paragraph: array<array<array<string>>>."""
+    of = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0)), lambda w: F.sha2(w, 256))
+    return F.transform(F.split(nonnull(text), "\n\n", -1), lambda s: F.transform(F.split(s, "\n", -1), of))
 
 
-def root(text: Column) -> Column:
-    return F.sha2(F.array_join(section_nodes(sections(text)), ""), 256)
-
-
-def phrases(text: Column) -> Column:
-    """The distinct phrases, as 64-bit hashes."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(nonnull(text), F.lit(PHRASE), F.lit(0)), lambda p: F.xxhash64(p)))
+def above(nodes: Column) -> Column:
+    """The node over some nodes."""
+    return F.sha2(F.array_join(nodes, ""), 256)
 
 
 def likeness(root_a: Column, a: Column, root_b: Column, b: Column) -> Column:
-    """From the roots and the phrases of two texts: 1 for equal texts, else the Dice coefficient of their phrases; 0 if neither has any."""
+    """From the roots and the distinct leaves of two trees: 1 for equal roots, else the leaves' Dice coefficient; 0 if neither has any."""
     both = F.size(a) + F.size(b)
     return F.when(root_a == root_b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) * 2.0 / F.greatest(both, F.lit(1)))
 
 
-def fingerprint(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with its tree: root, section_nodes, paragraph_nodes (by section) and phrases."""
-    return (
-        df.withColumn("paragraph_nodes", sections(F.col(text)))
-        .withColumn("section_nodes", section_nodes(F.col("paragraph_nodes")))
-        .withColumn("root", F.sha2(F.array_join("section_nodes", ""), 256))
-        .withColumn("phrases", phrases(F.col(text)))
-    )
+def fingerprint(df: DataFrame, text: str = "text", name: str = "") -> DataFrame:
+    """df with its tree: root, section_nodes, paragraph_nodes (by section) and leaves (the distinct ones); name: of the new columns before _root etc."""
+    n = f"{name}_" if name else ""
+    tree = df.withColumn(f"{n}leaves", leaves(F.col(text))).withColumn(f"{n}paragraph_nodes", F.transform(f"{n}leaves", lambda s: F.transform(s, above)))
+    tree = tree.withColumn(f"{n}section_nodes", F.transform(f"{n}paragraph_nodes", above)).withColumn(f"{n}root", above(F.col(f"{n}section_nodes")))
+    return tree.withColumn(f"{n}leaves", F.array_distinct(F.flatten(F.flatten(f"{n}leaves"))))
 
 
 def differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -74,41 +67,57 @@ def differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def neighbours(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
     """df with `to`: the `value` of the row that follows by ascending `key`; the last row gets the first row's.
 
-    Nulls come first; rows of equal key follow by the hash of `value`. The rows are moved once, by a bucket of the key whose width
-    follows from its range and the number of rows; the first row of a bucket goes on to the bucket before it.
+    Nulls come first; rows of equal key follow by the hash of `value`. The rows are moved once, to ranges of keys of about equal numbers
+    of rows, whose bounds are those of a sample (LOOKS keys a range); a key that is several bounds has as many ranges, by the hash. The
+    first row of a range goes on to the range before it. The bounds decide where rows go, not what comes out.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
-    width = max(1.0, ((high or 0) - (low or 0) + 1) / max(1.0, n / BUCKET_ROWS))
-    base = df.withColumn("_b", F.coalesce(F.floor((F.col(key).cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1))).withColumn("_tie", F.xxhash64(value))
-    w = Window.partitionBy("_b").orderBy(F.col(key).asc_nulls_first(), "_tie")
-    seen = base.withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead(F.struct(value)).over(w))
-    b = df.select(F.coalesce(F.floor((F.col(key).cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(-1)).alias("_b")).distinct().withColumn("_s", F.floor(F.col("_b") / 1024))
-    tops = b.groupBy("_s").agg(F.max("_b").alias("_top"))  # one row for about a million rows of df
-    every = Window.orderBy("_s")
-    tops = tops.select("_s", F.coalesce(F.lag("_top").over(every), F.max("_top").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_top"))
-    before = b.join(tops, "_s").select("_b", F.coalesce(F.lag("_b").over(Window.partitionBy("_s").orderBy("_b")), "_top").alias("_to"))
-    firsts = seen.where("_n = 1").select("_b", F.struct(value).alias("_first")).join(before, "_b").select(F.col("_to"), "_first")
-    joined = seen.join(firsts, (seen["_b"] == firsts["_to"]) & seen["_next"].isNull(), "left")
+    n = df.count()
+    ranges = min(RANGES, n // BUCKET_ROWS)
+    kind = dict(df.dtypes)[key]
+    looked = df.select(key).where(F.col(key).isNotNull()).sample(min(1.0, ranges * LOOKS / max(1, n)), 3) if ranges else None
+    seen = sorted(r[0] for r in looked.collect()) if looked else []  # RANGES times LOOKS bounds them
+    bounds = [seen[i * len(seen) // ranges] for i in range(1, ranges)] if seen else []
+    told = df.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{kind}>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, len(bounds)).bit_length()))))
+
+    def before(less) -> Column:
+        """How many bounds come before the key, by bisection."""
+        at = lambda got: F.get("_bounds", got - 1)
+        return F.aggregate(steps, F.lit(0), lambda got, k: F.when((got + k <= F.size("_bounds")) & less(at(got + k)), got + k).otherwise(got))
+
+    tie = F.xxhash64(value)
+    own = before(lambda b: b < F.col(key))
+    if len({*bounds}) < len(bounds):
+        times = before(lambda b: b <= F.col(key)) - own
+        own = own + F.when(times > 1, F.least(F.floor((tie / F.lit(2.0**64) + 0.5) * times).cast("int"), times - 1)).otherwise(0)
+    dealt = df.crossJoin(F.broadcast(told)).withColumn("_b", own).drop("_bounds")  # one row
+    order = Window.partitionBy("_b").orderBy(F.col(key).asc_nulls_first(), "_tie")
+    rows = dealt.withColumn("_tie", tie).withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead(F.struct(value)).over(order))
+    filled, every = dealt.select("_b").distinct(), Window.orderBy("_b")  # RANGES bounds it
+    last = F.max("_b").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    previous = filled.select("_b", F.coalesce(F.lag("_b").over(every), last).alias("_to"))
+    firsts = rows.where("_n = 1").select("_b", F.struct(value).alias("_first")).join(previous, "_b").select("_to", "_first")
+    joined = rows.join(firsts, (rows["_b"] == firsts["_to"]) & rows["_next"].isNull(), "left")
     return joined.withColumn(to, F.coalesce("_next", "_first")[value]).drop("_b", "_tie", "_n", "_next", "_to", "_first")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", nonnull(F.col("text")).alias("text"))
-    n = F.length("text")
-    pairs = neighbours(docs, "doc_id", "text", "next").withColumn("n_chars", n.cast("long"))
+    pairs = neighbours(docs, "doc_id", "text", "next").withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     pairs = pairs.withColumn("edited", F.concat(F.substring("text", 1, F.col("n_chars").cast("int") - half), F.substring("next", 1, half)))
     for a in ("text", "edited", "next"):
-        pairs = pairs.withColumn(f"{a}_root", root(F.col(a))).withColumn(f"{a}_phrases", phrases(F.col(a)))
-    like = lambda other: likeness(F.col("text_root"), F.col("text_phrases"), F.col(f"{other}_root"), F.col(f"{other}_phrases"))
+        pairs = fingerprint(pairs, a, a)
+    like = lambda other: likeness(F.col("text_root"), F.col("text_leaves"), F.col(f"{other}_root"), F.col(f"{other}_leaves"))
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("text_root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
         like("edited").alias("near_edited"), like("next").alias("near_next"),
     )
 
 
-_ROOT = "sha256(array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"
-_PHRASES = "list_distinct(regexp_extract_all({0}, '" + PHRASE.replace("{", "{{").replace("}", "}}") + "'))"
+_LEAVES = "list_transform(regexp_extract_all(p, '" + PHRASE.replace("{", "{{").replace("}", "}}") + "'), lambda w: sha256(w))"
+_ROOT = "sha256(array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(array_to_string(" + _LEAVES + ", ''))), ''))), ''))"
+_PHRASES = "list_distinct(flatten(list_transform(string_split({0}, chr(10)), lambda p: " + _LEAVES + ")))"
 _LIKE = "CASE WHEN {0}_root = {1}_root THEN 1.0::DOUBLE WHEN len({0}_p) + len({1}_p) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({0}_p, {1}_p)) * 2.0::DOUBLE / greatest(len({0}_p) + len({1}_p), 1) END"
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),

@@ -171,7 +171,20 @@ def test_fingerprints(spark):
     assert fingerprint.differences(old, old, "k").count() == 0
 
 
-@pytest.mark.parametrize("ids", [[5], [3, 1, 2], [None, 1, 1, 9], [*range(0, 5000, 7)], [-(1 << 62), 0, 1 << 62]])
+def test_likeness_comes_from_the_tree(spark):
+    import re
+
+    said = lambda t: {x for p in t.split("\n") for x in re.findall(fingerprint.PHRASE, p)}
+    rows = [("one two three four five. six, seven\n\neight  nine?", "one two three four five! six, seven\neight  nine?"), ("a b c d e", "x y"), ("", ""), ("same", "same"), ("", "x"), ("é ü.", "é ü. ö")]
+    df = fingerprint.fingerprint(fingerprint.fingerprint(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string"), "a", "a"), "b", "b")
+    like = fingerprint.likeness(*(fingerprint.F.col(c) for c in ("a_root", "a_leaves", "b_root", "b_leaves")))
+    for r in df.select("i", like.alias("x"), fingerprint.F.col("a_leaves")).collect():
+        a, b = (said(t) for t in rows[r["i"]])
+        assert r["x"] == (1.0 if rows[r["i"]][0] == rows[r["i"]][1] else 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0)
+        assert {*r["a_leaves"]} == {hashlib.sha256(x.encode()).hexdigest() for x in a}
+
+
+@pytest.mark.parametrize("ids", [[5], [3, 1, 2], [None, 1, 1, 9], [*range(0, 5000, 7)], [-(1 << 62), 0, 1 << 62], [7] * 90 + [*range(40)], [1 << 40, *range(60)]])
 def test_neighbours(spark, ids, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 10)
     rows = [(i, f"t{k}") for k, i in enumerate(ids)]
