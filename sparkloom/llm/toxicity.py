@@ -1,26 +1,26 @@
 """Toxicity by a classifier chain.
 
-`labels` has one judgement, toxic or not. The chain predicts three categories, each seeing the probabilities of those before it:
-
-    insult  toxic, with words that toxic texts alone tend to use (such as whole words of abuse)
-    coded   toxic, with words that share a beginning which toxic texts alone tend to use (inflected or disguised forms)
-    toxic   the judgement itself
-
-The features are the presence of whole words (`w:`) and of word beginnings of 4 to 6 letters (`p:`), the FEATURES with the most
-evidence for toxic texts, and whether any strong one is present; the first two categories' labels are the judgement and the presence of such a feature. Each model is a
-ridge-penalised logistic regression; the later ones are trained with out-of-fold probabilities (FOLDS folds, equal texts in one)
-and applied to the probabilities of the models trained on everything.
-
-Fitting uses at most FIT_ROWS labelled rows, those of the lowest hash of doc_id, so it costs the same at any size; scoring covers
-every whole text. Null texts count as empty, null judgements are left out, repeated rows count and are scored each. Without labels
-of both kinds every probability is the share of toxic labels (0 without any). Other columns pass through `score`; columns of the
-results' names are replaced.
+The chain predicts categories one after the other, each given as a column of 0 and 1; a model sees the features of a text and the
+probabilities of the categories before its own. Each is a ridge-penalised logistic regression. What the later models are trained with
+are out-of-fold probabilities: for each of FOLDS folds (equal texts in one) the features are chosen and the model is fitted without
+that fold. What they are applied to are the probabilities of the models of all rows.
+
+`labels` has one judgement of toxicity, so there is one such category, the last, which decides. The table's other judgement, quality,
+is the chain's first link (low_quality). With more columns of judgements the chain is longer.
+
+The features are the presence of whole words (`w:`) and of word beginnings of 4 to 6 letters (`p:`): for each category the ones with
+the most evidence for it (FEATURES for the last category, EARLIER for the others), and whether any strong one is present.
+
+Fitting uses at most FIT_ROWS labelled texts, those of the lowest hashes, so it costs the same at any size; scoring covers every whole
+text. Equal texts of equal labels are one in the counts of features, and weigh as many as they are in the models. Null texts count as
+empty, null judgements are left out of their category, repeated rows are scored each. A category without labels of both kinds, or
+without features, has its share of the labels as every probability (0 without any). Other columns pass through `score`; columns of
+the results' names are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, nonnull, table
+from .common import map_arrow, nonnull, stored, table
 
 FIT_ROWS = 20_000
-FEATURES, LEAST_TEXTS, FOLDS, RIDGE = 384, 5, 5, 0.1
+FEATURES, EARLIER, LEAST_TEXTS, FOLDS, RIDGE = 384, 64, 5, 5, 0.1
 STRONG_SHARE, STRONG_TIMES = 0.04, 50
 BEGINNINGS = (4, 5, 6)
-CATEGORIES = ("insult", "coded", "toxic")
+CATEGORIES = ("low_quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -102,92 +102,163 @@ def probability(x: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Chain:
-    chosen: list[str]
-    #: Whether a feature is strong: in STRONG_SHARE of the toxic texts, and STRONG_TIMES as often as in others.
+class Chosen:
+    """The features of a model, and which of them are strong: in STRONG_SHARE of the category's texts, and STRONG_TIMES as often as in others."""
+
+    features: list[str] = field(default_factory=list)
     strong: list[bool] = field(default_factory=list)
-    models: list[np.ndarray] = field(default_factory=list)
-    share: float = 0.0
-
-    def fit(self, rows: list[tuple[int, int, list[int]]]) -> Chain:
-        """rows: (fold, toxic, features present)."""
-        self.share = sum(y for _, y, _ in rows) / len(rows) if rows else 0.0
-        if self.share in (0, 1) or not self.chosen:
-            return self
-        kinds = Counter((f, y, tuple(on)) for f, y, on in rows)  # most texts have none of the features: equal rows count together
-        fold, toxic = (np.array([k[i] for k in kinds]) for i in (0, 1))
-        weight = np.array([*kinds.values()], float)
-        x = self._matrix([on for _, _, on in kinds])
-        whole = np.array([f[0] == "w" for f in self.chosen] + [False, False])
-        labels = [toxic * x[:, whole].any(axis=1), toxic * x[:, : len(self.chosen)][:, ~whole[:-2]].any(axis=1), toxic]
-        for y in labels:
-            self.models.append(logistic(x, y, weight))
-            out = np.zeros(len(x))
-            for f in set(fold):
-                rest = fold != f
-                out[~rest] = probability(x[~rest], logistic(x[rest], y[rest], weight[rest])) if rest.any() else y.mean()
-            x = np.hstack([x, out[:, None]])
-        return self
+
+    def columns(self, present: np.ndarray, place: dict[str, int]) -> np.ndarray:
+        """The columns of `present` for these features, and whether any strong word, and any strong beginning, is there."""
+        x = present[:, [place[f] for f in self.features]]
+        kinds = [np.array([s and f[0] == kind for f, s in zip(self.features, self.strong, strict=True)], bool) for kind in "wp"]
+        return np.hstack([x, *(x[:, on].any(axis=1)[:, None] for on in kinds)]).astype(float)
+
+
+@dataclass
+class Link:
+    """A category's model of all rows; without coefficients its share of the labels."""
+
+    category: str
+    chosen: Chosen
+    coefficients: np.ndarray | None
+    share: float
+
+
+def _matrix(present: list, n: int) -> np.ndarray:
+    x = np.zeros((len(present), n), bool)
+    for r, on in enumerate(present):
+        x[r, list(on)] = True
+    return x
+
+
+@dataclass
+class Chain:
+    links: list[Link]
+
+    def __post_init__(self):
+        self.features = sorted({f for x in self.links for f in x.chosen.features})
+        self.place = {f: i for i, f in enumerate(self.features)}
 
     def predict(self, present: list[list[int]]) -> np.ndarray:
         """The categories' probabilities: one row for each text's features."""
-        if not self.models:
-            return np.full((len(present), len(CATEGORIES)), self.share)
-        x = self._matrix(present)
-        for b in self.models:
-            x = np.hstack([x, probability(x, b)[:, None]])
-        return x[:, -len(CATEGORIES) :]
-
-    def _matrix(self, present: list) -> np.ndarray:
-        """The features as columns, and at the end whether any strong word or any strong beginning is there."""
-        n = len(self.chosen)
-        x = np.zeros((len(present), n + 2))
-        for r, on in enumerate(present):
-            x[r, list(on)] = 1
-        strong = np.array(self.strong or [False] * n, bool)
-        for at, kind in ((n, "w"), (n + 1, "p")):
-            x[:, at] = x[:, :n][:, strong & np.array([f[0] == kind for f in self.chosen], bool)].any(axis=1)
-        return x
-
-
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Chain:
-    """A chain from docs (doc_id, text) and labels (doc_id, toxic)."""
-    sample = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    train = docs.select("doc_id", nonnull(F.col("text")).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
+        x, p = _matrix(present, len(self.features)), np.zeros((len(present), 0))
+        for link in self.links:
+            if link.coefficients is None:
+                own = np.full(len(x), link.share)
+            else:
+                own = probability(np.hstack([link.chosen.columns(x, self.place), p]), link.coefficients)
+            p = np.hstack([p, own[:, None]])
+        return p
+
+
+def chained(categories: list[str], chosen: dict[tuple[str, int], Chosen], universe: list[str], rows: list[tuple[int, list[int | None], int, list[int]]]) -> Chain:
+    """chosen: by category and left-out fold (FOLDS: none); rows: (fold, labels, weight, features present by place in the universe)."""
+    fold, weight = np.array([r[0] for r in rows], int), np.array([r[2] for r in rows], float)
+    x, place = _matrix([r[3] for r in rows], len(universe)), {f: i for i, f in enumerate(universe)}
+    before, links = np.zeros((len(rows), 0)), []
+    for c, category in enumerate(categories):
+        known = np.array([r[1][c] is not None for r in rows], bool)
+        y = np.array([r[1][c] or 0 for r in rows], float)
+
+        def model(k: int, on: np.ndarray) -> tuple[np.ndarray | None, float, np.ndarray]:
+            share = float((y * weight)[on].sum() / weight[on].sum()) if on.any() else 0.0
+            own = np.hstack([chosen[category, k].columns(x, place), before])
+            return (logistic(own[on], y[on], weight[on]) if 0 < share < 1 and chosen[category, k].features else None), share, own
+
+        out = np.zeros(len(rows))
+        for k in sorted(set(fold.tolist())):
+            b, share, own = model(k, known & (fold != k))
+            out[fold == k] = share if b is None else probability(own[fold == k], b)
+        b, share, _ = model(FOLDS, known)
+        links.append(Link(category, chosen[category, FOLDS], b, share))
+        before = np.hstack([before, out[:, None]])
+    return Chain(links)
+
+
+def judgements(labels: DataFrame) -> DataFrame:
+    """The table labels: doc_id and the chain's categories that it tells."""
+    found = [(1 - F.col("quality")).alias("low_quality")] if "quality" in labels.columns else []
+    return labels.select("doc_id", *found, "toxic")
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, categories: list[str], fit_rows: int) -> DataFrame:
+    """text, fold, categories, n: at most fit_rows different labelled texts, those of the lowest hashes, and how often they occur."""
+    cast = [F.col(c).cast("int").alias(c) for c in categories]
+    told = labels.where(F.col("doc_id").isNotNull() & F.coalesce(*categories).isNotNull()).select("doc_id", *cast).orderBy(F.xxhash64("doc_id"), "doc_id", *categories).limit(fit_rows)
+    joined = docs.select("doc_id", nonnull(F.col("text")).alias("text")).join(F.broadcast(told), "doc_id")  # fit_rows bounds it
+    rows = joined.withColumns({"_a": F.xxhash64("text"), "_b": F.xxhash64("text", F.lit(1))}).groupBy("_a", "_b", *categories).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    rows = stored(rows.withColumn("fold", F.pmod("_a", F.lit(FOLDS)).cast("int")), "labelled")
+    if rows.count() <= fit_rows:  # a doc_id can have many texts
+        return rows
+    cut = rows.select("_a").orderBy("_a").limit(fit_rows).agg(F.max("_a")).first()[0]
+    return rows.where(F.col("_a") < cut)
+
+
+def _choose(rows: DataFrame, categories: list[str]) -> dict[tuple[str, int], Chosen]:
+    """For each category and left-out fold (FOLDS: none) the features with the most evidence in the other folds."""
+    names = [f"{kind}{c}" for c in range(len(categories)) for kind in ("pos", "neg")]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(at, 250) for b in batches for at in range(0, len(b), 250)):
-            seen: dict[str, list[int]] = {}
-            for y, text in {*zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True)}:
+            seen: dict[tuple[str, int], list[int]] = {}
+            labels = list(zip(*(part.column(c).to_pylist() for c in categories), strict=True))
+            for fold, ys, text in zip(part.column("fold").to_pylist(), labels, part.column("text").to_pylist(), strict=True):
+                on = [2 * c + 1 - y for c, y in enumerate(ys) if y is not None]
                 for f in features(text):
-                    seen.setdefault(f, [0, 0])[1 - y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([*seen]), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in (0, 1))], names=["feature", "pos", "neg"])
-
-    totals = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
-    n = [max(1, totals.get(k, 0)) for k in (0, 1)]
-    counts = map_arrow(train.select("y", "text"), count, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    evidence = F.col("pos") * F.log((F.col("pos") + 0.5) / n[1] / ((F.col("neg") + 0.5) / n[0]))
-    best = counts.where(F.col("pos") >= LEAST_TEXTS).withColumn("evidence", evidence).where(F.col("evidence") > 0).orderBy(F.desc("evidence"), "feature").limit(FEATURES)
-    held = best.select("feature", "pos", "neg").collect()
-    chosen = [r["feature"] for r in held]
-    strong = [r["pos"] / n[1] >= STRONG_SHARE and r["pos"] / n[1] >= STRONG_TIMES * r["neg"] / n[0] for r in held]
+                    counts = seen.setdefault((f, fold), [0] * len(names))
+                    for i in on:
+                        counts[i] += 1
+            keys = [*seen]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([v[i] for v in seen.values()], pa.int64()) for i in range(len(names)))], names=["feature", "fold", *names])
+
+    total = rows.groupBy("fold").agg(*(F.count_if(F.col(c) == y).alias(f"{kind}{i}") for i, c in enumerate(categories) for kind, y in (("pos", 1), ("neg", 0)))).collect()
+    counts = map_arrow(rows.select("fold", "text", *categories), count, "feature string, fold int, " + ", ".join(f"{n} long" for n in names))
+    # a column for each left-out fold, and for none
+    sums = [F.sum(F.when(F.col("fold") != k, F.col(n)).otherwise(0)).alias(f"{n}_{k}") for n in names for k in range(FOLDS + 1)]
+    counts = stored(counts.groupBy("feature").agg(*sums).where(F.greatest(*(F.col(f"pos{c}_{FOLDS}") for c in range(len(categories))), F.lit(0)) >= LEAST_TEXTS), "features")
+    asked, n = None, {}
+    for c, category in enumerate(categories):
+        for k in range(FOLDS + 1):
+            n[category, k] = [max(1, sum(r[f"{kind}{c}"] for r in total if r["fold"] != k)) for kind in ("neg", "pos")]
+            pos, neg = F.col(f"pos{c}_{k}"), F.col(f"neg{c}_{k}")
+            evidence = pos * F.log((pos + 0.5) / n[category, k][1] / ((neg + 0.5) / n[category, k][0]))
+            one = counts.where(pos >= LEAST_TEXTS).select(F.lit(category).alias("category"), F.lit(k).alias("k"), "feature", pos.alias("pos"), neg.alias("neg"), evidence.alias("evidence")).where("evidence > 0")
+            one = one.orderBy(F.desc("evidence"), "feature").limit(FEATURES if c == len(categories) - 1 else EARLIER)
+            asked = one if asked is None else asked.unionByName(one)
+    out = {x: Chosen() for x in n}
+    for r in sorted(asked.collect(), key=lambda r: (-r["evidence"], r["feature"])):
+        at, (of_neg, of_pos) = out[r["category"], r["k"]], n[r["category"], r["k"]]
+        at.features.append(r["feature"])
+        at.strong.append(r["pos"] / of_pos >= STRONG_SHARE and r["pos"] / of_pos >= STRONG_TIMES * r["neg"] / of_neg)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, categories: tuple[str, ...] | None = None) -> Chain:
+    """A chain from docs (doc_id, text) and labels (doc_id and the categories in their order; those of CATEGORIES that it has)."""
+    names = list(categories or [c for c in CATEGORIES if c in labels.columns])
+    rows = training_rows(docs, labels, names, fit_rows)
+    chosen = _choose(rows, names)
+    universe = sorted({f for x in chosen.values() for f in x.features})
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(chosen)
+        finder = Finder(universe)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("fold"), batch.column("y"), pa.array([finder(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["fold", "y", "found"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("fold", "n", *names)), pa.array([finder(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))], names=["fold", "n", *names, "found"])
 
-    rows = map_arrow(train.select("fold", "y", "text"), find, "fold int, y int, found array<int>").collect()
-    return Chain(chosen, strong).fit([tuple(r) for r in rows])
+    schema = "fold int, n long, " + ", ".join(f"{c} int" for c in names) + ", found array<int>"
+    found = map_arrow(rows.select("fold", "n", *names, "text"), find, schema).groupBy("fold", *names, "found").agg(F.sum("n").alias("n")).collect()  # fit_rows bounds it
+    told = sorted(((r["fold"], [r[c] for c in names], r["n"], r["found"]) for r in found), key=str)
+    return chained(names, chosen, universe, told)
 
 
 def score(df: DataFrame, chain: Chain, text: str = "text", least: float = 0.5) -> DataFrame:
-    """df with the categories' probabilities (p_insult, p_coded, p_toxic) and toxic, whether p_toxic reaches `least`."""
-    names = [*(f"p_{c}" for c in CATEGORIES), "toxic"]
+    """df with the categories' probabilities (p_<category>) and toxic, whether the last reaches `least`."""
+    names = [*(f"p_{x.category}" for x in chain.links), "toxic"]
     kept = [c for c in df.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(chain.chosen)
+        finder = Finder(chain.features)
         for batch in batches:
             p = chain.predict([finder(t) for t in batch.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(p[:, i]) for i in range(p.shape[1])), pa.array(p[:, -1] >= least)], names=[*kept, *names])
@@ -200,4 +271,4 @@ def score(df: DataFrame, chain: Chain, text: str = "text", least: float = 0.5) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("text")
+    return score(docs, fit(docs, judgements(table(spark, sf_dir, "labels")))).drop("text")

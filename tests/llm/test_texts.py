@@ -266,11 +266,33 @@ def test_toxicity_on_held_out_texts(spark):
     got = {x["doc_id"]: x for x in toxicity.score(docs.selectExpr("*", "'old' AS toxic"), chain).collect()}
     assert all(got[i]["toxic"] == bool(y) for i, _, y in rows if i >= 500)
     assert got[902]["toxic"] and not got[900]["toxic"] and not got[901]["toxic"]
+    plain = lambda chain: [(x.category, x.chosen, x.coefficients.tolist(), x.share) for x in chain.links]
+    assert plain(toxicity.fit(docs.repartition(7), labels.repartition(5))) == plain(chain) == plain(toxicity.fit(docs.coalesce(1), labels.coalesce(1)))
     only = toxicity.fit(docs, labels.where("toxic = 0"))
     assert {x["p_toxic"] for x in toxicity.score(docs, only).collect()} == {0.0}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels.limit(0))).count() == 0
 
 
+def test_later_categories_see_earlier_ones_out_of_fold(spark):
+    """The second category is the first one, or a word of its own; the first is told by a word that the second's features needn't hold."""
+    r = random.Random(2)
+    rows = []
+    for i in range(600):
+        a, b = i % 4 == 0, i % 6 == 0
+        w = [r.choice(["calm", "sea", "tree", "hill", "rain"]) for _ in range(12)] + ["grumblewort"] * a + ["snarkfish"] * b
+        rows.append((i, " ".join(w) + f" x{i}" + " long" * 20_000 * (i == 5), int(a), None if i == 7 else int(a or b)))
+    rows += [(599, rows[-1][1], *rows[-1][2:])] * 40
+    docs = spark.createDataFrame([x[:2] for x in rows], NONE)
+    labels = spark.createDataFrame([(x[0], *x[2:]) for x in rows[:600]], "doc_id long, insult int, toxic int")
+    chain = toxicity.fit(docs, labels, categories=("insult", "toxic"))
+    assert [x.category for x in chain.links] == ["insult", "toxic"] and len(chain.links[1].coefficients) == len(chain.links[1].chosen.features) + 2 + 1 + 1
+    for x in toxicity.score(docs, chain).collect():
+        a, b = x["doc_id"] % 4 == 0, x["doc_id"] % 6 == 0
+        assert (x["p_insult"] >= 0.5) == a and x["toxic"] == (a or b)
+    assert toxicity.training_rows(docs, labels, ["toxic"], 50).count() <= 50
+    assert {c for c in toxicity.judgements(spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int")).first()} == {1}
+
+
 def test_text_digest_of_ids():
     t = bpe.tokenizer(bpe.public_path())
     assert hashlib.sha256(b"".join(t.encode("a"))).hexdigest() == hashlib.sha256((t.vocab["a</w>"]).to_bytes(4, "little")).hexdigest()
