@@ -20,8 +20,10 @@ from sparkloom.llm.common import bounded, stored, table
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    chain = toxicity.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, chain).where(~F.col("toxic")).select(*docs.columns)
+    chain = toxicity.fit(docs.select("doc_id", "text"), toxicity.judgements(table(spark, sf_dir, "labels")))
+    kept = docs.select(*(F.col(c).alias(f"_kept_{c}") for c in docs.columns if c != "text"), "text")  # whatever their names
+    civil = toxicity.score(kept, chain).where(~F.col("toxic"))
+    return civil.select(*(F.col(c if c == "text" else f"_kept_{c}").alias(c) for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
