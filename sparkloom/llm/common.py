@@ -32,6 +32,8 @@ def _bytes(name: str, kind: DataType) -> Column:
         return F.coalesce(F.octet_length(c), F.lit(0)) + 8
     if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
         return F.greatest(F.size(c), F.lit(0)) * 8 + 16
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and not any(isinstance(f.dataType, (StringType, BinaryType, ArrayType, StructType)) for f in kind.elementType):
+        return F.greatest(F.size(c), F.lit(0)) * 8 * (len(kind.elementType) + 2) + 16
     if isinstance(kind, (ArrayType, StructType)):
         return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
     return F.lit(8)

@@ -1,20 +1,21 @@
 """Substring dedup: the repeats of WINDOW words or more between documents, by prefix-partitioned suffix trees.
 
 A window repeats if a suffix that starts there shares its first WINDOW words with a suffix of another document: in the suffix tree,
-if it ends below an internal node of that depth. The tree is never built whole. Suffixes are partitioned by prefixes whose length
-varies, longer only where shorter ones are shared, and a node is named by the hash of its path, so that equal nodes of all
-partitions meet by key and are reduced (to their least and greatest document) before the shuffle:
-
-1. Anchors. Of all suffixes only those are followed that every window can be told by: in each window the suffix whose first PREFIX
-   words have the least hash (the leftmost of equals). Equal windows have equal anchors at equal places. Neighbouring windows share
-   an anchor; together they are its span.
-2. `prefixes`: nodes of depth PREFIX. Those of one document alone have no repeat below them, and end here.
-3. Below the others, nodes of the spans' depth: where a span occurs whole in a lesser document, all its windows repeat.
-4. Where one prefix has several spans, the spans' first documents alone go on to nodes of depth WINDOW, window by window.
-
-Nodes of depth WINDOW are told by 128 bits, spans by 64 below 64 of their prefix. Words stand between ASCII white space. A null text has
-none; a text of fewer than WINDOW words has no window. A null doc_id counts as less than all others. Rows that share a doc_id don't
-repeat each other. Columns besides doc_id and text are ignored.
+if it ends below an internal node of that depth. The tree is built in parts:
+
+1. Anchors. In each window the suffix whose first PREFIX words have the least hash (the leftmost of equals) is its anchor; equal
+   windows have equal anchors at equal places. Neighbouring windows share an anchor; together they are its span.
+2. Suffixes are split by prefixes of various lengths: windows by their anchor's first PREFIX words. Prefixes of one document alone have
+   no repeat below them and end here. Equal spans are one leaf, told by its least document; the others that have it repeat it whole.
+3. A prefix with leaves of more than GROUP_WORDS words is too large for a task: its windows are split anew by their own first words, as
+   many of LENGTHS as it takes for a group to fit. Windows that are alike to the last length differ in nothing: they are one node,
+   reduced to its least document before the shuffle.
+4. Each group's subtree is built as a suffix array with the longest common prefixes of neighbours, several groups at once. Its internal
+   nodes of WINDOW words or more are the maximal repeats of the group; a leaf below one repeats so much of the node's least document.
+
+Words are compared as they are in the subtrees; spans, prefixes and windows beyond the last length by hashes (64 bits below 64, and
+128). Words stand between ASCII white space. A null text has none; a text of fewer than WINDOW words has no window. A null doc_id counts
+as less than all others. Rows that share a doc_id don't repeat each other. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import bounded, map_arrow, nonnull, stored, table
 from .hashing import Runs, chunks, mix, ranges, words
 
 WINDOW, PREFIX = 50, 10
+#: Words of the leaves of a group at most; to how many words prefixes are lengthened (the last is the window); words of groups built together.
+GROUP_WORDS, LENGTHS, TOGETHER = 200_000, (20, 35, 50), 400_000
 _NONE = -(1 << 63)
 
 
@@ -77,45 +80,192 @@ def spans(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFr
     return map_arrow(docs.select("id", "row", "text"), run, "id long, row int, start int, n int, prefix long, span long")
 
 
-def shared_prefixes(found: DataFrame) -> DataFrame:
-    """prefix, span, least (document), forks: of the prefixes that several documents have; forks: whether a prefix has several spans."""
-    nodes = found.groupBy("prefix", "span").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    above = nodes.groupBy("prefix").agg(F.min("least").alias("lo"), F.max("most").alias("hi"), (F.count(F.lit(1)) > 1).alias("forks")).where("lo < hi").select("prefix", "forks")
-    return nodes.join(above, "prefix").select("prefix", "span", "least", "forks")
+def leaves(found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """prefix, span, least (document), its row and start, n, forks, words: of the prefixes that several documents have. forks: whether there are several spans; words: of all."""
+    nodes = found.groupBy("prefix", "span").agg(F.min(F.struct("id", "row", "start", "n")).alias("first"), F.max("id").alias("most"))
+    above = nodes.groupBy("prefix").agg(F.min("first.id").alias("lo"), F.max("most").alias("hi"), (F.count(F.lit(1)) > 1).alias("forks"), F.sum(F.col("first.n") + window - 1).alias("words"))
+    held = stored(above.where("lo < hi").select("prefix", "forks", "words"), "prefixes")  # a plain side, so that hot prefixes can be split
+    return nodes.join(held, "prefix").select("prefix", "span", F.col("first.id").alias("least"), "first.row", "first.start", "first.n", "forks", "words")
 
 
-def window_nodes(docs: DataFrame, undecided: DataFrame, window: int = WINDOW) -> DataFrame:
-    """undecided: id, row, spans (start, n). id, row, start, and one, two, the node of depth `window`: for each window in the spans."""
+_LEAF = "prefix long, span long, least long"
+
+
+def _with_text(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """docs: id, row, text; asked: least, row, start, n and more. id, text, leaves: by text what is asked of it."""
+    columns = [c for c in asked.columns if c not in ("least", "row")]
+    by_row = asked.groupBy(F.col("least").alias("id"), "row").agg(F.collect_list(F.struct(*columns)).alias("leaves"))  # as long as the text
+    return docs.join(bounded(by_row), ["id", "row"])
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[dict]]]:
+    for i, text, asked in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), batch.column("leaves").to_pylist(), strict=True):
+        yield i, text.encode().split(), asked
+
+
+def leaf_texts(docs: DataFrame, asked: DataFrame, window: int = WINDOW) -> DataFrame:
+    """asked: leaves with key (of the group) and offset (of start in the leaf). key, prefix, span, least, offset, n, words: their words, one blank between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(a["key"], a["prefix"], a["span"], i, a["offset"], a["n"], b" ".join(w[a["start"] : a["start"] + a["n"] - 1 + window])) for i, w, asked in _each(batch) for a in asked]
+            for at in range(0, len(out), 10_000):
+                cols = list(zip(*out[at : at + 10_000], strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.int32()) for c in cols[4:6]), pa.array(cols[6], pa.binary())], names=["key", "prefix", "span", "least", "offset", "n", "words"])
+
+    columns = asked.select("least", "row", "key", "prefix", "span", "start", "offset", "n")
+    return map_arrow(_with_text(docs, columns), run, f"key long, {_LEAF}, offset int, n int, words binary")
+
+
+def window_prefixes(docs: DataFrame, asked: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """asked: leaves. prefix, span, least, row, start, offset, k0, k1 ..., last: by window of a leaf the hashes of its first words, for each length, and another of the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "row"))
-            asked = batch.column("spans").to_pylist()
+            wanted = batch.column("leaves").to_pylist()
             for lo, hi, data, offsets in chunks(batch.column("text")):
                 _, _, hashes, at = words(data, offsets)
-                each = [(t, s["start"], s["n"]) for t in range(lo, hi) for s in asked[t]]
-                text, start, n = (np.array(x, np.int64) for x in zip(*each, strict=True)) if each else (np.zeros(0, np.int64),) * 3
-                text, start = np.repeat(text, n), ranges(start, n)
+                each = [(t, a["start"], a["n"], a["prefix"], a["span"]) for t in range(lo, hi) for a in wanted[t]]
+                if not each:
+                    continue
+                text, start, n, prefix, span = (np.array(x, np.int64) for x in zip(*each, strict=True))
+                first = np.repeat(start, n)
+                text, start, prefix, span = np.repeat(text, n), ranges(start, n), np.repeat(prefix, n), np.repeat(span, n)
                 begin = start + at[text - lo]
-                one, two = (Runs(hashes, k)(begin, begin + window).view(np.int64) for k in (0, 2))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(rows[text]), pa.array(start.astype(np.int32)), pa.array(one), pa.array(two)], names=["id", "row", "start", "one", "two"])
+                keys = [Runs(hashes, 2)(begin, begin + x).view(np.int64) for x in lengths] + [Runs(hashes, 0)(begin, begin + lengths[-1]).view(np.int64)]
+                cols = [prefix, span, ids[text], rows[text], start.astype(np.int32), (start - first).astype(np.int32), *keys]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["prefix", "span", "least", "row", "start", "offset", *(f"k{i}" for i in range(len(lengths))), "last"])
+
+    schema = f"{_LEAF}, row int, start int, offset int, " + ", ".join(f"k{i} long" for i in range(len(lengths))) + ", last long"
+    return map_arrow(_with_text(docs, asked.select("least", "row", "prefix", "span", "start", "n")), run, schema)
+
+
+def suffix_array(codes: np.ndarray, ends: np.ndarray, starts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of codes at starts in order (places in starts), and the common prefix of each with the one before it; a suffix ends at its row's end.
+
+    By doubling: ranks of 1, 2, 4 ... codes, up to `longest`.
+    """
+    size, rank = len(codes), np.unique(codes, return_inverse=True)[1].astype(np.int64)
+    ranks, width = [rank], 1
+    while width < longest:
+        to = np.arange(size) + width
+        inside = to < ends
+        after = np.zeros(size, np.int64)
+        after[inside] = rank[to[inside]] + 1
+        rank = np.unique(rank * (size + 1) + after, return_inverse=True)[1].astype(np.int64)
+        ranks.append(rank)
+        width *= 2
+    order = np.argsort(rank[starts], kind="stable")
+    a, b = starts[order[:-1]], starts[order[1:]]
+    common = np.zeros(len(a), np.int64)
+    room = np.minimum(ends[a] - a, ends[b] - b)
+    for k in range(len(ranks) - 1, -1, -1):
+        fits = common + (1 << k) <= room
+        same = np.zeros(len(a), bool)
+        same[fits] = ranks[k][(a + common)[fits]] == ranks[k][(b + common)[fits]]
+        common[same] += 1 << k
+    return order, np.append(0, common)
+
+
+def _subtrees(t: pa.Table, window: int) -> pa.RecordBatch | None:
+    """Of whole groups of leaves: prefix, span, offset, n: the windows of each leaf that lie in a maximal repeat with a lesser document."""
+    import pyarrow.compute as pc
+
+    parts = pc.split_pattern(t.column("words").combine_chunks().cast(pa.string()), " ")
+    parts = parts.combine_chunks() if isinstance(parts, pa.ChunkedArray) else parts
+    at = parts.offsets.to_numpy().astype(np.int64)
+    at = at - at[0]
+    words_ = parts.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    key, least, n = (t.column(c).to_numpy() for c in ("key", "least", "n"))
+    _, group = np.unique(key, return_inverse=True)
+    length = np.diff(at)
+    codes = words_ + np.repeat(group, length) * (words_.max(initial=0) + 1)  # no node spans two groups
+    ends, starts, leaf = np.repeat(at[1:], length), ranges(at[:-1], n.astype(np.int64)), np.repeat(np.arange(len(n)), n)
+    order, common = suffix_array(codes, ends, starts, int(length.max(initial=1)))
+    deep = common >= window
+    first = np.flatnonzero(~deep)  # each of the runs between is what stands below one internal node
+    count = np.diff(np.append(first, len(order)))
+    node = np.repeat(np.arange(len(first)), count)
+    low = np.minimum.reduceat(least[leaf[order]], first)
+    depth = np.minimum.reduceat(np.where(deep, common, np.iinfo(np.int64).max), first)
+    hit = least[leaf[order]] > low[node]
+    if not hit.any():
+        return None
+    begin = starts[order][hit]
+    cover = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + depth[node][hit] - window + 1, -1)
+    on = np.cumsum(cover[:-1]) > 0
+    row = np.repeat(np.arange(len(n)), length)
+    edge = np.flatnonzero(on & np.concatenate([[True], ~on[:-1] | (row[1:] != row[:-1])]))
+    stop = np.flatnonzero(on & np.concatenate([~on[1:] | (row[1:] != row[:-1]), [True]])) + 1
+    at_row = row[edge]
+    cols = [t.column("prefix").to_numpy()[at_row], t.column("span").to_numpy()[at_row], (t.column("offset").to_numpy()[at_row] + edge - at[at_row]).astype(np.int32), (stop - edge).astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["prefix", "span", "offset", "n"])
+
+
+def subtrees(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """texts: leaf_texts. prefix, span, offset, n: what of each leaf repeats a lesser document of its group."""
 
-    asked = docs.join(bounded(undecided), ["id", "row"]).select("id", "row", "text", "spans")
-    return map_arrow(asked, run, "id long, row int, start int, one long, two long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            key, length = batch.column("key").to_numpy(), np.array([len(x) for x in batch.column("words").to_pylist()], np.int64) // 4
+            while len(batch):
+                # at the end of a group, when enough is held
+                cut = np.flatnonzero(np.append(True if not held else key[0] != last, key[1:] != key[:-1]) & (size + np.cumsum(length) - length >= TOGETHER))
+                to = int(cut[0]) if len(cut) else len(batch)
+                held.append(batch.slice(0, to))
+                size += int(length[:to].sum())
+                last = key[to - 1] if to else last
+                if len(cut):
+                    out = _subtrees(pa.Table.from_batches([x for x in held if len(x)]), window)
+                    held, size = [], 0
+                    if out is not None:
+                        yield out
+                batch, key, length = batch.slice(to), key[to:], length[to:]
+        held = [x for x in held if len(x)]
+        if held and (out := _subtrees(pa.Table.from_batches(held), window)) is not None:
+            yield out
+
+    return map_arrow(texts.repartition("key").sortWithinPartitions("key"), run, "prefix long, span long, offset int, n int")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """docs: id, row, text. id, row, spans: array<struct<start, n>>: runs of windows that start in a lesser document too."""
-    found = spans(docs, window, prefix)
-    met = found.join(stored(shared_prefixes(found), "prefixes"), ["prefix", "span"]).where("id > least OR forks")
-    met = stored(met.groupBy("id", "row").agg(F.collect_list(F.struct("start", "n", (F.col("id") > F.col("least")).alias("whole"))).alias("s")), "spans")  # as long as the text
-    part = lambda whole: F.transform(F.filter("s", lambda x: x["whole"] == whole), lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n")))
-    undecided = met.select("id", "row", part(False).alias("spans")).where(F.size("spans") > 0)
-    nodes = stored(window_nodes(docs, undecided, window), "windows")
-    deep = nodes.groupBy("one", "two").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
-    single = nodes.join(deep, ["one", "two"]).where("id > least").select("id", "row", F.array(F.struct("start", F.lit(1).alias("n"))).alias("s"))
-    both = met.select("id", "row", part(True).alias("s")).where(F.size("s") > 0).unionByName(single)
-    return both.groupBy("id", "row").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    found = stored(spans(docs, window, prefix), "suffixes")
+    leaf = stored(leaves(found, window), "leaves")
+    forks = leaf.where("forks")
+    small = forks.where(F.col("words") <= GROUP_WORDS).withColumn("key", F.col("prefix")).withColumn("offset", F.lit(0))
+    marks = subtrees(leaf_texts(docs, small, window), window)
+    large = stored(forks.where(F.col("words") > GROUP_WORDS), "large")
+    if not large.isEmpty():
+        marks = marks.unionByName(_lengthened(docs, large, window))
+    marks = stored(marks, "repeats")
+    whole = found.join(leaf.select("prefix", "span", "least"), ["prefix", "span"]).where("id > least").select("id", "row", "start", "n")
+    first = found.join(leaf.where("forks").select("prefix", "span", F.col("least").alias("id")), ["prefix", "span", "id"])
+    part = first.select("prefix", "span", "id", "row", "start").join(marks, ["prefix", "span"]).select("id", "row", (F.col("start") + F.col("offset")).alias("start"), "n")
+    return whole.unionByName(part).groupBy("id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans"))  # as long as the text
+
+
+def _lengthened(docs: DataFrame, large: DataFrame, window: int) -> DataFrame:
+    """What of the leaves of large groups repeats a lesser document, by the windows' own prefixes."""
+    lengths = (*(x for x in LENGTHS if x < window), window)
+    left = stored(window_prefixes(docs, large, lengths), "windows")
+    out, last = None, len(lengths) - 1
+    for i in range(last):
+        # a prefix of one leaf has no node below it, one of too many is lengthened
+        count = left.groupBy(f"k{i}").agg(F.count(F.lit(1)).alias("_n"), F.min("least").alias("_lo"), F.max("least").alias("_hi"))
+        known = stored(count.where("_lo < _hi").select(f"k{i}", (F.col("_n") * window <= GROUP_WORDS).alias("_fits")), "lengths")
+        left = stored(left.join(known, f"k{i}"), "windows")
+        fits = left.where("_fits").withColumn("key", F.col(f"k{i}")).withColumn("n", F.lit(1))
+        marks = subtrees(leaf_texts(docs, fits, window), window)
+        out = marks if out is None else out.unionByName(marks)
+        left = left.where("NOT _fits").drop("_fits")
+    low = stored(left.groupBy(f"k{last}", "last").agg(F.min("least").alias("_lo"), F.max("least").alias("_hi")).where("_lo < _hi").drop("_hi"), "nodes")
+    same = left.join(low, [f"k{last}", "last"]).where("least > _lo").select("prefix", "span", "offset", F.lit(1).alias("n"))
+    return same if out is None else out.unionByName(same)
 
 
 def _marked(docs: DataFrame) -> DataFrame:

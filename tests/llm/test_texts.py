@@ -28,7 +28,11 @@ def cut(rows, window=50):
     return sorted(out, key=str)
 
 
-def test_substrings_against_brute_force(spark):
+@pytest.mark.parametrize("most", [substrings.GROUP_WORDS, 300, 0])
+def test_substrings_against_brute_force(spark, monkeypatch, most):
+    """Also with groups so small that prefixes are lengthened, and to the whole window."""
+    monkeypatch.setattr(substrings, "GROUP_WORDS", most)
+    monkeypatch.setattr(substrings, "TOGETHER", 500)
     r = random.Random(2)
     pool = [[r.choice("abcdefgh") * r.choice((1, 2)) for _ in range(90)] for _ in range(4)]
     rows = []
@@ -45,6 +49,20 @@ def test_substrings_against_brute_force(spark):
     assert substrings.dedup_substrings(spark.createDataFrame([], NONE)).count() == 0
 
 
+def test_suffix_array():
+    import numpy as np
+
+    r = random.Random(3)
+    rows = [[r.randrange(3) for _ in range(r.choice((4, 30)))] for _ in range(20)] + [[1] * 20]
+    codes, at = np.array(sum(rows, [])), np.cumsum([0, *map(len, rows)])
+    ends, starts = np.repeat(at[1:], np.diff(at)), np.arange(at[-1])
+    order, common = substrings.suffix_array(codes, ends, starts, 30)
+    suffix = [codes[x : ends[x]].tolist() for x in starts]
+    assert [suffix[i] for i in order] == sorted(suffix)
+    for a, b, n in zip(order, order[1:], common[1:], strict=False):
+        assert n == next((k for k, (x, y) in enumerate(zip(suffix[a], suffix[b], strict=False)) if x != y), min(len(suffix[a]), len(suffix[b])))
+
+
 # --- chat ---------------------------------------------------------------------------------------------------------------------
 
 
