@@ -30,11 +30,14 @@ class Analysis:
     failed_rules: dict[str, str]
     timings: dict[str, float]
 
+    def published(self) -> DataFrame:
+        """The findings as they are published: files below the root, evidence in the artifact's shape and order."""
+        columns = ("id", "rule_id", "category", "severity", "title", "description", "rationale", "recommendation", "file", "line", "column", "evidence")
+        return self.findings.select(*columns).withColumn("file", report.relative_path(F.col("file"), self.project.root)).withColumn("evidence", report.evidence_view(F.col("evidence")))
+
     def write(self, folder: str) -> dict[str, dict]:
         """Writes what the report is cut from, whole, as JSON lines with Spark: by name, the place in the folder and the number of rows."""
-        found = self.findings.select("id", "rule_id", "category", "severity", "title", "description", "rationale", "recommendation", "file", "line", "column")
-        found = found.withColumn("file", F.when(F.col("file") == self.project.root, ".").otherwise(F.col("file")))
-        whole = {"findings": found, "nodes": self.tables["nodes"], "edges": self.tables["edges"], "deductions": self.score.deductions, "risks": report.risks(self.findings), "policies": self.evaluations}
+        whole = {"findings": self.published(), "nodes": self.tables["nodes"], "edges": self.tables["edges"], "errors": report.parser_errors(self.tables["errors"]), "deductions": self.score.deductions, "risks": report.risks(self.findings), "policies": self.evaluations}
         out = {}
         for name, df in whole.items():
             df.write.json(f"{folder}/{name}")
@@ -56,16 +59,16 @@ class Analysis:
         pick = lambda df, n: artifacts.rows(df, n)
         return artifacts.checked(
             {
-                "metadata": {"schema": artifacts.SCHEMA_ID, "generated_at": now, "timings": self.timings} | ({"tables": whole} if whole else {}),
+                "metadata": {"schema": artifacts.SCHEMA_ID, "version": artifacts.VERSION, "generated_at": now, "timings": self.timings} | ({"tables": whole} if whole else {}),
                 "project": {"name": self.project.name, "framework": self.project.framework, "package_manager": self.project.package_manager, "workspace": self.project.workspace, "root": "."},
                 "summary": {"overall": row["overall"], "grade": row["grade"], **counts},
                 "metrics": report.metrics(self.tables["modules"], self.tables["nodes"]).first().asDict(),
-                "score": {"categories": pick(self.score.categories.orderBy("category"), 100), "deductions": pick(self.score.deductions.orderBy("rule_id"), most), "contributors": pick(self.score.contributors, 100)},
-                "findings": [f | {"file": "." if f["file"] == self.project.root else f["file"]} for f in pick(rules.in_order(self.findings.select("id", "rule_id", "category", "severity", "title", "description", "rationale", "recommendation", "file", "line", "column")), most)],
-                "graph": {"statistics": self.tables["statistics"].first().asDict(), "nodes": pick(self.tables["nodes"].orderBy("id"), most), "edges": pick(self.tables["edges"].orderBy("id"), most)},
+                "score": {"categories": pick(self.score.categories.orderBy("category"), 100), "deductions": pick(self.score.deductions.orderBy("rule_id"), most), "contributors": pick(self.score.contributors.orderBy(F.desc("impact"), "label"), 100)},
+                "findings": artifacts.published(pick(rules.in_order(self.published()), most)),
+                "graph": {"statistics": self.tables["statistics"].first().asDict(), "nodes": artifacts.published(pick(self.tables["nodes"].orderBy("id"), most)), "edges": pick(self.tables["edges"].orderBy("id"), most)},
                 "analysis": {
                     **said, "hotspots": pick(report.top_hotspots(spots), 8), "quick_wins": pick(wins, report.QUICK_WINS), "roadmap": pick(report.roadmap(spots, wins), report.ROADMAP), "risks": pick(report.risks(self.findings), most),
-                    "history": pick(report.timeline(point if history is None else history.unionByName(point)), report.HISTORY), "benchmark": pick(report.benchmark(self.score.total, benchmark, self.project.framework), 1)[0], "policies": pick(self.evaluations, most),
+                    "history": pick(report.timeline(point if history is None else history.unionByName(point)), report.HISTORY), "benchmark": pick(report.benchmark(self.score.total, benchmark, self.project.framework), 1)[0], "policies": pick(self.evaluations, most), "parser_errors": pick(report.parser_errors(self.tables["errors"]), most),
                 },
             }
         )
@@ -116,7 +119,11 @@ def analyze(spark: SparkSession, path: str, policy_file: str | None = None, scor
     return Analysis(described, t, all_, policies.evaluations(broken, rules_of), result, failed, timings)
 
 
+#: The tables of a report whose rows have ids.
+WITH_IDS = ("files", "modules", "components", "hooks", "contexts", "routes", "symbols", "nodes", "edges")
+
+
 def report_problems(ids: dict[str, DataFrame], files: DataFrame) -> list[str]:
-    """What a report must not have: ids that repeat, paths that aren't normal."""
+    """What a report must not have: ids that repeat (in those of WITH_IDS, or any other tables given), paths that aren't normal."""
     out = [name for name, df in ids.items() if not df.groupBy("id").count().where("count > 1").isEmpty()]
     return out + (["paths"] if not files.where(F.col("path").contains("\\") | F.col("path").contains("//")).isEmpty() else [])

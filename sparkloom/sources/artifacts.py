@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SECTIONS = ("metadata", "project", "summary", "metrics", "score", "findings", "graph", "analysis")
-SCHEMA_ID = "sparkloom:analysis:1"
-SENSITIVE = re.compile(r"^(source|content|code|snippet|token|secret|password|env|environment|absolutePath)$", re.I)
+SCHEMA_ID, VERSION = "sparkloom:analysis:1", "1.0.0"
+# Parts of names whose values are never published.
+SENSITIVE = re.compile(r"api[-_]?key|authorization|cookie|password|secret|source|token|username", re.I)
 SCHEMA = {
     "$id": SCHEMA_ID, "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "additionalProperties": False,
     "properties": {s: {"type": "array", "items": {"type": "object"}} if s == "findings" else {"type": "object"} for s in SECTIONS}, "required": [*SECTIONS],
@@ -49,9 +50,18 @@ def sanitized(value: object) -> object:
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
+def published(rows: list[dict]) -> list[dict]:
+    """Rows (findings, graph nodes) whose metadata is sanitized; what has none stays as it is."""
+    return [r | {"metadata": sanitized(r["metadata"])} if isinstance(r.get("metadata"), dict) else r for r in rows]
+
+
+def _absolute(path: object) -> bool:
+    return bool(re.match(r"[/\\\\]|[A-Za-z]:[/\\\\]", str(path)))
+
+
 def _unsafe(value: object) -> bool:
     if isinstance(value, str):
-        return value.startswith("/")
+        return _absolute(value)
     if isinstance(value, list):
         return any(map(_unsafe, value))
     if isinstance(value, dict):
@@ -63,12 +73,13 @@ def checked(artifact: dict) -> dict:
     """The artifact, if it is safe to publish: its sections in order, a relative root, no absolute path or sensitive key."""
     if not isinstance(artifact, dict) or tuple(artifact) != SECTIONS:
         raise TypeError("an artifact has its eight sections in order")
-    if artifact["metadata"].get("schema") != SCHEMA_ID:
-        raise TypeError("the metadata names the schema")
-    if not isinstance(artifact["findings"], list) or artifact["project"].get("root") != ".":
+    if not isinstance(artifact["metadata"], dict) or artifact["metadata"].get("schema") != SCHEMA_ID or artifact["metadata"].get("version") != VERSION:
+        raise TypeError("the metadata names the schema and its version")
+    if not isinstance(artifact["findings"], list) or not isinstance(artifact["project"], dict) or artifact["project"].get("root") != ".":
         raise TypeError("an artifact has findings and a relative root")
-    places = [f.get("file", "") for f in artifact["findings"]] + [n.get("path", "") for n in artifact["graph"].get("nodes", [])]
-    if any(str(p).startswith("/") for p in places) or any(_unsafe(f.get("metadata")) for f in artifact["findings"]):
+    nodes = artifact["graph"].get("nodes", []) if isinstance(artifact["graph"], dict) else []
+    places = [f.get("file", "") for f in artifact["findings"]] + [n.get("path", "") for n in nodes]
+    if any(map(_absolute, places)) or any(_unsafe(x.get("metadata")) for x in [*artifact["findings"], *nodes]):
         raise TypeError("no absolute paths, endless numbers or sensitive keys")
     return artifact
 
@@ -111,8 +122,10 @@ def archive(spark: SparkSession, path: str, generated_at: str, overall: float) -
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """generated_at, overall: from a history table, or a folder of JSON artifacts, of which those that can't be read are left out."""
+    """generated_at, overall: from a history table, or else from a folder of JSON artifacts, of which those that can't be read are left out."""
     try:
+        if list(Path(path).glob("*.json")):
+            return archived(spark, path)
         return spark.read.schema("generated_at string, overall double").parquet(path).where("generated_at IS NOT NULL AND overall IS NOT NULL")
     except Exception:  # noqa: BLE001  no such table yet
         return spark.createDataFrame([], "generated_at string, overall double")
@@ -125,6 +138,11 @@ def archived(spark: SparkSession, path: str, most: int = 7) -> DataFrame:
     return points.orderBy(F.desc("generated_at")).limit(most)
 
 
+def archive_report(text: str, folder: str | Path, generated_at: str) -> Path:
+    """Keeps a JSON artifact in the folder of the history, under a name from its time."""
+    return save(text, Path(folder) / f"analysis-{re.sub('[^0-9A-Za-z]+', '-', generated_at).strip('-')}.json")
+
+
 def save(text: str, path: str | Path) -> Path:
     """Writes a text; if there is a file of that name, under the next free one."""
     path = Path(path)

@@ -104,7 +104,14 @@ def test_whole_analysis(spark, tree):
     assert paths["react"] == "package" and paths["./missing.css"] == "missing" and paths["src/b.ts"] == "module"
     out = done.artifact("2024-01-01T00:00:00Z")
     assert json.loads(artifacts.as_json(out))["project"]["root"] == "." and "<script" in artifacts.as_html(out) and "Score" in artifacts.as_text(out)
-    assert engine.report_problems({"modules": done.tables["modules"], "nodes": done.tables["nodes"]}, done.tables["files"]) == []
+    assert engine.report_problems({k: done.tables[k] for k in engine.WITH_IDS}, done.tables["files"]) == []
+    nodes = done.tables["nodes"]
+    assert engine.report_problems({"nodes": nodes.unionByName(nodes.limit(1))}, done.tables["files"].withColumn("path", F.lit("a//b"))) == ["nodes", "paths"]
+    assert all(x["metric"] and x["recommended"] is None for f in out["findings"] for x in f["evidence"]) and any(f["evidence"] for f in out["findings"])
+    assert [e["message"] for e in out["analysis"]["parser_errors"]] == ["( isn't closed"]
+    kept = [artifacts.archive_report(artifacts.as_json(done.artifact(t)), tree / "past", t) for t in ("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z")]
+    (tree / "past/broken.json").write_text("{")
+    assert len({*kept}) == 2 and [r["generated_at"] for r in artifacts.history(spark, str(tree / "past")).orderBy("generated_at").collect()] == ["2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z"]
 
 
 def test_cli(spark, tree, capsys):
@@ -145,7 +152,18 @@ def test_rule_engine(spark):
 def test_artifact_checks():
     with pytest.raises(TypeError):
         artifacts.checked({"metadata": {}})
-    assert artifacts.sanitized({"b": [float("nan")], "source": 1, "a": {"token": 2}}) == {"a": {}, "b": [None]}
+    private = {"apiKey": 1, "api_key": 1, "Authorization": 1, "setCookie": 1, "accessToken": 1, "userName2": 1, "dbPassword": 1, "sourceText": 1, "clientSecret": 1}
+    assert artifacts.sanitized({"b": [float("nan"), {"x": private}], "a": private | {"kept": 2}} | private) == {"a": {"kept": 2}, "b": [None, {"x": {}}]}
+    good = {"metadata": {"schema": artifacts.SCHEMA_ID, "version": artifacts.VERSION}, "project": {"root": "."}, "summary": {}, "metrics": {}, "score": {}, "findings": [{"file": "src/a.ts", "metadata": {"n": 1}}], "graph": {"nodes": [{"path": "src/a.ts", "metadata": {"fileId": "1"}}]}, "analysis": {}}
+    assert artifacts.checked(good) is good
+    wrong = [
+        {"metadata": {"schema": artifacts.SCHEMA_ID, "version": "2"}}, {"findings": [{"file": "C:/a.ts"}]}, {"findings": [{"file": "a.ts", "metadata": {"nested": [{"accessToken": "t"}]}}]}, {"findings": [{"file": "a.ts", "metadata": {"n": float("inf")}}]},
+        {"graph": {"nodes": [{"path": "/root/a.ts"}]}}, {"graph": {"nodes": [{"path": "a.ts", "metadata": {"cookie": 1}}]}}, {"graph": {"nodes": [{"path": "a.ts", "metadata": {"at": "/home/x"}}]}}, {"project": {"root": "/x"}},
+    ]
+    for w in wrong:
+        with pytest.raises(TypeError):
+            artifacts.checked(good | w)
+    assert artifacts.published([{"metadata": private | {"z": 1}}, {"a": 1}]) == [{"metadata": {"z": 1}}, {"a": 1}]
     ok = {"cohort": " c ", "sampleSize": 40, "score": {"p25": 55, "p50": 70, "p75": 85}, "version": "1"}
     assert artifacts.benchmark_profile(ok)["cohort"] == "c"
     for bad in ({}, ok | {"sampleSize": 0}, ok | {"score": {"p25": 9, "p50": 1, "p75": 2}}, ok | {"cohort": " "}, ok | {"framework": ""}):
