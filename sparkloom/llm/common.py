@@ -9,43 +9,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+from pyspark.sql.types import StructType
 
-from ..functions.session import shipped, stored, table  # noqa: F401  for the operators
-
-#: Most rows and bytes of a side that may be broadcast, counted before the hint is given; a larger side is shuffled.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes what stored() wrote."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def _bytes(name: str, kind: DataType) -> Column:
-    c = F.col(f"`{name}`")
-    if isinstance(kind, (StringType, BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
-    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
-        return F.greatest(F.size(c), F.lit(0)) * 8 + 16
-    if isinstance(kind, ArrayType) and isinstance(kind.elementType, StructType) and not any(isinstance(f.dataType, (StringType, BinaryType, ArrayType, StructType)) for f in kind.elementType):
-        return F.greatest(F.size(c), F.lit(0)) * 8 * (len(kind.elementType) + 2) + 16
-    if isinstance(kind, (ArrayType, StructType)):
-        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
-    return F.lit(8)
-
-
-def bounded(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes, both counted; otherwise as it is, to be shuffled."""
-    row = F.lit(16)
-    for f in df.schema:
-        row = row + _bytes(f.name, f.dataType)
-    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row.cast("long")), F.lit(0))).first()
-    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
+from ..functions.session import bounded, dropped, shipped, stored, table  # noqa: F401  for the operators
 
 
 def nonnull(text: Column) -> Column:

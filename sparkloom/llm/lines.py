@@ -24,7 +24,7 @@ from pyspark.sql.types import LongType
 from .common import bounded, dropped, map_arrow, nonnull, stored, table
 from .components import components
 from .hashing import char_shingles
-from .minhash import HOT_SAMPLE, Forest, connected, groups, hot_keys, members, prefix_length, shared, sized
+from .minhash import HOT_SAMPLE, Forest, connected, groups, hot_keys, members, prefix_length, shared
 from .near import _distinct, joined_sets
 
 SHINGLE, THRESHOLD, BANDS, RECALL = 6, 0.8, 11, 0.995
@@ -93,13 +93,12 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     hot = hot_keys(band_keys(docs.sample(min(1.0, HOT_SAMPLE / max(1, docs.count())), 5), forest))
     keys = stored(shared(band_keys(docs, forest), hot), "shared")
     grouped = stored(groups(keys.select("key", "node")), "grouped")
-    size = sized(grouped, known)
-    proposed = stored(members(grouped, size, grouped.join(size.where("n_blocks = 1").select("group"), "group", "left_semi"), known), "members")
+    proposed = stored(members(grouped, known, links=False)[0], "members")
     dropped(keys)
     docs.sparkSession.sparkContext._jvm.System.gc()  # then Spark deletes the shuffle files that nothing refers to
     once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
     texts = once.join(bounded(proposed.drop("n_items")), ["node", "id"])
-    joined = components(stored(connected(texts, forest, make), "links"))
+    joined = components(stored(connected(proposed, texts, forest, make), "links"))
     first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))
     near = joined.join(first, "component").select("node", "least", "component")
     return distinct.join(near, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "id").alias("least"), F.coalesce("component", "node").alias("component"))

@@ -11,9 +11,9 @@ shared: its rows need not meet, and are dealt by the next deeper node, or by the
 links. No pair becomes a row: a task returns the number of links and one edge for each text. A group of n blocks sends each of its
 texts n times, since all its pairs are asked for.
 
-`connected` asks for the connected components alone. A block is compared with itself and with two hubs of the group; what that
-connects goes on as one, and only the texts outside the group's greatest component meet the other blocks. So near copies of one
-text, however many, are sent once.
+`connected` asks for the connected components alone. A block is compared with itself and with a hub, the group's least node; only the
+texts that this doesn't connect with the hub, the rest, meet the other blocks. So near copies of one text, however many, are sent once
+or twice; work grows with the square of the rest alone.
 """
 
 from __future__ import annotations
@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, map_arrow, stored
-from .components import components
-from .hashing import mix
+from .hashing import mix, ranges
 
 DEPTH = 8
 #: Texts, and elements of their sets, that a block has on average at most.
@@ -130,18 +129,20 @@ def groups(rows: DataFrame, round_: int = 0) -> DataFrame:
     return rows.join(named, "key").select("group", "node").distinct()
 
 
-def sized(grouped: DataFrame, nodes: DataFrame) -> DataFrame:
-    """grouped: group, node; nodes: node, n_items. By group: n_blocks, and two of its nodes, the hubs."""
-    total = grouped.join(nodes.select("node", "n_items"), "node").groupBy("group")
-    n = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_items") / BLOCK_ITEMS, F.lit(1.0))
-    return stored(total.agg(F.ceil(n).cast("int").alias("n_blocks"), F.min("node").alias("hub"), F.max("node").alias("hub2")), "sized")
-
+def members(grouped: DataFrame, nodes: DataFrame, links: bool, earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """grouped: group, node; nodes: node, n_items and more; earlier: names of earlier rounds.
 
-def members(grouped: DataFrame, size: DataFrame, every: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Rows of grouped with those of nodes, the group's size, the row's block, and `groups`: in which of `every` (group, node) the node is."""
+    Rows of both with n_blocks and hub (the least node) of the group, the row's block, and `groups`: the names of those groups of the
+    node, of this and earlier rounds, in which all pairs are compared (without links, groups of one block). And those names: group, node.
+    """
+    known = stored(grouped.join(nodes, "node"), "known")
+    n = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n_items") / BLOCK_ITEMS, F.lit(1.0))
+    size = stored(known.groupBy("group").agg(F.ceil(n).cast("int").alias("n_blocks"), F.min("node").alias("hub")), "sized")
+    both = known.join(size, "group")
+    names = stored((both if links else both.where("n_blocks = 1")).select("group", "node"), "names")
+    every = names if earlier is None else names.unionByName(earlier)
     held = every.groupBy("node").agg(F.collect_set("group").alias("groups"))  # as many as trees and rounds at most
-    known = stored(grouped.join(nodes.join(held, "node", "left"), "node"), "known")
-    return known.join(size, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    return both.join(held, "node", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")), every
 
 
 #: Makes from texts and nodes: the places of the texts that have sets, and their elements (sorted, distinct) and offsets.
@@ -163,31 +164,31 @@ def verified(texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
     return _compare(dealt, forest, make)
 
 
-def connected(texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
-    """The same rows, but of as many links only as connect what is connected; `groups` of texts names groups of one block alone."""
+def connected(proposed: DataFrame, texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
+    """The same rows, but of as many links only as connect what is connected. proposed: members without links; texts: those with weight and text."""
     big = F.col("n_blocks") > 1
-    here = F.when(big & ((F.col("node") == F.col("hub")) | (F.col("node") == F.col("hub2"))), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))
+    here = F.when(big & (F.col("node") == F.col("hub")), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))
     order = F.when(big, F.lit(int(_LAST))).otherwise(F.col("group")).alias("order")
     columns = ["group", "node", "weight", "groups", "text"]
     first = texts.withColumn("_i", F.explode(here)).select(*columns, "_i", F.col("_i").alias("_j"), F.col("_i").alias("block"), order)
     links = stored(_compare(first, forest, make), "links")
-    large = texts.where(big).select("group", "node", "block", "n_blocks")
+    large = stored(proposed.where(big).select("group", "node", "block", "n_blocks", "hub"), "large")
     if large.isEmpty():
         return links
-    of = large.join(components(links), "node", "left").select("group", "node", "block", "n_blocks", F.coalesce("component", "node").alias("component"))
-    of = stored(of, "connected")
-    most = of.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.sum("n").alias("all"), F.max("n").alias("n"))
-    most = stored(most.where(F.col("n") < F.col("all")).select("group", "most", F.ceil((F.col("all") - F.col("n")) / BLOCK_TEXTS).cast("int").alias("n_rest")), "rest")
+    # the least of a connected part of a block is the hub, if that is in it
+    joined = links.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.lit(False).alias("rest")).distinct()
+    of = stored(large.join(joined, ["node", "hub"], "left").withColumn("rest", F.coalesce("rest", F.col("node") != F.col("hub"))), "hubs")
+    most = stored(of.groupBy("group").agg(F.count_if("rest").alias("n")).where("n > 0").select("group", F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("n_rest")), "rest")
     if most.isEmpty():
         return links
-    of = of.join(bounded(most), "group").withColumn("rest", F.col("component") != F.col("most"))
+    of = of.join(bounded(most), "group")
     mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_rest")).cast("int")
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # a block of the rest is numbered from -1 down, so that it can't be one of the others
     with_rest = F.transform(to("n_rest"), lambda i: F.struct((-1 - F.greatest(i, mine)).alias("i"), (-1 - F.least(i, mine)).alias("j")))
-    with_most = F.transform(to("n_blocks"), lambda i: F.struct((-1 - mine).alias("i"), i.alias("j")))
-    most_with = F.transform(to("n_rest"), lambda i: F.struct((-1 - i).alias("i"), F.col("block").alias("j")))
-    tasks = F.explode(F.when(F.col("rest"), F.concat(with_rest, with_most)).otherwise(most_with))
+    with_others = F.transform(to("n_blocks"), lambda i: F.struct((-1 - mine).alias("i"), i.alias("j")))
+    others_with = F.transform(to("n_rest"), lambda i: F.struct((-1 - i).alias("i"), F.col("block").alias("j")))
+    tasks = F.explode(F.when(F.col("rest"), F.concat(with_rest, with_others)).otherwise(others_with))
     pairs = of.withColumn("t", tasks).select("group", "node", F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), F.when(F.col("rest"), -1 - mine).otherwise(F.col("block")).alias("_block"))
     second = texts.where(big).select(*columns, order).join(stored(pairs, "second"), ["group", "node"]).withColumnRenamed("_block", "block")
     return links.unionByName(stored(_compare(second, forest, make), "links"))
@@ -245,19 +246,11 @@ def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make, misse
         rows, flat, at = rows[first], flat[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[first])])
         where = np.searchsorted(rows, ends)
     node, weight, block, last = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "order"))
-    names = [x or [] for x in t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()]
-    found = []
-    for lo, hi in zip(where[:-1], where[1:], strict=True):
-        if hi - lo < 2:
-            continue
-        if hi - lo == 2:  # most groups: two texts
-            a, b = flat[at[lo] : at[lo + 1]], flat[at[lo + 1] : at[lo + 2]]
-            if node[lo] != node[lo + 1] and not elsewhere(names[lo], names[lo + 1], last[lo]):
-                n = len(np.intersect1d(a, b, assume_unique=True))
-                if n >= threshold * (len(a) + len(b) - n) - 1e-9:
-                    low = min(node[lo], node[lo + 1])
-                    found.append((node[lo : lo + 2], np.array([low, low]), weight[[lo + 1, lo]], np.ones(2, np.int64), missed(np.full(2, n / (len(a) + len(b) - n)))))
-            continue
+    count, whole = np.diff(where), np.diff(ends)
+    found = [*_pairs(where[:-1][(count == 2) & (whole == 2)], node, weight, flat, at, threshold, missed)]  # most groups; none of these is compared elsewhere
+    several = np.flatnonzero((count >= 2) & (whole > 2))
+    names = [x or [] for x in t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()] if len(several) else []
+    for lo, hi in zip(where[:-1][several], where[1:][several], strict=True):
         items = [flat[x:y] for x, y in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=True)]
         found.append(_block(node[lo:hi], weight[lo:hi], block[lo:hi], names[lo:hi], int(last[lo]), items, threshold, missed))
     if found:
@@ -266,6 +259,19 @@ def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make, misse
         yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(links[on].astype(np.int64)), pa.array(pairs[on].astype(np.int64)), pa.ListArray.from_arrays(np.arange(on.sum() + 1, dtype=np.int32) * expected.shape[1], expected[on].reshape(-1))], names=["a", "b", "links", "pairs", "expected"])
 
 
+def _pairs(first: np.ndarray, node: np.ndarray, weight: np.ndarray, flat: np.ndarray, at: np.ndarray, threshold: float, missed: Missed) -> Iterator[tuple[np.ndarray, ...]]:
+    """The links between the rows at `first` and those after them, many at once: of a pair and an element in one number, equal ones are shared."""
+    for lo in (first[i : i + 4096] for i in range(0, len(first), 4096)):
+        size = at[lo + 2] - at[lo]
+        both = np.sort(np.repeat(np.arange(len(lo), dtype=np.uint64) << np.uint64(52), size) | flat[ranges(at[lo], size)])
+        n = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(lo))
+        on = (n >= threshold * (size - n) - 1e-9) & (node[lo] != node[lo + 1])
+        lo, s = lo[on], n[on] / (size[on] - n[on])
+        if len(lo):
+            low = np.minimum(node[lo], node[lo + 1])
+            yield np.concatenate([node[lo], node[lo + 1]]), np.concatenate([low, low]), np.concatenate([weight[lo + 1], weight[lo]]), np.ones(2 * len(lo), np.int64), np.concatenate([missed(s)] * 2)
+
+
 def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[list[int]], group: int, items: list[np.ndarray], threshold: float, missed: Missed) -> tuple[np.ndarray, ...]:
     """One block with itself, or two with each other: the nodes, the least node that each is connected with, the links' weights, number and expectation."""
     left = np.flatnonzero(block == block.min())

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import bounded, map_arrow, stored, table
 from .components import components
 from .hashing import chunks, mix, word_shingles
-from .minhash import HOT_SAMPLE, Forest, Make, chance, connected, groups, hot_keys, members, prefix_length, shared, sized, verified
+from .minhash import HOT_SAMPLE, Forest, Make, chance, connected, groups, hot_keys, members, prefix_length, shared, verified
 
 SHINGLE, THRESHOLD, TREES, RECALL = 5, 0.8, 16, 0.999
 #: The estimated share of all links at which the search ends before the least depth.
@@ -127,23 +127,21 @@ def similar(docs: DataFrame, distinct: DataFrame, forest: Forest, make: Make, li
     known = distinct.select("node", "id", "hash", F.col("copies").alias("weight"), "n_items")
     found: DataFrame | None = None
     names: DataFrame | None = None
-    size: DataFrame | None = None
+    seen: DataFrame | None = None
     pairs, expected = 0, [0.0] * len(forest.depths)
     for round_, (level, depth) in enumerate(sorted(enumerate(forest.depths, 1), reverse=True)):
         grouped = groups(nodes_of.where(F.col("level") == level).select("key", "node"), round_)
-        if names is not None:  # groups of the same nodes were compared before
+        if seen is not None:  # groups of the same nodes were compared before
             bare = lambda c: F.col(c).bitwiseAND(F.lit((1 << 58) - 1))
-            grouped = grouped.join(names.select(bare("group").alias("_g")).distinct(), bare("group") == F.col("_g"), "left_anti")
+            grouped = grouped.join(seen.select(bare("group").alias("_g")).distinct(), bare("group") == F.col("_g"), "left_anti")
         grouped = stored(grouped, "grouped")
-        own = sized(grouped, known)
-        size = own if size is None else size.unionByName(own)
-        names = grouped if names is None else names.unionByName(grouped)
-        every = names if links else names.join(size.where("n_blocks = 1").select("group"), "group", "left_semi")
-        proposed = stored(members(grouped, own, every, known), "members")
+        seen = grouped if seen is None else seen.unionByName(grouped)
+        proposed, names = members(grouped, known, links, names)
+        proposed = stored(proposed, "members")
         # repeated rows that share a doc_id are sent once
         once = docs.join(bounded(proposed.select("id", "hash").distinct()), ["id", "hash"]).dropDuplicates(["id", "hash"])
         texts = once.join(bounded(proposed.drop("n_items")), ["id", "hash"])
-        told = stored((verified if links else connected)(texts, forest, make), "links")
+        told = stored(verified(texts, forest, make) if links else connected(proposed, texts, forest, make), "links")
         found = told if found is None else found.unionByName(told)
         row = told.agg(F.coalesce(F.sum("pairs"), F.lit(0)), *(F.coalesce(F.sum(F.col("expected")[i]), F.lit(0.0)) for i in range(len(expected)))).first()
         pairs, expected = pairs + row[0], [x + y for x, y in zip(expected, row[1:], strict=True)]

@@ -204,9 +204,9 @@ def test_repeated_line_is_compared_once(spark, monkeypatch):
     one, other = " ".join(base), " ".join([*base[:10], "other", *base[11:]])
     sent = []
 
-    def counted(texts, *more):
+    def counted(proposed, texts, *more):
         sent.append(texts.groupBy("group", "node").count().agg({"count": "max"}).first()[0])
-        return minhash.connected(texts, *more)
+        return minhash.connected(proposed, texts, *more)
 
     monkeypatch.setattr(lines, "connected", counted)
     got = lines.dedup_lines(spark.createDataFrame([(1, "\n".join([one] * 500)), (1, one + "\nmore"), (2, other + "\nsaid once only")], "doc_id long, text string"))
