@@ -8,8 +8,8 @@ over all words of all texts. A unit's license is the template with the greatest
 in the name alone, at LEAST_SPDX); a text's is that of its best unit (of equals the whole text, then paragraphs, then lines; then
 the first unit; then the first license by name).
 
-Units are weighed only if they hold a telling word: those that are left of a template when its lightest words go, as long as these
-together weigh less than LEAST of it. Without one of them no unit can reach that cosine, so nothing is lost. Equal texts are weighed
+Units are weighed only if they hold a telling word: those that are left of a template when its words that most texts have go, as long
+as these together weigh less than LEAST of it. Without one of them no unit can reach that cosine, so nothing is lost. Equal texts are weighed
 once.
 
 A text whose license unit holds at least half of its words, or whose name says so (LICENSE, LICENCE, COPYING), is a license
@@ -101,8 +101,8 @@ def template_weights(frequencies: DataFrame, n: int, given: tuple[tuple[str, str
         w = {t: c * (math.log((1 + n) / (1 + seen.get(t, 0))) + 1) for t, c in tf.items()}
         norm, light = sum(v * v for v in w.values()), 0.0
         unit += [(name, form, least, t, v / math.sqrt(norm)) for t, v in w.items()]
-        for v, t in sorted((v, t) for t, v in w.items()):
-            light += v * v
+        for t in sorted(w, key=lambda t: (-seen.get(t, 0), t)):
+            light += w[t] * w[t]
             if light >= 0.999 * least * least * norm:
                 telling.add(t)
     return spark.createDataFrame(unit, "license string, form int, least double, term string, w double"), sorted(telling)
