@@ -27,7 +27,7 @@ _CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)[^{;]*\{")
 _VARIABLE = re.compile(r"\b(?:const|let|var)\s+([A-Z][\w$]*)\s*(?::[^=\n]+)?=\s*(?:(?:async\s*)?(\()|(?:async\s+)?[\w$]+\s*=>|(?:React\s*\.\s*)?(?:memo|forwardRef|lazy)\b\s*(?:<[^()]*>)?\s*(\())")
 _HOOK = re.compile(r"(?<![\w$])(use[\w$]*|createContext)\s*(?:<[^()]*>)?\s*\(")
 _ROUTE = re.compile(r"""<Route\b[^>]*?\bpath\s*=\s*\{?\s*(["'])([^"'\n]*)\1""")
-_SYMBOL = re.compile(r"\b(function|class|interface|enum|type|const|let|var)\b\s*\*?\s*([A-Za-z_$][\w$]*)")
+_SYMBOL = re.compile(r"\b(function|class|interface|enum|type(?=\s+[\w$]+\s*[=<])|const|let|var)\b\s*\*?\s*([A-Za-z_$][\w$]*)")
 _TAG = re.compile(r"<(/?)([A-Za-z][\w.$]*)?(?:\s(?:[^<>{}]|\{[^{}]*\})*)?(/?)>|</>|<>")
 _PAIR = {"(": ")", "{": "}", "[": "]"}
 

@@ -118,3 +118,64 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' paths as routes."""
     p = table(spark, sf_dir, "pages")
     return p.select(F.col("page_id").cast("string").alias("file_id"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"), F.lit(1).alias("line"))
+
+
+#: A source file of part #k; #n1 is k + 1 and so on, #m3 the rest of k by 3; every second default export has no name, every fourth file an open bracket.
+SOURCE = """import React, { useState as s#k, type Kind } from "react";
+import * as all from './p#n1';
+import "./missing#m3.css";
+import type { T#k } from "@/lib/u#m5";
+// import x from "not-this";
+const text = "import y from 'nor-this'";
+const lazy#k = () => import("./p#n2");
+export { a as b#k } from "./p#n1";
+export * from "./p#n3";
+export const Panel#k = ({ one, two }, three) => { const [v] = useState(#k); useEffect(() => {}); return <div><p>Don't<br/></p></div>; };
+export default function #app(props) {
+  const ctx = useContext(Theme#k);
+  return <Routes><Route path="/deep/#m10" element={<Panel#k/>} /></Routes>;
+}
+
+const Theme#k = createContext(null);
+interface Shape#k { x: number }
+enum Color { Red }
+const #end(1;
+"""
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as source files: file_id, path, text."""
+    k = F.col("p_partkey")
+    text = F.lit(SOURCE)
+    tokens = {"#n1": k + 1, "#n2": k + 2, "#n3": k + 3, "#m10": k % 10, "#m3": k % 3, "#m5": k % 5, "#app": F.when(k % 2 == 0, F.concat(F.lit("App"), k.cast("string"))).otherwise(F.lit("")), "#end": F.when(k % 4 == 0, F.lit("broken = (")).otherwise(F.lit("fine = 1; const more = 1; //")), "#k": k}
+    for token, value in tokens.items():
+        text = F.replace(text, F.lit(token), value.cast("string"))
+    return table(spark, sf_dir, "part").select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts as modules whose measures are taken from the part's size; every third is an index file."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    path = F.concat(F.lit("src/g"), (k % 40).cast("string"), F.lit("/"), F.when(k % 3 == 0, F.lit("index.ts")).otherwise(F.concat(F.lit("p"), k.cast("string"), F.lit(".ts"))))
+    return table(spark, sf_dir, "part").select(_id("p", "p_partkey").alias("id"), _id("p", "p_partkey").alias("file_id"), path.alias("path"), (n * 12).alias("line_count"), (n + (k % 20).cast("int")).alias("n_imports"), n.alias("n_exports"), F.lit(1).alias("function_count"))
+
+
+def measured_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One component in each of those modules."""
+    n = F.col("p_size")
+    names = lambda m: F.transform(F.sequence(F.lit(0), n % m), lambda i: F.concat(F.lit("x"), i.cast("string")))
+    return table(spark, sf_dir, "part").select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")).alias("name"), (n * 10).alias("line_count"), names(15).alias("props"), (n % 12).alias("jsx_depth"), names(20).alias("hooks"))
+
+
+def measured_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(spark, sf_dir).select("id", "path")
+
+
+#: Paths of part #k that a scan passes by or keeps, by the rest of k by 8.
+LISTED = (".hidden/p#k.ts", "src/p#k.test.ts", "src/p#k.stories.tsx", "src/p#k.d.ts", "node_modules/q/p#k.js", "src/.p#k.ts", "src/P#k.JSX", "src/p#k.spec.mjs")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    path = F.replace(F.get(F.array(*map(F.lit, LISTED)), (k % len(LISTED)).cast("int")), F.lit("#k"), k.cast("string"))
+    return table(spark, sf_dir, "part").select(path.alias("path"), F.col("p_size").cast("long").alias("size"), F.lit(0).alias("last_modified"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,21 +11,8 @@ from ..operators import graph, policies, report, resolve, rules
 from ..operators import score as scoring
 from ..sources import project
 from . import adapters as a
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function by its name, with its SQL."""
-
-    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return keep
+from . import source_queries  # noqa: F401  registers more
+from .registry import ORACLES, QUERIES, query, run_rule, told  # noqa: F401
 
 
 def _case(column: str, values: dict) -> str:
@@ -86,8 +71,8 @@ def score_contributors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TOTAL} SELECT (SELECT count(*) FILTER (score >= 90) FROM c) AS healthy, array_to_string((SELECT list(category || ' needs attention.' ORDER BY category) FROM c WHERE score < 75), '|') AS weaknesses FROM t")
 def score_explanation(spark: SparkSession, d: str) -> DataFrame:
     s = scoring.score(a.findings(spark, d))
-    told = scoring.explanation(s.categories, s.total, 1, 1).select(F.array_join("weaknesses", "|").alias("weaknesses"))
-    return s.categories.agg(F.count_if(F.col("score") >= 90).alias("healthy")).crossJoin(told)
+    said = scoring.explanation(s.categories, s.total, 1, 1).select(F.array_join("weaknesses", "|").alias("weaknesses"))
+    return s.categories.agg(F.count_if(F.col("score") >= 90).alias("healthy")).crossJoin(said)
 
 
 @query(f"SELECT c_custkey, x AS score, {_GRADE.format('x')} AS grade FROM (SELECT c_custkey, {_up('greatest(0, least(100, c_acctbal / 100))')} AS x FROM customer)")
@@ -376,68 +361,55 @@ def policy_evaluations(spark: SparkSession, d: str) -> DataFrame:
 _LINKS = "i AS (SELECT page_id::VARCHAR AS file_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS source FROM pages)"
 
 
-def _rule(spark: SparkSession, d: str, rule: str, thresholds: dict | None = None, **tables: DataFrame) -> DataFrame:
-    """One rule of the catalogue over the given tables, through the engine."""
-    ctx = rules.Context({"files": a.files(spark, d), **tables}, thresholds={rule: thresholds or {}})
-    found, failed = rules.execute(ctx, rules.Registry(tuple(r for r in rules.RULES if r.id == rule)))
-    if failed:
-        raise RuntimeError(failed)
-    return found.select("id", "rule_id", "severity", "file", "line", "description")
-
-
-def _told(rule: str, severity: str, file: str, line: str, description: str) -> str:
-    return f"sha256('{rule}:' || {file} || ':' || {line} || ':' || {description}) AS id, '{rule}' AS rule_id, '{severity}' AS severity, {file} AS file, {line}::INTEGER AS line, {description} AS description"
-
-
-@query(f"WITH {_LINKS}, {_MODULES} SELECT DISTINCT {_told('duplicate-imports', 'warning', 'file', '1', 'said')} FROM (SELECT coalesce(path, '.') AS file, 'The module imports ' || source || ' ' || count(*) || ' times.' AS said FROM i LEFT JOIN m ON m.id = i.file_id GROUP BY file_id, path, source HAVING count(*) >= 2)")
+@query(f"WITH {_LINKS}, {_MODULES} SELECT DISTINCT {told('duplicate-imports', 'warning', 'file', '1', 'said')} FROM (SELECT coalesce(path, '.') AS file, 'The module imports ' || source || ' ' || count(*) || ' times.' AS said FROM i LEFT JOIN m ON m.id = i.file_id GROUP BY file_id, path, source HAVING count(*) >= 2)")
 def duplicate_imports(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, "duplicate-imports", imports=a.page_imports(spark, d))
+    return run_rule(spark, d, "duplicate-imports", imports=a.page_imports(spark, d))
 
 
-@query(f"WITH {_MODULES}, x AS (SELECT m.path, d.doc_id, split_part(replace(text, chr(10), ' '), ' ', 1) AS name FROM documents d JOIN m USING (doc_id)) SELECT DISTINCT {_told('unused-export', 'info', 'path', '1', 'said')} FROM (SELECT path, name || ' is not imported by another scanned module.' AS said FROM x WHERE doc_id % 5 <> 0 AND name NOT IN ('default', '*') AND name NOT IN (SELECT ltrim(source, '/') FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS source FROM pages)))")
+@query(f"WITH {_MODULES}, x AS (SELECT m.path, d.doc_id, split_part(replace(text, chr(10), ' '), ' ', 1) AS name FROM documents d JOIN m USING (doc_id)) SELECT DISTINCT {told('unused-export', 'info', 'path', '1', 'said')} FROM (SELECT path, name || ' is not imported by another scanned module.' AS said FROM x WHERE doc_id % 5 <> 0 AND name NOT IN ('default', '*') AND name NOT IN (SELECT ltrim(source, '/') FROM (SELECT unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS source FROM pages)))")
 def unused_exports(spark: SparkSession, d: str) -> DataFrame:
     named = a.page_imports(spark, d).select("file_id", "source", F.array(F.ltrim(F.col("source"), F.lit("/"))).alias("specifiers"))
-    return _rule(spark, d, "unused-export", imports=named, exports=a.exports(spark, d))
+    return run_rule(spark, d, "unused-export", imports=named, exports=a.exports(spark, d))
 
 
-@query(f"WITH {_MODULES} SELECT {_told('anonymous-default-export', 'warning', 'path', '1', chr(39) + 'A default export has no stable symbol name.' + chr(39))} FROM m WHERE doc_id % 10 = 0")
+@query(f"WITH {_MODULES} SELECT {told('anonymous-default-export', 'warning', 'path', '1', chr(39) + 'A default export has no stable symbol name.' + chr(39))} FROM m WHERE doc_id % 10 = 0")
 def anonymous_exports(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, "anonymous-default-export", exports=a.exports(spark, d))
+    return run_rule(spark, d, "anonymous-default-export", exports=a.exports(spark, d))
 
 
-@query(f"WITH {_MODULES} SELECT {_told('oversized-module', 'warning', 'path', '1', 'said')} FROM (SELECT path, path || ' has ' || n || ' logical lines.' AS said FROM (SELECT path, len(string_split(text, chr(10))) AS n FROM m JOIN documents USING (doc_id)) WHERE n > 15)")
+@query(f"WITH {_MODULES} SELECT {told('oversized-module', 'warning', 'path', '1', 'said')} FROM (SELECT path, path || ' has ' || n || ' logical lines.' AS said FROM (SELECT path, len(string_split(text, chr(10))) AS n FROM m JOIN documents USING (doc_id)) WHERE n > 15)")
 def oversized_modules(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, "oversized-module", {"maxLines": 15}, modules=a.modules(spark, d))
+    return run_rule(spark, d, "oversized-module", {"maxLines": 15}, modules=a.modules(spark, d))
 
 
-@query(f"WITH {_MODULES} SELECT {_told('excessive-file-count', 'warning', chr(39) + '.' + chr(39), '1', 'said')} FROM (SELECT 'src/' || s || '/' || l || ' contains ' || count(*) || ' files.' AS said FROM m GROUP BY s, l HAVING count(*) > 10)")
+@query(f"WITH {_MODULES} SELECT {told('excessive-file-count', 'warning', chr(39) + '.' + chr(39), '1', 'said')} FROM (SELECT 'src/' || s || '/' || l || ' contains ' || count(*) || ' files.' AS said FROM m GROUP BY s, l HAVING count(*) > 10)")
 def excessive_files(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, "excessive-file-count", {"maxFiles": 10})
+    return run_rule(spark, d, "excessive-file-count", {"maxFiles": 10})
 
 
-@query(f"WITH {_MODULES}, x AS (SELECT page_id::VARCHAR AS id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS route FROM pages) SELECT DISTINCT {_told('deeply-nested-routes', 'warning', 'file', '1', 'said')} FROM (SELECT coalesce(path, '.') AS file, route || ' has ' || len(list_filter(string_split(route, '/'), lambda p: p <> '')) || ' route levels.' AS said FROM x LEFT JOIN m USING (id) WHERE len(list_filter(string_split(route, '/'), lambda p: p <> '')) > 1)")
+@query(f"WITH {_MODULES}, x AS (SELECT page_id::VARCHAR AS id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS route FROM pages) SELECT DISTINCT {told('deeply-nested-routes', 'warning', 'file', '1', 'said')} FROM (SELECT coalesce(path, '.') AS file, route || ' has ' || len(list_filter(string_split(route, '/'), lambda p: p <> '')) || ' route levels.' AS said FROM x LEFT JOIN m USING (id) WHERE len(list_filter(string_split(route, '/'), lambda p: p <> '')) > 1)")
 def nested_routes(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, "deeply-nested-routes", {"maxDepth": 1}, routes=a.routes(spark, d))
+    return run_rule(spark, d, "deeply-nested-routes", {"maxDepth": 1}, routes=a.routes(spark, d))
 
 
-@query(f"WITH {_RESOLVED} SELECT {_told('long-relative-import', 'warning', 'source_path', 'line', 'said')} FROM (SELECT source_path, line, source || ' traverses 1 parent directories.' AS said FROM r WHERE type = 'relative')")
+@query(f"WITH {_RESOLVED} SELECT {told('long-relative-import', 'warning', 'source_path', 'line', 'said')} FROM (SELECT source_path, line, source || ' traverses 1 parent directories.' AS said FROM r WHERE type = 'relative')")
 def long_relative_imports(spark: SparkSession, d: str) -> DataFrame:
-    return _rule(spark, d, "long-relative-import", {"maxParentTraversals": 0}, imports=a.imports(spark, d))
+    return run_rule(spark, d, "long-relative-import", {"maxParentTraversals": 0}, imports=a.imports(spark, d))
 
 
-@query(f"WITH {_RESOLVED}, e AS (SELECT DISTINCT file_id, coalesce(target_id, source) AS t FROM r), x AS (SELECT m.path, 4 + len(string_split(text, chr(10))) / 25 + (SELECT count(*) FROM e WHERE e.file_id = m.id) + (SELECT count(*) FROM e WHERE e.t = m.id) AS v FROM m JOIN documents USING (doc_id)) SELECT {_told('god-module', 'warning', 'path', '1', 'said')} FROM (SELECT path, path || ' has combined complexity score ' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END || '.' AS said FROM x WHERE v > 8)")
+@query(f"WITH {_RESOLVED}, e AS (SELECT DISTINCT file_id, coalesce(target_id, source) AS t FROM r), x AS (SELECT m.path, 4 + len(string_split(text, chr(10))) / 25 + (SELECT count(*) FROM e WHERE e.file_id = m.id) + (SELECT count(*) FROM e WHERE e.t = m.id) AS v FROM m JOIN documents USING (doc_id)) SELECT {told('god-module', 'warning', 'path', '1', 'said')} FROM (SELECT path, path || ' has combined complexity score ' || CASE WHEN v = floor(v) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END || '.' AS said FROM x WHERE v > 8)")
 def god_modules(spark: SparkSession, d: str) -> DataFrame:
     done = resolve.classify(_resolved(spark, d))
     modules = a.modules(spark, d)
     edges = graph.upsert_edges(resolve.statements_of(done).withColumn("target", F.coalesce("target", F.lit(""))))
-    return _rule(spark, d, "god-module", {"maxScore": 8}, modules=modules, degrees=graph.degrees(modules, edges))
+    return run_rule(spark, d, "god-module", {"maxScore": 8}, modules=modules, degrees=graph.degrees(modules, edges))
 
 
-@query(f"WITH {_RESOLVED} SELECT {_told('orphan-module', 'warning', 'path', '1', 'said')} FROM (SELECT path, path || ' has no incoming or outgoing dependencies.' AS said FROM m WHERE id NOT IN (SELECT file_id FROM r WHERE target_id IS NOT NULL) AND id NOT IN (SELECT target_id FROM r WHERE target_id IS NOT NULL))")
+@query(f"WITH {_RESOLVED} SELECT {told('orphan-module', 'warning', 'path', '1', 'said')} FROM (SELECT path, path || ' has no incoming or outgoing dependencies.' AS said FROM m WHERE id NOT IN (SELECT file_id FROM r WHERE target_id IS NOT NULL) AND id NOT IN (SELECT target_id FROM r WHERE target_id IS NOT NULL))")
 def orphan_modules(spark: SparkSession, d: str) -> DataFrame:
     modules = a.modules(spark, d)
     edges = _resolved(spark, d).where("target_id IS NOT NULL").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
-    return _rule(spark, d, "orphan-module", modules=modules, orphans=graph.orphans(resolve.module_nodes(modules), edges))
+    return run_rule(spark, d, "orphan-module", modules=modules, orphans=graph.orphans(resolve.module_nodes(modules), edges))
 
 
 # --- scalar functions and the scan --------------------------------------------------------------------------------------------
