@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
-from ..functions.session import bounded, stored
+from ..functions.session import bounded, dropped, stored
+
+#: The most edges of a project that one task searches in order, and how often nodes without a way out are trimmed before.
+SEARCHED, TRIMS = 2_000_000, 6
 
 
 def upsert_edges(statements: DataFrame) -> DataFrame:
@@ -95,19 +98,41 @@ def shortest_path(edges: DataFrame, start: str | int, end: str | int) -> DataFra
     return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(path))], f"step int, id {kind}")
 
 
+def _state(edges: DataFrame) -> tuple[int, int]:
+    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
+    return r[0], r[1]
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """edges: a, b of one type (repeats, loops and either direction allowed). node, component (its least node); no edges, no rows.
+
+    Union-find by large-star and small-star steps until no edge changes. Every step is a minimum by key, taken before the shuffle too,
+    and a join with those minima; no component meets in one task and nothing but two numbers comes to the driver. Each round's edges
+    are stored in the shared folder, so a lost executor costs little, and those of the round before are deleted.
+    """
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    told = _state(now)
+    while told[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # stored, so that both sides of the join are plain shuffles, whose hot keys Spark can split
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
+        after = stored(small, "edges")
+        dropped(least)
+        before, told, done = told, _state(after), now
+        now = after
+        dropped(done)
+        if told == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the least id that edges of either direction lead to. Rounds of least neighbours and pointer jumping."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b")
-    both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "sides")
-    label = stored(nodes.select("id", F.col("id").alias("component")).distinct(), "labels")
-    while True:
-        near = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
-        top = lower.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        after = stored(lower.join(top, "component", "left").select("id", F.least("component", F.coalesce("jump", "component")).alias("component"), "was"), "labels")
-        if after.where("component <> was").isEmpty():
-            return after.select("id", "component")
-        label = after.select("id", "component")
+    """id, component: the least id that edges of either direction lead to."""
+    found = star_components(edges.select(F.col("source").alias("a"), F.col("target").alias("b"))).withColumnRenamed("node", "id")
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def depths(edges: DataFrame, most: int = 1_000) -> DataFrame:
@@ -222,9 +247,21 @@ def canonical(cycle: Column) -> Column:
 def cycles(edges: DataFrame, project: str = "project") -> DataFrame:
     """project, id, length, nodes: the cycles that a depth-first search of each project's import graph closes, and max_depth by it.
 
-    Which cycles that are depends on the order: nodes by id, their children by the hash of the edge. A project's graph is a
-    repository's, and is searched in one task; for graphs without such a bound there are strong_components and functional_cycles.
+    Which cycles that are depends on the order: nodes by id, their children by the hash of the edge, and where the search comes from.
+    Nodes without a way out close no cycle and are trimmed first, distributed. What is left of a project, a repository's graph, is
+    searched in one task; more than SEARCHED edges are refused, for which there are strong_components and functional_cycles.
     """
+    edges = stored(edges.select(project, "source", "target").distinct(), "left")
+    for _ in range(TRIMS):
+        inner = stored(edges.join(edges.select(project, F.col("source").alias("target")).distinct(), [project, "target"], "left_semi").select(project, "source", "target"), "left")
+        same = inner.count() == edges.count()
+        dropped(edges)
+        edges = inner
+        if same:
+            break
+    most = edges.groupBy(project).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    if most > SEARCHED:
+        raise ValueError(f"{most} edges are too many for an ordered search; use strong_components() or functional_cycles()")
     import pandas as pd
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:

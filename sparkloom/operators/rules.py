@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename, dirname, key, parent_steps, route_depth
@@ -225,8 +225,10 @@ def scheduled(registry: Registry, ctx: Context) -> list[tuple[Rule, str]]:
 
 def collect(findings: DataFrame) -> DataFrame:
     """The valid findings in order, the first by id of those that agree in rule, file, line and description."""
-    w = Window.partitionBy("rule_id", "file", "line", "description").orderBy("id")
-    return findings.where("file <> '' AND line > 0").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    by = ["rule_id", "file", "line", "description"]
+    rest = [c for c in findings.columns if c not in by]
+    first = findings.where("file <> '' AND line > 0").groupBy(*by).agg(F.min_by(F.struct(*rest), "id").alias("_first"))  # combined before the shuffle
+    return first.select(*(F.col(c if c in by else f"_first.{c}").alias(c) for c in findings.columns))
 
 
 def execute(ctx: Context, registry: Registry | None = None) -> tuple[DataFrame, dict[str, str]]:
