@@ -1,38 +1,7 @@
-"""Connected components of a graph by distributed union-find: large-star and small-star steps until no edge changes.
-
-Every step is a minimum by key, taken before the shuffle too, and a join with those minima; no component meets in one task and
-nothing but two numbers comes to the driver. Each round's edges are stored in the shared folder, so a lost executor costs little.
-"""
+"""Connected components of pairs by distributed union-find, as the graph operators do it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import dropped, stored
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long; repeats, loops and either direction allowed). Returns node, component (its least node); no edges, no rows."""
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    told = _state(now)
-    while told[0]:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # stored, so that both sides of the join are plain shuffles, whose hot keys Spark can split
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        after = stored(small, "edges")
-        dropped(least)
-        before, told, done = told, _state(after), now
-        now = after
-        dropped(done)
-        if told == before:
-            break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
+from ..operators.graph import star_components as components
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    return r[0], r[1]
+__all__ = ["components"]

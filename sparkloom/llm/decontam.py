@@ -13,7 +13,8 @@ shorter text is one window. The steps, all Spark expressions and joins:
 `phrases_within` gives proximity matches from the same index: texts with all of an item's terms within a span of words.
 
 Null texts have no words. Equal rows are judged each for itself. Items with null ids mark words but have no id to report.
-Other columns of the inputs are ignored.
+Other columns of the texts pass through, whatever their names; columns of the results' names are replaced. Other columns of the
+benchmark are ignored.
 """
 
 from __future__ import annotations
@@ -98,13 +99,16 @@ def matches(docs: DataFrame, found: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs with n_words, n_hit, items (sorted ids as strings) and contaminated."""
     items = stored(items_of(benchmark), "items")
-    marked = docs.withColumn("doc", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    results = ("n_words", "n_hit", "items", "contaminated")
+    kept = [c for c in docs.columns if c not in results]
+    marked = docs.select(F.struct(*kept).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("doc"), "text")  # whatever the columns' names
     thin = marked.select("doc", "text")
     counts = term_counts(thin, items.select(F.explode("item_words").alias("term")).distinct())
     windows = stored(anchors(items, counts), "anchors")
     found = stored(candidates(thin, items, windows), "candidates")
-    out = matches(marked, found, items).withColumn("n_hit", F.size("hit").cast("long")).drop("hit", "doc")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+    out = matches(marked, found, items).withColumn("n_hit", F.size("hit").cast("long"))
+    contaminated = (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), "n_words", "n_hit", "items", contaminated.alias("contaminated"))
 
 
 def phrases_within(docs: DataFrame, benchmark: DataFrame, span: int, key: str = "doc_id") -> DataFrame:

@@ -251,8 +251,10 @@ def test_decontamination_against_brute_force(spark):
         a = r.randrange(3)
         rows.append((i, ", ".join([*w, *x[a : a + 20], *w[:3]]).upper() if i % 2 else " ".join([*w, *x, *x])))
     rows += [(90, None), (91, ""), (92, "NULL--ITEM"), (None, items[2][1]), (92, items[4][1]), (93, "pad " * 40_000 + (items[3][1] or ""))]
-    df = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, n_hit int")
+    df = spark.createDataFrame([(*x, 0, "w", 1, 2, 3, 4) for x in rows], "doc_id long, text string, n_hit int, words string, doc int, found int, real int, hit int")
     got = decontam.decontaminate(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == ["doc_id", "text", "words", "doc", "found", "real", "hit", "n_words", "n_hit", "items", "contaminated"]
+    assert {tuple(x)[2:7] for x in got.collect()} == {("w", 1, 2, 3, 4)}
     assert sorted(((x["doc_id"], x["n_words"], x["n_hit"], [*x["items"]], x["contaminated"]) for x in got.collect()), key=str) == judged(rows, items)
     none = spark.createDataFrame([], "item_id long, text string")
     assert {x["contaminated"] for x in decontam.decontaminate(df, none).collect()} == {False}
