@@ -1,14 +1,26 @@
-"""python -m sparkloom.cli analyze PATH [--json FILE] [--html FILE] [--compact] | doctor | init PATH | version"""
+"""python -m sparkloom.cli analyze PATH [--json FILE] [--html FILE] [--policies FILE] [--history TABLE] [--archive FOLDER] [--compact] | doctor | init PATH | version
+
+SPARKLOOM_DEBUG=true in the environment tells of every stage on the error output.
+"""
 
 from __future__ import annotations
 
 import argparse
 import json
+import logging
+import os
 import sys
 import uuid
+from collections.abc import Mapping
 from pathlib import Path
 
 VERSION = "0.1.0"
+_LOG = logging.getLogger("sparkloom")
+
+
+def log_level(environment: Mapping[str, str]) -> int:
+    """DEBUG if the environment asks for it, else WARNING."""
+    return logging.DEBUG if environment.get("SPARKLOOM_DEBUG", "").lower() == "true" else logging.WARNING
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -17,13 +29,17 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     run = sub.add_parser("analyze", aliases=["analyse"])
     run.add_argument("path")
-    for name in ("json", "html", "benchmark", "history"):
+    for name in ("json", "html", "benchmark", "history", "policies", "archive"):
         run.add_argument(f"--{name}")
     run.add_argument("--compact", action="store_true")
     sub.add_parser("doctor")
     sub.add_parser("init").add_argument("path")
     sub.add_parser("version")
     said = parser.parse_args(argv)
+    if not _LOG.handlers:
+        _LOG.addHandler(logging.StreamHandler())
+        _LOG.handlers[0].setFormatter(logging.Formatter("[%(levelname)s] %(message)s"))
+    _LOG.setLevel(log_level(os.environ))
     try:
         if said.command == "version":
             print(VERSION)
@@ -38,6 +54,7 @@ def main(argv: list[str] | None = None) -> int:
         else:
             _analyze(said)
     except Exception as e:  # noqa: BLE001  the shell gets a code, a person the reason
+        _LOG.debug("failed", exc_info=True)
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1
     return 0
@@ -52,12 +69,16 @@ def _analyze(said: argparse.Namespace) -> None:
     spark = SparkSession.builder.appName("sparkloom").getOrCreate()
     profile = artifacts.benchmark_profile(json.loads(Path(said.benchmark).read_text())) if said.benchmark else None
     past = artifacts.history(spark, said.history) if said.history else None
-    found = analyze(spark, said.path)
+    found = analyze(spark, said.path, said.policies, progress=lambda stage: _LOG.debug("stage %s", stage))
+    for rule, why in found.failed_rules.items():
+        _LOG.warning("rule %s failed: %s", rule, why)
     report = said.json or said.html
     whole = found.write(f"{Path(report).resolve().with_suffix('').as_uri()}-{uuid.uuid4().hex[:8]}") if report else None
     done = found.artifact(history=past, benchmark=profile, whole=whole)
     if said.history:
         artifacts.archive(spark, said.history, done["metadata"]["generated_at"], done["summary"]["overall"])
+    if said.archive:
+        artifacts.archive_report(artifacts.as_json(done), said.archive, done["metadata"]["generated_at"])
     for path, text in ((said.json, artifacts.as_json), (said.html, artifacts.as_html)):
         if path:
             artifacts.save(text(done), path)

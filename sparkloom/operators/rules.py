@@ -54,6 +54,9 @@ def evidence(**values: Column | float | str) -> Column:
     return F.array(*items) if items else F.array().cast("array<struct<metric:string,value:string>>")
 
 
+# The rules' descriptions below, which are part of a finding's key.
+
+
 def finding_key(rule: Column, file: Column, line: Column, description: Column) -> Column:
     return key(rule, file, line, description)
 
@@ -88,24 +91,24 @@ def circular_imports(ctx: Context) -> DataFrame:
     ring = spots.groupBy("cycle", "length").agg(F.array_sort(F.collect_list(F.struct("at", "path", "file_id"))).alias("r"))
     paths = F.transform("r", lambda x: x["path"])
     closed = F.array_join(F.concat(paths, F.slice(paths, 1, 1)), " → ")
-    return found(ring, ctx, "Circular module dependency", _say("Circular dependency: ", closed, "."), "Initialization order inside a cycle is hard to predict, and so is a change.", "Move what both sides share into a module of its own.", evidence(cycleLength=F.col("length"), cyclePaths=closed), F.get("r", F.lit(0))["file_id"])
+    return found(ring, ctx, "Modules import each other in a circle", _say("Circular dependency: ", closed, "."), "Initialization order inside a cycle is hard to predict, and so is a change.", "Move what both sides share into a module of its own.", evidence(cycleLength=F.col("length"), cyclePaths=closed), F.get("r", F.lit(0))["file_id"])
 
 
 def deep_chain(ctx: Context) -> DataFrame:
     most = ctx.threshold("deep-dependency-chain", "maxDepth", 10)
     rows = ctx["depth"].where(F.col("max_depth") > most)
-    return found(rows, ctx, "Dependency chain is too deep", _say("The maximum dependency depth is ", F.col("max_depth"), "."), "Each layer of a long chain depends on all those below it.", "Flatten the layers, or draw a boundary between them.", evidence(maxDepth=F.col("max_depth"), threshold=most))
+    return found(rows, ctx, "A long chain of dependencies", _say("The maximum dependency depth is ", F.col("max_depth"), "."), "Each layer of a long chain depends on all those below it.", "Flatten the layers, or draw a boundary between them.", evidence(maxDepth=F.col("max_depth"), threshold=most))
 
 
 def duplicate_imports(ctx: Context) -> DataFrame:
     rows = ctx["imports"].groupBy("file_id", "source").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-    return found(rows, ctx, "Duplicate import declarations", _say("The module imports ", F.col("source"), " ", F.col("n"), " times."), "Several imports of one source hide what a module depends on.", "Merge them into one declaration.", evidence(importCount=F.col("n")), F.col("file_id"))
+    return found(rows, ctx, "One source, several imports", _say("The module imports ", F.col("source"), " ", F.col("n"), " times."), "Several imports of one source hide what a module depends on.", "Merge them into one declaration.", evidence(importCount=F.col("n")), F.col("file_id"))
 
 
 def barrel_overuse(ctx: Context) -> DataFrame:
     most = ctx.threshold("barrel-file-overuse", "maxExports", 30)
     rows = ctx["modules"].where(basename(F.col("path")).startswith("index.") & (F.col("n_exports") > most))
-    return found(rows, ctx, "Barrel file has too many exports", _say(F.col("path"), " exports ", F.col("n_exports"), " symbols."), "A large barrel hides who owns what.", "Split the exports by domain.", evidence(exports=F.col("n_exports"), threshold=most), F.col("file_id"))
+    return found(rows, ctx, "An index file that exports too much", _say(F.col("path"), " exports ", F.col("n_exports"), " symbols."), "A large barrel hides who owns what.", "Split the exports by domain.", evidence(exports=F.col("n_exports"), threshold=most), F.col("file_id"))
 
 
 def unused_exports(ctx: Context) -> DataFrame:
@@ -115,12 +118,12 @@ def unused_exports(ctx: Context) -> DataFrame:
     if ctx.framework == "next":
         kept = ctx["files"].where(F.col("path").rlike(CONVENTION_FILE)).select(F.col("id").alias("file_id"))
         rows = rows.join(kept, "file_id", "left_anti")
-    return found(rows, ctx, "Export has no internal usage", _say(F.col("name"), " is not imported by another scanned module."), "An export that nothing uses still has to be kept up.", "Remove it, or say who uses it.", evidence(export=F.col("name")), F.col("file_id"), F.col("line"))
+    return found(rows, ctx, "Nothing here imports this export", _say(F.col("name"), " is not imported by another scanned module."), "An export that nothing uses still has to be kept up.", "Remove it, or say who uses it.", evidence(export=F.col("name")), F.col("file_id"), F.col("line"))
 
 
 def anonymous_exports(ctx: Context) -> DataFrame:
     rows = ctx["exports"].where("is_default AND is_anonymous")
-    return found(rows, ctx, "Anonymous default export", F.lit("A default export has no stable symbol name."), "Names make stack traces and searches readable.", "Give the exported function or component a name.", evidence(), F.col("file_id"), F.col("line"))
+    return found(rows, ctx, "A default export without a name", F.lit("A default export has no stable symbol name."), "Names make stack traces and searches readable.", "Give the exported function or component a name.", evidence(), F.col("file_id"), F.col("line"))
 
 
 def module_load(modules: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -133,19 +136,19 @@ def god_modules(ctx: Context) -> DataFrame:
     most = ctx.threshold("god-module", "maxScore", 50)
     rows = module_load(ctx["modules"], ctx["degrees"]).where(F.col("load") > most)
     number = F.regexp_replace(F.col("load").cast("string"), r"\.0$", "")
-    return found(rows, ctx, "Module has excessive responsibilities", _say(F.col("path"), " has combined complexity score ", number, "."), "What is large and connected is in the way of every change.", "Split it by responsibility.", evidence(combinedScore=number, threshold=most), F.col("file_id"))
+    return found(rows, ctx, "A module that does too much", _say(F.col("path"), " has combined complexity score ", number, "."), "What is large and connected is in the way of every change.", "Split it by responsibility.", evidence(combinedScore=number, threshold=most), F.col("file_id"))
 
 
 def orphan_modules(ctx: Context) -> DataFrame:
     rows = ctx["orphans"].where("type = 'module'").where(~basename(F.col("path")).rlike(TOOL_FILE)).join(ctx["modules"].select("id", "file_id"), "id", "left")
-    return found(rows, ctx, "Orphan module", _say(F.col("path"), " has no incoming or outgoing dependencies."), "A module that nothing meets may be dead.", "Delete it, or use it where it belongs.", evidence(), F.col("file_id"))
+    return found(rows, ctx, "A module on its own", _say(F.col("path"), " has no incoming or outgoing dependencies."), "A module that nothing meets may be dead.", "Delete it, or use it where it belongs.", evidence(), F.col("file_id"))
 
 
 def _fan(rule: str, side: str, usual: int, label: str, do: str) -> Callable[[Context], DataFrame]:
     def run(ctx: Context) -> DataFrame:
         most = ctx.threshold(rule, "maxDependencies", usual)
         rows = ctx["degrees"].where(F.col(side) > most).join(ctx["modules"].select("id", "file_id", "path"), "id")
-        return found(rows, ctx, f"Module has high {side.replace('_', '-')}", _say(F.col("path"), " has ", F.col(side), f" {label}."), "Much coupling spreads every change.", do, evidence(dependencies=F.col(side), threshold=most), F.col("file_id"))
+        return found(rows, ctx, f"Too much {side.replace('_', '-')}", _say(F.col("path"), " has ", F.col(side), f" {label}."), "Much coupling spreads every change.", do, evidence(dependencies=F.col(side), threshold=most), F.col("file_id"))
 
     return run
 
@@ -153,7 +156,7 @@ def _fan(rule: str, side: str, usual: int, label: str, do: str) -> Callable[[Con
 def excessive_files(ctx: Context) -> DataFrame:
     most = ctx.threshold("excessive-file-count", "maxFiles", 100)
     rows = ctx["files"].groupBy(dirname(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
-    return found(rows, ctx, "Folder contains too many files", _say(F.col("folder"), " contains ", F.col("n"), " files."), "Nobody owns a folder that holds everything.", "Split it by feature.", evidence(files=F.col("n"), threshold=most))
+    return found(rows, ctx, "A crowded folder", _say(F.col("folder"), " contains ", F.col("n"), " files."), "Nobody owns a folder that holds everything.", "Split it by feature.", evidence(files=F.col("n"), threshold=most))
 
 
 def _component(rule: str, name: str, usual: int, value: Callable[[], Column], title: str, verb: str, unit: str, why: str, do: str, metric: str) -> Rule:
@@ -172,20 +175,20 @@ RULES: tuple[Rule, ...] = (
     Rule("duplicate-imports", "imports", "warning", duplicate_imports),
     Rule("barrel-file-overuse", "imports", "warning", barrel_overuse),
     Rule("unused-export", "imports", "info", unused_exports),
-    _component("large-component", "maxLines", 300, lambda: F.col("line_count"), "Component exceeds recommended size", "has", " logical lines", "A large component does too much.", "Split it into smaller components or hooks.", "linesOfCode"),
-    _component("excessive-props", "maxProps", 10, lambda: F.size("props"), "Component has too many props", "declares", " props", "A wide interface is hard to understand.", "Group the props, or compose.", "props"),
-    _component("deeply-nested-jsx", "maxDepth", 8, lambda: F.col("jsx_depth"), "JSX nesting is too deep", "has JSX depth", "", "Deep trees are hard to read and test.", "Take inner components out.", "jsxDepth"),
-    _component("too-many-hooks", "maxHooks", 15, lambda: F.size("hooks"), "Component uses too many hooks", "uses", " distinct hooks", "Many hooks mean mixed duties.", "Move what belongs together into hooks of its own.", "hooks"),
+    _component("large-component", "maxLines", 300, lambda: F.col("line_count"), "A component of too many lines", "has", " logical lines", "A large component does too much.", "Split it into smaller components or hooks.", "linesOfCode"),
+    _component("excessive-props", "maxProps", 10, lambda: F.size("props"), "A component with a wide interface", "declares", " props", "A wide interface is hard to understand.", "Group the props, or compose.", "props"),
+    _component("deeply-nested-jsx", "maxDepth", 8, lambda: F.col("jsx_depth"), "Markup nested too deeply", "has JSX depth", "", "Deep trees are hard to read and test.", "Take inner components out.", "jsxDepth"),
+    _component("too-many-hooks", "maxHooks", 15, lambda: F.size("hooks"), "A component with many hooks", "uses", " distinct hooks", "Many hooks mean mixed duties.", "Move what belongs together into hooks of its own.", "hooks"),
     Rule("anonymous-default-export", "components", "warning", anonymous_exports),
     Rule("god-module", "architecture", "warning", god_modules),
     Rule("orphan-module", "architecture", "warning", orphan_modules),
     Rule("high-fan-out", "architecture", "warning", _fan("high-fan-out", "fan_out", 20, "outgoing dependencies", "Depend on less, or split it.")),
     Rule("high-fan-in", "architecture", "warning", _fan("high-fan-in", "fan_in", 30, "incoming dependencies", "Give it a stable interface, or split it.")),
-    Rule("deeply-nested-routes", "routes", "warning", _over("routes", "deeply-nested-routes", "maxDepth", 8, lambda: route_depth(F.col("path")), "Route nesting is too deep", lambda v: _say(F.col("path"), " has ", v, " route levels."), "Deep routes are hard to find one's way in.", "Make the routes flatter.", "routeDepth", "line")),
-    _module("oversized-module", "complexity", "maxLines", 500, "line_count", "Module exceeds recommended size", "logical lines", "Split it by responsibility.", "lineCount"),
-    _module("heavy-import-hub", "performance", "maxImports", 50, "n_imports", "Module imports too many dependencies", "imports", "Depend on less at once.", "imports"),
-    _module("excessive-export-count", "complexity", "maxExports", 40, "n_exports", "Module exports too many symbols", "exports", "Split the public interface.", "exports"),
-    Rule("long-relative-import", "imports", "warning", _over("imports", "long-relative-import", "maxParentTraversals", 4, lambda: parent_steps(F.col("source")), "Relative import traverses too far", lambda v: _say(F.col("source"), " traverses ", v, " parent directories."), "Long relative paths break when files move.", "Use an alias, or move what is shared closer.", "parentTraversals", "line")),
+    Rule("deeply-nested-routes", "routes", "warning", _over("routes", "deeply-nested-routes", "maxDepth", 8, lambda: route_depth(F.col("path")), "A route of too many levels", lambda v: _say(F.col("path"), " has ", v, " route levels."), "Deep routes are hard to find one's way in.", "Make the routes flatter.", "routeDepth", "line")),
+    _module("oversized-module", "complexity", "maxLines", 500, "line_count", "A module of too many lines", "logical lines", "Split it by responsibility.", "lineCount"),
+    _module("heavy-import-hub", "performance", "maxImports", 50, "n_imports", "A module that imports too much", "imports", "Depend on less at once.", "imports"),
+    _module("excessive-export-count", "complexity", "maxExports", 40, "n_exports", "A module that exports too much", "exports", "Split the public interface.", "exports"),
+    Rule("long-relative-import", "imports", "warning", _over("imports", "long-relative-import", "maxParentTraversals", 4, lambda: parent_steps(F.col("source")), "A relative import from far away", lambda v: _say(F.col("source"), " traverses ", v, " parent directories."), "Long relative paths break when files move.", "Use an alias, or move what is shared closer.", "parentTraversals", "line")),
     Rule("excessive-file-count", "architecture", "warning", excessive_files),
 )
 
