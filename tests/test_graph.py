@@ -73,3 +73,17 @@ def test_self_and_unreached_paths(spark):
     df = edges_of(spark, [("a", "b"), ("b", "c"), ("a", "d"), ("d", "c")])
     assert [x["id"] for x in graph.shortest_path(df, "a", "a").collect()] == ["a"]
     assert [x["id"] for x in graph.shortest_path(df, "a", "c").orderBy("step").collect()] == ["a", "b", "c"]
+
+
+def test_trimming_keeps_the_searched_cycles(spark, monkeypatch):
+    r = random.Random(7)
+    pairs = sorted({(f"n{r.randrange(12):02}", f"n{r.randrange(16):02}") for _ in range(26)})
+    df = edges_of(spark, pairs).selectExpr("'p' AS project", "*")
+    trimmed = graph.cycles(df).collect()
+    monkeypatch.setattr(graph, "TRIMS", 0)
+    assert trimmed and sorted(map(str, trimmed)) == sorted(map(str, graph.cycles(df).collect()))
+    monkeypatch.setattr(graph, "SEARCHED", 3)
+    with pytest.raises(ValueError, match="too many"):
+        graph.cycles(df)
+    monkeypatch.setattr(graph, "TRIMS", 9)
+    assert graph.cycles(edges_of(spark, [(f"a{i}", f"a{i + 1}") for i in range(8)]).selectExpr("'p' AS project", "*")).count() == 0
