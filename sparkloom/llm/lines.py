@@ -97,6 +97,7 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dropped(keys)
     docs.sparkSession.sparkContext._jvm.System.gc()  # then Spark deletes the shuffle files that nothing refers to
     once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
+    once = stored(once, "texts")
     texts = once.join(bounded(proposed.drop("n_items")), ["node", "id"])
     joined = components(stored(connected(proposed, texts, forest, make), "links"))
     first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))

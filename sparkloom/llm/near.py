@@ -140,6 +140,7 @@ def similar(docs: DataFrame, distinct: DataFrame, forest: Forest, make: Make, li
         proposed = stored(proposed, "members")
         # repeated rows that share a doc_id are sent once
         once = docs.join(bounded(proposed.select("id", "hash").distinct()), ["id", "hash"]).dropDuplicates(["id", "hash"])
+        once = once if links else stored(once, "texts")  # connected() looks at them twice
         texts = once.join(bounded(proposed.drop("n_items")), ["id", "hash"])
         told = stored(verified(texts, forest, make) if links else connected(proposed, texts, forest, make), "links")
         found = told if found is None else found.unionByName(told)
