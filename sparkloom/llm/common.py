@@ -14,6 +14,11 @@ from pyspark.sql.types import StructType
 from ..functions.session import bounded, dropped, shipped, stored, table  # noqa: F401  for the operators
 
 
+def repeats(df: DataFrame, key: str) -> bool:
+    """Whether a key occurs twice."""
+    return not df.groupBy(key).count().where("count > 1").isEmpty()
+
+
 def nonnull(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import bounded, dropped, map_arrow, nonnull, stored, table
+from .common import bounded, dropped, map_arrow, nonnull, repeats, stored, table
 from .components import components
 from .hashing import char_shingles
 from .minhash import HOT_SAMPLE, Forest, connected, groups, hot_keys, members, prefix_length, shared
@@ -96,9 +96,10 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     proposed = stored(members(grouped, known, links=False)[0], "members")
     dropped(keys)
     docs.sparkSession.sparkContext._jvm.System.gc()  # then Spark deletes the shuffle files that nothing refers to
-    once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi").dropDuplicates(["node", "id"])
-    once = stored(once, "texts")
-    texts = once.join(bounded(proposed.drop("n_items")), ["node", "id"])
+    once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi")
+    # rows that share an id can have a line each; else nothing repeats, and the texts needn't move
+    once = stored(once.dropDuplicates(["node", "id"]) if repeats(docs, "id") else once, "texts")
+    texts = once.join(proposed.drop("n_items").hint("merge"), ["node", "id"])  # the same plan at every size
     joined = components(stored(connected(proposed, texts, forest, make), "links"))
     first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))
     near = joined.join(first, "component").select("node", "least", "component")
