@@ -1,6 +1,6 @@
 """The operators' queries by name, and their SQL where SQL can express them."""
 
-from . import bpe, chat, decontam, fingerprint, html, license, lines, near, substrings, toxicity
+from . import align, bpe, centroids, chat, decontam, fingerprint, html, license, lines, near, recipes, substrings, toxicity
 
 QUERIES = {
     "op1_html": html.query,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_decontamination": decontam.query,
     "op9_jaccard": near.query,
     "op10_toxicity": toxicity.query,
+    "op11_exact": recipes.query,
+    "op12_clusters": centroids.query,
+    "op13_alignment": align.query,
 }
 ORACLES = {
     "op3_substrings": substrings.SQL,
@@ -20,4 +23,6 @@ ORACLES = {
     "op6_licenses": license.SQL,
     "op7_fingerprints": fingerprint.SQL,
     "op8_decontamination": decontam.SQL,
+    "op11_exact": recipes.SQL,
+    "op12_clusters": centroids.SQL,
 }
