@@ -156,7 +156,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def assigned(k: int) -> str:
-        return f"""a{k} AS MATERIALIZED (SELECT v.r, k.k, list_sum(list_transform(list_zip(v.c, k.c), p -> (p[1] - p[2]) * (p[1] - p[2]))) AS d
+        return f"""a{k} AS MATERIALIZED (SELECT v.r, k.k, list_sum(list_transform(list_zip(v.c, k.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d
   FROM v, k{k} AS k QUALIFY row_number() OVER (PARTITION BY v.r ORDER BY d, k.k) = 1)"""
 
     def after(k: int) -> str:
@@ -166,8 +166,8 @@ k{k} AS MATERIALIZED (SELECT o.k, coalesce(m.c, o.c) AS c FROM k{k - 1} AS o LEF
 
     rounds = ",\n".join(f"{after(k)},\n{assigned(k)}" for k in range(1, ROUNDS + 1))
     return f"""
-WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)::HUGEINT) AS c
-  FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, x -> isfinite(x))) = {DIMS}),
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::HUGEINT) AS c
+  FROM embeddings WHERE len(embedding) = {DIMS} AND len(list_filter(embedding, lambda x: isfinite(x))) = {DIMS}),
 k0 AS MATERIALIZED (SELECT row_number() OVER w - 1 AS k, c FROM v WINDOW w AS (ORDER BY sha256('{SEED}:' || vec_id) NULLS LAST, c) QUALIFY row_number() OVER w <= {K}),
 {assigned(0)},
 {rounds}
