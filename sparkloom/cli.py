@@ -1,4 +1,4 @@
-"""python -m sparkloom.cli analyze PATH [--json FILE] [--html FILE] [--policies FILE] [--history TABLE] [--archive FOLDER] [--compact] | doctor | init PATH | version
+"""python -m sparkloom.cli analyze PATH [--json FILE] [--html FILE] [--policies FILE] [--history TABLE] [--archive FOLDER] [--compact] [--follow-links] | doctor | init PATH | version
 
 SPARKLOOM_DEBUG=true in the environment tells of every stage on the error output.
 """
@@ -31,7 +31,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("path")
     for name in ("json", "html", "benchmark", "history", "policies", "archive"):
         run.add_argument(f"--{name}")
-    run.add_argument("--compact", action="store_true")
+    for name in ("compact", "follow-links"):
+        run.add_argument(f"--{name}", action="store_true")
     sub.add_parser("doctor")
     sub.add_parser("init").add_argument("path")
     sub.add_parser("version")
@@ -69,7 +70,7 @@ def _analyze(said: argparse.Namespace) -> None:
     spark = SparkSession.builder.appName("sparkloom").getOrCreate()
     profile = artifacts.benchmark_profile(json.loads(Path(said.benchmark).read_text())) if said.benchmark else None
     past = artifacts.history(spark, said.history) if said.history else None
-    found = analyze(spark, said.path, said.policies, progress=lambda stage: _LOG.debug("stage %s", stage))
+    found = analyze(spark, said.path, said.policies, follow_links=said.follow_links, progress=lambda stage: _LOG.debug("stage %s", stage))
     for rule, why in found.failed_rules.items():
         _LOG.warning("rule %s failed: %s", rule, why)
     report = said.json or said.html

@@ -74,7 +74,7 @@ class Analysis:
         )
 
 
-def analyze(spark: SparkSession, path: str, policy_file: str | None = None, score_config: scoring.ScoreConfig = scoring.ScoreConfig(), thresholds: dict | None = None, severities: dict | None = None, registry: rules.Registry | None = None, progress: Callable[[str], None] = lambda _: None) -> Analysis:
+def analyze(spark: SparkSession, path: str, policy_file: str | None = None, score_config: scoring.ScoreConfig = scoring.ScoreConfig(), thresholds: dict | None = None, severities: dict | None = None, registry: rules.Registry | None = None, follow_links: bool = False, progress: Callable[[str], None] = lambda _: None) -> Analysis:
     timings: dict[str, float] = {}
 
     def stage(name: str, work: Callable):
@@ -91,7 +91,7 @@ def analyze(spark: SparkSession, path: str, policy_file: str | None = None, scor
 
     described = stage("describe", lambda: project.describe(path))
     rules_of = stage("policies", lambda: policies.load(policy_file or f"{path}/.loom.json"))
-    listing = project.listed(spark, described.root)
+    listing = stage("list", lambda: stored(project.listed(spark, described.root, described.ignore, follow_links), "listing"))
     files = stage("scan", lambda: stored(project.scan(listing, described.ignore), "files"))
     facts = stage("extract", lambda: stored(extract.extract(project.contents(spark, described.root, files)), "facts"))
     t = {"listing": listing, "files": files, "modules": stage("modules", lambda: stored(extract.modules(facts), "modules"))}

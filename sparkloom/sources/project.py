@@ -1,20 +1,26 @@
 """A project on disk (or in any store Spark reads) as relations: files, manifest facts, counters.
 
 The listing is a Spark scan that reads no contents; what is kept is decided by filters on the path. Only the few files at the root
-(manifest, lock files, ignore files) are read by the driver.
+(manifest, lock files, ignore files) are read by the driver. Roots with a scheme other than file are read by Spark's own file source,
+which knows no links; all others by the data source of `tree`.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import SOURCE_EXTENSIONS, basename, extension, ignore_glob, key, normalized
+from ..functions.session import shipped
+from . import tree
 
 # What marks a project, its package manager and workspace, and what a scan passes by.
 MARKERS = ("package.json", "pnpm-workspace.yaml", "yarn.lock", "package-lock.json")
@@ -23,7 +29,6 @@ WORKSPACES = (("turborepo", "turbo.json"), ("nx", "nx.json"), ("pnpm", "pnpm-wor
 FRAMEWORKS = (("next", "next"), ("react", "react"), ("vite", "vite"), ("@angular/core", "angular"), ("vue", "vue"), ("svelte", "svelte"))
 IGNORED_DIRECTORIES = ("node_modules", ".git", ".next", "dist", "build", "coverage", "storybook-static", "out", ".vercel", ".cache")
 MOST_BYTES = 10 * 1024 * 1024
-TEST_FILE, STORY_FILE = r"\.(test|spec)\.[^.]+$", r"\.stories\.[^.]+$"
 
 
 class ScanError(ValueError):
@@ -88,35 +93,47 @@ def framework(dependencies: Column) -> Column:
     return out
 
 
-def listed(spark: SparkSession, root: str) -> DataFrame:
-    """path (below root), size, last_modified of all files; directories that are links aren't entered."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    top = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
-    out = rows.select(normalized(top).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
-    if os.path.isdir(root):
-        links = [os.path.relpath(os.path.join(d, x), root) for d, dirs, _ in os.walk(root) for x in dirs if os.path.islink(os.path.join(d, x))]
-        for x in links:
-            out = out.where(~F.col("path").startswith(x + "/"))
-    return out
+def _elsewhere(root: str) -> bool:
+    """Whether a root is in a store that only Spark reads."""
+    return re.match(r"[a-z][a-z0-9+.-]*://", root) is not None and not root.startswith("file://")
 
 
-def _quoted(text: str) -> str:
-    import re
+def _below(root: str) -> Column:
+    return normalized(F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + _quoted(re.sub("^[a-z]+:/+", "/", root).rstrip("/")) + "/", ""))
+
+
+def listed(spark: SparkSession, root: str, patterns: tuple[str, ...] = (), follow_links: bool = False, include_hidden: bool = False) -> DataFrame:
+    """path (below root), below (from where a walk began: the root, or what a link leads to), size, last_modified of all files but those in directories that are passed by.
 
+    follow_links: also what links to directories lead to, once each, by real paths. Links to files are passed by.
+    """
+    if _elsewhere(root):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        own = _below(root)
+        return rows.select(own.alias("path"), own.alias("below"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"))
+    rules = {"passed_by": IGNORED_DIRECTORIES, "ignored": [ignore_glob(p) for p in patterns], "hidden": include_hidden}
+    rows = tree.tree(spark, root, **rules)
+    if follow_links:
+        rows = tree.follow(rows, root, **rules)
+    return rows.where(F.col("kind").isin("file", "hidden")).select("path", "below", "size", "last_modified")
+
+
+def _quoted(text: str) -> str:
     return re.sub(r"([|\\{}()\[\]^$+*?.])", r"\\\1", text)
 
 
-def ignored(path: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether the path or a directory above it matches a pattern, or lies in a directory that is always passed by."""
+def ignored(path: Column, patterns: tuple[str, ...], below: Column | None = None) -> Column:
+    """Whether the path or a directory above it matches a pattern, or lies (from where the walk began) in a directory that is always passed by."""
     parts = F.split(path, "/", -1)
+    inner = parts if below is None else F.split(below, "/", -1)
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    hit = F.exists(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda d: d.isin(*IGNORED_DIRECTORIES))
+    hit = F.exists(F.slice(inner, F.lit(1), F.size(inner) - 1), lambda d: d.isin(*IGNORED_DIRECTORIES))
     any_of = "|".join(f"(?:{ignore_glob(p)})" for p in patterns)
     return hit | F.exists(above, lambda a: a.rlike(any_of)) if patterns else hit
 
 
 def hidden(path: Column) -> Column:
-    return F.exists(F.split(path, "/", -1), lambda x: x.startswith("."))
+    return F.exists(F.split(path, "/", -1), lambda x: x.startswith(".") & ~x.isin(".", ".."))
 
 
 def scan(listing: DataFrame, patterns: tuple[str, ...] = (), most_bytes: int = MOST_BYTES, tests: bool = False, stories: bool = False, include_hidden: bool = False) -> DataFrame:
@@ -125,9 +142,9 @@ def scan(listing: DataFrame, patterns: tuple[str, ...] = (), most_bytes: int = M
     A file over the size limit stays, marked as skipped.
     """
     name = basename(F.col("path"))
-    rows = listing.where(~ignored(F.col("path"), patterns)).withColumn("extension", F.lower(extension(F.col("path"))))
+    rows = listing.where(~ignored(F.col("path"), patterns, F.col("below") if "below" in listing.columns else None)).withColumn("extension", F.lower(extension(F.col("path"))))
     rows = rows.where(F.col("extension").isin(*SOURCE_EXTENSIONS) & ~F.col("path").endswith(".d.ts"))
-    rows = rows.withColumn("is_test", name.rlike(TEST_FILE)).withColumn("is_story", name.rlike(STORY_FILE))
+    rows = rows.withColumn("is_test", name.rlike(tree.TEST_FILE)).withColumn("is_story", name.rlike(tree.STORY_FILE))
     if not include_hidden:
         rows = rows.where(~hidden(F.col("path")))
     if not tests:
@@ -145,9 +162,24 @@ def counters(listing: DataFrame, files: DataFrame) -> DataFrame:
     return all_.crossJoin(kept)
 
 
-def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """file_id, path, text of the files that aren't skipped, or generated."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    top = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/+", "/"), "^" + _quoted(root.rstrip("/")) + "/", "")
-    kept = files.where(~F.col("is_skipped") & ~basename(F.col("path")).rlike(r"\.(generated|gen)\.")).select(F.col("id").alias("file_id"), "path")
-    return rows.select(normalized(top).alias("path"), F.col("content").cast("string").alias("text")).join(kept, "path").select("file_id", "path", "text")
+def contents(spark: SparkSession, root: str, files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """file_id, path, text of the files that aren't skipped, or generated; others aren't opened."""
+    kept = files.where(~F.col("is_skipped") & ~basename(F.col("path")).rlike(tree.GENERATED_FILE)).select(F.col("id").alias("file_id"), "path")
+    if _elsewhere(root):
+        # Spark opens what passes the glob and the length alone
+        names = "*{" + ",".join(SOURCE_EXTENSIONS) + "}"
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root).where(F.col("length") <= most_bytes)
+        return rows.select(_below(root).alias("path"), F.col("content").cast("string").alias("text")).join(kept, "path").select("file_id", "path", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, path in zip(*(batch.column(c).to_pylist() for c in ("file_id", "path")), strict=True):
+                try:
+                    text = tree.open_file(os.path.join(root, path)).decode("utf-8", "replace")
+                except OSError:  # gone since it was listed
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.string()) for x in (file_id, path, text)], names=["file_id", "path", "text"])
+
+    shipped(spark)
+    root = root.removeprefix("file://")
+    return kept.repartition(F.xxhash64("path")).mapInArrow(run, "file_id string, path string, text string")
