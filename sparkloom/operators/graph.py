@@ -23,9 +23,12 @@ def upsert_edges(statements: DataFrame) -> DataFrame:
 
 def node_union(modules: DataFrame, found: DataFrame) -> DataFrame:
     """The modules and the missing or package nodes that edges lead to; of equal ids the module."""
-    columns = ["id", "label", "path", "type"]
-    both = modules.select(*columns, F.lit(0).alias("_o")).unionByName(found.select(*columns, F.lit(1).alias("_o")))
-    return both.groupBy("id").agg(F.min(F.struct("_o", *columns[1:])).alias("n")).select("id", *(F.col(f"n.{c}").alias(c) for c in columns[1:]))
+    columns, told = ["id", "label", "path", "type"], "metadata" in modules.columns and "metadata" in found.columns
+    more = [F.to_json("metadata").alias("metadata")] if told else []  # variants have no order
+    both = modules.select(*columns, *more, F.lit(0).alias("_o")).unionByName(found.select(*columns, *more, F.lit(1).alias("_o")))
+    rest = [*columns[1:], *(["metadata"] if told else [])]
+    out = both.groupBy("id").agg(F.min(F.struct("_o", *rest)).alias("n")).select("id", *(F.col(f"n.{c}").alias(c) for c in rest))
+    return out.withColumn("metadata", F.parse_json("metadata")) if told else out
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

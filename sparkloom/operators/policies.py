@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key, policy_glob
+from ..functions.metadata import metadata
 from .resolve import resolve, with_re_exports
 from .score import POLICY_RULE
 
@@ -165,5 +166,6 @@ def findings(broken: DataFrame, policies: Policies) -> DataFrame:
     return told.select(
         F.lit(POLICY_RULE).alias("rule_id"), F.lit("architecture").alias("category"), "severity", F.concat(F.lit("Policy violation: "), "policy").alias("title"),
         F.concat("source_path", F.lit(" imports "), "target_path", F.lit(", which violates policy "), "policy", F.lit(".")).alias("description"), F.col("description").alias("rationale"), "recommendation",
-        "file", F.col("line").cast("int").alias("line"), F.lit(1).alias("column"), proof.alias("evidence"), key(POLICY_RULE, F.col("policy"), F.col("file"), F.col("line"), F.col("target_path")).alias("id"),
+        "file", F.col("line").cast("int").alias("line"), F.lit(1).alias("column"), proof.alias("evidence"),
+        metadata(policyDescription=F.col("description"), policyId=F.col("policy"), targetPath=F.col("target_path")).alias("metadata"), key(POLICY_RULE, F.col("policy"), F.col("file"), F.col("line"), F.col("target_path")).alias("id"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SOURCE_EXTENSIONS, basename, dirname, join_path, key, without_source_extension
+from ..functions.metadata import metadata
 
 
 def with_re_exports(imports: DataFrame, exports: DataFrame) -> DataFrame:
@@ -48,12 +49,15 @@ def classify(resolved: DataFrame) -> DataFrame:
 
 
 def target_nodes(classified: DataFrame) -> DataFrame:
-    """id, label, path, type: the missing and package nodes."""
-    return classified.where("target_type <> 'module'").select(F.col("target").alias("id"), F.col("source").alias("label"), F.col("source").alias("path"), F.col("target_type").alias("type")).distinct()
+    """id, label, path, type, metadata: the missing and package nodes."""
+    rows = classified.where("target_type <> 'module'").select(F.col("target").alias("id"), F.col("source").alias("label"), F.col("source").alias("path"), F.col("target_type").alias("type")).distinct()
+    return rows.withColumn("metadata", F.when(F.col("type") == "missing", metadata(missing=F.lit(True))).otherwise(metadata()))
 
 
 def module_nodes(modules: DataFrame) -> DataFrame:
-    return modules.select("id", basename(F.col("path")).alias("label"), "path", F.lit("module").alias("type"))
+    """id, label, path, type, and metadata of what the modules have of it."""
+    told = {name: F.col(c) for name, c in (("fileId", "file_id"), ("functionCount", "function_count"), ("lineCount", "line_count")) if c in modules.columns}
+    return modules.select("id", basename(F.col("path")).alias("label"), "path", F.lit("module").alias("type"), metadata(**told).alias("metadata"))
 
 
 def statements_of(classified: DataFrame) -> DataFrame:

@@ -1,19 +1,28 @@
 """The rule catalogue and the rule engine.
 
 A rule takes the context (named DataFrames and the configuration) and returns findings: rule_id, category, severity, title,
-description, rationale, recommendation, file, line, column, evidence (array of metric and value as strings) and id. All are
-filters, anti-joins and grouped counts; thresholds are parameters and must be exceeded.
+description, rationale, recommendation, file, line, column, evidence (array of metric and value as strings), metadata (a variant) and
+id. All are filters, anti-joins and grouped counts; thresholds are parameters and must be exceeded.
+
+`execute` makes one plan of all rules. `execute_apart` runs each in a job of its own, some at once, each with a time limit: a rule
+that fails while it runs, or doesn't end, is reported, and what the others find stays.
 """
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import basename, dirname, key, parent_steps, route_depth
+from ..functions.metadata import metadata
+from ..functions.session import stored
 from .score import severity_rank
 
 # Files whose exports a framework uses, and tools' configuration files.
@@ -234,25 +243,98 @@ def collect(findings: DataFrame) -> DataFrame:
     return first.select(*(F.col(c if c in by else f"_first.{c}").alias(c) for c in findings.columns))
 
 
+def planned(rule: Rule, severity: str, ctx: Context) -> DataFrame:
+    """What a rule finds, in the columns that all rules have."""
+    rows = rule.run(ctx)
+    told = F.col("metadata") if "metadata" in rows.columns else metadata()
+    return rows.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(severity).alias("severity"), "title", "description", "rationale", "recommendation", "file", "line", "column", "evidence", told.alias("metadata"))
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        raise ValueError("no rule ran")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return collect(out.withColumn("id", finding_key(F.col("rule_id"), F.col("file"), F.col("line"), F.col("description"))))
+
+
 def execute(ctx: Context, registry: Registry | None = None) -> tuple[DataFrame, dict[str, str]]:
     """The findings of all rules as one plan, and by rule what went wrong with those whose plan can't be built.
 
-    A rule that fails later, when the plan runs, fails the action; rules that may do so are executed one by one.
+    A rule that fails later, when the plan runs, fails the action; see execute_apart.
     """
     parts, failed = [], {}
     for rule, severity in scheduled(registry or Registry(), ctx):
         try:
-            rows = rule.run(ctx)
-            parts.append(rows.select(F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(severity).alias("severity"), "title", "description", "rationale", "recommendation", "file", "line", "column", "evidence"))
+            parts.append(planned(rule, severity, ctx))
         except Exception as e:  # noqa: BLE001  one rule's failure isn't the others'
             failed[rule.id] = str(e)
-    if not parts:
-        raise ValueError("no rule ran")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    out = out.withColumn("id", finding_key(F.col("rule_id"), F.col("file"), F.col("line"), F.col("description")))
-    return collect(out), failed
+    return _united(parts), failed
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """How a rule ended: completed, failed, timed-out or aborted; and why, if it didn't complete."""
+
+    rule: str
+    status: str
+    seconds: float
+    why: str = ""
+
+
+class Aborted(RuntimeError):
+    """The caller asked to stop."""
+
+
+def execute_apart(ctx: Context, registry: Registry | None = None, seconds: float = 600.0, at_once: int = 4, abort: threading.Event | None = None, tags: tuple[str, ...] = ()) -> tuple[DataFrame, list[Outcome]]:
+    """The findings of the rules that completed, and every rule's outcome, by id.
+
+    Each rule's findings are stored by a job of its own, at_once of them side by side; the jobs carry a tag, by which those of a rule that
+    takes over `seconds` (from its own start, and again when it runs alone), or all when `abort` is set, are cancelled. A rule that doesn't
+    end outside its jobs keeps its thread, but nobody waits for it. tags: further tags of the jobs.
+    """
+    todo = scheduled(registry or Registry(), ctx)
+    spark = next(iter(ctx.tables.values())).sparkSession
+    context, abort = spark.sparkContext, abort or threading.Event()
+    free = threading.Semaphore(max(1, at_once))
+
+    def run(rule: Rule, severity: str) -> tuple[DataFrame | None, Outcome]:
+        tag, done, got = f"rule-{uuid.uuid4().hex}", threading.Event(), []
+        with free:
+            if abort.is_set():
+                return None, Outcome(rule.id, "aborted", 0.0)
+            began = time.perf_counter()
+
+            def work() -> None:
+                try:
+                    for t in (tag, *tags):
+                        context.addJobTag(t)
+                    context.setInterruptOnCancel(True)
+                    got.append(stored(planned(rule, severity, ctx), "rule"))
+                except BaseException as e:  # noqa: BLE001  one rule's failure isn't the others'
+                    got.append(e)
+                finally:
+                    done.set()
+
+            threading.Thread(target=work, daemon=True).start()
+            while not done.wait(0.05) and not abort.is_set() and time.perf_counter() - began <= seconds:
+                pass
+            took = time.perf_counter() - began
+            if not done.is_set():
+                context.cancelJobsWithTag(tag)
+                return None, Outcome(rule.id, "aborted" if abort.is_set() else "timed-out", took, f"stopped after {took:.1f} seconds")
+        if isinstance(got[0], BaseException):
+            return None, Outcome(rule.id, "aborted" if abort.is_set() else "failed", took, str(got[0]))
+        return got[0], Outcome(rule.id, "completed", took)
+
+    with ThreadPoolExecutor(max(1, len(todo))) as pool:
+        ended = [*pool.map(lambda x: run(*x), todo)]
+    if at_once > 1:  # a rule that took all cores may have kept others from running: what took too long runs again by itself
+        ended = [run(*x) if e[1].status == "timed-out" and not abort.is_set() else e for x, e in zip(todo, ended, strict=True)]
+    if abort.is_set():
+        raise Aborted("the rules were aborted")
+    return _united([df for df, _ in ended if df is not None]), [o for _, o in ended]
 
 
 def in_order(findings: DataFrame) -> DataFrame:

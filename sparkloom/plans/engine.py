@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.metadata import cleaned
 from ..functions.session import stored
 from ..operators import extract, graph, policies, report, resolve, rules
 from ..operators import score as scoring
@@ -28,16 +32,22 @@ class Analysis:
     evaluations: DataFrame
     score: scoring.Score
     failed_rules: dict[str, str]
+    outcomes: list[rules.Outcome]
     timings: dict[str, float]
 
     def published(self) -> DataFrame:
         """The findings as they are published: files below the root, evidence in the artifact's shape and order."""
-        columns = ("id", "rule_id", "category", "severity", "title", "description", "rationale", "recommendation", "file", "line", "column", "evidence")
-        return self.findings.select(*columns).withColumn("file", report.relative_path(F.col("file"), self.project.root)).withColumn("evidence", report.evidence_view(F.col("evidence")))
+        columns = ("id", "rule_id", "category", "severity", "title", "description", "rationale", "recommendation", "file", "line", "column", "evidence", "metadata")
+        told = self.findings.select(*columns).withColumn("file", report.relative_path(F.col("file"), self.project.root)).withColumn("evidence", report.evidence_view(F.col("evidence")))
+        return told.withColumn("metadata", cleaned(F.col("metadata")))
+
+    def published_nodes(self) -> DataFrame:
+        """The nodes with cleaned metadata."""
+        return self.tables["nodes"].withColumn("metadata", cleaned(F.col("metadata")))
 
     def write(self, folder: str) -> dict[str, dict]:
         """Writes what the report is cut from, whole, as JSON lines with Spark: by name, the place in the folder and the number of rows."""
-        whole = {"findings": self.published(), "nodes": self.tables["nodes"], "edges": self.tables["edges"], "errors": report.parser_errors(self.tables["errors"]), "deductions": self.score.deductions, "risks": report.risks(self.findings), "policies": self.evaluations}
+        whole = {"findings": self.published(), "nodes": self.published_nodes(), "edges": self.tables["edges"], "errors": report.parser_errors(self.tables["errors"]), "deductions": self.score.deductions, "risks": report.risks(self.findings), "policies": self.evaluations}
         out = {}
         for name, df in whole.items():
             df.write.json(f"{folder}/{name}")
@@ -64,8 +74,8 @@ class Analysis:
                 "summary": {"overall": row["overall"], "grade": row["grade"], **counts},
                 "metrics": report.metrics(self.tables["modules"], self.tables["nodes"]).first().asDict(),
                 "score": {"categories": pick(self.score.categories.orderBy("category"), 100), "deductions": pick(self.score.deductions.orderBy("rule_id"), most), "contributors": pick(self.score.contributors.orderBy(F.desc("impact"), "label"), 100)},
-                "findings": artifacts.published(pick(rules.in_order(self.published()), most)),
-                "graph": {"statistics": self.tables["statistics"].first().asDict(), "nodes": artifacts.published(pick(self.tables["nodes"].orderBy("id"), most)), "edges": pick(self.tables["edges"].orderBy("id"), most)},
+                "findings": pick(rules.in_order(self.published()), most),
+                "graph": {"statistics": self.tables["statistics"].first().asDict(), "nodes": pick(self.published_nodes().orderBy("id"), most), "edges": pick(self.tables["edges"].orderBy("id"), most)},
                 "analysis": {
                     **said, "hotspots": pick(report.top_hotspots(spots), 8), "quick_wins": pick(wins, report.QUICK_WINS), "roadmap": pick(report.roadmap(spots, wins), report.ROADMAP), "risks": pick(report.risks(self.findings), most),
                     "history": pick(report.timeline(point if history is None else history.unionByName(point)), report.HISTORY), "benchmark": pick(report.benchmark(self.score.total, benchmark, self.project.framework), 1)[0], "policies": pick(self.evaluations, most), "parser_errors": pick(report.parser_errors(self.tables["errors"]), most),
@@ -74,15 +84,48 @@ class Analysis:
         )
 
 
-def analyze(spark: SparkSession, path: str, policy_file: str | None = None, score_config: scoring.ScoreConfig = scoring.ScoreConfig(), thresholds: dict | None = None, severities: dict | None = None, registry: rules.Registry | None = None, follow_links: bool = False, progress: Callable[[str], None] = lambda _: None) -> Analysis:
+def analyze(spark: SparkSession, path: str, policy_file: str | None = None, score_config: scoring.ScoreConfig = scoring.ScoreConfig(), thresholds: dict | None = None, severities: dict | None = None, registry: rules.Registry | None = None, follow_links: bool = False, progress: Callable[[str], None] = lambda _: None, rule_seconds: float = 600.0, abort: threading.Event | None = None) -> Analysis:
+    """rule_seconds: the time limit of a rule. abort: when it is set, the jobs are cancelled and rules.Aborted is raised."""
+    abort = abort or threading.Event()
+    with _cancelled_by(spark, abort) as tag:
+        try:
+            return _analyze(spark, path, policy_file, score_config, thresholds, severities, registry, follow_links, progress, rule_seconds, abort, tag)
+        except Exception as e:
+            if abort.is_set() and not isinstance(e, rules.Aborted):
+                raise rules.Aborted("the analysis was aborted") from e
+            raise
+
+
+@contextmanager
+def _cancelled_by(spark: SparkSession, abort: threading.Event):
+    """Gives this thread's jobs a tag and cancels them when abort is set."""
+    context, tag, over = spark.sparkContext, f"analysis-{uuid.uuid4().hex}", threading.Event()
+
+    def watch() -> None:
+        while not over.wait(0.1):
+            if abort.is_set():
+                context.cancelJobsWithTag(tag)
+
+    context.addJobTag(tag)
+    threading.Thread(target=watch, daemon=True).start()
+    try:
+        yield tag
+    finally:
+        over.set()
+        context.removeJobTag(tag)
+
+
+def _analyze(spark: SparkSession, path: str, policy_file: str | None, score_config: scoring.ScoreConfig, thresholds: dict | None, severities: dict | None, registry: rules.Registry | None, follow_links: bool, progress: Callable[[str], None], rule_seconds: float, abort: threading.Event, tag: str) -> Analysis:
     timings: dict[str, float] = {}
 
     def stage(name: str, work: Callable):
         progress(name)
+        if abort.is_set():
+            raise rules.Aborted(f"aborted before {name}")
         began = time.perf_counter()
         try:
             return work()
-        except (project.ScanError, policies.ConfigurationError):
+        except (project.ScanError, policies.ConfigurationError, rules.Aborted):
             raise
         except Exception as e:
             raise AnalysisError(name) from e
@@ -111,12 +154,13 @@ def analyze(spark: SparkSession, path: str, policy_file: str | None = None, scor
     loops = t["cycles"].select(F.explode("nodes").alias("source")).distinct()
     t["depth"] = stage("depth", lambda: graph.max_depth(t["edges"].where("source <> target").join(loops, "source", "left_anti")))
     ctx = rules.Context(t, described.root, described.framework, thresholds or {}, severities or {})
-    found, failed = stage("rules", lambda: rules.execute(ctx, registry))
+    found, outcomes = stage("rules", lambda: rules.execute_apart(ctx, registry, rule_seconds, abort=abort, tags=(tag,)))
+    failed = {o.rule: o.why for o in outcomes if o.status != "completed"}
     broken = policies.violations(policies.resolved_imports(t["imports"], t["exports"], t["modules"], files), rules_of)
     all_ = stage("findings", lambda: stored(found.unionByName(policies.findings(broken, rules_of).select(*found.columns)) if rules_of.policies else found, "findings"))
     config = score_config if rules_of.source == "none" else scoring.ScoreConfig(**{**score_config.__dict__, "policy_penalties": rules_of.penalties})
     result = stage("score", lambda: scoring.score(all_.withColumn("pos", F.xxhash64("id")), config))
-    return Analysis(described, t, all_, policies.evaluations(broken, rules_of), result, failed, timings)
+    return Analysis(described, t, all_, policies.evaluations(broken, rules_of), result, failed, outcomes, timings)
 
 
 #: The tables of a report whose rows have ids.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_up, ignore_glob, key, logical_lines, parent_steps, physical_lines, route_depth
+from ..functions.metadata import cleaned, metadata
 from ..functions.session import table
 from ..operators import graph, policies, report, resolve, rules
 from ..operators import score as scoring
@@ -203,6 +204,22 @@ def node_union(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_union(nodes.where("type = 'module'"), nodes)
 
 
+@query("SELECT c_custkey AS id, to_json({list: [to_json({kept: c_nationkey}), to_json([c_custkey])]::JSON[], name: c_name, nested: {deep: {}::MAP(VARCHAR, INT), kept: c_acctbal > 0}}) AS metadata FROM customer")
+def published_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Names that are never published are gone at every depth, in arrays too."""
+    c = F.col
+    inner = F.struct(F.struct(c("c_phone").alias("apiKey")).alias("deep"), (c("c_acctbal") > 0).alias("kept"), c("c_name").alias("accessToken"))
+    rows = table(spark, d, "customer").select(c("c_custkey").alias("id"), F.to_json(F.struct(c("c_nationkey").alias("kept"), c("c_name").alias("password"))).alias("item"), F.to_json(F.array("c_custkey")).alias("other"), F.to_json(inner).alias("nested"), "c_name", "c_address")
+    text = F.concat(F.lit('{"name":"'), c("c_name"), F.lit('","userName":"'), c("c_name"), F.lit('","list":['), c("item"), F.lit(","), c("other"), F.lit('],"cookies":{"kept":1},"nested":'), c("nested"), F.lit("}"))
+    return rows.select("id", F.to_json(cleaned(F.parse_json(text))).alias("metadata"))
+
+
+@query("SELECT p_partkey AS id, to_json({functionCount: p_size, lineCount: len(p_name)}) AS metadata FROM part WHERE p_name IS NOT NULL AND p_size IS NOT NULL")
+def node_metadata(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").where("p_name IS NOT NULL AND p_size IS NOT NULL")
+    return rows.select(F.col("p_partkey").alias("id"), F.to_json(metadata(functionCount=F.col("p_size"), lineCount=F.length("p_name"), fileId=F.lit(None).cast("string"))).alias("metadata"))
+
+
 @query(f"WITH {_SUPPLY}, {_DEGREES} SELECT id, fan_in, fan_out FROM g")
 def degrees(spark: SparkSession, d: str) -> DataFrame:
     return graph.degrees(a.supply_nodes(spark, d), _supply(spark, d))

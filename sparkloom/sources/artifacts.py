@@ -13,11 +13,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantVal
+
+from ..functions import metadata
 
 SECTIONS = ("metadata", "project", "summary", "metrics", "score", "findings", "graph", "analysis")
 SCHEMA_ID, VERSION = "sparkloom:analysis:1", "1.0.0"
-# Parts of names whose values are never published.
-SENSITIVE = re.compile(r"api[-_]?key|authorization|cookie|password|secret|source|token|username", re.I)
+SENSITIVE = re.compile(metadata.SENSITIVE)
 SCHEMA = {
     "$id": SCHEMA_ID, "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "additionalProperties": False,
     "properties": {s: {"type": "array", "items": {"type": "object"}} if s == "findings" else {"type": "object"} for s in SECTIONS}, "required": [*SECTIONS],
@@ -50,11 +52,6 @@ def sanitized(value: object) -> object:
     return None if isinstance(value, float) and not math.isfinite(value) else value
 
 
-def published(rows: list[dict]) -> list[dict]:
-    """Rows (findings, graph nodes) whose metadata is sanitized; what has none stays as it is."""
-    return [r | {"metadata": sanitized(r["metadata"])} if isinstance(r.get("metadata"), dict) else r for r in rows]
-
-
 def _absolute(path: object) -> bool:
     return bool(re.match(r"[/\\\\]|[A-Za-z]:[/\\\\]", str(path)))
 
@@ -86,7 +83,8 @@ def checked(artifact: dict) -> dict:
 
 def rows(df: DataFrame, most: int) -> list[dict]:
     """The first rows, as plain values."""
-    return [r.asDict(recursive=True) for r in df.limit(most).collect()]
+    plain = lambda v: json.loads(v.toJson()) if isinstance(v, VariantVal) else v
+    return [{k: plain(v) for k, v in r.asDict(recursive=True).items()} for r in df.limit(most).collect()]
 
 
 def as_json(artifact: dict) -> str:
