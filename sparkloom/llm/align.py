@@ -35,15 +35,14 @@ from .common import bounded, map_arrow, nonnull, stored, table
 
 #: Bytes of a text whose ends move in one row; characters of a text that are encoded at once.
 BLOCK, PIECE = 1 << 18, 1 << 16
-#: Segments that a worker remembers, and the characters of the longest.
-REMEMBERED, LONG = 150_000, 40
 #: Pairs whose counts are broadcast, of 12 bytes each; links that a task adds up at once.
 HELD, TOGETHER = 1_000_000, 1 << 22
 A_FILE, A_RANKS, B_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 
-# A segment is a run of these blanks and what follows up to the next; where a text has other white space it is encoded in one.
-_SEGMENT = re.compile("[ \t\n]*[^ \t\n]+|[ \t\n]+")
+# Long texts are cut before these blanks; where one has other white space it is encoded in one.
 _OTHER_WHITE = re.compile("[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u2581\u3000\ufeff]")
+# Others may be letters or numbers to one library alone, as they know other versions of Unicode; the tests compare all of these.
+_UNSURE = re.compile("[^\x00-\u0233\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff\u2010-\u2027\u2030-\u205e\u20a0-\u20b1\u2190-\u21ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 _BOUNDARY = re.compile("(?<=[^ \t\n])[ \t\n]")
 
 
@@ -61,7 +60,7 @@ def byte_level() -> dict[str, int]:
 
 
 class SideA:
-    """Byte-level BPE. ASCII segments are encoded by the same vocabulary's ranks, which is faster; others by the tokenizer file itself."""
+    """Byte-level BPE. Texts of characters that both libraries are known to class alike are encoded by the vocabulary's ranks, which is faster; others by the tokenizer file."""
 
     def __init__(self, path: str, ranks: str, pattern: str):
         import tiktoken
@@ -78,10 +77,10 @@ class SideA:
         for token, i in self.of_file.get_vocab().items():
             self.bytes[i] = bytes(told[c] for c in token) if all(c in told for c in token) else token.encode()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        plain = [t.isascii() for t in texts]
-        rest = iter(self.of_file.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [self.of_ranks.encode_ordinary(t) if p else next(rest).ids for t, p in zip(texts, plain, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        if _UNSURE.search(text):
+            return self.of_file.encode(text, add_special_tokens=False).ids
+        return self.of_ranks.encode_ordinary(text)
 
 
 class SideB:
@@ -97,59 +96,39 @@ class SideB:
         # no piece goes on over a blank, nor joins the blank that the model adds with one that isn't a space
         self.cut = not any(re.search("[^▁][▁\t\n]|[\t\n]", p) for i, p in enumerate(pieces) if not self.model.is_byte(i))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """texts that begin with a blank, which the model's own stands for if it is a space."""
-        found = self.model.encode([t[1:] if t[0] == " " else t for t in texts], num_threads=1)
-        return [([self.blank] if t == " " else ids) if t[0] == " " else ids[1:] for t, ids in zip(texts, found, strict=True)]
+    def encode(self, text: str) -> list[int]:
+        """text: begins with a blank, which the model's own stands for if it is a space."""
+        if text[0] != " ":
+            return self.model.encode(text)[1:]
+        return self.model.encode(text[1:]) if len(text) > 1 else [self.blank]
 
 
 class Encoder:
-    """Both encodings of texts, as packed ids; what a segment gives is remembered."""
+    """Both encodings of texts, as packed ids."""
 
     def __init__(self, a: SideA, b: SideB):
-        self.sides, self.memo = (a, b), {}
-
-    def _told(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Of each text both sides' ids, or none if one of them doesn't give the text back."""
-        both = [side.encode(texts) for side in self.sides]
-        back = [[b"".join(map(side.bytes.__getitem__, ids)) for ids in found] for side, found in zip(self.sides, both, strict=True)]
-        out = []
-        for text, a, b, of_a, of_b in zip(texts, *both, *back, strict=True):
-            raw = text.encode()
-            out.append((np.array(a, "<u2").tobytes(), np.array(b, "<u2").tobytes()) if of_a == raw and of_b == raw else None)
-        return out
-
-    def _segments(self, text: str) -> list[tuple[bytes, bytes] | None]:
-        segments = _SEGMENT.findall(text)
-        new = [s for s in dict.fromkeys(segments) if s not in self.memo]
-        told = dict(zip(new, self._told(new), strict=True)) if new else {}
-        get, memo = told.get, self.memo
-        out = [memo[s] if s in memo else get(s) for s in segments]
-        for s, ids in told.items():
-            if len(s) <= LONG:
-                if len(memo) >= REMEMBERED:
-                    memo.clear()
-                memo[s] = ids
-        return out
+        self.sides = (a, b)
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """The text cut before blanks; whole, where it may have white space that tokens go on over."""
+        at = 0
+        if self.sides[1].cut and (len(text) <= PIECE or not _OTHER_WHITE.search(text)):
+            while cut := _BOUNDARY.search(text, at + PIECE):
+                yield text[at : cut.start()]
+                at = cut.start()
+        yield text[at:]
 
     def __call__(self, text: str) -> tuple[bytes, bytes] | None:
-        """The ids of `text` by A and B, each of two bytes; none if it has no tokens."""
-        if not text:
-            return None
-        text = " " + text
-        if _OTHER_WHITE.search(text) or not self.sides[1].cut:
-            return self._told([text])[0]
-        a, b, at = [], [], 0
-        while at < len(text):
-            cut = _BOUNDARY.search(text, at + PIECE)
-            end = cut.start() if cut else len(text)
-            for ids in self._segments(text[at:end]):
-                if ids is None:
+        """The ids of `text` by A and B, each of two bytes; none if it has no tokens, as a side doesn't give it back."""
+        out: tuple[list[bytes], list[bytes]] = ([], [])
+        for piece in self.pieces(" " + text) if text else ():
+            raw = piece.encode()
+            for side, packed in zip(self.sides, out, strict=True):
+                ids = side.encode(piece)
+                if b"".join(map(side.bytes.__getitem__, ids)) != raw:
                     return None
-                a.append(ids[0])
-                b.append(ids[1])
-            at = end
-        return b"".join(a), b"".join(b)
+                packed.append(np.array(ids, "<u2").tobytes())
+        return (b"".join(out[0]), b"".join(out[1])) if text else None
 
 
 @cache
