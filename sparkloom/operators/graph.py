@@ -1,4 +1,4 @@
-"""The dependency graph: edges, nodes, degrees, orphans, statistics, traversal, components, depth and cycles.
+"""The dependency graph: edges, nodes, degrees, orphans, statistics, traversal, components, depth and cycles (the ordered search is in search.py).
 
 Nodes have an id; edges have source and target. Iterations run as joins on the frontier alone, each round stored in the shared
 folder; nothing but counts comes to the driver.
@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import key
 from ..functions.session import bounded, dropped, stored
 
-#: The most edges of a project that one task searches in order, and how often nodes without a way out are trimmed before.
-SEARCHED, TRIMS = 2_000_000, 6
-
 
 def upsert_edges(statements: DataFrame) -> DataFrame:
     """statements: source, target, is_dynamic, is_broken, is_external. One edge for each pair; dynamic if one of its statements is."""
@@ -138,19 +135,25 @@ def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def depths(edges: DataFrame, most: int = 1_000) -> DataFrame:
-    """id, depth: the edges on the longest path that ends there, from the sources on. Raises on a cycle (or paths of over `most`)."""
+def depths(edges: DataFrame) -> DataFrame:
+    """id, depth: the edges on the longest path that ends there, from the sources on. Raises on a cycle, for which there is search.depths.
+
+    Nodes are freed when all that lead to them are done; a round touches the freed ones and those that wait for more.
+    """
     steps = stored(edges.select("source", "target").distinct(), "steps")
-    level = stored(steps.select(F.explode(F.array("source", "target")).alias("id")).distinct().withColumn("depth", F.lit(0)), "level")
-    now, done, k = level, level, 0
-    while True:
-        k += 1
-        now = stored(steps.join(now.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct().withColumn("depth", F.lit(k)), "level")
-        if now.isEmpty():
-            return done.groupBy("id").agg(F.max("depth").alias("depth"))
-        if k > most:
-            raise ValueError("the graph has a cycle; use cycles() or strong_components()")
+    due = stored(steps.groupBy(F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("due")), "due")
+    ids = steps.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    now = done = stored(ids.join(due, "id", "left_anti").withColumn("depth", F.lit(0)), "level")
+    waiting = due.limit(0).select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("n"))
+    while not now.isEmpty():
+        said = steps.join(bounded(now.select(F.col("id").alias("source"), "depth")), "source").select(F.col("target").alias("id"), F.col("depth") + 1, F.lit(1).cast("long"))
+        told = stored(waiting.union(said).groupBy("id").agg(F.max("depth").alias("depth"), F.sum("n").alias("n")).join(due, "id"), "told")
+        now = told.where("n = due").select("id", "depth")
+        waiting = told.where("n < due").select("id", "depth", "n")
         done = done.unionByName(now)
+    if not waiting.isEmpty() or done.isEmpty() and not steps.isEmpty():
+        raise ValueError("the graph has a cycle; see search.depths")
+    return done
 
 
 def max_depth(edges: DataFrame) -> DataFrame:
@@ -247,63 +250,6 @@ def canonical(cycle: Column) -> Column:
     return F.array_min(F.transform(turns, lambda t: F.struct(F.array_join(F.transform(t, lambda x: x.cast("string")), "").alias("k"), t.alias("t"))))["t"]
 
 
-def cycles(edges: DataFrame, project: str = "project") -> DataFrame:
-    """project, id, length, nodes: the cycles that a depth-first search of each project's import graph closes, and max_depth by it.
-
-    Which cycles that are depends on the order: nodes by id, their children by the hash of the edge, and where the search comes from.
-    Nodes without a way out close no cycle and are trimmed first, distributed. What is left of a project, a repository's graph, is
-    searched in one task; more than SEARCHED edges are refused, for which there are strong_components and functional_cycles.
-    """
-    edges = stored(edges.select(project, "source", "target").distinct(), "left")
-    for _ in range(TRIMS):
-        inner = stored(edges.join(edges.select(project, F.col("source").alias("target")).distinct(), [project, "target"], "left_semi").select(project, "source", "target"), "left")
-        same = inner.count() == edges.count()
-        dropped(edges)
-        edges = inner
-        if same:
-            break
-    most = edges.groupBy(project).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    if most > SEARCHED:
-        raise ValueError(f"{most} edges are too many for an ordered search; use strong_components() or functional_cycles()")
-    import pandas as pd
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        out: dict[str, list[str]] = {}
-        for s, t in sorted(set(zip(pdf["source"], pdf["target"], strict=True)), key=lambda e: sha(f"edge:{e[0]}:{e[1]}")):
-            out.setdefault(s, []).append(t)
-        done: set[str] = set()
-        rows = {}
-        for first in sorted({*pdf["source"], *pdf["target"]}):
-            path, place, todo = [], {}, [(first, None)]
-            while todo:
-                node, rest = todo.pop()
-                if rest is None:
-                    if node in place:
-                        ring = path[place[node] :]
-                        turn = min((ring[i:] + ring[:i] for i in range(len(ring))), key="".join)
-                        rows[sha("cycle:" + ":".join(turn))] = turn
-                        continue
-                    if node in done:
-                        continue
-                    place[node] = len(path)
-                    path.append(node)
-                    rest = iter([c for c in out.get(node, ()) if c != node])
-                child = next(rest, None)
-                if child is None:
-                    path.pop()
-                    del place[node]
-                    done.add(node)
-                else:
-                    todo += [(node, rest), (child, None)]
-        name = pdf[project].iloc[0]
-        return pd.DataFrame([(name, k, len(v), v) for k, v in sorted(rows.items())], columns=[project, "id", "length", "nodes"])
-
-    return edges.groupBy(project).applyInPandas(search, f"{project} string, id string, length int, nodes array<string>")
-
-
 def node_group(path: Column, kind: Column) -> Column:
     """The group of a node on a map: by kind if it is no module, else src and the directory below, or the first directory."""
     parts = F.split(path, "/", -1)

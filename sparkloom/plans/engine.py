@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import cleaned
 from ..functions.session import stored
-from ..operators import extract, graph, policies, report, resolve, rules
+from ..operators import extract, graph, policies, report, resolve, rules, search
 from ..operators import score as scoring
 from ..sources import artifacts, project
 
@@ -148,11 +148,11 @@ def _analyze(spark: SparkSession, path: str, policy_file: str | None, score_conf
     t["edges"] = stage("edges", lambda: stored(graph.upsert_edges(resolve.statements_of(classified)), "edges"))
     t["nodes"] = stored(graph.node_union(resolve.module_nodes(t["modules"]), resolve.target_nodes(classified)), "nodes")
     t["degrees"], t["orphans"] = graph.degrees(t["nodes"], t["edges"]), graph.orphans(t["nodes"], t["edges"])
-    t["cycles"] = stage("cycles", lambda: stored(graph.cycles(t["edges"].withColumn("project", F.lit(described.id))).drop("project"), "cycles"))
+    found_ways = stage("search", lambda: search.searched(t["edges"].withColumn("project", F.lit(described.id))))
+    t["cycles"] = search.cycles(found_ways).drop("project")
     components = stage("components", lambda: graph.weak_components(t["nodes"], t["edges"]))
     t["statistics"] = graph.statistics(t["nodes"], t["edges"], components)
-    loops = t["cycles"].select(F.explode("nodes").alias("source")).distinct()
-    t["depth"] = stage("depth", lambda: graph.max_depth(t["edges"].where("source <> target").join(loops, "source", "left_anti")))
+    t["depth"] = search.max_depth(found_ways)
     ctx = rules.Context(t, described.root, described.framework, thresholds or {}, severities or {})
     found, outcomes = stage("rules", lambda: rules.execute_apart(ctx, registry, rule_seconds, abort=abort, tags=(tag,)))
     failed = {o.rule: o.why for o in outcomes if o.status != "completed"}

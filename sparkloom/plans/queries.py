@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_up, ignore_glob, key, logical_lines, parent_steps, physical_lines, route_depth
 from ..functions.metadata import cleaned, metadata
 from ..functions.session import table
-from ..operators import graph, policies, report, resolve, rules
+from ..operators import graph, policies, report, resolve, rules, search
 from ..operators import score as scoring
 from ..sources import project
 from . import adapters as a
@@ -313,10 +313,51 @@ def strong_components(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_RINGS} SELECT len(path)::INTEGER AS length, array_to_string(path, ',') AS nodes FROM r")
 def cycles_searched(spark: SparkSession, d: str) -> DataFrame:
     """The depth-first search, turned so that the least number leads."""
-    found = graph.cycles(a.trade(spark, d).select(F.lit("trade").alias("project"), F.lpad(F.col("source").cast("string"), 2, "0").alias("source"), F.lpad(F.col("target").cast("string"), 2, "0").alias("target")))
+    pairs = a.trade(spark, d).select(F.lit("trade").alias("project"), *(F.lpad(F.col(c).cast("string"), 2, "0").alias(c) for c in ("source", "target")))
+    found = search.cycles(search.searched(pairs))
     return found.select("length", F.array_join(F.transform(graph.canonical(F.col("nodes")), lambda x: x.cast("int").cast("string")), ",").alias("nodes"))
 
 
+_RING = """r AS (SELECT c_nationkey AS k, c_custkey AS c, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey)),
+t AS (SELECT s_suppkey AS s, s_suppkey % 2 = 0 AS early, r.* FROM supplier JOIN r ON r.k = s_nationkey AND r.i = s_suppkey % r.n),
+f AS (SELECT k, any_value(n) AS n, coalesce((SELECT arg_min(i, s) FROM t WHERE t.k = r.k AND early), 0) AS i0 FROM r GROUP BY k),
+x AS (SELECT r.k, 'm' || lpad(c::VARCHAR, 9, '0') AS id, CASE WHEN r.n = 1 THEN 1 ELSE r.n - (i - i0 + r.n) % r.n END AS depth FROM r JOIN f USING (k)
+  UNION ALL SELECT t.k, CASE WHEN early THEN 'a' ELSE 'z' END || lpad(s::VARCHAR, 9, '0'), 1 + CASE WHEN t.n = 1 THEN 1 ELSE t.n - (i - i0 + t.n) % t.n END FROM t JOIN f USING (k))"""
+
+
+def _rings(spark: SparkSession, d: str) -> DataFrame:
+    """A graph for each nation: its customers in a ring, its suppliers, of which some come before all customers, leading into it."""
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")  # of one nation's customers
+    own = table(spark, d, "customer").where("c_nationkey IS NOT NULL").select("c_nationkey", "c_custkey")
+    ring = own.select(F.col("c_nationkey").alias("project"), F.concat(F.lit("m"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("id"), (F.row_number().over(w) - 1).alias("at"))
+    ring = ring.join(own.groupBy(F.col("c_nationkey").alias("project")).agg(F.count(F.lit(1)).alias("n")), "project")
+    to = ring.select("project", "at", F.col("id").alias("target"))
+    steps = ring.select("project", ((F.col("at") + 1) % F.col("n")).alias("at"), F.col("id").alias("source")).join(to, ["project", "at"])
+    tails = table(spark, d, "supplier").select(F.col("s_nationkey").alias("project"), "s_suppkey").join(ring.select("project", "n").distinct(), "project")
+    name = F.concat(F.when(F.col("s_suppkey") % 2 == 0, F.lit("a")).otherwise(F.lit("z")), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    tails = tails.select("project", (F.col("s_suppkey") % F.col("n")).alias("at"), name.alias("source")).join(to, ["project", "at"])
+    return steps.unionByName(tails).select("project", "source", "target")
+
+
+@query(f"WITH {_RING} SELECT k::VARCHAR AS project, id, depth::INTEGER AS depth FROM x")
+def search_depths(spark: SparkSession, d: str) -> DataFrame:
+    """Depths on cycles, which depend on where the search comes in; each graph in one task."""
+    return search.depths(search.searched(_rings(spark, d)))
+
+
+@query(f"WITH {_RING} SELECT k::VARCHAR AS project, id, depth::INTEGER AS depth FROM x")
+def search_depths_apart(spark: SparkSession, d: str) -> DataFrame:
+    """The same with every graph taken apart into its strong components."""
+    return search.depths(search.searched(_rings(spark, d), most=0))
+
+
+@query(f"WITH {_RING} SELECT k::VARCHAR AS project, max(depth)::INTEGER AS max_depth, count(*) FILTER (id LIKE 'm%') AS length FROM x GROUP BY k")
+def search_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """One cycle for each graph, as long as its ring; and how deep the search goes."""
+    found = search.searched(_rings(spark, d), most=1000)
+    return search.depths(found).groupBy("project").agg(F.max("depth").alias("max_depth")).join(search.cycles(found).select("project", F.col("length").cast("long")), "project")
+
+
 @query(f"""WITH {_KEYS}, g AS (SELECT id, CASE type WHEN 'package' THEN 'packages' WHEN 'missing' THEN 'missing' ELSE 'src/' || label END AS g FROM n)
 SELECT s.g AS source_group, t.g AS target_group, count(*) AS n FROM e JOIN g s ON e.source = s.id JOIN g t ON e.target = t.id WHERE s.g <> t.g GROUP BY ALL""")
 def group_edges(spark: SparkSession, d: str) -> DataFrame:

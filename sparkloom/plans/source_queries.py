@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import nesting_depth, normalized
 from ..functions.session import stored
-from ..operators import extract, graph, report, resolve
+from ..operators import extract, graph, report, resolve, search
 from ..sources import project
 from . import adapters as a
 from .registry import query, run_rule, told
@@ -194,7 +194,7 @@ def circular_imports(spark: SparkSession, d: str) -> DataFrame:
     edges = stored(a.trade(spark, d).select(F.lit("trade").alias("project"), name("source").alias("source"), name("target").alias("target")), "trade")
     ids = edges.select(F.explode(F.array("source", "target")).alias("id")).distinct()
     modules = ids.select("id", F.col("id").alias("file_id"), F.concat(F.lit("src/n"), "id", F.lit(".ts")).alias("path"))
-    return run_rule(spark, d, "no-circular-imports", files=modules.select("id", "path"), modules=modules, nodes=modules, cycles=graph.cycles(edges).drop("project"))
+    return run_rule(spark, d, "no-circular-imports", files=modules.select("id", "path"), modules=modules, nodes=modules, cycles=search.cycles(search.searched(edges)).drop("project"))
 
 
 # --- the scan and the report --------------------------------------------------------------------------------------------------

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from sparkloom.operators import graph
+from sparkloom.operators import graph, search
 
 
 def edges_of(spark, pairs):
@@ -37,7 +37,7 @@ def test_against_plain_python(spark, seed):
     for x in graph.strong_components(df).collect():
         got.setdefault(x["component"], set()).add(x["id"])
     assert {frozenset(v) for v in got.values()} == {v for v in strong.values() if len(v) > 1}
-    for c in graph.cycles(df.selectExpr("'p' AS project", "*")).collect():
+    for c in search.cycles(search.searched(df.selectExpr("'p' AS project", "*"))).collect():
         ring = c["nodes"]
         assert len(set(ring)) == c["length"] == len(ring) > 1
         assert all((a, b) in pairs for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
@@ -57,7 +57,7 @@ def test_depth_cycles_and_orphans(spark):
     assert graph.max_depth(edges_of(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("x", "c")])).first()[0] == 2
     assert graph.max_depth(edges_of(spark, [])).first()[0] == 0
     with pytest.raises(ValueError):
-        graph.depths(edges_of(spark, [("a", "b"), ("b", "a")]), most=5)
+        graph.depths(edges_of(spark, [("a", "b"), ("b", "a")]))
     rings = graph.functional_cycles(edges_of(spark, [("a", "b"), ("b", "c"), ("c", "a"), ("z", "a"), ("q", "q"), ("s", "t"), ("t", "s")]))
     assert sorted(tuple(x["cycle"]) for x in rings.collect()) == [("a", "b", "c"), ("s", "t")]
     nodes = spark.createDataFrame([("a",), ("b",), ("self",), ("alone",)], "id string")
@@ -75,15 +75,55 @@ def test_self_and_unreached_paths(spark):
     assert [x["id"] for x in graph.shortest_path(df, "a", "c").orderBy("step").collect()] == ["a", "b", "c"]
 
 
-def test_trimming_keeps_the_searched_cycles(spark, monkeypatch):
-    r = random.Random(7)
-    pairs = sorted({(f"n{r.randrange(12):02}", f"n{r.randrange(16):02}") for _ in range(26)})
-    df = edges_of(spark, pairs).selectExpr("'p' AS project", "*")
-    trimmed = graph.cycles(df).collect()
-    monkeypatch.setattr(graph, "TRIMS", 0)
-    assert trimmed and sorted(map(str, trimmed)) == sorted(map(str, graph.cycles(df).collect()))
-    monkeypatch.setattr(graph, "SEARCHED", 3)
-    with pytest.raises(ValueError, match="too many"):
-        graph.cycles(df)
-    monkeypatch.setattr(graph, "TRIMS", 9)
-    assert graph.cycles(edges_of(spark, [(f"a{i}", f"a{i + 1}") for i in range(8)]).selectExpr("'p' AS project", "*")).count() == 0
+def plain_search(pairs):
+    """(depth by node, cycles): recursively, as written down."""
+    out = {}
+    for s, t in sorted(pairs, key=lambda e: search.edge_key(*e)):
+        out.setdefault(s, []).append(t)
+    depth, way, rings = {}, [], set()
+
+    def visit(n):
+        if n in depth:
+            return depth[n]
+        if n in way:
+            ring = way[way.index(n) :]
+            if len(ring) > 1:
+                rings.add(tuple(min((ring[i:] + ring[:i] for i in range(len(ring))), key="".join)))
+            return 0
+        way.append(n)
+        most = 0
+        for c in out.get(n, ()):
+            most = max(most, 1 + visit(c))
+        way.pop()
+        depth[n] = most
+        return most
+
+    for n in sorted({x for e in pairs for x in e}):
+        visit(n)
+    return depth, rings
+
+
+@pytest.mark.parametrize(("most", "seeds"), [(None, range(6)), (0, (1,)), (8, (2,))])
+def test_the_search_against_recursion(spark, most, seeds):
+    """Whole graphs in tasks, and graphs taken apart into their strong components, several at once."""
+    graphs = {}
+    for seed in seeds:
+        for k in range(8):
+            r = random.Random(100 * seed + k)
+            n = r.choice((2, 5, 12, 20))
+            graphs[f"{seed}-{k}"] = sorted({(f"n{r.randrange(n):02}", f"n{r.randrange(n):02}") for _ in range(r.choice((2, n, 2 * n)))})
+    rows = [(p, *e) for p, pairs in graphs.items() for e in pairs]
+    found = search.searched(spark.createDataFrame(rows + rows[:5], "project string, source string, target string"), most=most)
+    depth = {(x["project"], x["id"]): x["depth"] for x in search.depths(found).collect()}
+    rings = {(x["project"], tuple(x["nodes"])) for x in search.cycles(found).collect()}
+    told = {p: plain_search(pairs) for p, pairs in graphs.items()}
+    assert depth == {(p, n): d for p, (ds, _) in told.items() for n, d in ds.items()}
+    assert rings == {(p, c) for p, (_, cs) in told.items() for c in cs}
+    assert search.max_depth(found).first()[0] == max(depth.values())
+
+
+def test_searching_nothing_and_long_chains(spark):
+    none = search.searched(spark.createDataFrame([], "project string, source string, target string"))
+    assert none.count() == 0 and search.max_depth(none).first()[0] == 0
+    chain = [("p", f"n{i:05}", f"n{i + 1:05}") for i in range(3000)]
+    assert search.max_depth(search.searched(spark.createDataFrame(chain, "project string, source string, target string"))).first()[0] == 3000
