@@ -95,12 +95,11 @@ def line_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grouped = stored(groups(keys.select("key", "node")), "grouped")
     proposed = stored(members(grouped, known, links=False)[0], "members")
     dropped(keys)
-    docs.sparkSession.sparkContext._jvm.System.gc()  # then Spark deletes the shuffle files that nothing refers to
     once = texts_of(docs).join(bounded(proposed.select("node", "id").distinct()), ["node", "id"], "left_semi")
     # rows that share an id can have a line each; else nothing repeats, and the texts needn't move
     once = stored(once.dropDuplicates(["node", "id"]) if repeats(docs, "id") else once, "texts")
     texts = once.join(proposed.drop("n_items").hint("merge"), ["node", "id"])  # the same plan at every size
-    joined = components(stored(connected(proposed, texts, forest, make), "links"))
+    joined = components(stored(connected(proposed, texts, threshold, make), "links"))
     first = joined.join(distinct, "node").groupBy("component").agg(F.min("id").alias("least"))
     near = joined.join(first, "component").select("node", "least", "component")
     return distinct.join(near, "node", "left").where("n > 1 OR least IS NOT NULL").select("node", F.coalesce("least", "id").alias("least"), F.coalesce("component", "node").alias("component"))

@@ -147,31 +147,28 @@ def members(grouped: DataFrame, nodes: DataFrame, links: bool, earlier: DataFram
 
 #: Makes from texts and nodes: the places of the texts that have sets, and their elements (sorted, distinct) and offsets.
 Make = Callable[[pa.Array, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
-#: From the similarities of links to one over the chance that a search finds such, by depth of the prefixes (the last axis).
-Missed = Callable[[np.ndarray], np.ndarray]
-_LINKS = "a long, b long, links long, pairs long, expected array<double>"
+_LINKS = "a long, b long, links long"
 
 
-def verified(texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
-    """texts: members with weight and text. Rows a, b, links, pairs, expected, some for each node with links.
+def verified(texts: DataFrame, threshold: float, make: Make) -> DataFrame:
+    """texts: members with weight and text. Rows a, b, links, some for each node with links.
 
-    b is a node that a is connected with; links adds up to the weights of all nodes linked with a, pairs to their number, and expected
-    to how many there are for each that a search finds, for each of the forest's depths. The texts travel, being smaller than their
-    sets, which `make` makes in the tasks.
+    b is a node that a is connected with; links adds up to the weights of all nodes linked with a. The texts travel, being smaller than
+    their sets, which `make` makes in the tasks.
     """
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     dealt = texts.withColumn("_o", other).withColumn("_i", F.least("block", "_o")).withColumn("_j", F.greatest("block", "_o")).withColumn("order", F.col("group"))
-    return _compare(dealt, forest, make)
+    return _compare(dealt, threshold, make)
 
 
-def connected(proposed: DataFrame, texts: DataFrame, forest: Forest, make: Make) -> DataFrame:
+def connected(proposed: DataFrame, texts: DataFrame, threshold: float, make: Make) -> DataFrame:
     """The same rows, but of as many links only as connect what is connected. proposed: members without links; texts: those with weight and text."""
     big = F.col("n_blocks") > 1
     here = F.when(big & (F.col("node") == F.col("hub")), F.sequence(F.lit(0), F.col("n_blocks") - 1)).otherwise(F.array("block"))
     order = F.when(big, F.lit(int(_LAST))).otherwise(F.col("group")).alias("order")
     columns = ["group", "node", "weight", "groups", "text"]
     first = texts.withColumn("_i", F.explode(here)).select(*columns, "_i", F.col("_i").alias("_j"), F.col("_i").alias("block"), order)
-    links = stored(_compare(first, forest, make), "links")
+    links = stored(_compare(first, threshold, make), "links")
     large = stored(proposed.where(big).select("group", "node", "block", "n_blocks", "hub"), "large")
     if large.isEmpty():
         return links
@@ -191,15 +188,10 @@ def connected(proposed: DataFrame, texts: DataFrame, forest: Forest, make: Make)
     tasks = F.explode(F.when(F.col("rest"), F.concat(with_rest, with_others)).otherwise(others_with))
     pairs = of.withColumn("t", tasks).select("group", "node", F.col("t.i").alias("_i"), F.col("t.j").alias("_j"), F.when(F.col("rest"), -1 - mine).otherwise(F.col("block")).alias("_block"))
     second = texts.where(big).select(*columns, order).join(stored(pairs, "second"), ["group", "node"]).withColumnRenamed("_block", "block")
-    return links.unionByName(stored(_compare(second, forest, make), "links"))
+    return links.unionByName(stored(_compare(second, threshold, make), "links"))
 
 
-def _compare(dealt: DataFrame, forest: Forest, make: Make) -> DataFrame:
-    threshold, trees, depths = forest.threshold, forest.trees, np.array(forest.depths)
-
-    def missed(s: np.ndarray) -> np.ndarray:
-        return 1 / (1 - (1 - s[..., None] ** depths) ** trees)
-
+def _compare(dealt: DataFrame, threshold: float, make: Make) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
@@ -209,16 +201,16 @@ def _compare(dealt: DataFrame, forest: Forest, make: Make) -> DataFrame:
             ends = np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1
             last = int(ends[-1]) if len(ends) else 0
             if last:
-                yield from _compared(t.slice(0, last), np.append(0, ends), threshold, make, missed)
+                yield from _compared(t.slice(0, last), np.append(0, ends), threshold, make)
             rest = t.slice(last)
         if rest is not None and len(rest):
-            yield from _compared(rest, np.array([0, len(rest)]), threshold, make, missed)
+            yield from _compared(rest, np.array([0, len(rest)]), threshold, make)
 
     dealt = dealt.select("group", "_i", "_j", "block", "node", "weight", "order", "groups", "text")
     return map_arrow(dealt.repartition("group", "_i", "_j").sortWithinPartitions("group", "_i", "_j"), run, _LINKS)
 
 
-def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make, missed: Missed) -> Iterator[pa.RecordBatch]:
+def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make) -> Iterator[pa.RecordBatch]:
     """The links of the groups whose rows stand between the ends."""
     t = t.combine_chunks()
     # two texts that are compared in a lesser group too need no sets here
@@ -247,33 +239,33 @@ def _compared(t: pa.Table, ends: np.ndarray, threshold: float, make: Make, misse
         where = np.searchsorted(rows, ends)
     node, weight, block, last = (t.column(c).to_numpy()[rows] for c in ("node", "weight", "block", "order"))
     count, whole = np.diff(where), np.diff(ends)
-    found = [*_pairs(where[:-1][(count == 2) & (whole == 2)], node, weight, flat, at, threshold, missed)]  # most groups; none of these is compared elsewhere
+    found = [*_pairs(where[:-1][(count == 2) & (whole == 2)], node, weight, flat, at, threshold)]  # most groups; none of these is compared elsewhere
     several = np.flatnonzero((count >= 2) & (whole > 2))
     names = [x or [] for x in t.column("groups").chunk(0).take(pa.array(rows)).to_pylist()] if len(several) else []
     for lo, hi in zip(where[:-1][several], where[1:][several], strict=True):
         items = [flat[x:y] for x, y in zip(at[lo:hi], at[lo + 1 : hi + 1], strict=True)]
-        found.append(_block(node[lo:hi], weight[lo:hi], block[lo:hi], names[lo:hi], int(last[lo]), items, threshold, missed))
+        found.append(_block(node[lo:hi], weight[lo:hi], block[lo:hi], names[lo:hi], int(last[lo]), items, threshold))
     if found:
-        a, b, links, pairs, expected = (np.concatenate(x) for x in zip(*found, strict=True))
-        on = pairs > 0
-        yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(links[on].astype(np.int64)), pa.array(pairs[on].astype(np.int64)), pa.ListArray.from_arrays(np.arange(on.sum() + 1, dtype=np.int32) * expected.shape[1], expected[on].reshape(-1))], names=["a", "b", "links", "pairs", "expected"])
+        a, b, links = (np.concatenate(x) for x in zip(*found, strict=True))
+        on = links > 0
+        yield pa.RecordBatch.from_arrays([pa.array(x[on].astype(np.int64)) for x in (a, b, links)], names=["a", "b", "links"])
 
 
-def _pairs(first: np.ndarray, node: np.ndarray, weight: np.ndarray, flat: np.ndarray, at: np.ndarray, threshold: float, missed: Missed) -> Iterator[tuple[np.ndarray, ...]]:
+def _pairs(first: np.ndarray, node: np.ndarray, weight: np.ndarray, flat: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
     """The links between the rows at `first` and those after them, many at once: of a pair and an element in one number, equal ones are shared."""
     for lo in (first[i : i + 4096] for i in range(0, len(first), 4096)):
         size = at[lo + 2] - at[lo]
         both = np.sort(np.repeat(np.arange(len(lo), dtype=np.uint64) << np.uint64(52), size) | flat[ranges(at[lo], size)])
         n = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(52)).astype(np.int64), minlength=len(lo))
         on = (n >= threshold * (size - n) - 1e-9) & (node[lo] != node[lo + 1])
-        lo, s = lo[on], n[on] / (size[on] - n[on])
+        lo = lo[on]
         if len(lo):
             low = np.minimum(node[lo], node[lo + 1])
-            yield np.concatenate([node[lo], node[lo + 1]]), np.concatenate([low, low]), np.concatenate([weight[lo + 1], weight[lo]]), np.ones(2 * len(lo), np.int64), np.concatenate([missed(s)] * 2)
+            yield np.concatenate([node[lo], node[lo + 1]]), np.concatenate([low, low]), np.concatenate([weight[lo + 1], weight[lo]])
 
 
-def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[list[int]], group: int, items: list[np.ndarray], threshold: float, missed: Missed) -> tuple[np.ndarray, ...]:
-    """One block with itself, or two with each other: the nodes, the least node that each is connected with, the links' weights, number and expectation."""
+def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[list[int]], group: int, items: list[np.ndarray], threshold: float) -> tuple[np.ndarray, ...]:
+    """One block with itself, or two with each other: the nodes, the least node that each is connected with, and the links' weights."""
     left = np.flatnonzero(block == block.min())
     one = len(left) == len(block)
     right = left if one else np.flatnonzero(block == block.max())
@@ -300,14 +292,9 @@ def _block(node: np.ndarray, weight: np.ndarray, block: np.ndarray, names: list[
         if (new_l == low_l).all() and (new_r == low_r).all():
             break
         low_l, low_r = new_l, new_r
-    x, y = np.nonzero(linked)
-    each = missed(both[x, y] / union[x, y])
-    seen = [np.zeros((n, each.shape[1])) for n in linked.shape]
-    np.add.at(seen[0], x, each)
-    np.add.at(seen[1], y, each)
-    sides = [(node[left], low_l, linked @ weight[right], linked.sum(1), seen[0])]
+    sides = [(node[left], low_l, linked @ weight[right])]
     if not one:
-        sides.append((node[right], low_r, linked.T @ weight[left], linked.sum(0), seen[1]))
+        sides.append((node[right], low_r, linked.T @ weight[left]))
     return tuple(np.concatenate(x) for x in zip(*sides, strict=True))
 
 

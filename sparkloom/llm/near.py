@@ -2,11 +2,10 @@
 
 Words stand between ASCII white space and are taken unchanged; a text of one to four words has one shingle, an empty one none.
 Texts of equal shingle sets are one class, counted before anything is compared. A MinHash LSH forest proposes: the signatures stand
-sorted in prefix tries, one for each tree; texts that share a prefix of the greatest of DEPTHS are compared first. Each verified
-pair's similarity tells how likely such a prefix was to find it, and so how many like it were missed; as long as the estimated
-share of the pairs that are found is less than TARGET, the prefixes are shortened to the next depth, and what meets there and
-didn't before is compared. One pair of exactly the threshold is added to the estimate, so that few or no finds never stop the
-search. At the least depth the chance of such a pair is RECALL or more. The sets of 52-bit shingle hashes decide.
+sorted in prefix tries, one for each tree; texts that share a prefix of DEEPEST are compared first. As long as a pair of exactly the
+threshold would be found with a chance of less than RECALL, prefixes are shortened by STEP, and what meets there and didn't before
+is compared. So the chance that a link is found is RECALL or more, whatever else is in the table. The sets of 52-bit shingle hashes
+decide.
 
 Result, one row for each input row: doc_id, class_id (the least doc_id that it is connected with by links, its own if none),
 n_links (the other rows at 0.8 or more; copies count, though no pair of them is made), text_hash, and first: whether the row is its
@@ -28,13 +27,11 @@ from pyspark.sql import functions as F
 from .common import bounded, map_arrow, stored, table
 from .components import components
 from .hashing import chunks, mix, word_shingles
-from .minhash import HOT_SAMPLE, Forest, Make, chance, connected, groups, hot_keys, members, prefix_length, shared, verified
+from .minhash import HOT_SAMPLE, Forest, Make, connected, groups, hot_keys, members, prefix_length, shared, verified
 
 SHINGLE, THRESHOLD, TREES, RECALL = 5, 0.8, 16, 0.999
-#: The estimated share of all links at which the search ends before the least depth.
-TARGET = 0.99999
 #: How deep the first prefixes are, and by how much they are shortened at a time, down to what the recall needs at the threshold.
-DEEPEST, STEP = 8, 2
+DEEPEST, STEP = 6, 2
 _NONE = -(1 << 63)
 _SIGNATURE = "id long, hash long, set1 long, set2 long, n_items long, paths array<long>"
 
@@ -113,13 +110,13 @@ def joined_sets(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple
 
 
 def depths_for(threshold: float, trees: int, recall: float) -> tuple[int, ...]:
-    """The depths of the forest: from the one that the recall needs at the threshold up to DEEPEST."""
+    """The depths of the forest: from the longest that gives the recall at the threshold up to DEEPEST."""
     least = prefix_length(threshold, trees, recall, DEEPEST)
     return tuple(sorted({*range(DEEPEST, least, -STEP), least}))
 
 
 def similar(docs: DataFrame, distinct: DataFrame, forest: Forest, make: Make, links: bool) -> DataFrame:
-    """a, b, links: of the distinct texts (node, id, hash, copies, n_items, paths) by the forest, its prefixes shortened until TARGET."""
+    """a, b, links: of the distinct texts (node, id, hash, copies, n_items, paths) by the forest, from its longest prefixes to its shortest."""
     n = distinct.count()
     paths = by_tree(distinct, forest)
     hot = hot_keys(by_tree(distinct.sample(min(1.0, HOT_SAMPLE / max(1, n)), 5), forest))
@@ -128,8 +125,7 @@ def similar(docs: DataFrame, distinct: DataFrame, forest: Forest, make: Make, li
     found: DataFrame | None = None
     names: DataFrame | None = None
     seen: DataFrame | None = None
-    pairs, expected = 0, [0.0] * len(forest.depths)
-    for round_, (level, depth) in enumerate(sorted(enumerate(forest.depths, 1), reverse=True)):
+    for round_, level in enumerate(range(len(forest.depths), 0, -1)):
         grouped = groups(nodes_of.where(F.col("level") == level).select("key", "node"), round_)
         if seen is not None:  # groups of the same nodes were compared before
             bare = lambda c: F.col(c).bitwiseAND(F.lit((1 << 58) - 1))
@@ -142,13 +138,9 @@ def similar(docs: DataFrame, distinct: DataFrame, forest: Forest, make: Make, li
         once = docs.join(bounded(proposed.select("id", "hash").distinct()), ["id", "hash"]).dropDuplicates(["id", "hash"])
         once = once if links else stored(once, "texts")  # connected() looks at them twice
         texts = once.join(bounded(proposed.drop("n_items")), ["id", "hash"])
-        told = stored(verified(texts, forest, make) if links else connected(proposed, texts, forest, make), "links")
+        told = stored(verified(texts, forest.threshold, make) if links else connected(proposed, texts, forest.threshold, make), "links")
         found = told if found is None else found.unionByName(told)
-        row = told.agg(F.coalesce(F.sum("pairs"), F.lit(0)), *(F.coalesce(F.sum(F.col("expected")[i]), F.lit(0.0)) for i in range(len(expected)))).first()
-        pairs, expected = pairs + row[0], [x + y for x, y in zip(expected, row[1:], strict=True)]
-        if (pairs + 1) / (expected[level - 1] + 1 / chance(forest.threshold, depth, forest.trees)) >= TARGET:
-            break
-    return found.select("a", "b", "links")
+    return found
 
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, trees: int = TREES, recall: float = RECALL, links: bool = True) -> DataFrame:

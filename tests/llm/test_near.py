@@ -165,16 +165,37 @@ def test_recall_of_the_candidates_at_the_threshold(spark):
         assert (paths[0][:, :, 0] == paths[1][:, :, 0]).any(1).mean() >= 0.98
 
 
-def test_prefixes_shorten_by_what_is_found(spark, monkeypatch):
-    """Pairs that deep prefixes hardly miss end the search early; pairs at the threshold don't."""
-    rounds = []
-    monkeypatch.setattr(near, "groups", lambda rows, k: rounds.append(k) or minhash.groups(rows, k))
-    run = lambda t: near.jaccard_classes(spark.createDataFrame([*enumerate(t)], "doc_id long, text string")).count()
-    run(near_copies(80, length=3000))
-    assert rounds == [0]
-    rounds.clear()
-    run(near_copies(40, length=100, edits=1))
-    assert rounds == [0, 1, 2]
+def at_the_threshold(n, seed=3):
+    """Pairs of texts of a Jaccard similarity of just over 0.8."""
+    r, out = random.Random(seed), []
+    for k in range(n):
+        base = [f"w{k}x{i}x{r.randrange(1000)}" for i in range(94)]
+        other = list(base)
+        for place in (20, 70):  # each edit changes five of the 90 shingles
+            other[place] += "edited"
+        out += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    return out
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_the_search_finds_pairs_at_the_threshold_whatever_else_is_there(spark, links):
+    """The whole search, beside many near copies of one text that share it."""
+    pairs = at_the_threshold(200)
+    words = lambda t: {tuple(t.split()[i : i + 5]) for i in range(90)}
+    assert all(0.8 <= len(words(a) & words(b)) / len(words(a) | words(b)) < 0.81 for (_, a), (_, b) in zip(pairs[::2], pairs[1::2], strict=True))
+    base = [f"c{i}" for i in range(400)]
+    crowd = [(1000 + k, " ".join([*base[: k % 397], f"own{k}", *base[k % 397 + 1 :]])) for k in range(1400)]
+    got = near.jaccard_classes(spark.createDataFrame(pairs + crowd, "doc_id long, text string"), links=links).where("doc_id < 1000").collect()
+    assert sum(x["class_id"] == x["doc_id"] // 2 * 2 for x in got) == 400
+    if links:
+        assert all(x["n_links"] == 1 for x in got)
+
+
+def test_prefixes_are_as_long_as_the_recall_allows():
+    assert near.depths_for(0.8, near.TREES, near.RECALL) == (4, 6)
+    assert near.depths_for(0.95, near.TREES, near.RECALL) == (6,)
+    for t in (0.5, 0.7, 0.8, 0.9):
+        assert minhash.chance(t, min(near.depths_for(t, near.TREES, near.RECALL)), near.TREES) >= near.RECALL
 
 
 @pytest.mark.parametrize("size", [1, 5])
