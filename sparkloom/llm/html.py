@@ -5,10 +5,12 @@ text of the article and are left out; of a header inside an article the headings
 
 A form, and the words of a block element's class, id or role (menu, sidebar, cookie, comments, ad ...), are hints that it is none of
 the article. Names that deny the word or tell of what the element has (no-sidebar, with-comments, ad-free) give none. A hint is plain,
-if it is a form's or a name made of such words only (sidebar, cookie-notice), or else part of a compound (layout-sidebar). Hints are
-believed by what the blocks say (below): the good blocks (in an article open ones too) with the fewest plain hints around them are
+if it is a form's, a name made of such words only (sidebar, cookie-notice), or one that names comments or a footer, alone, as what it
+ends in (user-comments, site-footer) or with words for what holds them (comments-area, disqus_thread); or else part of a compound
+(layout-sidebar). Hints are believed by what the blocks say (below): the good blocks (in an article open ones too) with the fewest plain hints around them are
 free, and the plain hints around those are not believed, but all others are; a compound is, unless its element holds more than half of the text of the free good blocks. main takes no hint, article none of compounds, neither
-their own nor those around them. Blocks in elements whose hints are believed, and inline elements with a hint, are left out.
+their own nor those around them. Where comments and footers hold all the good blocks, open blocks of prose outside them, if there are
+any, take the good ones' place here: a short post with a long thread. Blocks in elements whose hints are believed, and inline elements with a hint, are left out.
 
 First pass: each block is classed by itself:
 
@@ -25,7 +27,8 @@ as near, good wins; without any it is good.
 
 Character references are decoded within each run of text, white space inside a block becomes one blank, the ends are trimmed, empty
 blocks vanish, and the good blocks are joined in page order by \\n. br counts as white space. Null or empty html gives the empty
-text. Markup that isn't closed lasts to the end of what holds it. The time is in proportion to the page's length, whatever its markup.
+text. Markup that isn't closed lasts to the end of what holds it; an svg or math element, or another that holds no text of the page, ends where
+its own kind are all closed, at once if it closes itself, or else where a block begins. The time is in proportion to the page's length, whatever its markup.
 Every row is treated by itself, repeated ones too; other columns pass through.
 """
 
@@ -55,18 +58,25 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
-#: Their content is no text of the page.
+#: Their content is no text of the page. It is text up to the end tag, or (below) markup.
 RAW = frozenset("script style noscript template textarea title svg math iframe object audio video canvas select xmp noembed noframes".split())
+NESTING = frozenset("svg math object audio video canvas select template".split())
+#: They close themselves where they say so.
+FOREIGN = frozenset("svg math".split())
 OUT = frozenset("nav footer aside menu dialog search head button".split())
 NOT_ARTICLE_WORDS = frozenset(
     "ad ads adsbygoogle adv alert advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus dialog footer gdpr login menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion rail recommended related replies search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What a name of comments or a footer ends in, and what may stand after them: words for what holds them.
+NAMED = frozenset("comment comments commentlist disqus footer replies respond".split())
+HOLDERS = frozenset("area block body bottom box container content element entry feed form holder inner item list meta module outer panel region root row section shell thread threads title top wrap wrapper".split())
 #: A name with one of these says that the element has no such thing, or has it besides what it is.
 RELATIONAL = frozenset("no not non none without hide hides hidden has have having with free enabled disabled".split())
 HEADER_WORDS = frozenset("banner header masthead topbar".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+_BLOCK_TAG = re.compile(r"</?(?:p|div|article|main|section|h[1-6]|ul|ol|table|footer)(?![a-z0-9-])", re.I)
 _HINTS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none""", re.I)
 _PART = re.compile(r"[a-z]+")
@@ -83,9 +93,11 @@ class Hint:
     up: Hint | None
     bare: Hint | None = None  # the same without compounds
     depth: int = 0  # plain ones
+    named: bool = False  # comments, a footer, or inside them
 
     def __post_init__(self):
         self.depth = self.plain + (self.up.depth if self.up else 0)
+        self.named = self.named or self.up is not None and self.up.named
 
 
 @dataclass
@@ -139,15 +151,49 @@ class _Stack:
                 pass
 
 
-def hint(attributes: str, words: frozenset[str]) -> bool | None:
-    """True: a name in class, id or role is made of these words; False: one has some of them; None: none has, but for relational ones."""
-    found = None
+def _names(parts: list[str]) -> bool:
+    """Whether a name in parts is one of comments or a footer."""
+    if parts[-1] in NAMED:
+        return True
+    return parts[0] in NAMED and all(x in HOLDERS or x in NOT_ARTICLE_WORDS for x in parts[1:])
+
+
+def hint(attributes: str, words: frozenset[str]) -> tuple[bool | None, bool]:
+    """True: a name in class, id or role is made of these words, or names comments or a footer; False: one has some of them; None: none has, but for relational ones. And whether it names comments or a footer."""
+    found, named = None, False
     for value in _HINTS.findall(attributes):
         for name in _NAME.sub(r"\1-\2", "".join(value)).lower().split():
-            parts = {*_PART.findall(name)}
-            if parts & words and not parts & RELATIONAL:
-                found = found or parts <= words
-    return found
+            parts = _PART.findall(name)
+            own = {*parts}
+            if own & (words | NAMED) and not own & RELATIONAL:
+                names = _names(parts)
+                found, named = found or own <= words or names, named or names
+    return found, named
+
+
+def _closed(page: str, name: str) -> dict[int, int]:
+    """By the place after an element's start tag, the place after the end tag that closes it, for all elements of a name that are closed."""
+    out, open_ = {}, []
+    for m in re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?){name}(?![a-z0-9-])[^>]*>", re.I | re.S).finditer(page):
+        if m[1]:
+            if open_:
+                out[open_.pop()] = m.end()
+        elif m[1] == "" and not (name in FOREIGN and m[0].endswith("/>")):
+            open_.append(m.end())
+    return out
+
+
+def _raw_end(page: str, name: str, at: int, closed: dict[str, dict[int, int]]) -> int:
+    """Where an element ends whose start tag ends at `at` and whose content is passed by. closed: what is known of the page, by name."""
+    if name not in NESTING:
+        end = re.compile(rf"</{name}\s*(?:>|\Z)", re.I).search(page, at)
+        return end.end() if end else len(page)
+    if name not in closed:
+        closed[name] = _closed(page, name)
+    if at in closed[name]:
+        return closed[name][at]
+    block = _BLOCK_TAG.search(page, at)
+    return block.start() if block else len(page)
 
 
 def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
@@ -155,6 +201,7 @@ def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
     stack, told = _Stack(), [] if hints is None else hints
     parts: list[tuple[str, bool]] = []
     at, articles, numbers = 0, 0, 0
+    closed: dict[str, dict[int, int]] = {}
 
     def flush() -> Iterator[Block]:
         top = stack.items[-1]
@@ -169,13 +216,13 @@ def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
         if not top.marked and (top.heading or not top.header):
             parts.append((html.unescape(text), top.link))
 
-    def hinted(plain: bool, up: Hint | None) -> Hint:
+    def hinted(plain: bool, up: Hint | None, named: bool = False) -> Hint:
         bare = up.bare if up else None
         if plain and bare is not up:
-            bare = Hint(numbers, True, bare)
+            bare = Hint(numbers, True, bare, named=named)
             bare.bare = bare
             told.append(bare)
-        x = Hint(numbers, plain, up)
+        x = Hint(numbers, plain, up, named=named)
         x.bare = x if plain and bare is up else bare
         told.append(x)
         return x
@@ -194,8 +241,7 @@ def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
             continue
         attributes = m[3] if m[2] else m[6]
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            at = at if name in FOREIGN and attributes.rstrip().endswith("/") else _raw_end(page, name, at, closed)
             if name in BLOCK:
                 yield from flush()
             else:
@@ -220,7 +266,7 @@ def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
         open_ = name not in ("html", "body")
         marked = top.marked or open_ and (name in OUT or bool(_HIDDEN.search(attributes)))
         header = top.header or name == "header"
-        found = hint(attributes, NOT_ARTICLE_WORDS if article else NOT_ARTICLE_WORDS | HEADER_WORDS) if open_ else None
+        found, named = hint(attributes, NOT_ARTICLE_WORDS if article else NOT_ARTICLE_WORDS | HEADER_WORDS) if open_ else (None, False)
         if name == "form":
             found = True
         if name not in BLOCK:
@@ -228,9 +274,9 @@ def blocks(page: str, hints: list[Hint] | None = None) -> Iterator[Block]:
         elif name == "main":
             up = None
         elif name == "article":
-            up = hinted(True, up.bare if up else None) if found else up.bare if up else None
+            up = hinted(True, up.bare if up else None, named) if found else up.bare if up else None
         elif found is not None:
-            up = hinted(found, up)
+            up = hinted(found, up, named)
         numbers += 1
         stack.push(_Open(name, marked or header and not article, article, header, top.heading or name in HEADINGS, top.link or name == "a", up))
     add(page[at:])
@@ -241,8 +287,7 @@ def first_pass(b: Block) -> bool | None:
     """True: good, False: bad, None: open."""
     if b.linked > MOST_LINKED * len(b.text):
         return False
-    found = _WORD.findall(b.text.lower())
-    stop = sum(w in STOP_WORDS for w in found) / len(found) if found else 0.0
+    stop = _stop_share(b.text)
     if len(b.text) < SHORT or b.heading:
         return None
     if stop >= (LEAST_STOP if b.article else PROSE_STOP) and len(b.text) >= (SHORT if b.article else LONG):
@@ -250,10 +295,21 @@ def first_pass(b: Block) -> bool | None:
     return None if stop >= LEAST_STOP or b.article else False
 
 
+def _stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _short_prose(b: Block) -> bool:
+    return not b.heading and len(b.text) >= SHORT // 3 and b.linked <= MOST_LINKED * len(b.text) and _stop_share(b.text) >= LEAST_STOP
+
+
 def left_out(found: list[Block], labels: list[bool | None], hints: list[Hint]) -> set[Hint]:
     """The hinted elements that are believed to be none of the article, and all inside them."""
     depth = lambda b: b.hint.depth if b.hint else 0
     good = [b for b, label in zip(found, labels, strict=True) if label or b.article and label is None]
+    if all(b.hint and b.hint.named for b in good):
+        good = [b for b, label in zip(found, labels, strict=True) if label is None and not (b.hint and b.hint.named) and _short_prose(b)] or good
     least = min(map(depth, good), default=0)
     free = [b for b in good if depth(b) == least]
     held: dict[int, int] = {}

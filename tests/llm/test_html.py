@@ -1,4 +1,6 @@
+import re
 import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -76,10 +78,116 @@ def test_references_do_not_join_across_markup():
     assert html.main_text("<p>a &am<b>p;</b> &amp;lt; b</p>") == "a &amp; &lt; b"
 
 
-@pytest.mark.parametrize("markup", ["<b>{0}</i>", "<div class=menu>{0}", "<div class='layout-menu'>{0}</p>", "<a href='{0}", "<p class=\"{0}", "<{0}", "</b>{0}<i>", "<article class=menu>{0}", "&#{0}", "<!--{0}", "<td>{0}</tr>", "<script>{0}"])
+@pytest.mark.parametrize("markup", ["<b>{0}</i>", "<div class=menu>{0}", "<div class='layout-menu'>{0}</p>", "<a href='{0}", "<p class=\"{0}", "<{0}", "</b>{0}<i>", "<article class=menu>{0}", "&#{0}", "<!--{0}", "<td>{0}</tr>", "<script>{0}", "<svg><p>{0}", "<svg>{0}<p></svg>", "<math><div class='user-comments'>{0}</math>"])
 def test_time_is_linear_in_odd_markup(markup):
     before, after = markup.split("{0}")
     n = 1_000_000 // len(markup)
     began = time.process_time()
     html.main_text(before * n + after * n)
     assert time.process_time() - began < 12  # a quadratic pass would take hours
+
+
+COMMENT = "I think that this is one of the best of all the posts that I have read on the subject, and I hope that there will be more of them in the next weeks. "
+THREAD = "".join(f"<div class='item'><b>reader{k}</b><p>{COMMENT}</p></div>" for k in range(8))
+
+
+@pytest.mark.parametrize("attributes", ["class='comments-area'", "class='comment-list'", "class=user-comments", "id='disqus_thread'", "class='post-comments'", "class='commentSection'", "id=respond", "class='fb-comments'", "class='site-footer'", "id='pageFooter'", "class='footer-inner'", "class='comments'"])
+@pytest.mark.parametrize("post", [f"<p>{PROSE}</p>", "<p>It is done, and we are off to the next of them.</p>", f"<article><p>{PROSE}</p>"])
+def test_reader_comments_and_footers_go_however_long(attributes, post):
+    page = f"<body><h1>Title</h1>{post}<div {attributes}>{THREAD}</div></body>"
+    text = html.main_text(page)
+    assert "reader" not in text and "best of all the posts" not in text
+    assert text.split("\n")[-1] == re.sub("<[^>]*>", "", post).strip()
+
+
+def test_a_page_of_comments_alone_keeps_them():
+    assert html.main_text(f"<h1>Forum</h1><div id=comments>{THREAD}</div>").count("best of all the posts") == 8
+    for name in ("no-comments", "with-comments", "has-footer", "comments-enabled"):
+        assert html.main_text(f"<div class='{name}'><p>{PROSE}</p></div>") == PROSE.strip()
+
+
+def test_no_text_is_lost_after_markup_that_closes_itself():
+    for markup in ("<svg viewBox='0 0 1 1'/>", "<math/>", "<svg><svg><text>no</text></svg><text>no</text></svg>", "<!-->", "<!--->", "<svg><path/></svg>", "<object><object>no</object>no</object>", "<svg><!-- </svg> -->no</svg>"):
+        assert html.main_text(f"<article><p>{PROSE}{markup} after</p><p>{PROSE}</p></article>").split("\n") == [f"{PROSE}after", PROSE.strip()], markup
+    assert html.main_text(f"<article><p>{PROSE}<svg><path></p><p>{PROSE}</p></article>").split("\n")[-1] == PROSE.strip()
+
+
+class Reader(HTMLParser):
+    """All blocks of a page, plainly: what the main text is cut from."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.now, self.raw = [], "", 0
+        self.feed(page)
+        self.close()
+        self.end()
+
+    def end(self):
+        self.out += [" ".join(self.now.split())] if self.now.strip() else []
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.RAW:
+            self.raw += 1
+        if tag == "br" or tag in html.RAW:
+            self.now += " "
+        if tag in html.BLOCK:
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag in html.RAW:
+            self.raw = max(0, self.raw - 1)
+        if tag in html.BLOCK:
+            self.end()
+
+    def handle_data(self, data):
+        self.now += "" if self.raw else data
+
+
+def labelled():
+    """Pages by hand, of layouts as sites have them, and the blocks of their articles: [(html, blocks)]."""
+    text = [PROSE.strip(), PROSE.replace("paragraphs", "parts").strip(), "A short one.", "It is what it is, and that is all there is to it."]
+    nav = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About us and the others</a></li></ul></nav>"
+    menu = "<div id='main-menu' class='menu'><a href=/>Home</a> <a href=/x>All that we have</a></div>"
+    foot = f"<footer><p>{PROSE}</p></footer>"
+    bar = f"<div class='sidebar widget'><h3>More</h3><p>{PROSE}</p></div>"
+    cookie = f"<div class='cookie-banner'>{PROSE}<button>Accept</button></div>"
+    ad = "<div class='ad'>Buy all of the things that you want and the others too, here and now, for less than it was to be.</div>"
+    threads = [f"<div class='{c}'>{THREAD}</div>" for c in ("comments-area", "user-comments", "comment-list")] + [f"<div id='disqus_thread'>{THREAD}</div>"]
+    body = lambda n: "".join(f"<p>{t}</p>" for t in text[:n])
+    head = "<h1>What the title is</h1>"
+    out = []
+    for k, thread in enumerate(threads):
+        for n in (1, 2, 4):
+            want = ["What the title is", *text[:n]]
+            out += [
+                (f"<body>{nav}<article>{head}{body(n)}</article>{thread}{foot}</body>", want),
+                (f"<body>{menu}<div class='post'>{head}{body(n)}</div>{thread}<div class='site-footer'>{PROSE}</div></body>", want),
+                (f"<body>{cookie}{nav}<main>{head}{body(n)}{thread}</main>{bar}{foot}</body>", want),
+                (f"<body class='has-comments'><div class='layout-sidebar'><div>{head}{body(n)}</div>{bar}</div>{thread if k % 2 else ''}{foot}</body>", want),
+                (f"<form id=f>{nav}<div id=content>{head}{ad}{body(n)}</div>{thread}<div id='pageFooter'>{PROSE}</div></form>", want),
+            ]
+    return out
+
+
+def test_labelled_pages():
+    pages = labelled()
+    assert len(pages) >= 40
+    hits = kept = wanted = 0
+    for page, want in pages:
+        got, every = html.main_text(page).split("\n"), Reader(page).out
+        at = -1
+        for block in got:  # each block stands in the page, in this order
+            at = every.index(block, at + 1)
+        hits += len({*got} & {*want})
+        kept += len(got)
+        wanted += len(want)
+    assert hits / kept >= 0.95 and hits / wanted >= 0.95, (hits / kept, hits / wanted)
+
+
+def test_long_pages_and_ties():
+    """A page of many megabytes, and open blocks as near to a good block as to a bad one: good wins."""
+    page = "<article>" + f"<p>{PROSE}</p>" * 20_000 + "</article>"
+    assert html.main_text(page).count("\n") == 19_999
+    links = "<p><a href=x>Read all of the others that there are here</a></p>"
+    assert html.main_text(f"<div><p>{PROSE}</p><p>Between.</p>{links}</div>").split("\n") == [PROSE.strip(), "Between."]
