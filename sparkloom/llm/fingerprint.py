@@ -3,8 +3,8 @@
 A text is split at blank lines into sections and at line ends into paragraphs, and a paragraph into phrases: runs of at most four
 words between punctuation marks, with the marks and blanks behind them. A phrase's node, the leaf, is the SHA-256 of its text; a
 paragraph's node that of its leaves, a section's node that of its paragraphs' nodes, the root that of the sections' nodes. Equal roots
-mean equal texts; where roots differ, `differences` walks down only the branches that differ. `likeness` is the share of the leaves
-that two trees have in common.
+mean equal texts; where roots differ, `differences` walks down only the branches that differ. `likeness` is the share of the nodes,
+leaves and those above them, that two trees have in common: as roots count too, it is 1 for equal texts alone.
 
 Null text counts as empty. The empty text has one section with one empty paragraph and no leaf. Rows with equal ids are each
 fingerprinted; other columns are kept, and a column of the same name as a result is replaced.
@@ -34,18 +34,18 @@ def above(nodes: Column) -> Column:
     return F.sha2(F.array_join(nodes, ""), 256)
 
 
-def likeness(root_a: Column, a: Column, root_b: Column, b: Column) -> Column:
-    """From the roots and the distinct leaves of two trees: 1 for equal roots, else the leaves' Dice coefficient; 0 if neither has any."""
-    both = F.size(a) + F.size(b)
-    return F.when(root_a == root_b, F.lit(1.0)).when(both == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) * 2.0 / F.greatest(both, F.lit(1)))
+def likeness(a: Column, b: Column) -> Column:
+    """From the distinct nodes of two trees: their Dice coefficient. Each tree has a root, so none is empty."""
+    return F.size(F.array_intersect(a, b)) * 2.0 / F.greatest(F.size(a) + F.size(b), F.lit(1))
 
 
 def fingerprint(df: DataFrame, text: str = "text", name: str = "") -> DataFrame:
-    """df with its tree: root, section_nodes, paragraph_nodes (by section) and leaves (the distinct ones); name: of the new columns before _root etc."""
+    """df with its tree: root, section_nodes, paragraph_nodes (by section) and nodes (all distinct ones, leaves too); name: of the new columns before _root etc."""
     n = f"{name}_" if name else ""
     tree = df.withColumn(f"{n}leaves", leaves(F.col(text))).withColumn(f"{n}paragraph_nodes", F.transform(f"{n}leaves", lambda s: F.transform(s, above)))
     tree = tree.withColumn(f"{n}section_nodes", F.transform(f"{n}paragraph_nodes", above)).withColumn(f"{n}root", above(F.col(f"{n}section_nodes")))
-    return tree.withColumn(f"{n}leaves", F.array_distinct(F.flatten(F.flatten(f"{n}leaves"))))
+    every = F.concat(F.flatten(F.flatten(f"{n}leaves")), F.flatten(f"{n}paragraph_nodes"), F.col(f"{n}section_nodes"), F.array(f"{n}root"))
+    return tree.withColumn(f"{n}nodes", F.array_distinct(every)).drop(f"{n}leaves")
 
 
 def differences(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -108,22 +108,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = pairs.withColumn("edited", F.concat(F.substring("text", 1, F.col("n_chars").cast("int") - half), F.substring("next", 1, half)))
     for a in ("text", "edited", "next"):
         pairs = fingerprint(pairs, a, a)
-    like = lambda other: likeness(F.col("text_root"), F.col("text_leaves"), F.col(f"{other}_root"), F.col(f"{other}_leaves"))
+    like = lambda other: likeness(F.col("text_nodes"), F.col(f"{other}_nodes"))
     return pairs.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("text_root").alias("fingerprint"), F.col("edited_root").alias("edited_fingerprint"),
         like("edited").alias("near_edited"), like("next").alias("near_next"),
     )
 
 
-_LEAVES = "list_transform(regexp_extract_all(p, '" + PHRASE.replace("{", "{{").replace("}", "}}") + "'), lambda w: sha256(w))"
-_ROOT = "sha256(array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(array_to_string(" + _LEAVES + ", ''))), ''))), ''))"
-_PHRASES = "list_distinct(flatten(list_transform(string_split({0}, chr(10)), lambda p: " + _LEAVES + ")))"
-_LIKE = "CASE WHEN {0}_root = {1}_root THEN 1.0::DOUBLE WHEN len({0}_p) + len({1}_p) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({0}_p, {1}_p)) * 2.0::DOUBLE / greatest(len({0}_p) + len({1}_p), 1) END"
+_LEAVES = "list_transform(string_split({0}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '" + PHRASE.replace("{", "{{").replace("}", "}}") + "'), lambda w: sha256(w))))"
+_NODES = "list_distinct(list_concat(flatten(flatten({0}_l)), flatten({0}_p), {0}_s, [{0}_root]))"
+_LIKE = "len(list_intersect({0}_n, {1}_n)) * 2.0::DOUBLE / (len({0}_n) + len({1}_n))"
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, length(t) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS x FROM d),
 e AS (SELECT *, substring(t, 1, n_chars - n_chars // 2) || substring(x, 1, n_chars // 2) AS e FROM n),
-f AS (SELECT *, {", ".join(f"{_ROOT.format(c)} AS {c}_root, {_PHRASES.format(c)} AS {c}_p" for c in "tex")} FROM e)
+l AS (SELECT *, {", ".join(f"{_LEAVES.format(c)} AS {c}_l" for c in "tex")} FROM e),
+p AS (SELECT *, {", ".join(f"list_transform({c}_l, lambda s: list_transform(s, lambda p: sha256(array_to_string(p, '')))) AS {c}_p" for c in "tex")} FROM l),
+s AS (SELECT *, {", ".join(f"list_transform({c}_p, lambda s: sha256(array_to_string(s, ''))) AS {c}_s" for c in "tex")} FROM p),
+r AS (SELECT *, {", ".join(f"sha256(array_to_string({c}_s, '')) AS {c}_root" for c in "tex")} FROM s),
+f AS (SELECT *, {", ".join(f"{_NODES.format(c)} AS {c}_n" for c in "tex")} FROM r)
 SELECT doc_id, n_chars, sha256(e) AS edited_sha256, t_root AS fingerprint, e_root AS edited_fingerprint,
   {_LIKE.format("t", "e")} AS near_edited, {_LIKE.format("t", "x")} AS near_next
 FROM f

@@ -192,14 +192,30 @@ def test_fingerprints(spark):
 def test_likeness_comes_from_the_tree(spark):
     import re
 
-    said = lambda t: {x for p in t.split("\n") for x in re.findall(fingerprint.PHRASE, p)}
-    rows = [("one two three four five. six, seven\n\neight  nine?", "one two three four five! six, seven\neight  nine?"), ("a b c d e", "x y"), ("", ""), ("same", "same"), ("", "x"), ("é ü.", "é ü. ö")]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def nodes(t):
+        out, sections = set(), []
+        for section in t.split("\n\n"):
+            paragraphs = []
+            for p in section.split("\n"):
+                own = [sha(x) for x in re.findall(fingerprint.PHRASE, p)]
+                paragraphs.append(sha("".join(own)))
+                out |= {*own}
+            sections.append(sha("".join(paragraphs)))
+            out |= {*paragraphs}
+        return out | {*sections, sha("".join(sections))}
+
+    rows = [
+        ("one two three four five. six, seven\n\neight  nine?", "one two three four five! six, seven\neight  nine?"), ("a b c d e", "x y"), ("", ""), ("same", "same"), ("", "x"), ("é ü.", "é ü. ö"),
+        ("x y z.\nx y z.", "x y z."), ("one. two.\nthree.", "three.\none. two."), ("a.\n\nb.", "b.\n\na."), ("w " * 9000, "w " * 9001),
+    ]
     df = fingerprint.fingerprint(fingerprint.fingerprint(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string"), "a", "a"), "b", "b")
-    like = fingerprint.likeness(*(fingerprint.F.col(c) for c in ("a_root", "a_leaves", "b_root", "b_leaves")))
-    for r in df.select("i", like.alias("x"), fingerprint.F.col("a_leaves")).collect():
-        a, b = (said(t) for t in rows[r["i"]])
-        assert r["x"] == (1.0 if rows[r["i"]][0] == rows[r["i"]][1] else 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0)
-        assert {*r["a_leaves"]} == {hashlib.sha256(x.encode()).hexdigest() for x in a}
+    like = fingerprint.likeness(fingerprint.F.col("a_nodes"), fingerprint.F.col("b_nodes"))
+    for r in df.select("i", like.alias("x"), "a_nodes").collect():
+        a, b = (nodes(t) for t in rows[r["i"]])
+        assert {*r["a_nodes"]} == a and r["x"] == pytest.approx(2 * len(a & b) / (len(a) + len(b)))
+        assert (r["x"] == 1.0) == (rows[r["i"]][0] == rows[r["i"]][1])
 
 
 @pytest.mark.parametrize("ids", [[5], [3, 1, 2], [None, 1, 1, 9], [*range(0, 5000, 7)], [-(1 << 62), 0, 1 << 62], [7] * 90 + [*range(40)], [1 << 40, *range(60)]])
