@@ -176,6 +176,30 @@ def test_whole_texts_headers_and_spdx_lines(spark):
     assert {r["hash"] for r in got} == {"h"} and {r["dir"] for r in got} == {"d"} and all(r["score"] > 0.8 for r in got if r["own_license"])
 
 
+def test_the_right_license_by_name_and_version(spark):
+    """Heads and mentions, beside a table of other texts."""
+    filler = "\n\n" + "\n\n".join(f"part {i} of the terms says what you may do with thing {i * 7}, and what not" for i in range(200))
+    own = {
+        "GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007" + filler: "GPL-3.0", "GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991" + filler: "GPL-2.0", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007": "LGPL-3.0",
+        "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999": "LGPL-2.1", "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007": "AGPL-3.0",
+        "This project is licensed under the MIT license - see the LICENSE file for details": "MIT", "# Project\n\nThis project is licensed under the Apache License 2.0 - see the LICENSE file for details." + filler: "Apache-2.0",
+        "Distributed under GPL-3.0-or-later": "GPL-3.0", "Mozilla Public License Version 2.0\n==================================" + filler: "MPL-2.0", "Eclipse Public License - v 2.0" + filler: "EPL-2.0", "Boost Software License - Version 1.0 - August 17th, 2003" + filler: "BSL-1.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary",
+        "The city's license office is open on all days but the last of the month, and it is in the old town hall.": None, "She was at MIT for ten years and then went under the sea.": None, "Drivers need a license, version or not, to be released from the rule.": None,
+        "The apache is a helicopter.": None, "We will boost the version of the software.": None, "x" * 300_000: None, "license " * 50_000: None, None: None, "": None,
+    }
+    rows = [(i, f"d{i}/f", t) for i, t in enumerate(own)] + [(100 + i, f"e/{i}", f"other text {i} of words that say a few things") for i in range(60)]
+    got = {r["id"]: r["own_license"] for r in license.scan(spark.createDataFrame(rows, "id int, path string, text string")).collect()}
+    assert {t and t[:60]: got[i] for i, t in enumerate(own)} == {t and t[:60]: w for t, w in own.items()}
+
+
+def test_ties_between_holders_and_far_ancestors(spark):
+    mit, isc = "Released under the MIT License.", "ISC License"
+    rows = [("a/LICENSE", mit), ("a/COPYING", isc), ("a/b/c/d/e/f/x", "nothing"), ("a/b/LICENSE.md", isc), ("a/b/c/y", "none"), ("q/x", "none"), ("LICENSE", mit), ("r/s/t", None)]
+    got = {r["path"]: r["license"] for r in license.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {"a/LICENSE": "MIT", "a/COPYING": "ISC", "a/b/c/d/e/f/x": "ISC", "a/b/LICENSE.md": "ISC", "a/b/c/y": "ISC", "q/x": "MIT", "LICENSE": "MIT", "r/s/t": "MIT"}
+
+
 # --- fingerprints -------------------------------------------------------------------------------------------------------------
 
 
