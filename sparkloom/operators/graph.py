@@ -6,11 +6,18 @@ folder; nothing but counts comes to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
-from ..functions.session import bounded, dropped, stored
+from ..functions.session import bounded, dropped, shipped, stored
+
+#: Edges that a task contracts at once.
+CONTRACTED = 1 << 20
 
 
 def upsert_edges(statements: DataFrame) -> DataFrame:
@@ -103,14 +110,56 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r[0], r[1]
 
 
+def _roots(nodes: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By node, numbered from 0, the least that edges a, b connect it with."""
+    up = np.arange(nodes)
+    while True:
+        x, y = up[a], up[b]
+        if (x == y).all():
+            return up
+        least = np.minimum(x, y)
+        np.minimum.at(up, x, least)
+        np.minimum.at(up, y, least)
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """edges: a, b. As many of the edges of each task, CONTRACTED at once, as connect what these connect: a, and b, the least node of them."""
+    schema = edges.select("a", "b").schema
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        a, b = (t.column(c).to_numpy() for c in ("a", "b"))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = _roots(len(nodes), at[: len(a)], at[len(a) :])
+        on = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(x, t.schema.field("a").type) for x in (nodes[on], nodes[root[on]])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= CONTRACTED:
+                yield stars(held)
+                held, n = [], 0
+        if n:
+            yield stars(held)
+
+    shipped(edges.sparkSession)
+    return edges.select("a", "b").mapInArrow(run, schema)
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """edges: a, b of one type (repeats, loops and either direction allowed). node, component (its least node); no edges, no rows.
 
-    Union-find by large-star and small-star steps until no edge changes. Every step is a minimum by key, taken before the shuffle too,
+    Union-find: tasks contract their own edges to stars, then large-star and small-star steps follow until no edge changes. Every step is a minimum by key, taken before the shuffle too,
     and a join with those minima; no component meets in one task and nothing but two numbers comes to the driver. Each round's edges
     are stored in the shared folder, so a lost executor costs little, and those of the round before are deleted.
     """
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    own = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    now = stored(contracted(own.repartition("b")).distinct(), "edges")
     told = _state(now)
     while told[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -119,7 +168,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
-        after = stored(small, "edges")
+        after = stored(contracted(small).distinct(), "edges")
         dropped(least)
         before, told, done = told, _state(after), now
         now = after

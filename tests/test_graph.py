@@ -127,3 +127,25 @@ def test_searching_nothing_and_long_chains(spark):
     assert none.count() == 0 and search.max_depth(none).first()[0] == 0
     chain = [("p", f"n{i:05}", f"n{i + 1:05}") for i in range(3000)]
     assert search.max_depth(search.searched(spark.createDataFrame(chain, "project string, source string, target string"))).first()[0] == 3000
+
+
+@pytest.mark.parametrize("held", [1, 3, 1 << 20])
+def test_components_whatever_a_task_contracts(spark, monkeypatch, held):
+    monkeypatch.setattr(graph, "CONTRACTED", held)
+    r = random.Random(held)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(7, 7), (200, 200)]
+    label = {n: n for p in pairs for n in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x["node"]: x["component"] for x in graph.star_components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    assert got == {n: c for n, c in label.items() if n in got} and {n for n in label if n not in got} <= {n for n, c in label.items() if c == n and list(label.values()).count(n) == 1}
+    words = spark.createDataFrame([(f"é{a}", f"é{b}") for a, b in pairs], "a string, b string")
+    assert {frozenset(v) for v in _by(graph.star_components(words).collect()).values()} == {frozenset(f"é{n}" for n in label if label[n] == c) for c in {*label.values()} if list(label.values()).count(c) > 1}
+
+
+def _by(rows):
+    out = {}
+    for x in rows:
+        out.setdefault(x["component"], set()).add(x["node"])
+    return out
