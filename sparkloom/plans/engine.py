@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import cleaned
 from ..functions.session import stored
-from ..operators import extract, graph, policies, report, resolve, rules, search
+from ..operators import extract, graph, invariants, policies, report, resolve, rules, search
 from ..operators import score as scoring
 from ..sources import artifacts, project
 
@@ -157,17 +157,8 @@ def _analyze(spark: SparkSession, path: str, policy_file: str | None, score_conf
     found, outcomes = stage("rules", lambda: rules.execute_apart(ctx, registry, rule_seconds, abort=abort, tags=(tag,)))
     failed = {o.rule: o.why for o in outcomes if o.status != "completed"}
     broken = policies.violations(policies.resolved_imports(t["imports"], t["exports"], t["modules"], files), rules_of)
-    all_ = stage("findings", lambda: stored(found.unionByName(policies.findings(broken, rules_of).select(*found.columns)) if rules_of.policies else found, "findings"))
+    all_ = stage("findings", lambda: stored(found.unionByName(policies.findings(broken, rules_of).select(*found.columns).dropDuplicates(["id"])) if rules_of.policies else found, "findings"))
     config = score_config if rules_of.source == "none" else scoring.ScoreConfig(**{**score_config.__dict__, "policy_penalties": rules_of.penalties})
     result = stage("score", lambda: scoring.score(all_.withColumn("pos", F.xxhash64("id")), config))
+    stage("validate", lambda: invariants.checked(t | {"findings": all_}, described.root))
     return Analysis(described, t, all_, policies.evaluations(broken, rules_of), result, failed, outcomes, timings)
-
-
-#: The tables of a report whose rows have ids.
-WITH_IDS = ("files", "modules", "components", "hooks", "contexts", "routes", "symbols", "nodes", "edges")
-
-
-def report_problems(ids: dict[str, DataFrame], files: DataFrame) -> list[str]:
-    """What a report must not have: ids that repeat (in those of WITH_IDS, or any other tables given), paths that aren't normal."""
-    out = [name for name, df in ids.items() if not df.groupBy("id").count().where("count > 1").isEmpty()]
-    return out + (["paths"] if not files.where(F.col("path").contains("\\") | F.col("path").contains("//")).isEmpty() else [])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import half_up, ignore_glob, key, logical_lines, parent_steps, physical_lines, route_depth
 from ..functions.metadata import cleaned, metadata
 from ..functions.session import table
-from ..operators import graph, policies, report, resolve, rules, search
+from ..operators import graph, invariants, policies, report, resolve, rules, search
 from ..operators import score as scoring
 from ..sources import project
 from . import adapters as a
@@ -204,6 +204,16 @@ def node_union(spark: SparkSession, d: str) -> DataFrame:
     return graph.node_union(nodes.where("type = 'module'"), nodes)
 
 
+@query("""WITH i AS (SELECT 'files' AS family, o_orderkey::VARCHAR AS id FROM orders UNION ALL SELECT 'nodes', l_orderkey::VARCHAR FROM lineitem UNION ALL SELECT 'findings', l_orderkey || ':' || l_linenumber FROM lineitem)
+SELECT 'duplicate id' AS code, family, id, count(*) AS times FROM i GROUP BY ALL HAVING count(*) > 1
+UNION ALL SELECT 'path not normal', 'files', o_orderpriority || CASE WHEN o_orderkey % 3 = 0 THEN '//' ELSE '/' END || o_orderkey, 1 FROM orders WHERE o_orderkey % 3 = 0""")
+def report_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as files, some with a path that isn't normal, and lines as nodes, named by their order alone, and as findings."""
+    lines, k = table(spark, d, "lineitem"), F.col("o_orderkey")
+    files = table(spark, d, "orders").select(k.alias("id"), F.concat("o_orderpriority", F.when(k % 3 == 0, "//").otherwise("/"), k.cast("string")).alias("path"))
+    return invariants.problems({"files": files, "nodes": lines.select(F.col("l_orderkey").alias("id")), "findings": lines.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"))})
+
+
 @query("SELECT c_custkey AS id, to_json({list: [to_json({kept: c_nationkey}), to_json([c_custkey])]::JSON[], name: c_name, nested: {deep: {}::MAP(VARCHAR, INT), kept: c_acctbal > 0}}) AS metadata FROM customer")
 def published_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Names that are never published are gone at every depth, in arrays too."""

@@ -104,9 +104,6 @@ def test_whole_analysis(spark, tree):
     assert paths["react"] == "package" and paths["./missing.css"] == "missing" and paths["src/b.ts"] == "module"
     out = done.artifact("2024-01-01T00:00:00Z")
     assert json.loads(artifacts.as_json(out))["project"]["root"] == "." and "<script" in artifacts.as_html(out) and "Score" in artifacts.as_text(out)
-    assert engine.report_problems({k: done.tables[k] for k in engine.WITH_IDS}, done.tables["files"]) == []
-    nodes = done.tables["nodes"]
-    assert engine.report_problems({"nodes": nodes.unionByName(nodes.limit(1))}, done.tables["files"].withColumn("path", F.lit("a//b"))) == ["nodes", "paths"]
     assert all(x["metric"] and x["recommended"] is None for f in out["findings"] for x in f["evidence"]) and any(f["evidence"] for f in out["findings"])
     assert [e["message"] for e in out["analysis"]["parser_errors"]] == ["( isn't closed"]
     kept = [artifacts.archive_report(artifacts.as_json(done.artifact(t)), tree / "past", t) for t in ("2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z")]
