@@ -1,4 +1,4 @@
-"""python -m sparkloom.cli analyze PATH [--json FILE] [--html FILE] [--policies FILE] [--history TABLE] [--archive FOLDER] [--compact] [--follow-links] | doctor | init PATH | version
+"""python -m sparkloom.cli analyze PATH [--json FILE] [--html FILE] [--policies FILE] [--history TABLE] [--archive FOLDER] [--tables FOLDER] [--compact] [--follow-links] | doctor | init PATH | version
 
 SPARKLOOM_DEBUG=true in the environment tells of every stage on the error output.
 """
@@ -13,6 +13,10 @@ import sys
 import uuid
 from collections.abc import Mapping
 from pathlib import Path
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from pyspark.sql import SparkSession
 
 VERSION = "0.1.0"
 _LOG = logging.getLogger("sparkloom")
@@ -29,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     sub = parser.add_subparsers(dest="command", required=True)
     run = sub.add_parser("analyze", aliases=["analyse"])
     run.add_argument("path")
-    for name in ("json", "html", "benchmark", "history", "policies", "archive"):
+    for name in ("json", "html", "benchmark", "history", "policies", "archive", "tables"):
         run.add_argument(f"--{name}")
     for name in ("compact", "follow-links"):
         run.add_argument(f"--{name}", action="store_true")
@@ -74,7 +78,7 @@ def _analyze(said: argparse.Namespace) -> None:
     for rule, why in found.failed_rules.items():
         _LOG.warning("rule %s failed: %s", rule, why)
     report = said.json or said.html
-    whole = found.write(f"{Path(report).resolve().with_suffix('').as_uri()}-{uuid.uuid4().hex[:8]}") if report else None
+    whole = found.write(_tables_folder(spark, said.tables, report)) if report else None
     done = found.artifact(history=past, benchmark=profile, whole=whole)
     if said.history:
         artifacts.archive(spark, said.history, done["metadata"]["generated_at"], done["summary"]["overall"])
@@ -86,5 +90,17 @@ def _analyze(said: argparse.Namespace) -> None:
     print(artifacts.as_text(done, said.compact))
 
 
+def _tables_folder(spark: SparkSession, given: str | None, report: str) -> str:
+    """Where the whole tables go: where the call says, beside the report where the executors share its disk, else to the shared folder."""
+    from .functions.session import shared_dir
+
+    name = f"{Path(report).stem}-{uuid.uuid4().hex[:8]}"
+    if given:
+        return f"{given.rstrip('/')}/{name}"
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return f"{Path(report).resolve().parent.as_uri()}/{name}"
+    return f"{shared_dir(spark)}/sparkloom/{name}"
+
+
 if __name__ == "__main__":
     sys.exit(main())

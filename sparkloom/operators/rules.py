@@ -70,10 +70,10 @@ def finding_key(rule: Column, file: Column, line: Column, description: Column) -
     return key(rule, file, line, description)
 
 
-def found(rows: DataFrame, ctx: Context, title: str | Column, description: Column, rationale: str, recommendation: str, proof: Column, file_id: Column | None = None, line: Column | None = None) -> DataFrame:
+def found(rows: DataFrame, ctx: Context, title: str | Column, description: Column, rationale: str | Column, recommendation: str | Column, proof: Column, file_id: Column | None = None, line: Column | None = None) -> DataFrame:
     """rows as findings, without what the engine adds. A file that isn't known, or none, is the project's root."""
     text = lambda x: x if isinstance(x, Column) else F.lit(x)
-    told = rows.select((file_id if file_id is not None else F.lit(None)).cast("string").alias("_id"), (line if line is not None else F.lit(1)).cast("int").alias("line"), text(title).alias("title"), description.alias("description"), F.lit(rationale).alias("rationale"), F.lit(recommendation).alias("recommendation"), proof.alias("evidence"))
+    told = rows.select((file_id if file_id is not None else F.lit(None)).cast("string").alias("_id"), (line if line is not None else F.lit(1)).cast("int").alias("line"), text(title).alias("title"), description.alias("description"), text(rationale).alias("rationale"), text(recommendation).alias("recommendation"), proof.alias("evidence"))
     files = ctx["files"].select(F.col("id").alias("_id"), F.col("path").alias("file"))
     return told.join(files, "_id", "left").withColumn("file", F.coalesce("file", F.lit(ctx.root))).withColumn("column", F.lit(1)).drop("_id")
 
@@ -337,5 +337,9 @@ def execute_apart(ctx: Context, registry: Registry | None = None, seconds: float
     return _united([df for df, _ in ended if df is not None]), [o for _, o in ended]
 
 
+def finding_order() -> list[Column | str]:
+    return [severity_rank(F.col("severity")), "rule_id", "file", "line", "column", "id"]
+
+
 def in_order(findings: DataFrame) -> DataFrame:
-    return findings.orderBy(severity_rank(F.col("severity")), "rule_id", "file", "line", "column", "id")
+    return findings.orderBy(*finding_order())

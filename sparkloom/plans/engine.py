@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metadata import cleaned
+from ..functions.order import in_ranges
 from ..functions.session import stored
 from ..operators import extract, graph, invariants, policies, report, resolve, rules, search
 from ..operators import score as scoring
@@ -24,6 +25,13 @@ class AnalysisError(RuntimeError):
     """A stage failed; the cause is attached."""
 
 
+#: By what the tables that are written whole are ordered; findings as rules.finding_order says.
+ORDERS = {
+    "files": ("path",), "modules": ("path",), "imports": ("file_id", "line", "source"), "exports": ("file_id", "line", "name"), "components": ("file_id", "position", "name"), "hooks": ("file_id", "position"), "contexts": ("file_id", "position"),
+    "routes": ("file_id", "line", "column", "path"), "symbols": ("file_id", "position", "name"), "nodes": ("id",), "edges": ("id",), "cycles": ("id",), "errors": ("file_id", "line", "column", "message"), "deductions": ("rule_id", "category"), "policies": ("id",), "risks": ("title",),
+}
+
+
 @dataclass(frozen=True)
 class Analysis:
     project: project.Project
@@ -46,11 +54,15 @@ class Analysis:
         return self.tables["nodes"].withColumn("metadata", cleaned(F.col("metadata")))
 
     def write(self, folder: str) -> dict[str, dict]:
-        """Writes what the report is cut from, whole, as JSON lines with Spark: by name, the place in the folder and the number of rows."""
-        whole = {"findings": self.published(), "nodes": self.published_nodes(), "edges": self.tables["edges"], "errors": report.parser_errors(self.tables["errors"]), "deductions": self.score.deductions, "risks": report.risks(self.findings), "policies": self.evaluations}
+        """Writes what the report is cut from, and the model, whole, as JSON lines with Spark: by name, the place in the folder and the number of rows.
+
+        Each table is in its order (ORDERS), over its files in the order of their names.
+        """
+        whole = {name: self.tables[name] for name in ORDERS if name in self.tables} | {"findings": self.published(), "nodes": self.published_nodes(), "deductions": self.score.deductions, "policies": self.evaluations}
+        whole["risks"] = report.risks(self.findings)
         out = {}
         for name, df in whole.items():
-            df.write.json(f"{folder}/{name}")
+            in_ranges(df, *(rules.finding_order() if name == "findings" else ORDERS[name])).write.json(f"{folder}/{name}")
             out[name] = {"place": f"{folder.rsplit('/', 1)[-1]}/{name}", "rows": df.count()}
         return out
 

@@ -11,7 +11,8 @@ import math
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import VariantVal
 
@@ -120,25 +121,60 @@ def archive(spark: SparkSession, path: str, generated_at: str, overall: float) -
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """generated_at, overall: from a history table, or else from a folder of JSON artifacts, of which those that can't be read are left out."""
+    """generated_at, overall: from a history table, or else from a folder of JSON artifacts of any version, of which those that can't be read are left out."""
     try:
-        if list(Path(path).glob("*.json")):
-            return archived(spark, path)
+        points = archived(spark, path)
+        if not points.isEmpty():
+            return points.select("generated_at", "overall")
         return spark.read.schema("generated_at string, overall double").parquet(path).where("generated_at IS NOT NULL AND overall IS NOT NULL")
-    except Exception:  # noqa: BLE001  no such table yet
+    except AnalysisException:  # no such folder yet
         return spark.createDataFrame([], "generated_at string, overall double")
 
 
+#: Versions of artifacts, the latest first: where they say when they were made and what the score was. Each is read as it is.
+VERSIONS = (("1.0.0", "$.metadata.generated_at", "$.summary.overall"), ("legacy", "$.metadata.generatedAt", "$.summary.overallScore"))
+
+
+def points_of(artifact: Column) -> Column:
+    """struct<version, generated_at, overall> of an artifact (a variant): of the first version that it has the shape of, else null."""
+    out = F.lit(None).cast("struct<version: string, generated_at: string, overall: double>")
+    for name, when, score in reversed(VERSIONS):
+        at, n = F.try_variant_get(artifact, when, "variant"), F.try_variant_get(artifact, score, "variant")
+        fits = (F.schema_of_variant(at) == "STRING") & F.schema_of_variant(n).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+        out = F.when(fits, F.struct(F.lit(name).alias("version"), at.try_cast("string").alias("generated_at"), n.try_cast("double").alias("overall"))).otherwise(out)
+    return out
+
+
 def archived(spark: SparkSession, path: str, most: int = 7) -> DataFrame:
-    """The latest points of a folder of artifacts."""
-    told = spark.read.schema("metadata struct<generated_at: string>, summary struct<overall: double>").option("mode", "PERMISSIVE").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
-    points = told.select(F.col("metadata.generated_at").alias("generated_at"), F.col("summary.overall").alias("overall")).where("generated_at IS NOT NULL AND overall IS NOT NULL")
-    return points.orderBy(F.desc("generated_at")).limit(most)
+    """version, generated_at, overall, report (where its page is): the latest points of a folder of artifacts, and of its `history`, read by Spark whatever their version.
+
+    What isn't JSON, or no artifact, is left out.
+    """
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", F.col("_metadata.file_name").alias("name"))
+    points = rows.select("name", points_of(F.try_parse_json("value")).alias("p")).where("p IS NOT NULL").select("p.*", "name")
+    page = F.concat(F.lit("history/"), F.regexp_replace(F.regexp_replace("name", "^analysis-", "report-"), r"\.json$", ".html"))
+    last = points.withColumn("report", page).orderBy(F.desc("generated_at"), F.desc("name")).limit(most)
+    return last.orderBy("generated_at", "name").drop("name")
+
+
+def migrate_archives(folder: str | Path) -> list[Path]:
+    """Moves the artifacts and pages that older versions kept in a folder itself to its `history`, under free names; the places they have now."""
+    moved = []
+    for p in sorted(Path(folder).glob("*")):
+        if re.fullmatch(r"analysis-.*\.json|report-.*\.html", p.name) and p.is_file():
+            to, n = Path(folder) / "history" / p.name, 2
+            to.parent.mkdir(exist_ok=True)
+            free = to
+            while free.exists():
+                free, n = to.with_stem(f"{to.stem}-{n}"), n + 1
+            moved.append(p.rename(free))
+    return moved
 
 
 def archive_report(text: str, folder: str | Path, generated_at: str) -> Path:
-    """Keeps a JSON artifact in the folder of the history, under a name from its time."""
-    return save(text, Path(folder) / f"analysis-{re.sub('[^0-9A-Za-z]+', '-', generated_at).strip('-')}.json")
+    """Keeps a JSON artifact in the `history` of a folder, under a name from its time; what older versions kept in the folder goes there too."""
+    migrate_archives(folder)
+    return save(text, Path(folder) / "history" / f"analysis-{re.sub('[^0-9A-Za-z]+', '-', generated_at).strip('-')}.json")
 
 
 def save(text: str, path: str | Path) -> Path:

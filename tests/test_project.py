@@ -114,7 +114,7 @@ def test_whole_analysis(spark, tree):
 def test_cli(spark, tree, capsys):
     assert cli.main(["version"]) == 0 and cli.main(["doctor"]) == 0
     assert cli.main(["analyze", str(tree), "--json", str(tree / "out/a.json"), "--history", str(tree / "history"), "--archive", str(tree / "past"), "--policies", str(tree / ".loom.json"), "--compact"]) == 0
-    assert len([*(tree / "past").glob("analysis-*.json")]) == 1
+    assert len([*(tree / "past/history").glob("analysis-*.json")]) == 1
     assert json.loads((tree / "out/a.json").read_text())["summary"]["grade"]
     assert artifacts.history(spark, str(tree / "history")).count() == 1
     assert cli.main(["analyse", str(tree / "nowhere")]) == 1
