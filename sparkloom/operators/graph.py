@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
+from ..functions.order import ranked
 from ..functions.session import bounded, dropped, shipped, stored
 
 #: Edges that a task contracts at once.
@@ -83,26 +84,34 @@ def reachable(edges: DataFrame, start: str | int, backward: bool = False) -> Dat
 
 
 def shortest_path(edges: DataFrame, start: str | int, end: str | int) -> DataFrame:
-    """step, id: a shortest path, of several the one whose nodes were met first with neighbours in id order; no rows without one."""
+    """step, id: a shortest path, of several the one whose nodes were met first with neighbours in id order; no rows without one.
+
+    A level's nodes have their place in the breadth-first queue as a number, counted anew for each level from the parent's place and
+    the id. The way back doubles its jumps, so that it takes as many rounds as the path's length has bits.
+    """
     spark, kind = edges.sparkSession, dict(edges.dtypes)["source"]
     at = lambda v: F.lit(v).cast(kind)
+    first = spark.range(1).select(at(start).alias("id"), at(None).alias("parent"), F.lit(0).cast("long").alias("place"))
+    if start == end:
+        return first.select(F.lit(0).alias("step"), "id")
     steps = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).where("a <> b").distinct()
-    # order is the place in a breadth-first queue: first by the parent's place, then by id
-    frontier = seen = spark.range(1).select(at(start).alias("id"), at(None).alias("parent"), F.array(F.lit("").cast("string")).alias("order"))
-    found = start == end
+    frontier, seen, length, found = first, first, 0, False
     while not found and not frontier.isEmpty():
-        nexts = steps.join(bounded(frontier.select(F.col("id").alias("a"), "order")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("order", "a")).alias("p"))
-        nexts = nexts.join(seen.select("id"), "id", "left_anti").select("id", F.col("p.a").alias("parent"), F.concat("p.order", F.array(F.when(F.col("id").cast("long").isNotNull() if kind != "string" else F.lit(False), F.lpad(F.col("id").cast("string"), 20, "0")).otherwise(F.col("id").cast("string")))).alias("order"))
-        frontier = stored(nexts, "path")
-        seen = seen.unionByName(frontier)
+        nexts = steps.join(bounded(frontier.select(F.col("id").alias("a"), "place")), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("place", "a")).alias("p"))
+        nexts = nexts.join(seen.select("id"), "id", "left_anti").select("id", F.col("p.a").alias("parent"), F.col("p.place").alias("above"))
+        frontier = stored(ranked(nexts, "above", "id", name="place").select("id", "parent", "place"), "path")
+        seen, length = seen.unionByName(frontier), length + 1
         found = not frontier.where(F.col("id") == at(end)).isEmpty()
     if not found:
         return spark.createDataFrame([], f"step int, id {kind}")
-    path, node = [], end
-    while node is not None:  # one node a step of the path
-        path.append(node)
-        node = None if node == start else seen.where(F.col("id") == at(node)).first()["parent"]
-    return spark.createDataFrame([(i, n) for i, n in enumerate(reversed(path))], f"step int, id {kind}")
+    jump = stored(seen.where("parent IS NOT NULL").select("id", F.col("parent").alias("to")), "jump")
+    path = spark.range(1).select(F.lit(length).alias("step"), at(end).alias("id"))
+    for k in range(length.bit_length()):
+        back = jump.join(bounded(path), "id").select((F.col("step") - (1 << k)).alias("step"), F.col("to").alias("id"))  # a path's nodes
+        path = stored(path.unionByName(back), "path")
+        if 2 << k <= length:
+            jump = stored(jump.join(jump.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")), "jump")
+    return path.where("step >= 0").distinct()
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:

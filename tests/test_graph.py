@@ -149,3 +149,31 @@ def _by(rows):
     for x in rows:
         out.setdefault(x["component"], set()).add(x["node"])
     return out
+
+
+def test_the_path_met_first_and_long_ones(spark):
+    """Against a queue, neighbours in id order; and a path of many steps."""
+    from collections import deque
+
+    for seed in range(2):
+        r = random.Random(seed)
+        pairs = sorted({(r.randrange(25), r.randrange(25)) for _ in range(60)})
+        out = {}
+        for s, t in pairs:
+            out.setdefault(s, []).append(t)
+        parent, todo = {0: None}, deque([0])
+        while todo:
+            n = todo.popleft()
+            for c in out.get(n, ()):
+                if c not in parent:
+                    parent[c] = n
+                    todo.append(c)
+        df = spark.createDataFrame(pairs, "source long, target long")
+        for end in (7, 24):
+            want, n = [], end
+            while end in parent and n is not None:
+                want.append(n)
+                n = parent[n]
+            assert [x["id"] for x in graph.shortest_path(df, 0, end).orderBy("step").collect()] == want[::-1]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)] + [(12, 0), (3, 1)], "source long, target long")
+    assert [tuple(x) for x in graph.shortest_path(chain, 0, 12).orderBy("step").collect()] == [(i, i) for i in range(13)]
