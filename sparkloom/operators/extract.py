@@ -1,189 +1,231 @@
 """Facts from JavaScript and TypeScript sources: imports, exports, components, hooks, contexts, routes, symbols, errors.
 
-No compiler is at hand: comments, strings, templates and regular expressions are blanked first, keeping every position, and the
-facts are read from what is left by patterns and bracket matching. So unusual layouts may be missed; the tests say what is covered.
-An `export default` of an expression gives no export, as it carries no name.
+The sources become a relation of tokens (`tokens`): one pattern cuts a text into comments, strings, templates, regular expressions, words,
+white space and single signs, running sums over a file give place, line and depth in brackets. What comes next, where a bracket closes and
+where a body ends are window functions over the file or over one depth of it (`looking_ahead`), and facts are filters on tokens.
+Parameters, clauses and bodies are cut from the text once for each file, and told by expressions. No compiler is used, so unusual
+layouts may be missed; the tests say what is covered, and hold the facts against a plain reader of one text.
+
+`export default <expression>` gives no export, as it carries no name, unless `expression_exports` asks for one (`default`, anonymous where
+it is a function). Ids of files are unique; null text has no facts but a module of one line; a null id has none.
 """
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
-from ..functions.session import shipped
-
-_SKIP = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*"|`(?:\\.|[^`\\])*(?:`|\Z)|(?<=[=(,:\[!&|?{};])\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*""", re.S)
-_IMPORT = re.compile(r"""\bimport\s+(type\s+)?(?:([\w$*\s{},]+?)\s*from\s*)?(["'])([^"'\n]*)\3""")
-_DYNAMIC = re.compile(r"""\bimport\s*\(\s*(["'])([^"'\n]*)\1""")
-_EXPORT = re.compile(r"""\bexport\s+(?:(type\s+)?(\*)(?:\s+as\s+([\w$]+))?\s*from\s*(["'])([^"'\n]*)\4|(type\s+)?\{([^}]*)\}(?:\s*from\s*(["'])([^"'\n]*)\8)?|(default\s+)?(?:async\s+)?function\s*\*?\s*([\w$]*)|(default\s+)?(?:abstract\s+)?class\b\s*((?!extends\b|implements\b)[\w$]*)|(?:declare\s+)?(?:const|let|var)\s+([\w$]+))""")
-_FUNCTION = re.compile(r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*(?:<[^()]*>)?\s*\(")
-_CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)[^{;]*\{")
-_VARIABLE = re.compile(r"\b(?:const|let|var)\s+([A-Z][\w$]*)\s*(?::[^=\n]+)?=\s*(?:(?:async\s*)?(\()|(?:async\s+)?[\w$]+\s*=>|(?:React\s*\.\s*)?(?:memo|forwardRef|lazy)\b\s*(?:<[^()]*>)?\s*(\())")
-_HOOK = re.compile(r"(?<![\w$])(use[\w$]*|createContext)\s*(?:<[^()]*>)?\s*\(")
-_ROUTE = re.compile(r"""<Route\b[^>]*?\bpath\s*=\s*\{?\s*(["'])([^"'\n]*)\1""")
-_SYMBOL = re.compile(r"\b(function|class|interface|enum|type(?=\s+[\w$]+\s*[=<])|const|let|var)\b\s*\*?\s*([A-Za-z_$][\w$]*)")
-_TAG = re.compile(r"<(/?)([A-Za-z][\w.$]*)?(?:\s(?:[^<>{}]|\{[^{}]*\})*)?(/?)>|</>|<>")
-_PAIR = {"(": ")", "{": "}", "[": "]"}
-
-
-def blanked(text: str, strings: bool = True) -> str:
-    """The text with comments (and what stands in quotes) as blanks; quotes and line ends stay."""
-
-    def blank(m: re.Match) -> str:
-        s = m[0]
-        if s[0] in "'\"`":
-            return s if not strings else s[0] + re.sub(r"[^\n]", " ", s[1:-1]) + (s[-1] if len(s) > 1 else "")
-        return re.sub(r"[^\n]", " ", s)
-
-    return _SKIP.sub(blank, text)
-
-
-def _closing(text: str, at: int) -> int:
-    """The place after the bracket that closes the one at `at`, or the end."""
-    depth = 0
-    for i in range(at, len(text)):
-        if text[i] in "({[":
-            depth += 1
-        elif text[i] in ")}]":
-            depth -= 1
-            if depth == 0:
-                return i + 1
-    return len(text)
-
-
-def _split(text: str) -> list[str]:
-    """At commas outside brackets."""
-    out, depth, last = [], 0, 0
-    for i, c in enumerate(text):
-        depth += (c in "({[<") - (c in ")}]") - (c == ">" and text[i - 1 : i] != "=")
-        if c == "," and depth <= 0:
-            out.append(text[last:i])
-            last = i + 1
-    return [x.strip() for x in [*out, text[last:]] if x.strip()]
-
-
-def _bindings(clause: str) -> list[str]:
-    """The local names that an import clause binds; a namespace as `* as name`."""
-    out = []
-    for part in re.findall(r"\{[^}]*\}|\*\s+as\s+[\w$]+|[\w$]+", clause):
-        if part[0] == "{":
-            out += [re.sub(r"^type\s+", "", x).split(" as ")[-1].strip() for x in _split(part[1:-1])]
-        else:
-            out.append(re.sub(r"\s+", " ", part))
-    return out
-
-
-def _logical(text: str) -> int:
-    return sum(bool(x.strip()) and not x.strip().startswith(("//", "/*", "*")) for x in re.split(r"\r?\n", text))
-
-
-def _jsx_depth(text: str) -> int:
-    now = most = 0
-    for m in _TAG.finditer(text):
-        if m[0].startswith("</"):
-            now -= 1
-        else:
-            most = max(most, now + 1)
-            now += not m[3]
-    return most
-
-
-def _body(code: str, at: int) -> int:
-    """Where a function ends whose parameters close at `at`: at the end of its block, or of its expression."""
-    brace, arrow, stop = code.find("{", at), code.find("=>", at), code.find(";", at)
-    if arrow >= 0 and (brace < 0 or arrow < brace):
-        after = arrow + 2 + len(code[arrow + 2 :]) - len(code[arrow + 2 :].lstrip())
-        return _closing(code, after) if after < len(code) and code[after] in "({" else (stop if stop >= 0 else len(code))
-    return _closing(code, brace) if brace >= 0 else len(code)
-
-
-def facts(text: str, route_handler: bool = False) -> dict[str, list[dict]]:
-    """All facts of one source, by kind."""
-    code, plain = blanked(text), blanked(text, strings=False)
-    starts = [0, *(m.end() for m in re.finditer("\n", text))]
-    import bisect
-
-    line = lambda at: bisect.bisect_right(starts, at)
-    column = lambda at: at - starts[line(at) - 1] + 1
-    out: dict[str, list[dict]] = {k: [] for k in ("imports", "exports", "components", "hooks", "contexts", "routes", "symbols", "errors")}
-    for m in _IMPORT.finditer(code):
-        source = text[m.start(4) : m.end(4)]
-        out["imports"].append({"is_dynamic": False, "is_type_only": bool(m[1]), "line": line(m.start()), "source": source, "specifiers": _bindings(m[2] or ""), "type": "relative" if source.startswith(".") else "package"})
-    for m in _DYNAMIC.finditer(code):
-        out["imports"].append({"is_dynamic": True, "is_type_only": False, "line": line(m.start()), "source": text[m.start(2) : m.end(2)], "specifiers": [], "type": "dynamic"})
-    depth, at = 0, 0
-    for m in _EXPORT.finditer(code):
-        depth += code.count("{", at, m.start()) - code.count("}", at, m.start())
-        at = m.start()
-        if depth:
-            continue
-        row = lambda name, default=False, anonymous=False, source=None, only=False, m=m: out["exports"].append({"is_anonymous": anonymous, "is_default": default, "is_type_only": only, "line": line(m.start()), "name": name, "source": source})
-        if m[2]:
-            row(f"* as {m[3]}" if m[3] else "*", source=text[m.start(5) : m.end(5)], only=bool(m[1]))
-        elif m[7] is not None:
-            for x in _split(m[7]):
-                name = re.sub(r"^type\s+", "", x).split(" as ")[-1].strip()
-                row(name, default=name == "default", source=text[m.start(9) : m.end(9)] if m[8] else None, only=bool(m[6]))
-        elif m[14]:
-            row(m[14])
-        else:
-            name, default = (m[11], m[10]) if m[11] is not None else (m[13], m[12])
-            if name or default:
-                row(name or "default", default=bool(default), anonymous=not name)
-    exported = {e["name"] for e in out["exports"]}
-    hooks = [(m.start(), m[1]) for m in _HOOK.finditer(code) if not re.search(r"\bfunction\s*\*?\s*$", code[: m.start()][-40:])]
-
-    def component(name: str, kind: str, begin: int, end: int, params: str) -> None:
-        if name[0].isupper() and not route_handler:
-            used = sorted({h for at, h in hooks if begin <= at < end and h.startswith("use")})
-            out["components"].append({"name": name, "type": kind, "position": begin, "line_count": _logical(text[begin:end]), "jsx_depth": _jsx_depth(code[begin:end]), "exports": [name] if name in exported else [], "hooks": used, "props": _split(params)})
-
-    n_functions = 0
-    for m in _FUNCTION.finditer(code):
-        n_functions += 1
-        close = _closing(code, m.end() - 1)
-        component(m[1], "function", m.start(), _body(code, close), text[m.end() : close - 1])
-    for m in _CLASS.finditer(code):
-        component(m[1], "class", m.start(), _closing(code, m.end() - 1), "")
-    for m in _VARIABLE.finditer(code):
-        opened = m.start(2) if m[2] else m.start(3) if m[3] else m.end()
-        close = _closing(code, opened) if m[2] or m[3] else m.end()
-        if m[2] and not re.match(r"\s*(?::[^=]+)?=>", code[close:]):
-            continue
-        inner = re.match(r"\(\s*(?:async\s*)?(?:function\s*[\w$]*\s*)?\(", code[opened:]) if m[3] else None
-        first = opened + inner.end() - 1 if inner else opened
-        params = text[first + 1 : _closing(code, first) - 1] if m[2] or inner else ""
-        component(m[1], "arrow", m.start(), close if m[3] else _body(code, m.end() - 2 if not m[2] else close), params)
-    for at, name in hooks:
-        if name.startswith("use"):
-            close = _closing(code, code.index("(", at))
-            out["hooks"].append({"name": name, "line": line(at), "column": column(at), "position": at, "arguments": _split(text[code.index("(", at) + 1 : close - 1])})
-        if name in ("createContext", "useContext"):
-            out["contexts"].append({"name": name, "line": line(at), "column": column(at), "position": at, "kind": "create" if name == "createContext" else "use"})
-    for m in _ROUTE.finditer(plain):
-        out["routes"].append({"path": m[2], "kind": "react-router", "line": line(m.start()), "column": column(m.start()), "position": m.start()})
-    for m in _SYMBOL.finditer(code):
-        kind = "variable" if m[1] in ("const", "let", "var") else m[1]
-        out["symbols"].append({"name": m[2], "type": kind, "line": line(m.start()), "position": m.start()})
-    stack = []
-    for i, c in enumerate(code):
-        if c in "({[":
-            stack.append((c, i))
-        elif c in ")}]" and (not stack or _PAIR[stack.pop()[0]] != c):
-            out["errors"].append({"line": line(i), "column": column(i), "message": f"unexpected {c}", "severity": "error"})
-            break
-    else:
-        if stack:
-            c, i = stack[-1]
-            out["errors"].append({"line": line(i), "column": column(i), "message": f"{c} isn't closed", "severity": "error"})
-    out["module"] = [{"function_count": n_functions, "line_count": text.count("\n") + 1}]
-    return out
+
+_W = r"[\p{L}\p{N}_$]"
+#: A text is a row of these: comments, strings, templates, regular expressions, words, arrows, white space, single signs.
+_PIECE = "|".join((
+    r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)", r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'", r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+(?:`|\z)",
+    r"(?<=[=(,:\[!&|?{};]\s{0,99})/(?![*/])(?:\\[\s\S]|\[(?:\\[\s\S]|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*", rf"{_W}++", "=>", r"\s++", r"[\s\S]",
+))
+_TAG = r"</?[A-Za-z][\w.$]*(?:\s(?:[^<>{}]++|\{(?:[^{}]++|\{[^{}]*\})*+\})*+)?/?>|</?>"
+_OPEN, _CLOSE = ("(", "{", "["), (")", "}", "]")
+#: How many tokens after one are kept with it, as words and signs between blanks.
+NEXT = 7
+ROUTE_HANDLER = r"(?:^|/)app/(?:.*/)?route\.[^.]+$"
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+
+
+def _blank(text: Column) -> Column:
+    return F.regexp_replace(text, r"[^\n]", " ")
+
+
+def blanked(text: Column) -> Column:
+    """The text with comments, regular expressions and what stands in quotes as blanks; quotes, line ends and every place stay."""
+
+    def blank(p: Column) -> Column:
+        first, n = F.substring(p, 1, 1), F.length(p)
+        inner = F.concat(first, _blank(F.substr(p, F.lit(2), n - 2)), F.substring(p, -1, 1))
+        return F.when((n > 1) & first.isin("'", '"', "`"), inner).when((n > 1) & (first == "/"), _blank(p)).otherwise(p)
+
+    return F.array_join(F.transform(_pieces(text), blank), "")
+
+
+def tokens(sources: DataFrame) -> DataFrame:
+    """sources: file_id, text. file_id, i, at (from 0), line, column, sym, raw, braces, level: the tokens but white space and comments.
+
+    sym: the word or sign; a quote for a string, ` for a template, / for a regular expression. raw: what stands in a string's quotes.
+    braces: how many { are open before the token. level: how many brackets are, the token's own included; null for other tokens.
+    """
+    p = F.col("piece")
+    first, n = F.substring(p, 1, 1), F.length(p)
+    comment = p.startswith("//") | p.startswith("/*")
+    sym = F.when(comment | p.rlike(r"^\s"), None).when((n > 1) & first.isin("'", '"'), '"').when((n > 1) & first.isin("`", "/"), first).otherwise(p)
+    feeds = n - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+    rows = sources.select("file_id", F.posexplode(_pieces(F.col("text"))).alias("i", "piece")).select(
+        "file_id", "i", sym.alias("sym"), F.when(sym == '"', F.substr(p, F.lit(2), n - 2)).alias("raw"), n.alias("n"), feeds.alias("feeds"),
+        F.when(feeds > 0, n - F.length(F.substring_index(p, "\n", -1))).alias("to_line"),
+    )
+    before = Window.partitionBy("file_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
+    change = lambda o, c: F.when(F.col("sym").isin(*o), 1).when(F.col("sym").isin(*c), -1).otherwise(0)
+    placed = rows.select("*", so_far(F.col("n")).alias("at"), so_far(F.col("feeds")).alias("fed"), so_far(change("{", "}")).alias("braces"), so_far(change(_OPEN, _CLOSE)).alias("depth"))
+    start = F.coalesce(F.max(F.col("at") + F.col("to_line")).over(before), F.lit(0))
+    level = F.when(F.col("sym").isin(*_OPEN), F.col("depth") + 1).when(F.col("sym").isin(*_CLOSE), F.col("depth"))
+    done = placed.select("file_id", "i", "at", (F.col("fed") + 1).alias("line"), (F.col("at") - start + 1).alias("column"), "sym", "raw", "braces", level.alias("level"))
+    return done.where("sym IS NOT NULL")
+
+
+def looking_ahead(found: DataFrame) -> DataFrame:
+    """tokens with what stands before and after them, where brackets close, and where a body ends that begins after them.
+
+    A place that isn't found is null, and stands for the end of the text.
+    """
+    order = Window.partitionBy("file_id").orderBy("i")
+    level = Window.partitionBy("file_id", "level").orderBy("i")
+    back = Window.partitionBy("file_id").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sym, opens = F.col("sym"), F.col("sym").isin(*_OPEN)
+    ahead = lambda of, value: F.last(F.when(of, value), ignorenulls=True).over(back)
+    lead = lambda c, k: F.lead(c, k).over(order)
+    t = found.select(
+        "*", F.concat_ws(" ", *(lead("sym", k) for k in range(1, NEXT + 1))).alias("then"), *(lead("raw", k).alias(f"raw{k}") for k in (1, 2, 3)),
+        *(F.lag("sym", k).over(order).alias(f"was{k}") for k in (1, 2)), F.lag(F.struct("at", "line", "column")).over(order).alias("was"),
+    )
+    partner = F.when(opens, F.lead("at").over(level) + 1)
+    t = t.select("*", partner.alias("end"), F.when(opens, F.lead(F.struct("then", "raw2")).over(level)).alias("after"), F.when(sym.isin(*_CLOSE), F.lag("sym").over(level)).alias("opened"))
+    t = t.select("*", F.lead(F.struct("sym", "end")).over(order).alias("next"))
+    outside = ~((sym.rlike(rf"^{_W}+$")) | sym.isin("{", "}", ",", "*"))  # what no clause of an import holds
+    t = t.select(
+        "*", ahead(sym == "{", F.struct("at", "end", "after")).alias("brace"), ahead(sym == "=>", F.struct("at", "next")).alias("arrow"), ahead(sym == ";", F.col("at")).alias("stop"),
+        ahead(sym.isin("(", ")"), F.struct("sym", "at", "end")).alias("inner"), ahead(sym == '"', F.struct("raw")).alias("quoted"), ahead(outside, F.struct("sym", "raw", "was1", "was")).alias("outside"),
+        ahead(sym.isin(">", "=>"), F.col("at")).alias("tag_end"), ahead(sym.isin("=", "=>"), sym).alias("equals"),
+        ahead((sym == "path") & F.col("then").rlike(r'^= (?:\{ )?"'), F.struct("at", F.when(F.col("then").startswith('= "'), F.col("raw2")).otherwise(F.col("raw3")).alias("raw"))).alias("path_said"),
+    )
+    arrow, brace = F.col("arrow"), F.col("brace")
+    expression = F.when(arrow["next"]["sym"].isin("(", "{"), arrow["next"]["end"]).otherwise(F.col("stop"))
+    t = t.withColumn("body_end", F.when(arrow.isNotNull() & (brace.isNull() | (arrow["at"] < brace["at"])), expression).otherwise(brace["end"]))
+    t = t.withColumn("closed", F.when(opens, F.lead(F.struct("then", "equals", "body_end")).over(level)))
+    t = t.withColumn("paren", ahead(sym.isin("(", ")"), F.struct("sym", "at", "end", "was1", "then", "closed", "inner")))
+    return t.withColumn("assigned", ahead(sym.isin("=", "=>"), F.struct("sym", "at", "then", "paren", "body_end")))
+
+
+def _import() -> Column:
+    """at, line, source, dynamic, only, begin, end (of the clause): where the token begins an import."""
+    then, stop = F.col("then"), F.col("outside")
+    only = then.rlike("^type (?!from |, )")
+    row = lambda source, dynamic, only, begin, end: F.struct("at", "line", source.alias("source"), F.lit(dynamic).alias("dynamic"), only.alias("only"), begin.alias("begin"), end.alias("end"))
+    none, no = F.lit(None).cast("int"), F.lit(False)
+    static = (stop["sym"] == '"') & (stop["was1"] == "from") & ~then.startswith("from ")
+    told = F.when(then.startswith('( "'), row(F.col("raw2"), True, no, none, none)).when(then.startswith('"'), row(F.col("raw1"), False, no, none, none)).when(static, row(stop["raw"], False, only, F.col("at") + 6, stop["was"]["at"]))
+    return F.when((F.col("sym") == "import") & ~F.coalesce(F.col("was1") == ".", F.lit(False)), told)
+
+
+def _export(expressions: bool) -> Column:
+    """at, line, name, default, anonymous, only, source, begin, end (of a list in braces): where the token begins an export."""
+    then, braces = F.col("then"), F.col("brace")
+    row = lambda name, source=F.lit(None), default=F.lit(False), anonymous=F.lit(False), begin=F.lit(None), end=F.lit(None): F.struct(
+        "at", "line", name.cast("string").alias("name"), default.alias("default"), anonymous.alias("anonymous"), then.rlike(r"^type [*{]").alias("only"), source.cast("string").alias("source"), begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+    star, function, kind, variable = r"^(?:type )?\* (?:as (\S+) )?from ", rf"^(default )?(?:async )?function (?:\* )?({_W}*)", rf"^(default )?(?:abstract )?class(?: (?!extends |implements )({_W}+))?", rf"^(?:declare )?(?:const|let|var) ({_W}+)"
+    at = lambda p, g: F.regexp_extract(then, p, g)
+    whole = F.concat(F.lit("*"), F.when(at(star, 1) != "", F.concat(F.lit(" as "), at(star, 1))).otherwise(""))
+    listed = row(F.lit(None), source=F.when(braces["after"]["then"].startswith('from "'), braces["after"]["raw2"]), begin=braces["at"] + 1, end=braces["end"] - 1)
+    declared = lambda p: F.when((at(p, 1) != "") | (at(p, 2) != ""), row(F.when(at(p, 2) != "", at(p, 2)).otherwise("default"), default=at(p, 1) != "", anonymous=at(p, 2) == ""))
+    told = F.when(then.rlike(star + '"'), row(whole, source=F.col("quoted")["raw"])).when(then.rlike(r"^(?:type )?\{"), listed).when(then.rlike(function), declared(function)).when(then.rlike(kind), declared(kind)).when(then.rlike(variable), row(at(variable, 1)))
+    if expressions:
+        arrow = then.rlike(rf"^default (?:async )?(?:\(|{_W}+ =>)") & (F.col("arrow")["at"] < F.coalesce(F.col("stop"), F.lit(2**31 - 1)))
+        told = told.when(then.startswith("default ") & ~then.rlike("^default (?:interface|enum|type) "), row(F.lit("default"), default=F.lit(True), anonymous=F.coalesce(arrow, F.lit(False))))
+    return F.when((F.col("sym") == "export") & (F.col("braces") == 0) & ~F.coalesce(F.col("was1") == ".", F.lit(False)), told)
+
+
+def _component() -> Column:
+    """at, name, type, begin, to (of the parameters), end (of the body), function: where the token declares what may be a component."""
+    then, sym, paren, given = F.col("then"), F.col("sym"), F.col("paren"), F.col("assigned")
+    row = lambda name, kind, begin, to, end: F.struct("at", name.alias("name"), F.lit(kind).alias("type"), begin.cast("int").alias("begin"), to.cast("int").alias("to"), end.cast("int").alias("end"))
+    function, kind, variable = rf"^(?:\* )?((?!\p{{N}}){_W}+) [(<]", rf"^((?!\p{{N}}){_W}+)", rf"^([A-Z]{_W}*) [=:]"
+    at = lambda p: F.regexp_extract(then, p, 1)
+    same = F.coalesce(given["at"] < F.col("stop"), F.lit(True)) & (given["sym"] == "=")
+    none = F.lit(None)
+    opened, value = given["paren"], given["then"]
+    arrow = value.rlike(r"^(?:async )?\(") & (opened["closed"]["then"].startswith("=>") | (opened["closed"]["then"].startswith(":") & (opened["closed"]["equals"] == "=>")))
+    wrapped = value.rlike(r"^(?:React \. )?(?:memo|forwardRef|lazy) [(<]") & (opened["sym"] == "(")
+    inner = opened["then"].rlike(rf"^(?:async )?(?:function (?:{_W}+ )?)?\(")
+    return (
+        F.when((sym == "function") & then.rlike(function) & (paren["sym"] == "("), row(at(function), "function", paren["at"] + 1, F.coalesce(paren["end"] - 1, F.lit(-1)), paren["closed"]["body_end"]))
+        .when((sym == "class") & then.rlike(kind) & F.coalesce(F.col("brace")["at"] < F.col("stop"), F.col("brace").isNotNull()), row(at(kind), "class", none, none, F.col("brace")["end"]))
+        .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & arrow, row(at(variable), "arrow", opened["at"] + 1, F.coalesce(opened["end"] - 1, F.lit(-1)), opened["closed"]["body_end"]))
+        .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & value.rlike(rf"^(?:async )?{_W}+ =>"), row(at(variable), "arrow", none, none, given["body_end"]))
+        .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & wrapped, row(at(variable), "arrow", F.when(inner, opened["inner"]["at"] + 1), F.coalesce(opened["inner"]["end"] - 1, F.lit(-1)), opened["end"]))
+    )
+
+
+def _hook() -> Column:
+    """at, line, column, name, begin, to (of the arguments): where the token is the name of a hook that is called."""
+    paren, then = F.col("paren"), F.col("then")
+    called = then.startswith("(") | (then.startswith("<") & (paren["sym"] == "(") & (paren["was1"] == ">"))
+    declared = (F.col("was1") == "function") | ((F.col("was1") == "*") & (F.col("was2") == "function"))
+    row = F.struct("at", "line", "column", F.col("sym").alias("name"), (paren["at"] + 1).alias("begin"), F.coalesce(paren["end"] - 1, F.lit(-1)).alias("to"))
+    return F.when(F.col("sym").rlike(rf"^(?:use{_W}*|createContext)$") & called & ~F.coalesce(declared, F.lit(False)), row)
+
+
+def _route() -> Column:
+    said = (F.col("sym") == "Route") & (F.col("was1") == "<") & (F.col("path_said")["at"] < F.coalesce(F.col("tag_end"), F.lit(2**31 - 1)))
+    return F.when(said, F.struct(F.col("was.at").alias("position"), F.col("path_said")["raw"].alias("path"), F.lit("react-router").alias("kind"), F.col("was.line").alias("line"), F.col("was.column").alias("column")))
+
+
+def _symbol() -> Column:
+    sym, then = F.col("sym"), F.col("then")
+    name = F.regexp_extract(then, rf"^(?:\* )?((?!\p{{N}}){_W}+)", 1)
+    real = (name != "") & ~((sym == "class") & name.isin("extends", "implements")) & ~(name == "enum") & ((sym != "type") | then.rlike(rf"^{_W}+ [=<]"))
+    kind = F.when(sym.isin("const", "let", "var"), "variable").otherwise(sym)
+    return F.when(sym.isin("function", "class", "interface", "enum", "type", "const", "let", "var") & real, F.struct(F.col("at").alias("position"), name.alias("name"), kind.alias("type"), "line"))
+
+
+def _error() -> tuple[Column, Column]:
+    """at, line, column, message: of brackets that close what isn't open, and of those that aren't closed."""
+    sym = F.col("sym")
+    row = lambda message: F.struct("at", "line", "column", message.alias("message"))
+    pair = F.create_map(*(F.lit(x) for p in zip(_OPEN, _CLOSE, strict=True) for x in p))
+    odd = sym.isin(*_CLOSE) & ~F.coalesce(F.element_at(pair, F.col("opened")) == sym, F.lit(False))
+    return F.when(odd, row(F.concat(F.lit("unexpected "), sym))), F.when(sym.isin(*_OPEN) & F.col("end").isNull(), row(F.concat(sym, F.lit(" isn't closed"))))
+
+
+def split_arguments(text: Column) -> Column:
+    """What stands between commas outside brackets, trimmed; nothing for what is empty."""
+    parts = F.regexp_extract_all(text, F.lit(r"=>|[(){}\[\]<>,]|[^(){}\[\]<>,=]++|="), F.lit(0))
+    seed = F.struct(F.lit(0).alias("depth"), F.lit("").alias("said"))
+
+    def step(a: Column, p: Column) -> Column:
+        depth = a["depth"] + F.when(p.isin("(", "{", "[", "<"), 1).when(p.isin(")", "}", "]", ">"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.concat(a["said"], F.when((p == ",") & (depth <= 0), F.lit("\x00")).otherwise(p)).alias("said"))
+
+    done = F.split(F.aggregate(parts, seed, step)["said"], "\x00", -1)
+    return F.filter(F.transform(done, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+
+
+def markup_nesting(code: Column) -> Column:
+    """The deepest nesting of markup in blanked code."""
+    seed = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a: Column, t: Column) -> Column:
+        closes, alone = t.startswith("</"), t.endswith("/>")
+        return F.struct((a["now"] + F.when(closes, -1).when(alone, 0).otherwise(1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(closes, 0).otherwise(1)).alias("most"))
+
+    return F.aggregate(F.regexp_extract_all(code, F.lit(_TAG), F.lit(0)), seed, step)["most"]
+
+
+def _local_name(said: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(said, r"^\s+|\s+$", ""), r"^type\s+(?!as\s)", "")
+    return F.regexp_replace(bare, r"(?s)^.*\sas\s+", "")
+
+
+def _names(clause: Column) -> Column:
+    """The local names in a list."""
+    return F.filter(F.transform(F.split(clause, ",", -1), _local_name), lambda x: x != "")
+
+
+def _bindings(clause: Column) -> Column:
+    """The local names that an import's clause binds; a namespace as `* as name`."""
+    parts = F.regexp_extract_all(clause, F.lit(rf"\{{[^}}]*\}}|\*\s+as\s+{_W}+|{_W}+"), F.lit(0))
+    inner = lambda x: F.substr(x, F.lit(2), F.length(x) - 2)
+    return F.flatten(F.transform(parts, lambda x: F.when(x.startswith("{"), _names(inner(x))).otherwise(F.array(F.regexp_replace(x, r"\s+", " ")))))
 
 
 # Spark types by kind of fact
@@ -198,25 +240,64 @@ KINDS = {
     "errors": "line int, column int, message string, severity string",
     "module": "function_count int, line_count int",
 }
-ROUTE_HANDLER = r"(?:^|/)app/(?:.*/)?route\.[^.]+$"
-
-
-def extract(sources: DataFrame) -> DataFrame:
-    """sources: file_id, path, text. file_id, path, facts (JSON by kind); one row and one pass for each file. Null text has no facts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        handler = re.compile(ROUTE_HANDLER)
-        for b in batches:
-            told = [json.dumps(facts(t or "", bool(handler.search(p or "")))) for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("file_id"), b.column("path"), pa.array(told, pa.string())], names=["file_id", "path", "facts"])
 
-    shipped(sources.sparkSession)
-    return sources.select("file_id", "path", "text").mapInArrow(run, "file_id string, path string, facts string")
+def _as_kind(rows: Column, kind: str, /, **columns: object) -> Column:
+    """rows as an array of the kind's columns; a column that isn't given has the row's own value."""
+    wanted = [c.split() for c in KINDS[kind].split(", ")]
+    return F.coalesce(F.transform(rows, lambda x: F.struct(*((columns[n](x) if n in columns else x[n]).cast(t).alias(n) for n, t in wanted))), F.array().cast(_type_of(kind)))
+
+
+def _type_of(kind: str) -> str:
+    return f"array<struct<{KINDS[kind].replace(' ', ':').replace(',:', ',')}>>"
+
+
+def extract(sources: DataFrame, expression_exports: bool = False) -> DataFrame:
+    """sources: file_id, path, text. file_id, path, and for each kind of fact an array in the text's order; one row for each file."""
+    whole = sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+    odd, unclosed = _error()
+    listed = lambda c: F.sort_array(F.collect_list(c))
+    seen = looking_ahead(tokens(whole))
+    heads = seen.select(
+        "file_id", _import().alias("imports"), _export(expression_exports).alias("exports"), _component().alias("components"), _hook().alias("hooks"), _route().alias("routes"), _symbol().alias("symbols"),
+        odd.alias("odd"), unclosed.alias("unclosed"),
+    )
+    kinds = ("imports", "exports", "components", "hooks", "routes", "symbols")
+    heads = heads.where(" OR ".join(f"{c} IS NOT NULL" for c in (*kinds, "odd", "unclosed")))
+    found = heads.groupBy(F.col("file_id").alias("_file")).agg(*(listed(c).alias(f"_{c}") for c in kinds), F.min("odd").alias("_odd"), F.max("unclosed").alias("_unclosed"))
+    t = whole.withColumn("_code", blanked(F.col("text"))).join(found, F.col("file_id") == F.col("_file"), "left")
+    text, code, size = F.col("text"), F.col("_code"), F.length("text")
+    cut = lambda of, begin, end: F.substr(of, begin + 1, F.greatest(end - begin, F.lit(0)))
+    to = lambda x: F.when(x["to"] < 0, size - 1).otherwise(x["to"])
+    imports = _as_kind(
+        F.col("_imports"), "imports", is_dynamic=lambda x: x["dynamic"], is_type_only=lambda x: x["only"],
+        specifiers=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(_bindings(F.when(x["only"], F.regexp_replace(cut(code, x["begin"], x["end"]), r"^\s*type\s", "")).otherwise(cut(code, x["begin"], x["end"])))),
+        type=lambda x: F.when(x["dynamic"], "dynamic").when(x["source"].startswith("."), "relative").otherwise("package"),
+    )
+    named = lambda x: F.when(x["begin"].isNull(), F.array(x["name"])).otherwise(_names(cut(code, x["begin"], F.coalesce(x["end"], size))))
+    told = F.flatten(F.transform(F.col("_exports"), lambda x: F.transform(named(x), lambda n: F.struct(
+        x["anonymous"].alias("is_anonymous"), (x["default"] | (x["begin"].isNotNull() & (n == "default"))).alias("is_default"), x["only"].alias("is_type_only"), x["line"].alias("line"), n.alias("name"), x["source"].alias("source")))))
+    exports = _as_kind(told, "exports")
+    inside = lambda x: F.array_sort(F.array_distinct(F.transform(F.filter(F.col("_hooks"), lambda h: (h["at"] >= x["at"]) & (h["at"] < F.coalesce(x["end"], size)) & h["name"].startswith("use")), lambda h: h["name"])))
+    may_be = F.filter(F.col("_components"), lambda x: x["name"].rlike(r"^\p{Lu}") & ~F.coalesce(F.col("path").rlike(ROUTE_HANDLER), F.lit(False)))
+    logical = lambda x: F.size(F.filter(F.split(x, "\r?\n", -1), lambda y: y.rlike(r"\S") & ~y.rlike(r"^\s*(?://|/\*|\*)")))
+    components = _as_kind(
+        may_be, "components", position=lambda x: x["at"], line_count=lambda x: logical(cut(text, x["at"], F.coalesce(x["end"], size))), jsx_depth=lambda x: markup_nesting(cut(code, x["at"], F.coalesce(x["end"], size))),
+        exports=lambda x: F.filter(F.array(x["name"]), lambda n: F.exists(F.col("exports"), lambda e: e["name"] == n)), hooks=inside,
+        props=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(split_arguments(cut(text, x["begin"], to(x)))),
+    )
+    hooks = _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].startswith("use")), "hooks", position=lambda x: x["at"], arguments=lambda x: split_arguments(cut(text, x["begin"], to(x))))
+    contexts = _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].isin("createContext", "useContext")), "contexts", position=lambda x: x["at"], kind=lambda x: F.when(x["name"] == "createContext", "create").otherwise("use"))
+    worst = F.filter(F.array(F.coalesce("_odd", "_unclosed")), lambda x: x.isNotNull())
+    module = F.array(F.struct(F.size(F.filter(F.coalesce("_components", F.expr("array()").cast("array<struct<at:int,name:string,type:string,begin:int,to:int,end:int>>")), lambda x: x["type"] == "function")).alias("function_count"), F.size(F.split("text", "\n", -1)).alias("line_count")))
+    t = t.withColumn("exports", exports)
+    return t.select("file_id", "path", imports.alias("imports"), "exports", components.alias("components"), hooks.alias("hooks"), contexts.alias("contexts"), _as_kind(F.col("_routes"), "routes").alias("routes"),
+                    _as_kind(F.col("_symbols"), "symbols").alias("symbols"), _as_kind(worst, "errors", severity=lambda x: F.lit("error")).alias("errors"), module.cast(_type_of("module")).alias("module"))
 
 
 def kind_of(extracted: DataFrame, kind: str) -> DataFrame:
     """The facts of one kind: file_id and their columns; with an id where facts have a position."""
-    rows = extracted.select("file_id", F.explode(F.from_json(F.get_json_object("facts", f"$.{kind}"), f"array<struct<{KINDS[kind].replace(' ', ':').replace(',:', ',')}>>")).alias("x")).select("file_id", "x.*")
+    rows = extracted.select("file_id", F.explode(kind).alias("x")).select("file_id", "x.*")
     names = {"components": "component", "hooks": "hook", "contexts": "context", "routes": "route"}
     if kind in names:
         return rows.withColumn("id", key(F.col("file_id"), names[kind], F.col("path" if kind == "routes" else "name"), F.col("position")))
@@ -227,9 +308,8 @@ def kind_of(extracted: DataFrame, kind: str) -> DataFrame:
 
 def modules(extracted: DataFrame) -> DataFrame:
     """id, file_id, path, function_count, line_count (physical), n_imports, n_exports."""
-    n = lambda k: F.json_array_length(F.get_json_object("facts", f"$.{k}"))
-    own = kind_of(extracted, "module")
-    return extracted.select("file_id", "path", n("imports").alias("n_imports"), n("exports").alias("n_exports")).join(own, "file_id").withColumn("id", key(F.col("file_id"), "module"))
+    own = extracted.select("file_id", "path", F.size("imports").alias("n_imports"), F.size("exports").alias("n_exports"), F.explode("module").alias("x"))
+    return own.select("file_id", "path", "n_imports", "n_exports", "x.*").withColumn("id", key(F.col("file_id"), "module"))
 
 
 def file_routes(files: DataFrame, framework: str) -> DataFrame:

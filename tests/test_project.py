@@ -61,8 +61,10 @@ def test_describe_and_scan(spark, tree):
         project.describe(tree)
 
 
-def test_facts():
-    f = extract.facts(APP)
+def test_facts(spark):
+    rows = [("app", "a.tsx", APP), ("open", "a.ts", "const x = (1;"), ("memo", "a.ts", "const C = memo(function C(p) { return <a/> })"), ("route", "app/x/route.ts", "export function GET() {}"), ("signs", "a.ts", "const r = /[\"'{]/; const Box = (p) => <a/>"), ("", "a.ts", "")]
+    told = {r["file_id"]: r for r in extract.extract(spark.createDataFrame(rows, "file_id string, path string, text string")).collect()}
+    f = told["app"]
     assert [(i["source"], i["type"], i["specifiers"], i["is_type_only"]) for i in f["imports"]] == [
         ("react", "package", ["React", "state", "Kind"], False), ("./b", "relative", ["* as all"], False), ("./missing.css", "relative", [], False), ("@/lib/util", "package", ["T"], True), ("./late", "dynamic", [], False),
     ]
@@ -72,11 +74,11 @@ def test_facts():
     assert (parts["Panel"]["jsx_depth"], parts["Panel"]["props"], parts["App"]["props"]) == (3, ["{ one, two }"], ["props"])
     assert {c["kind"] for c in f["contexts"]} == {"use", "create"} and [r["path"] for r in f["routes"]] == ["/deep/er"]
     assert {("Shape", "interface"), ("Color", "enum"), ("App", "function")} <= {(s["name"], s["type"]) for s in f["symbols"]}
-    assert not f["errors"] and extract.facts("const x = (1;")["errors"]
-    assert extract.facts("const C = memo(function C(p) { return <a/> })")["components"][0]["props"] == ["p"]
-    assert not extract.facts("export function GET() {}", route_handler=True)["components"]
-    assert extract.facts("const r = /[\"'{]/; const Box = (p) => <a/>")["components"][0]["name"] == "Box"
-    assert extract.facts("")["module"] == [{"function_count": 0, "line_count": 1}]
+    assert not f["errors"] and told["open"]["errors"]
+    assert told["memo"]["components"][0]["props"] == ["p"]
+    assert not told["route"]["components"]
+    assert told["signs"]["components"][0]["name"] == "Box"
+    assert [x.asDict() for x in told[""]["module"]] == [{"function_count": 0, "line_count": 1}]
 
 
 def test_file_routes(spark):
