@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import half_up
@@ -153,6 +153,33 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
 
 
+#: Statements of item (part #p, supplier #s) of an order, by the rest of part plus supplier by 10.
+STATEMENTS = (
+    'import D#p, { a as b#p, type T } from "./s#s"; // import no from "no"',
+    "import type {\n  T#p, // said { here }\n} from 'pkg#s';",
+    'const m#p = await import("./s#s");',
+    'export { a as e#p, type Z#p } from "./s#s";',
+    "export type * as n#p from './s#s';",
+    "export const v#p = `export const no = '{' ${no}`; /* import 'no' } */",
+    "export async function f#p(a, [b, c]) {\n  const x = /[{\"']/;\n  return useThing#s(a, [1, { b: 2 }]);\n}",
+    "export abstract class K#p extends Base {\n  m() { const inner = { a: 1 }; }\n}",
+    "const P#p = memo(({ q, r }, ref) => <a>{use#s(q)}<b/></a>);",
+    "export default ({ w }) => { useEffect(() => { go#s(`} ${w}`); }, []); };",
+)
+
+
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as source files, a statement for each item: file_id, path, text."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("items"))  # as many as an order has
+    forms = F.array(*(F.lit(x) for x in STATEMENTS))
+
+    def statement(x: Column) -> Column:
+        form = F.get(forms, ((x["l_partkey"] + x["l_suppkey"]) % len(STATEMENTS)).cast("int"))
+        return F.replace(F.replace(form, F.lit("#p"), x["l_partkey"].cast("string")), F.lit("#s"), x["l_suppkey"].cast("string"))
+
+    return items.select(_id("o", "l_orderkey").alias("file_id"), F.concat(F.lit("src/o"), F.col("l_orderkey").cast("string"), F.lit(".tsx")).alias("path"), F.array_join(F.transform("items", statement), "\n").alias("text"))
+
+
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts as modules whose measures are taken from the part's size; every third is an index file."""
     k, n = F.col("p_partkey"), F.col("p_size")

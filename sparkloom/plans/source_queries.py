@@ -87,6 +87,55 @@ def extract_modules(spark: SparkSession, d: str) -> DataFrame:
     return extract.modules(extract.extract(a.sources(spark, d)))
 
 
+# --- sources composed of an order's items: each file has its own statements, which the SQL takes from the items -----------------
+
+_ITEMS = """i AS (SELECT 'o:' || l_orderkey AS file_id, l_partkey::VARCHAR AS p, l_suppkey::VARCHAR AS s, (l_partkey + l_suppkey) % 10 AS form, [1, 3, 1, 1, 1, 1, 4, 3, 1, 1][(l_partkey + l_suppkey) % 10 + 1] AS high,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+c AS (SELECT *, (1 + coalesce(sum(high) OVER (PARTITION BY file_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS line FROM i)"""
+
+
+def _composed(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return extract.kind_of(extract.extract(a.composed(spark, d)), kind)
+
+
+@query(f"""WITH {_ITEMS} SELECT file_id, line, CASE WHEN form = 1 THEN 'pkg' || s ELSE './s' || s END AS source, CASE form WHEN 0 THEN 'relative' WHEN 1 THEN 'package' ELSE 'dynamic' END AS type,
+CASE form WHEN 0 THEN 'D' || p || '|b' || p || '|T' WHEN 1 THEN 'T' || p ELSE '' END AS specifiers, form = 2 AS is_dynamic, form = 1 AS is_type_only FROM c WHERE form < 3""")
+def composed_imports(spark: SparkSession, d: str) -> DataFrame:
+    return _composed(spark, d, "imports").withColumn("specifiers", F.array_join("specifiers", "|"))
+
+
+@query(f"""WITH {_ITEMS} SELECT file_id, line, unnest(CASE form WHEN 3 THEN ['e' || p, 'Z' || p] WHEN 4 THEN ['* as n' || p] ELSE [substr('vfK', form::INTEGER - 4, 1) || p] END) AS name, CASE WHEN form < 5 THEN './s' || s END AS source,
+false AS is_default, false AS is_anonymous, form = 4 AS is_type_only FROM c WHERE form BETWEEN 3 AND 7""")
+def composed_exports(spark: SparkSession, d: str) -> DataFrame:
+    return _composed(spark, d, "exports")
+
+
+@query(f"""WITH {_ITEMS} SELECT file_id, 'K' || p AS name, 'class' AS type, 3 AS line_count, 0 AS jsx_depth, 'K' || p AS exports, '' AS hooks, '' AS props FROM c WHERE form = 7
+UNION ALL SELECT file_id, 'P' || p, 'arrow', 1, 2, '', 'use' || s, '{{ q, r }}|ref' FROM c WHERE form = 8""")
+def composed_components(spark: SparkSession, d: str) -> DataFrame:
+    rows = _composed(spark, d, "components")
+    return rows.select("file_id", "name", "type", "line_count", "jsx_depth", *(F.array_join(c, "|").alias(c) for c in ("exports", "hooks", "props")))
+
+
+@query(f"""WITH {_ITEMS} SELECT file_id, 'useThing' || s AS name, line + 2 AS line, 10 AS "column", 'a|[1, {{ b: 2 }}]' AS arguments FROM c WHERE form = 6
+UNION ALL SELECT file_id, 'use' || s, line, (39 + len(p))::INTEGER, 'q' FROM c WHERE form = 8
+UNION ALL SELECT file_id, 'useEffect', line, 29, '() => {{ go' || s || '(`}} ${{w}}`); }}|[]' FROM c WHERE form = 9""")
+def composed_hooks(spark: SparkSession, d: str) -> DataFrame:
+    return _composed(spark, d, "hooks").select("file_id", "name", "line", "column", F.array_join("arguments", "|").alias("arguments"))
+
+
+@query(f"""WITH {_ITEMS} SELECT file_id, CASE form WHEN 2 THEN 'm' WHEN 5 THEN 'v' WHEN 6 THEN 'f' WHEN 7 THEN 'K' ELSE 'P' END || p AS name, CASE form WHEN 6 THEN 'function' WHEN 7 THEN 'class' ELSE 'variable' END AS type, line FROM c WHERE form IN (2, 5, 6, 7, 8)
+UNION ALL SELECT file_id, CASE form WHEN 6 THEN 'x' ELSE 'inner' END, 'variable', line + 1 FROM c WHERE form IN (6, 7)""")
+def composed_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return _composed(spark, d, "symbols").select("file_id", "name", "type", "line")
+
+
+@query(f"""WITH {_ITEMS} SELECT file_id, 'src/o' || substr(file_id, 3) || '.tsx' AS path, sum((form < 3)::INT)::INTEGER AS n_imports, sum(CASE WHEN form = 3 THEN 2 WHEN form BETWEEN 4 AND 7 THEN 1 ELSE 0 END)::INTEGER AS n_exports,
+sum((form = 6)::INT)::INTEGER AS function_count, sum(high)::INTEGER AS line_count, sha256(file_id || ':module') AS id FROM c GROUP BY file_id""")
+def composed_modules(spark: SparkSession, d: str) -> DataFrame:
+    return extract.modules(extract.extract(a.composed(spark, d)))
+
+
 @query(f"WITH s AS (SELECT {_FILE} AS file_id, 'src/p' || {_K} || '.tsx' AS path, unnest(['./p' || ({_K} + 1), './p' || ({_K} + 2), './p' || ({_K} + 1), './p' || ({_K} + 3)]) AS source, unnest([2, 7, 8, 9]) AS line FROM part) SELECT s.file_id, line, source, 'p:' || p_partkey AS target FROM s JOIN part ON source = './p' || p_partkey")
 def extracted_links(spark: SparkSession, d: str) -> DataFrame:
     """Imports and re-exports, resolved to the files that they name."""
