@@ -27,6 +27,7 @@ _TAG = r"</?[A-Za-z][\w.$]*(?:\s(?:[^<>{}]++|\{(?:[^{}]++|\{[^{}]*\})*+\})*+)?/?
 _OPEN, _CLOSE = ("(", "{", "["), (")", "}", "]")
 #: How many tokens after one are kept with it, as words and signs between blanks.
 NEXT = 7
+_HOOK = rf"^(?:use{_W}*|createContext)$"
 ROUTE_HANDLER = r"(?:^|/)app/(?:.*/)?route\.[^.]+$"
 
 
@@ -82,29 +83,36 @@ def looking_ahead(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("file_id").orderBy("i")
     level = Window.partitionBy("file_id", "level").orderBy("i")
     back = Window.partitionBy("file_id").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sym, opens = F.col("sym"), F.col("sym").isin(*_OPEN)
+    sym, opens, closes = F.col("sym"), F.col("sym").isin(*_OPEN), F.col("sym").isin(*_CLOSE)
     ahead = lambda of, value: F.last(F.when(of, value), ignorenulls=True).over(back)
     lead = lambda c, k: F.lead(c, k).over(order)
     t = found.select(
         "*", F.concat_ws(" ", *(lead("sym", k) for k in range(1, NEXT + 1))).alias("then"), *(lead("raw", k).alias(f"raw{k}") for k in (1, 2, 3)),
         *(F.lag("sym", k).over(order).alias(f"was{k}") for k in (1, 2)), F.lag(F.struct("at", "line", "column")).over(order).alias("was"),
     )
+    # from here on only tokens that tell something, each with what is asked of it
+    binds = sym.isin("const", "let", "var")
+    heads = binds | sym.isin("import", "export", "function", "class", "interface", "enum", "type", "Route", "path") | sym.rlike(_HOOK)
+    asked = heads | opens | closes | sym.isin("=", "=>")
+    t = t.where(asked | sym.isin(";", '"', ">"))
+    t = t.withColumns({"then": F.when(asked, F.col("then")), **{f"raw{k}": F.when(sym.isin("import", "path", "}"), F.col(f"raw{k}")) for k in (1, 2, 3)}})
     partner = F.when(opens, F.lead("at").over(level) + 1)
-    t = t.select("*", partner.alias("end"), F.when(opens, F.lead(F.struct("then", "raw2")).over(level)).alias("after"), F.when(sym.isin(*_CLOSE), F.lag("sym").over(level)).alias("opened"))
-    t = t.select("*", F.lead(F.struct("sym", "end")).over(order).alias("next"))
-    outside = ~((sym.rlike(rf"^{_W}+$")) | sym.isin("{", "}", ",", "*"))  # what no clause of an import holds
+    t = t.select("*", partner.alias("end"), F.when(sym == "{", F.lead(F.struct("then", "raw2")).over(level)).alias("after"), F.when(closes, F.lag("sym").over(level)).alias("opened"))
+    t = t.withColumn("next_end", F.when(sym == "=>", lead("end", 1)))  # a bracket right after an arrow is the next token here too
     t = t.select(
-        "*", ahead(sym == "{", F.struct("at", "end", "after")).alias("brace"), ahead(sym == "=>", F.struct("at", "next")).alias("arrow"), ahead(sym == ";", F.col("at")).alias("stop"),
-        ahead(sym.isin("(", ")"), F.struct("sym", "at", "end")).alias("inner"), ahead(sym == '"', F.struct("raw")).alias("quoted"), ahead(outside, F.struct("sym", "raw", "was1", "was")).alias("outside"),
-        ahead(sym.isin(">", "=>"), F.col("at")).alias("tag_end"), ahead(sym.isin("=", "=>"), sym).alias("equals"),
-        ahead((sym == "path") & F.col("then").rlike(r'^= (?:\{ )?"'), F.struct("at", F.when(F.col("then").startswith('= "'), F.col("raw2")).otherwise(F.col("raw3")).alias("raw"))).alias("path_said"),
+        "*", F.when(closes | sym.isin("=", "export", "class"), ahead(sym == "{", F.struct("at", "end", "after"))).alias("brace"), F.when(closes | sym.isin("=", "export"), ahead(sym == "=>", F.struct("at", "next_end", F.col("then").rlike(r"^[({]").alias("block")))).alias("arrow"),
+        F.when(closes | binds | sym.isin("=", "export", "class"), ahead(sym == ";", F.col("at"))).alias("stop"), F.when(sym == "(", ahead(sym.isin("(", ")"), F.struct("sym", "at", "end"))).alias("inner"),
+        F.when(sym == "export", ahead(sym == '"', F.struct("raw"))).alias("quoted"), F.when(sym == "import", ahead(sym.isin('"', ";", ">", "(", ")", "[", "]", "=", "=>"), F.struct("sym", "raw", "was1", "was"))).alias("outside"),
+        F.when(sym == "Route", ahead(sym.isin(">", "=>"), F.col("at"))).alias("tag_end"), F.when(closes, ahead(sym.isin("=", "=>"), sym)).alias("equals"),
+        F.when(sym == "Route", ahead((sym == "path") & F.col("then").rlike(r'^= (?:\{ )?"'), F.struct("at", F.when(F.col("then").startswith('= "'), F.col("raw2")).otherwise(F.col("raw3")).alias("raw")))).alias("path_said"),
     )
     arrow, brace = F.col("arrow"), F.col("brace")
-    expression = F.when(arrow["next"]["sym"].isin("(", "{"), arrow["next"]["end"]).otherwise(F.col("stop"))
-    t = t.withColumn("body_end", F.when(arrow.isNotNull() & (brace.isNull() | (arrow["at"] < brace["at"])), expression).otherwise(brace["end"]))
-    t = t.withColumn("closed", F.when(opens, F.lead(F.struct("then", "equals", "body_end")).over(level)))
-    t = t.withColumn("paren", ahead(sym.isin("(", ")"), F.struct("sym", "at", "end", "was1", "then", "closed", "inner")))
-    return t.withColumn("assigned", ahead(sym.isin("=", "=>"), F.struct("sym", "at", "then", "paren", "body_end")))
+    expression = F.when(arrow["block"], arrow["next_end"]).otherwise(F.col("stop"))
+    t = t.withColumn("body_end", F.when(closes | (sym == "="), F.when(arrow.isNotNull() & (brace.isNull() | (arrow["at"] < brace["at"])), expression).otherwise(brace["end"])))
+    t = t.withColumn("closed", F.when(sym == "(", F.lead(F.struct("then", "equals", "body_end")).over(level)))
+    t = t.withColumn("paren", F.when((sym == "=") | (sym == "function") | sym.rlike(_HOOK), ahead(sym.isin("(", ")"), F.struct("sym", "at", "end", "was1", "then", "closed", "inner"))))
+    t = t.where(heads | opens | closes | sym.isin("=", "=>"))
+    return t.withColumn("assigned", F.when(binds, ahead(sym.isin("=", "=>"), F.struct("sym", "at", "then", "paren", "body_end"))))
 
 
 def _import() -> Column:
@@ -162,7 +170,7 @@ def _hook() -> Column:
     called = then.startswith("(") | (then.startswith("<") & (paren["sym"] == "(") & (paren["was1"] == ">"))
     declared = (F.col("was1") == "function") | ((F.col("was1") == "*") & (F.col("was2") == "function"))
     row = F.struct("at", "line", "column", F.col("sym").alias("name"), (paren["at"] + 1).alias("begin"), F.coalesce(paren["end"] - 1, F.lit(-1)).alias("to"))
-    return F.when(F.col("sym").rlike(rf"^(?:use{_W}*|createContext)$") & called & ~F.coalesce(declared, F.lit(False)), row)
+    return F.when(F.col("sym").rlike(_HOOK) & called & ~F.coalesce(declared, F.lit(False)), row)
 
 
 def _route() -> Column:
