@@ -262,7 +262,9 @@ def _type_of(kind: str) -> str:
 
 def extract(sources: DataFrame, expression_exports: bool = False) -> DataFrame:
     """sources: file_id, path, text. file_id, path, and for each kind of fact an array in the text's order; one row for each file."""
-    whole = sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text"))
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # texts move once, by a given number, as tokens are many times their size: every window, the grouping and the join keep this partitioning
+    whole = sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "file_id")
     odd, unclosed = _error()
     listed = lambda c: F.sort_array(F.collect_list(c))
     seen = looking_ahead(tokens(whole))
