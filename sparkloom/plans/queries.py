@@ -218,9 +218,12 @@ def report_problems(spark: SparkSession, d: str) -> DataFrame:
 def published_metadata(spark: SparkSession, d: str) -> DataFrame:
     """Names that are never published are gone at every depth, in arrays too."""
     c = F.col
-    inner = F.struct(F.struct(c("c_phone").alias("apiKey")).alias("deep"), (c("c_acctbal") > 0).alias("kept"), c("c_name").alias("accessToken"))
-    rows = table(spark, d, "customer").select(c("c_custkey").alias("id"), F.to_json(F.struct(c("c_nationkey").alias("kept"), c("c_name").alias("password"))).alias("item"), F.to_json(F.array("c_custkey")).alias("other"), F.to_json(inner).alias("nested"), "c_name", "c_address")
-    text = F.concat(F.lit('{"name":"'), c("c_name"), F.lit('","userName":"'), c("c_name"), F.lit('","list":['), c("item"), F.lit(","), c("other"), F.lit('],"cookies":{"kept":1},"nested":'), c("nested"), F.lit("}"))
+    said = lambda v: F.to_json(v, {"ignoreNullFields": "false"})
+    quoted = lambda v: F.coalesce(F.to_json(v.cast("variant")), F.lit("null"))
+    inner = F.struct(F.struct(c("c_mktsegment").alias("apiKey")).alias("deep"), (c("c_acctbal") > 0).alias("kept"), c("c_name").alias("accessToken"))
+    item, other = F.struct(c("c_nationkey").alias("kept"), c("c_name").alias("password")), F.array("c_custkey")
+    rows = table(spark, d, "customer").select(c("c_custkey").alias("id"), said(item).alias("item"), said(other).alias("other"), said(inner).alias("nested"), quoted(c("c_name")).alias("name"))
+    text = F.concat(F.lit('{"name":'), c("name"), F.lit(',"userName":'), c("name"), F.lit(',"list":['), c("item"), F.lit(","), c("other"), F.lit('],"cookies":{"kept":1},"nested":'), c("nested"), F.lit("}"))
     return rows.select("id", F.to_json(cleaned(F.parse_json(text))).alias("metadata"))
 
 
