@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,7 +169,8 @@ def star_components(edges: DataFrame) -> DataFrame:
     are stored in the shared folder, so a lost executor costs little, and those of the round before are deleted.
     """
     own = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    now = stored(contracted(own.repartition("b")).distinct(), "edges")
+    # by ranges: what hangs together often has ids near each other, and a hub's edges are shared out
+    now = stored(contracted(stored(own, "own").repartitionByRange("b", "a")).distinct(), "edges")
     told = _state(now)
     while told[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -227,8 +229,67 @@ def statistics(nodes: DataFrame, edges: DataFrame, components: DataFrame) -> Dat
     return row.withColumn("average_fan_in", average).withColumn("average_fan_out", average)
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
-    """id, component: the strongly connected components of more than one node, by trimming, then forward labels and backward reach.
+def _strong(pdf: pd.DataFrame) -> pd.DataFrame:
+    """id, component: the strong components of several nodes among these edges, by one search that keeps its own stack."""
+    nodes, at = np.unique(np.concatenate([pdf["source"].to_numpy(), pdf["target"].to_numpy()]), return_inverse=True)
+    n, m = len(nodes), len(pdf)
+    order = np.argsort(at[:m], kind="stable")
+    to, begin = at[m:][order].tolist(), np.searchsorted(at[:m][order], np.arange(n + 1)).tolist()
+    nexts, number, low, comp, held, met = begin[:n], [-1] * n, [0] * n, [-1] * n, [], 0
+    for first in range(n):
+        if number[first] >= 0:
+            continue
+        path = [first]
+        while path:
+            v = path[-1]
+            if number[v] < 0:
+                number[v] = low[v] = met
+                met += 1
+                held.append(v)
+            if nexts[v] < begin[v + 1]:
+                w = to[nexts[v]]
+                nexts[v] += 1
+                if number[w] < 0:
+                    path.append(w)
+                elif comp[w] < 0:
+                    low[v] = min(low[v], number[w])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == number[v]:
+                k = len(held) - 1
+                while held[k] != v:
+                    k -= 1
+                least = min(held[k:])
+                for w in held[k:]:
+                    comp[w] = least
+                del held[k:]
+    found = np.array(comp)
+    several = np.bincount(found, minlength=n)[found] > 1
+    return pd.DataFrame({"id": nodes[several], "component": nodes[found[several]]})
+
+
+def strong_components(edges: DataFrame, most: int = CONTRACTED) -> DataFrame:
+    """id, component: the strongly connected components of more than one node.
+
+    Edges that hang together in either direction are searched in one task if they are at most `most`, however long their ways are; the
+    number of rounds that finds what hangs together grows with the logarithm of that length. Larger ones are taken apart by `_peeled`.
+    """
+    own = stored(edges.select("source", "target").where("source <> target").distinct(), "own")
+    kind = own.schema["source"].dataType.simpleString()
+    group = star_components(own.select(F.col("source").alias("a"), F.col("target").alias("b"))).select(F.col("node").alias("source"), F.col("component").alias("_group"))
+    told = stored(own.join(group, "source"), "told")
+    sizes = stored(told.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")), "sizes")
+    small = told.join(bounded(sizes.where(F.col("_size") <= most).select("_group")), "_group")
+    shipped(edges.sparkSession)
+    done = stored(small.groupBy("_group").applyInPandas(_strong, f"id {kind}, component {kind}"), "component")
+    large = sizes.where(F.col("_size") > most).select("_group")
+    return done if large.isEmpty() else done.unionByName(_peeled(told.join(bounded(large), "_group").select("source", "target")))
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """The same by trimming, then forward labels and backward reach, with no group in one task.
 
     A round labels every node with the least node that reaches it; of each label the nodes that reach the node of that name are one
     component. They go, what is left is trimmed of nodes without a way in or out, and so on.
@@ -302,6 +363,21 @@ def functional_cycles(edges: DataFrame) -> DataFrame:
     return done.withColumn("length", F.size("cycle"))
 
 
+def turned(cycle: list[str], names: list[str]) -> list[str]:
+    """The rotation of a cycle whose joined names come first, of equal ones the first: compared by beginnings that double until one is least."""
+    text = "".join(names)
+    starts = np.cumsum([0, *map(len, names)]).tolist()[:-1]
+    twice, left, n = text + text, list(range(len(names))), 16
+    while len(left) > 1:
+        said = [twice[starts[i] : starts[i] + min(n, len(text))] for i in left]
+        least = min(said)
+        left = [i for i, x in zip(left, said, strict=True) if x == least]
+        if n >= len(text):
+            break
+        n *= 2
+    return cycle[left[0] :] + cycle[: left[0]]
+
+
 def canonical(cycle: Column) -> Column:
     """The rotation of a cycle whose joined ids come first."""
     turns = F.transform(F.sequence(F.lit(1), F.size(cycle)), lambda i: F.concat(F.slice(cycle, i, F.size(cycle)), F.slice(cycle, F.lit(1), i - 1)))

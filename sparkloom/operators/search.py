@@ -7,14 +7,14 @@ a target on the way to the node itself, none without targets. So depths on cycle
 Graphs of up to SEARCHED edges are searched each in one task. A larger one is taken apart: the search enters a strong component once,
 at the node it meets first, and finds there what depends on nothing but that node and the depths beyond. Components are freed in rounds,
 each when all that lead to it are done; a node's place in the search is the least of the ways to it (the first node's id, then
-the edges' keys). Back from the ends, the depths follow in the same way. A round touches the freed components and those that wait; a
+the edges' keys; through a component of several nodes, the place of the edge that leaves it among those that do). Back from the ends, the depths follow in the same way. A round touches the freed components and those that wait; a
 component of several nodes is searched in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Container, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,23 +22,25 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import key
 from ..functions.session import bounded, stored
-from .graph import strong_components
+from .graph import strong_components, turned
 
 #: The most edges of a graph that one task searches whole.
 SEARCHED = 200_000
 _BREAK = "\x00"
 
 
-def _walk(firsts: Iterable[str], targets: dict[str, list[tuple[str, str]]], beyond: dict[str, int]) -> tuple[list[list[str]], dict[str, int], dict[str, tuple[str, ...]]]:
-    """targets: by node (edge key, target), in order; beyond: depths from targets elsewhere. (cycles, depth by node, edge keys on the way to it from the first)."""
+def _walk(firsts: Iterable[str], targets: dict[str, list[tuple[str, str]]], beyond: dict[str, int], out: Container[str] = ()) -> tuple[list[list[str]], dict[str, int], list[tuple[str, str]]]:
+    """targets: by node (edge key, target), in order; beyond: depths from targets elsewhere; out: edges that lead elsewhere.
+
+    (cycles, depth by node, the edges that lead elsewhere (key, target) in the order in which they are met)
+    """
     depth: dict[str, int] = {}
-    ways: dict[str, tuple[str, ...]] = {}
     rings: dict[tuple[str, ...], list[str]] = {}
+    left: list[tuple[str, str]] = []
     for first in firsts:
         if first in depth:
             continue
         path, place, todo, most = [first], {first: 0}, [iter(targets.get(first, ()))], [beyond.get(first, 0)]
-        ways[first] = ()
         while path:
             said, to = next(todo[-1], (None, None))
             if to is None:
@@ -48,21 +50,27 @@ def _walk(firsts: Iterable[str], targets: dict[str, list[tuple[str, str]]], beyo
                 depth[node] = found
                 if most:
                     most[-1] = max(most[-1], 1 + found)
+            elif said in out:
+                left.append((said, to))
             elif to in place:
                 most[-1] = max(most[-1], 1)
                 ring = path[place[to] :]
                 if len(ring) > 1:
-                    turn = min((ring[i:] + ring[:i] for i in range(len(ring))), key="".join)
+                    turn = turned(ring, [_plain(x) for x in ring])
                     rings[tuple(turn)] = turn
             elif to in depth:
                 most[-1] = max(most[-1], 1 + depth[to])
             else:
-                ways[to] = (*ways[path[-1]], said)
                 path.append(to)
                 place[to] = len(path) - 1
                 todo.append(iter(targets.get(to, ())))
                 most.append(beyond.get(to, 0))
-    return [*rings.values()], depth, ways
+    return [*rings.values()], depth, left
+
+
+def _plain(node: str) -> str:
+    """The id without its project."""
+    return node.split(_BREAK, 1)[-1]
 
 
 def _targets(edges: pd.DataFrame) -> dict[str, list[tuple[str, str]]]:
@@ -78,11 +86,17 @@ def _whole(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _placed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A component's nodes with the ways to them, and its cycles. Rows without an edge are nodes with a way."""
+    """A component's nodes, its cycles, and the ways along the edges that lead out of it: the way to it and the edge's place among them.
+
+    Rows without an edge are nodes with a way; those with a component (`to`) are edges that lead out.
+    """
     nodes = pdf[pdf["edge"].isna()]
     way, first = min((list(w), n) for n, w in zip(nodes["source"], nodes["way"], strict=True))
-    rings, _, ways = _walk([first], _targets(pdf[pdf["edge"].notna()]), {})
-    return pd.DataFrame([(n, [*way, *w], n == first, None) for n, w in ways.items()] + [(None, None, None, r) for r in rings], columns=["id", "way", "entry", "cycle"])
+    leading = pdf[pdf["to"].notna()]
+    comps = dict(zip(leading["edge"], leading["to"], strict=True))
+    rings, depth, left = _walk([first], _targets(pdf[pdf["edge"].notna()]), {}, comps)
+    out = [(n, None, n == first, None, None) for n in depth] + [(None, None, None, r, None) for r in rings]
+    return pd.DataFrame(out + [(t, [*way, f"{k:012d}"], None, None, comps[e]) for k, (e, t) in enumerate(left)], columns=["id", "way", "entry", "cycle", "to"])
 
 
 def _deep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,6 +142,7 @@ def _apart(edges: DataFrame) -> DataFrame:
     known = stored(edges.join(ends("source"), "source").join(ends("target"), "target"), "known")
     inner = stored(known.where("source_comp = target_comp").select(F.col("source_comp").alias("comp"), "source", "target", "edge"), "inner")
     cross = stored(known.where("source_comp <> target_comp"), "cross")
+    leading = cross.select(F.col("source_comp").alias("comp"), "source", "target", "edge", F.col("target_comp").alias("to"))
     placed, rings = [], []
     forth = _Rounds(parts, cross.select(F.col("target_comp").alias("comp")), F.min("said"))
     while True:
@@ -136,13 +151,16 @@ def _apart(edges: DataFrame) -> DataFrame:
             break
         own = F.array("id")
         now = now.withColumn("way", F.least(own, F.coalesce(F.col("said").cast("array<string>"), own)))
-        group = now.where("several").select("comp", F.col("id").alias("source"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("edge"), "way")
-        group = group.unionByName(inner.join(bounded(stored(group.select("comp").distinct(), "several")), "comp").withColumn("way", F.lit(None).cast("array<string>")))
-        met = stored(group.groupBy("comp").applyInPandas(_placed, "id string, way array<string>, entry boolean, cycle array<string>"), "met")
+        none = lambda kind: F.lit(None).cast(kind)
+        group = now.where("several").select("comp", F.col("id").alias("source"), none("string").alias("target"), none("string").alias("edge"), "way", none("string").alias("to"))
+        met = bounded(stored(group.select("comp").distinct(), "several"))
+        group = group.unionByName(inner.select("*", none("string").alias("to")).unionByName(leading).join(met, "comp").withColumn("way", none("array<string>")))
+        met = stored(group.groupBy("comp").applyInPandas(_placed, "id string, way array<string>, entry boolean, cycle array<string>, to string"), "met")
         rings.append(met.where("cycle IS NOT NULL").select("cycle"))
-        new = stored(now.where("NOT several").select("id", "way", F.lit(True).alias("entry")).unionByName(met.where("id IS NOT NULL").select("id", "way", "entry")), "placed")
-        placed.append(new.select("id", "entry"))
-        forth.take(new.join(cross, new["id"] == cross["source"]).select(F.col("target_comp").alias("comp"), F.col("target").alias("id"), F.lit(1).alias("n"), F.concat("way", F.array("edge")).alias("said")))
+        alone = now.where("NOT several").select("id", "way")
+        placed.append(alone.select("id", F.lit(True).alias("entry")).unionByName(met.where("entry IS NOT NULL").select("id", "entry")))
+        on = alone.join(cross, alone["id"] == cross["source"]).select(F.col("target_comp").alias("comp"), F.col("target").alias("id"), F.lit(1).alias("n"), F.concat("way", F.array("edge")).alias("said"))
+        forth.take(on.unionByName(met.where("to IS NOT NULL").select(F.col("to").alias("comp"), "id", F.lit(1).alias("n"), F.col("way").alias("said"))))
     entries = stored(_union(placed), "entries")
     parts = stored(parts.join(entries, "id"), "parts")
     depths = []
@@ -195,11 +213,7 @@ def searched(edges: DataFrame, project: str = "project", most: int | None = None
     first = F.coalesce("id", F.get("cycle", F.lit(0)))
     plain = lambda c: F.regexp_replace(c, f"^[^{_BREAK}]*{_BREAK}", "")
     more = found.select(F.substring_index(first, _BREAK, 1).alias("project"), plain(F.col("id")).alias("id"), "depth", F.transform("cycle", plain).alias("cycle"))
-    # turned by the plain ids, as those of small graphs are
-    turns = F.transform(F.sequence(F.lit(1), F.size("cycle")), lambda i: F.concat(F.slice("cycle", i, F.size("cycle")), F.slice("cycle", F.lit(1), i - 1)))
-    turned = F.array_min(F.transform(turns, lambda t: F.struct(F.array_join(t, "").alias("k"), t.alias("t"))))["t"]
-    more = more.withColumn("cycle", F.when(F.col("cycle").isNotNull(), turned))
-    return done.unionByName(more.distinct()).withColumnRenamed("project", project)
+    return done.unionByName(more).withColumnRenamed("project", project)
 
 
 def cycles(found: DataFrame, project: str = "project") -> DataFrame:
