@@ -12,19 +12,24 @@ it is a function). Ids of files are unique; null text has no facts but a module
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
+from ..functions.session import stored
 
 _W = r"[\p{L}\p{N}_$]"
-#: A text is a row of these: comments, strings, templates, regular expressions, words, arrows, white space, single signs.
+#: A text is a row of these: comments, strings, templates, regular expressions (only at a / is looked behind), words, arrows, white space, single signs.
 _PIECE = "|".join((
     r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)", r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'", r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+(?:`|\z)",
-    r"(?<=[=(,:\[!&|?{};]\s{0,99})/(?![*/])(?:\\[\s\S]|\[(?:\\[\s\S]|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*", rf"{_W}++", "=>", r"\s++", r"[\s\S]",
+    r"(?=/)(?<=[=(,:\[!&|?{};]\s{0,99})/(?![*/])(?:\\[\s\S]|\[(?:\\[\s\S]|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*", rf"{_W}++", "=>", r"\s++", r"[\s\S]",
 ))
 _TAG = r"</?[A-Za-z][\w.$]*(?:\s(?:[^<>{}]++|\{(?:[^{}]++|\{[^{}]*\})*+\})*+)?/?>|</?>"
 _OPEN, _CLOSE = ("(", "{", "["), (")", "}", "]")
+#: Bytes of text whose tokens one task holds.
+TASK_TEXT = 8 << 20
 #: How many tokens after one are kept with it, as words and signs between blanks.
 NEXT = 7
 _HOOK = rf"^(?:use{_W}*|createContext)$"
@@ -75,8 +80,8 @@ def tokens(sources: DataFrame) -> DataFrame:
     return done.where("sym IS NOT NULL")
 
 
-def looking_ahead(found: DataFrame) -> DataFrame:
-    """tokens with what stands before and after them, where brackets close, and where a body ends that begins after them.
+def looking_ahead(found: DataFrame, components: bool = True) -> DataFrame:
+    """tokens with what stands before and after them, where brackets close, and (for components) where a body ends that begins after them.
 
     A place that isn't found is null, and stands for the end of the text.
     """
@@ -110,7 +115,9 @@ def looking_ahead(found: DataFrame) -> DataFrame:
     expression = F.when(arrow["block"], arrow["next_end"]).otherwise(F.col("stop"))
     t = t.withColumn("body_end", F.when(closes | (sym == "="), F.when(arrow.isNotNull() & (brace.isNull() | (arrow["at"] < brace["at"])), expression).otherwise(brace["end"])))
     t = t.withColumn("closed", F.when(sym == "(", F.lead(F.struct("then", "equals", "body_end")).over(level)))
-    t = t.withColumn("paren", F.when((sym == "=") | (sym == "function") | sym.rlike(_HOOK), ahead(sym.isin("(", ")"), F.struct("sym", "at", "end", "was1", "then", "closed", "inner"))))
+    # a struct's fields are all computed, so those that only components ask for are left out without them
+    paren = F.struct("sym", "at", "end", "was1", *(("then", "closed", "inner") if components else ()))
+    t = t.withColumn("paren", F.when((sym == "=") | (sym == "function") | sym.rlike(_HOOK), ahead(sym.isin("(", ")"), paren)))
     t = t.where(heads | opens | closes | sym.isin("=", "=>"))
     return t.withColumn("assigned", F.when(binds, ahead(sym.isin("=", "=>"), F.struct("sym", "at", "then", "paren", "body_end"))))
 
@@ -143,11 +150,19 @@ def _export(expressions: bool) -> Column:
     return F.when((F.col("sym") == "export") & (F.col("braces") == 0) & ~F.coalesce(F.col("was1") == ".", F.lit(False)), told)
 
 
+_FUNCTION = rf"^(?:\* )?((?!\p{{N}}){_W}+) [(<]"
+
+
+def _function() -> Column:
+    """Its place: where the token declares a function by name."""
+    return F.when((F.col("sym") == "function") & F.col("then").rlike(_FUNCTION) & (F.col("paren")["sym"] == "("), F.col("at"))
+
+
 def _component() -> Column:
     """at, name, type, begin, to (of the parameters), end (of the body), function: where the token declares what may be a component."""
     then, sym, paren, given = F.col("then"), F.col("sym"), F.col("paren"), F.col("assigned")
     row = lambda name, kind, begin, to, end: F.struct("at", name.alias("name"), F.lit(kind).alias("type"), begin.cast("int").alias("begin"), to.cast("int").alias("to"), end.cast("int").alias("end"))
-    function, kind, variable = rf"^(?:\* )?((?!\p{{N}}){_W}+) [(<]", rf"^((?!\p{{N}}){_W}+)", rf"^([A-Z]{_W}*) [=:]"
+    kind, variable = rf"^((?!\p{{N}}){_W}+)", rf"^([A-Z]{_W}*) [=:]"
     at = lambda p: F.regexp_extract(then, p, 1)
     same = F.coalesce(given["at"] < F.col("stop"), F.lit(True)) & (given["sym"] == "=")
     none = F.lit(None)
@@ -156,7 +171,7 @@ def _component() -> Column:
     wrapped = value.rlike(r"^(?:React \. )?(?:memo|forwardRef|lazy) [(<]") & (opened["sym"] == "(")
     inner = opened["then"].rlike(rf"^(?:async )?(?:function (?:{_W}+ )?)?\(")
     return (
-        F.when((sym == "function") & then.rlike(function) & (paren["sym"] == "("), row(at(function), "function", paren["at"] + 1, F.coalesce(paren["end"] - 1, F.lit(-1)), paren["closed"]["body_end"]))
+        F.when(_function().isNotNull(), row(at(_FUNCTION), "function", paren["at"] + 1, F.coalesce(paren["end"] - 1, F.lit(-1)), paren["closed"]["body_end"]))
         .when((sym == "class") & then.rlike(kind) & F.coalesce(F.col("brace")["at"] < F.col("stop"), F.col("brace").isNotNull()), row(at(kind), "class", none, none, F.col("brace")["end"]))
         .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & arrow, row(at(variable), "arrow", opened["at"] + 1, F.coalesce(opened["end"] - 1, F.lit(-1)), opened["closed"]["body_end"]))
         .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & value.rlike(rf"^(?:async )?{_W}+ =>"), row(at(variable), "arrow", none, none, given["body_end"]))
@@ -260,49 +275,64 @@ def _type_of(kind: str) -> str:
     return f"array<struct<{KINDS[kind].replace(' ', ':').replace(',:', ',')}>>"
 
 
-def extract(sources: DataFrame, expression_exports: bool = False) -> DataFrame:
-    """sources: file_id, path, text. file_id, path, and for each kind of fact an array in the text's order; one row for each file."""
-    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # texts move once, by a given number, as tokens are many times their size: every window, the grouping and the join keep this partitioning
-    whole = sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")).repartition(parts, "file_id")
+def _texts(sources: DataFrame) -> DataFrame:
+    """The sources by file, as many partitions as TASK_TEXT asks for: texts move once, as tokens are many times their size, and every window, the grouping and the join keep this partitioning."""
+    own = stored(sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")), "sources")
+    size = own.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    parts = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TEXT))
+    return own.repartition(parts, "file_id")
+
+
+#: What the facts of a kind are made from.
+_NEEDS = {"imports": ("imports",), "exports": ("exports",), "components": ("components", "exports", "hooks"), "hooks": ("hooks",), "contexts": ("hooks",), "routes": ("routes",), "symbols": ("symbols",), "errors": ("odd", "unclosed"), "module": ("functions",)}
+
+
+def extract(sources: DataFrame, expression_exports: bool = False, kinds: Collection[str] = tuple(KINDS)) -> DataFrame:
+    """sources: file_id, path, text. file_id, path, and for each of these kinds of fact an array in the text's order; one row for each file.
+
+    Windows that no asked kind needs are not computed.
+    """
+    whole = _texts(sources)
     odd, unclosed = _error()
     listed = lambda c: F.sort_array(F.collect_list(c))
-    seen = looking_ahead(tokens(whole))
-    heads = seen.select(
-        "file_id", _import().alias("imports"), _export(expression_exports).alias("exports"), _component().alias("components"), _hook().alias("hooks"), _route().alias("routes"), _symbol().alias("symbols"),
-        odd.alias("odd"), unclosed.alias("unclosed"),
-    )
-    kinds = ("imports", "exports", "components", "hooks", "routes", "symbols")
-    heads = heads.where(" OR ".join(f"{c} IS NOT NULL" for c in (*kinds, "odd", "unclosed")))
-    found = heads.groupBy(F.col("file_id").alias("_file")).agg(*(listed(c).alias(f"_{c}") for c in kinds), F.min("odd").alias("_odd"), F.max("unclosed").alias("_unclosed"))
+    needed = {n for k in kinds for n in _NEEDS[k]}
+    seen = looking_ahead(tokens(whole.sortWithinPartitions("file_id")), components="components" in needed)
+    told = {"imports": _import, "exports": lambda: _export(expression_exports), "components": _component, "hooks": _hook, "routes": _route, "symbols": _symbol, "functions": _function, "odd": lambda: odd, "unclosed": lambda: unclosed}
+    own = [c for c in told if c in needed]
+    heads = seen.select("file_id", *(told[c]().alias(c) for c in own)).where(" OR ".join(f"{c} IS NOT NULL" for c in own))
+    gathered = lambda c: F.min(c) if c == "odd" else F.max(c) if c == "unclosed" else listed(c)
+    found = heads.groupBy(F.col("file_id").alias("_file")).agg(*(gathered(c).alias(f"_{c}") for c in own))
     t = whole.withColumn("_code", blanked(F.col("text"))).join(found, F.col("file_id") == F.col("_file"), "left")
     text, code, size = F.col("text"), F.col("_code"), F.length("text")
     cut = lambda of, begin, end: F.substr(of, begin + 1, F.greatest(end - begin, F.lit(0)))
     to = lambda x: F.when(x["to"] < 0, size - 1).otherwise(x["to"])
-    imports = _as_kind(
+    imports = lambda: _as_kind(
         F.col("_imports"), "imports", is_dynamic=lambda x: x["dynamic"], is_type_only=lambda x: x["only"],
         specifiers=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(_bindings(F.when(x["only"], F.regexp_replace(cut(code, x["begin"], x["end"]), r"^\s*type\s", "")).otherwise(cut(code, x["begin"], x["end"])))),
         type=lambda x: F.when(x["dynamic"], "dynamic").when(x["source"].startswith("."), "relative").otherwise("package"),
     )
     named = lambda x: F.when(x["begin"].isNull(), F.array(x["name"])).otherwise(_names(cut(code, x["begin"], F.coalesce(x["end"], size))))
-    told = F.flatten(F.transform(F.col("_exports"), lambda x: F.transform(named(x), lambda n: F.struct(
+    each = lambda: F.flatten(F.transform(F.col("_exports"), lambda x: F.transform(named(x), lambda n: F.struct(
         x["anonymous"].alias("is_anonymous"), (x["default"] | (x["begin"].isNotNull() & (n == "default"))).alias("is_default"), x["only"].alias("is_type_only"), x["line"].alias("line"), n.alias("name"), x["source"].alias("source")))))
-    exports = _as_kind(told, "exports")
     inside = lambda x: F.array_sort(F.array_distinct(F.transform(F.filter(F.col("_hooks"), lambda h: (h["at"] >= x["at"]) & (h["at"] < F.coalesce(x["end"], size)) & h["name"].startswith("use")), lambda h: h["name"])))
-    may_be = F.filter(F.col("_components"), lambda x: x["name"].rlike(r"^\p{Lu}") & ~F.coalesce(F.col("path").rlike(ROUTE_HANDLER), F.lit(False)))
+    may_be = lambda: F.filter(F.col("_components"), lambda x: x["name"].rlike(r"^\p{Lu}") & ~F.coalesce(F.col("path").rlike(ROUTE_HANDLER), F.lit(False)))
     logical = lambda x: F.size(F.filter(F.split(x, "\r?\n", -1), lambda y: y.rlike(r"\S") & ~y.rlike(r"^\s*(?://|/\*|\*)")))
-    components = _as_kind(
-        may_be, "components", position=lambda x: x["at"], line_count=lambda x: logical(cut(text, x["at"], F.coalesce(x["end"], size))), jsx_depth=lambda x: markup_nesting(cut(code, x["at"], F.coalesce(x["end"], size))),
+    components = lambda: _as_kind(
+        may_be(), "components", position=lambda x: x["at"], line_count=lambda x: logical(cut(text, x["at"], F.coalesce(x["end"], size))), jsx_depth=lambda x: markup_nesting(cut(code, x["at"], F.coalesce(x["end"], size))),
         exports=lambda x: F.filter(F.array(x["name"]), lambda n: F.exists(F.col("exports"), lambda e: e["name"] == n)), hooks=inside,
         props=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(split_arguments(cut(text, x["begin"], to(x)))),
     )
-    hooks = _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].startswith("use")), "hooks", position=lambda x: x["at"], arguments=lambda x: split_arguments(cut(text, x["begin"], to(x))))
-    contexts = _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].isin("createContext", "useContext")), "contexts", position=lambda x: x["at"], kind=lambda x: F.when(x["name"] == "createContext", "create").otherwise("use"))
-    worst = F.filter(F.array(F.coalesce("_odd", "_unclosed")), lambda x: x.isNotNull())
-    module = F.array(F.struct(F.size(F.filter(F.coalesce("_components", F.expr("array()").cast("array<struct<at:int,name:string,type:string,begin:int,to:int,end:int>>")), lambda x: x["type"] == "function")).alias("function_count"), F.size(F.split("text", "\n", -1)).alias("line_count")))
-    t = t.withColumn("exports", exports)
-    return t.select("file_id", "path", imports.alias("imports"), "exports", components.alias("components"), hooks.alias("hooks"), contexts.alias("contexts"), _as_kind(F.col("_routes"), "routes").alias("routes"),
-                    _as_kind(F.col("_symbols"), "symbols").alias("symbols"), _as_kind(worst, "errors", severity=lambda x: F.lit("error")).alias("errors"), module.cast(_type_of("module")).alias("module"))
+    hooks = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].startswith("use")), "hooks", position=lambda x: x["at"], arguments=lambda x: split_arguments(cut(text, x["begin"], to(x))))
+    contexts = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].isin("createContext", "useContext")), "contexts", position=lambda x: x["at"], kind=lambda x: F.when(x["name"] == "createContext", "create").otherwise("use"))
+    worst = lambda: F.filter(F.array(F.coalesce("_odd", "_unclosed")), lambda x: x.isNotNull())
+    module = lambda: F.array(F.struct(F.coalesce(F.greatest(F.size("_functions"), F.lit(0)), F.lit(0)).alias("function_count"), F.size(F.split("text", "\n", -1)).alias("line_count"))).cast(_type_of("module"))
+    if "exports" in needed:
+        t = t.withColumn("exports", _as_kind(each(), "exports"))
+    made = {
+        "imports": imports, "exports": lambda: F.col("exports"), "components": components, "hooks": hooks, "contexts": contexts, "routes": lambda: _as_kind(F.col("_routes"), "routes"),
+        "symbols": lambda: _as_kind(F.col("_symbols"), "symbols"), "errors": lambda: _as_kind(worst(), "errors", severity=lambda x: F.lit("error")), "module": module,
+    }
+    return t.select("file_id", "path", *(f().alias(k) for k, f in made.items() if k in kinds))
 
 
 def kind_of(extracted: DataFrame, kind: str) -> DataFrame:

@@ -17,7 +17,7 @@ _K = "p_partkey"
 
 
 def _facts(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return extract.kind_of(extract.extract(a.sources(spark, d)), kind)
+    return extract.kind_of(extract.extract(a.sources(spark, d), kinds=(kind,)), kind)
 
 
 _IMPORTS = f"""i AS (SELECT {_FILE} AS file_id, unnest([
@@ -84,7 +84,7 @@ def extract_errors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT {_FILE} AS file_id, 'src/p' || {_K} || '.tsx' AS path, 5 AS n_imports, 4 AS n_exports, CASE WHEN {_K} % 2 = 0 THEN 1 ELSE 0 END AS function_count, 20 AS line_count, sha256({_FILE} || ':module') AS id FROM part")
 def extract_modules(spark: SparkSession, d: str) -> DataFrame:
-    return extract.modules(extract.extract(a.sources(spark, d)))
+    return extract.modules(extract.extract(a.sources(spark, d), kinds=("imports", "exports", "module")))
 
 
 # --- sources composed of an order's items: each file has its own statements, which the SQL takes from the items -----------------
@@ -95,7 +95,7 @@ c AS (SELECT *, (1 + coalesce(sum(high) OVER (PARTITION BY file_id ORDER BY k RO
 
 
 def _composed(spark: SparkSession, d: str, kind: str) -> DataFrame:
-    return extract.kind_of(extract.extract(a.composed(spark, d)), kind)
+    return extract.kind_of(extract.extract(a.composed(spark, d), kinds=(kind,)), kind)
 
 
 @query(f"""WITH {_ITEMS} SELECT file_id, line, CASE WHEN form = 1 THEN 'pkg' || s ELSE './s' || s END AS source, CASE form WHEN 0 THEN 'relative' WHEN 1 THEN 'package' ELSE 'dynamic' END AS type,
@@ -133,13 +133,13 @@ def composed_symbols(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_ITEMS} SELECT file_id, 'src/o' || substr(file_id, 3) || '.tsx' AS path, sum((form < 3)::INT)::INTEGER AS n_imports, sum(CASE WHEN form = 3 THEN 2 WHEN form BETWEEN 4 AND 7 THEN 1 ELSE 0 END)::INTEGER AS n_exports,
 sum((form = 6)::INT)::INTEGER AS function_count, sum(high)::INTEGER AS line_count, sha256(file_id || ':module') AS id FROM c GROUP BY file_id""")
 def composed_modules(spark: SparkSession, d: str) -> DataFrame:
-    return extract.modules(extract.extract(a.composed(spark, d)))
+    return extract.modules(extract.extract(a.composed(spark, d), kinds=("imports", "exports", "module")))
 
 
 @query(f"WITH s AS (SELECT {_FILE} AS file_id, 'src/p' || {_K} || '.tsx' AS path, unnest(['./p' || ({_K} + 1), './p' || ({_K} + 2), './p' || ({_K} + 1), './p' || ({_K} + 3)]) AS source, unnest([2, 7, 8, 9]) AS line FROM part) SELECT s.file_id, line, source, 'p:' || p_partkey AS target FROM s JOIN part ON source = './p' || p_partkey")
 def extracted_links(spark: SparkSession, d: str) -> DataFrame:
     """Imports and re-exports, resolved to the files that they name."""
-    facts = stored(extract.extract(a.sources(spark, d)), "facts")
+    facts = stored(extract.extract(a.sources(spark, d), kinds=("imports", "exports", "module")), "facts")
     modules = extract.modules(facts).select("id", "file_id", "path")
     statements = resolve.with_re_exports(extract.kind_of(facts, "imports"), extract.kind_of(facts, "exports"))
     done = resolve.resolve(statements, modules).where("target_id IS NOT NULL")
