@@ -12,13 +12,14 @@ it is a function). Ids of files are unique; null text has no facts but a module
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import key
-from ..functions.session import stored
+from ..functions.session import shipped, stored
+from . import ahead
 
 _W = r"[\p{L}\p{N}_$]"
 #: A text is a row of these: comments, strings, templates, regular expressions (only at a / is looked behind), words, arrows, white space, single signs.
@@ -30,6 +31,10 @@ _TAG = r"</?[A-Za-z][\w.$]*(?:\s(?:[^<>{}]++|\{(?:[^{}]++|\{[^{}]*\})*+\})*+)?/?
 _OPEN, _CLOSE = ("(", "{", "["), (")", "}", "]")
 #: Bytes of text whose tokens one task holds.
 TASK_TEXT = 8 << 20
+#: Bytes of a text whose tokens are rows; those of shorter ones are looked at in lists.
+LONG = 32 << 10
+#: Texts that go to a Python worker at once, unless the session says otherwise than Spark's default.
+BATCH_ROWS = 2000
 #: How many tokens after one are kept with it, as words and signs between blanks.
 NEXT = 7
 _HOOK = rf"^(?:use{_W}*|createContext)$"
@@ -122,92 +127,100 @@ def looking_ahead(found: DataFrame, components: bool = True) -> DataFrame:
     return t.withColumn("assigned", F.when(binds, ahead(sym.isin("=", "=>"), F.struct("sym", "at", "then", "paren", "body_end"))))
 
 
-def _import() -> Column:
+#: The columns of a token by name, be it a row or a struct in a list.
+Token = Callable[[str], Column]
+
+
+def _named(t: Token, *names: str) -> list[Column]:
+    return [t(n).alias(n) for n in names]
+
+
+def _import(t: Token) -> Column:
     """at, line, source, dynamic, only, begin, end (of the clause): where the token begins an import."""
-    then, stop = F.col("then"), F.col("outside")
+    then, stop = t("then"), t("outside")
     only = then.rlike("^type (?!from |, )")
-    row = lambda source, dynamic, only, begin, end: F.struct("at", "line", source.alias("source"), F.lit(dynamic).alias("dynamic"), only.alias("only"), begin.alias("begin"), end.alias("end"))
+    row = lambda source, dynamic, only, begin, end: F.struct(*_named(t, "at", "line"), source.alias("source"), F.lit(dynamic).alias("dynamic"), only.alias("only"), begin.alias("begin"), end.alias("end"))
     none, no = F.lit(None).cast("int"), F.lit(False)
     static = (stop["sym"] == '"') & (stop["was1"] == "from") & ~then.startswith("from ")
-    told = F.when(then.startswith('( "'), row(F.col("raw2"), True, no, none, none)).when(then.startswith('"'), row(F.col("raw1"), False, no, none, none)).when(static, row(stop["raw"], False, only, F.col("at") + 6, stop["was"]["at"]))
-    return F.when((F.col("sym") == "import") & ~F.coalesce(F.col("was1") == ".", F.lit(False)), told)
+    told = F.when(then.startswith('( "'), row(t("raw2"), True, no, none, none)).when(then.startswith('"'), row(t("raw1"), False, no, none, none)).when(static, row(stop["raw"], False, only, t("at") + 6, stop["was"]["at"]))
+    return F.when((t("sym") == "import") & ~F.coalesce(t("was1") == ".", F.lit(False)), told)
 
 
-def _export(expressions: bool) -> Column:
+def _export(t: Token, expressions: bool) -> Column:
     """at, line, name, default, anonymous, only, source, begin, end (of a list in braces): where the token begins an export."""
-    then, braces = F.col("then"), F.col("brace")
+    then, braces = t("then"), t("brace")
     row = lambda name, source=F.lit(None), default=F.lit(False), anonymous=F.lit(False), begin=F.lit(None), end=F.lit(None): F.struct(
-        "at", "line", name.cast("string").alias("name"), default.alias("default"), anonymous.alias("anonymous"), then.rlike(r"^type [*{]").alias("only"), source.cast("string").alias("source"), begin.cast("int").alias("begin"), end.cast("int").alias("end"))
+        *_named(t, "at", "line"), name.cast("string").alias("name"), default.alias("default"), anonymous.alias("anonymous"), then.rlike(r"^type [*{]").alias("only"), source.cast("string").alias("source"), begin.cast("int").alias("begin"), end.cast("int").alias("end"))
     star, function, kind, variable = r"^(?:type )?\* (?:as (\S+) )?from ", rf"^(default )?(?:async )?function (?:\* )?({_W}*)", rf"^(default )?(?:abstract )?class(?: (?!extends |implements )({_W}+))?", rf"^(?:declare )?(?:const|let|var) ({_W}+)"
     at = lambda p, g: F.regexp_extract(then, p, g)
     whole = F.concat(F.lit("*"), F.when(at(star, 1) != "", F.concat(F.lit(" as "), at(star, 1))).otherwise(""))
     listed = row(F.lit(None), source=F.when(braces["after"]["then"].startswith('from "'), braces["after"]["raw2"]), begin=braces["at"] + 1, end=braces["end"] - 1)
     declared = lambda p: F.when((at(p, 1) != "") | (at(p, 2) != ""), row(F.when(at(p, 2) != "", at(p, 2)).otherwise("default"), default=at(p, 1) != "", anonymous=at(p, 2) == ""))
-    told = F.when(then.rlike(star + '"'), row(whole, source=F.col("quoted")["raw"])).when(then.rlike(r"^(?:type )?\{"), listed).when(then.rlike(function), declared(function)).when(then.rlike(kind), declared(kind)).when(then.rlike(variable), row(at(variable, 1)))
+    told = F.when(then.rlike(star + '"'), row(whole, source=t("quoted")["raw"])).when(then.rlike(r"^(?:type )?\{"), listed).when(then.rlike(function), declared(function)).when(then.rlike(kind), declared(kind)).when(then.rlike(variable), row(at(variable, 1)))
     if expressions:
-        arrow = then.rlike(rf"^default (?:async )?(?:\(|{_W}+ =>)") & (F.col("arrow")["at"] < F.coalesce(F.col("stop"), F.lit(2**31 - 1)))
+        arrow = then.rlike(rf"^default (?:async )?(?:\(|{_W}+ =>)") & (t("arrow")["at"] < F.coalesce(t("stop"), F.lit(2**31 - 1)))
         told = told.when(then.startswith("default ") & ~then.rlike("^default (?:interface|enum|type) "), row(F.lit("default"), default=F.lit(True), anonymous=F.coalesce(arrow, F.lit(False))))
-    return F.when((F.col("sym") == "export") & (F.col("braces") == 0) & ~F.coalesce(F.col("was1") == ".", F.lit(False)), told)
+    return F.when((t("sym") == "export") & (t("braces") == 0) & ~F.coalesce(t("was1") == ".", F.lit(False)), told)
 
 
 _FUNCTION = rf"^(?:\* )?((?!\p{{N}}){_W}+) [(<]"
 
 
-def _function() -> Column:
+def _function(t: Token) -> Column:
     """Its place: where the token declares a function by name."""
-    return F.when((F.col("sym") == "function") & F.col("then").rlike(_FUNCTION) & (F.col("paren")["sym"] == "("), F.col("at"))
+    return F.when((t("sym") == "function") & t("then").rlike(_FUNCTION) & (t("paren")["sym"] == "("), t("at"))
 
 
-def _component() -> Column:
+def _component(t: Token) -> Column:
     """at, name, type, begin, to (of the parameters), end (of the body), function: where the token declares what may be a component."""
-    then, sym, paren, given = F.col("then"), F.col("sym"), F.col("paren"), F.col("assigned")
-    row = lambda name, kind, begin, to, end: F.struct("at", name.alias("name"), F.lit(kind).alias("type"), begin.cast("int").alias("begin"), to.cast("int").alias("to"), end.cast("int").alias("end"))
+    then, sym, paren, given = t("then"), t("sym"), t("paren"), t("assigned")
+    row = lambda name, kind, begin, to, end: F.struct(*_named(t, "at"), name.alias("name"), F.lit(kind).alias("type"), begin.cast("int").alias("begin"), to.cast("int").alias("to"), end.cast("int").alias("end"))
     kind, variable = rf"^((?!\p{{N}}){_W}+)", rf"^([A-Z]{_W}*) [=:]"
     at = lambda p: F.regexp_extract(then, p, 1)
-    same = F.coalesce(given["at"] < F.col("stop"), F.lit(True)) & (given["sym"] == "=")
+    same = F.coalesce(given["at"] < t("stop"), F.lit(True)) & (given["sym"] == "=")
     none = F.lit(None)
     opened, value = given["paren"], given["then"]
     arrow = value.rlike(r"^(?:async )?\(") & (opened["closed"]["then"].startswith("=>") | (opened["closed"]["then"].startswith(":") & (opened["closed"]["equals"] == "=>")))
     wrapped = value.rlike(r"^(?:React \. )?(?:memo|forwardRef|lazy) [(<]") & (opened["sym"] == "(")
     inner = opened["then"].rlike(rf"^(?:async )?(?:function (?:{_W}+ )?)?\(")
     return (
-        F.when(_function().isNotNull(), row(at(_FUNCTION), "function", paren["at"] + 1, F.coalesce(paren["end"] - 1, F.lit(-1)), paren["closed"]["body_end"]))
-        .when((sym == "class") & then.rlike(kind) & F.coalesce(F.col("brace")["at"] < F.col("stop"), F.col("brace").isNotNull()), row(at(kind), "class", none, none, F.col("brace")["end"]))
+        F.when(_function(t).isNotNull(), row(at(_FUNCTION), "function", paren["at"] + 1, F.coalesce(paren["end"] - 1, F.lit(-1)), paren["closed"]["body_end"]))
+        .when((sym == "class") & then.rlike(kind) & F.coalesce(t("brace")["at"] < t("stop"), t("brace").isNotNull()), row(at(kind), "class", none, none, t("brace")["end"]))
         .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & arrow, row(at(variable), "arrow", opened["at"] + 1, F.coalesce(opened["end"] - 1, F.lit(-1)), opened["closed"]["body_end"]))
         .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & value.rlike(rf"^(?:async )?{_W}+ =>"), row(at(variable), "arrow", none, none, given["body_end"]))
         .when(sym.isin("const", "let", "var") & then.rlike(variable) & same & wrapped, row(at(variable), "arrow", F.when(inner, opened["inner"]["at"] + 1), F.coalesce(opened["inner"]["end"] - 1, F.lit(-1)), opened["end"]))
     )
 
 
-def _hook() -> Column:
+def _hook(t: Token) -> Column:
     """at, line, column, name, begin, to (of the arguments): where the token is the name of a hook that is called."""
-    paren, then = F.col("paren"), F.col("then")
+    paren, then = t("paren"), t("then")
     called = then.startswith("(") | (then.startswith("<") & (paren["sym"] == "(") & (paren["was1"] == ">"))
-    declared = (F.col("was1") == "function") | ((F.col("was1") == "*") & (F.col("was2") == "function"))
-    row = F.struct("at", "line", "column", F.col("sym").alias("name"), (paren["at"] + 1).alias("begin"), F.coalesce(paren["end"] - 1, F.lit(-1)).alias("to"))
-    return F.when(F.col("sym").rlike(_HOOK) & called & ~F.coalesce(declared, F.lit(False)), row)
+    declared = (t("was1") == "function") | ((t("was1") == "*") & (t("was2") == "function"))
+    row = F.struct(*_named(t, "at", "line", "column"), t("sym").alias("name"), (paren["at"] + 1).alias("begin"), F.coalesce(paren["end"] - 1, F.lit(-1)).alias("to"))
+    return F.when(t("sym").rlike(_HOOK) & called & ~F.coalesce(declared, F.lit(False)), row)
 
 
-def _route() -> Column:
-    said = (F.col("sym") == "Route") & (F.col("was1") == "<") & (F.col("path_said")["at"] < F.coalesce(F.col("tag_end"), F.lit(2**31 - 1)))
-    return F.when(said, F.struct(F.col("was.at").alias("position"), F.col("path_said")["raw"].alias("path"), F.lit("react-router").alias("kind"), F.col("was.line").alias("line"), F.col("was.column").alias("column")))
+def _route(t: Token) -> Column:
+    said = (t("sym") == "Route") & (t("was1") == "<") & (t("path_said")["at"] < F.coalesce(t("tag_end"), F.lit(2**31 - 1)))
+    return F.when(said, F.struct(t("was")["at"].alias("position"), t("path_said")["raw"].alias("path"), F.lit("react-router").alias("kind"), t("was")["line"].alias("line"), t("was")["column"].alias("column")))
 
 
-def _symbol() -> Column:
-    sym, then = F.col("sym"), F.col("then")
+def _symbol(t: Token) -> Column:
+    sym, then = t("sym"), t("then")
     name = F.regexp_extract(then, rf"^(?:\* )?((?!\p{{N}}){_W}+)", 1)
     real = (name != "") & ~((sym == "class") & name.isin("extends", "implements")) & ~(name == "enum") & ((sym != "type") | then.rlike(rf"^{_W}+ [=<]"))
     kind = F.when(sym.isin("const", "let", "var"), "variable").otherwise(sym)
-    return F.when(sym.isin("function", "class", "interface", "enum", "type", "const", "let", "var") & real, F.struct(F.col("at").alias("position"), name.alias("name"), kind.alias("type"), "line"))
+    return F.when(sym.isin("function", "class", "interface", "enum", "type", "const", "let", "var") & real, F.struct(t("at").alias("position"), name.alias("name"), kind.alias("type"), *_named(t, "line")))
 
 
-def _error() -> tuple[Column, Column]:
+def _error(t: Token) -> tuple[Column, Column]:
     """at, line, column, message: of brackets that close what isn't open, and of those that aren't closed."""
-    sym = F.col("sym")
-    row = lambda message: F.struct("at", "line", "column", message.alias("message"))
+    sym = t("sym")
+    row = lambda message: F.struct(*_named(t, "at", "line", "column"), message.alias("message"))
     pair = F.create_map(*(F.lit(x) for p in zip(_OPEN, _CLOSE, strict=True) for x in p))
-    odd = sym.isin(*_CLOSE) & ~F.coalesce(F.element_at(pair, F.col("opened")) == sym, F.lit(False))
-    return F.when(odd, row(F.concat(F.lit("unexpected "), sym))), F.when(sym.isin(*_OPEN) & F.col("end").isNull(), row(F.concat(sym, F.lit(" isn't closed"))))
+    odd = sym.isin(*_CLOSE) & ~F.coalesce(F.element_at(pair, t("opened")) == sym, F.lit(False))
+    return F.when(odd, row(F.concat(F.lit("unexpected "), sym))), F.when(sym.isin(*_OPEN) & t("end").isNull(), row(F.concat(sym, F.lit(" isn't closed"))))
 
 
 def split_arguments(text: Column) -> Column:
@@ -276,9 +289,9 @@ def _type_of(kind: str) -> str:
 
 
 def _texts(sources: DataFrame) -> DataFrame:
-    """The sources by file, as many partitions as TASK_TEXT asks for: texts move once, as tokens are many times their size, and every window, the grouping and the join keep this partitioning."""
-    own = stored(sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")), "sources")
-    size = own.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    """The sources by file, with their bytes, as many partitions as TASK_TEXT asks for: texts move once, as tokens are many times their size, and every window, the grouping and the join keep this partitioning."""
+    own = stored(sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text")), "sources")
+    size = own.agg(F.sum(F.col("size").cast("long") + 1)).first()[0] or 0
     parts = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TEXT))
     return own.repartition(parts, "file_id")
 
@@ -287,42 +300,77 @@ def _texts(sources: DataFrame) -> DataFrame:
 _NEEDS = {"imports": ("imports",), "exports": ("exports",), "components": ("components", "exports", "hooks"), "hooks": ("hooks",), "contexts": ("hooks",), "routes": ("routes",), "symbols": ("symbols",), "errors": ("odd", "unclosed"), "module": ("functions",)}
 
 
+_FACTS = ("imports", "exports", "components", "hooks", "routes", "symbols", "functions", "odd", "unclosed")
+
+
+def _facts_of(t: Token, needed: Collection[str], expressions: bool) -> dict[str, Column]:
+    """What a token tells, by what is needed; null where it tells nothing."""
+    odd, unclosed = _error(t)
+    told = {"imports": lambda: _import(t), "exports": lambda: _export(t, expressions), "components": lambda: _component(t), "hooks": lambda: _hook(t), "routes": lambda: _route(t), "symbols": lambda: _symbol(t), "functions": lambda: _function(t), "odd": lambda: odd, "unclosed": lambda: unclosed}
+    return {c: f() for c, f in told.items() if c in needed}
+
+
+def _of_rows(files: DataFrame, needed: Collection[str], expressions: bool) -> DataFrame:
+    """file_id, path, text and the facts (_imports and so on) of long texts: their tokens are rows, which Spark's windows can spill."""
+    listed = lambda c: F.sort_array(F.collect_list(c))
+    seen = looking_ahead(tokens(files.select("file_id", "text").sortWithinPartitions("file_id")), components="components" in needed)
+    own = _facts_of(F.col, needed, expressions)
+    heads = seen.select("file_id", *(x.alias(c) for c, x in own.items())).where(" OR ".join(f"{c} IS NOT NULL" for c in own))
+    gathered = lambda c: F.min(c) if c == "odd" else F.max(c) if c == "unclosed" else listed(c)
+    found = heads.groupBy(F.col("file_id").alias("_file")).agg(*(gathered(c).alias(f"_{c}") for c in own))
+    return files.join(found, F.col("file_id") == F.col("_file"), "left").select("file_id", "path", "text", *(f"_{c}" for c in own))
+
+
+def _of_lists(files: DataFrame, needed: Collection[str], expressions: bool) -> DataFrame:
+    """The same of other texts, whose tasks look at the tokens of many texts at once (ahead.py): the tokens that can begin a fact are a list, its facts are told as those of rows."""
+    spark, asked = files.sparkSession, ahead.columns({*needed})
+    shipped(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    pieces = files.select("file_id", "path", "text", F.when(F.col("file_id").isNotNull(), _pieces(F.col("text"))).alias("pieces"))
+    schema = files.select("file_id", "path", "text").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+    seen = pieces.mapInArrow(ahead.runner({*needed}, asked), f"{schema}, heads {ahead.shape({*needed})}")
+
+    def facts(name: str) -> Column:
+        begins = ahead.BEGINS.get(name)
+        mine = F.col("heads") if begins is None or name == "hooks" else F.filter(F.col("heads"), lambda x: x["sym"].isin(*begins))
+        told = F.filter(F.transform(mine, lambda x: _facts_of(lambda c: x[c], {name}, expressions)[name]), lambda x: x.isNotNull())
+        return F.array_min(told) if name == "odd" else F.array_max(told) if name == "unclosed" else told
+
+    return seen.select("file_id", "path", "text", *(facts(c).alias(f"_{c}") for c in _FACTS if c in needed))
+
+
 def extract(sources: DataFrame, expression_exports: bool = False, kinds: Collection[str] = tuple(KINDS)) -> DataFrame:
     """sources: file_id, path, text. file_id, path, and for each of these kinds of fact an array in the text's order; one row for each file.
 
     Windows that no asked kind needs are not computed.
     """
     whole = _texts(sources)
-    odd, unclosed = _error()
-    listed = lambda c: F.sort_array(F.collect_list(c))
     needed = {n for k in kinds for n in _NEEDS[k]}
-    seen = looking_ahead(tokens(whole.sortWithinPartitions("file_id")), components="components" in needed)
-    told = {"imports": _import, "exports": lambda: _export(expression_exports), "components": _component, "hooks": _hook, "routes": _route, "symbols": _symbol, "functions": _function, "odd": lambda: odd, "unclosed": lambda: unclosed}
-    own = [c for c in told if c in needed]
-    heads = seen.select("file_id", *(told[c]().alias(c) for c in own)).where(" OR ".join(f"{c} IS NOT NULL" for c in own))
-    gathered = lambda c: F.min(c) if c == "odd" else F.max(c) if c == "unclosed" else listed(c)
-    found = heads.groupBy(F.col("file_id").alias("_file")).agg(*(gathered(c).alias(f"_{c}") for c in own))
-    t = whole.withColumn("_code", blanked(F.col("text"))).join(found, F.col("file_id") == F.col("_file"), "left")
-    text, code, size = F.col("text"), F.col("_code"), F.length("text")
-    cut = lambda of, begin, end: F.substr(of, begin + 1, F.greatest(end - begin, F.lit(0)))
+    t = _of_lists(whole.where(F.col("size") <= LONG), needed, expression_exports).unionByName(_of_rows(whole.where(F.col("size") > LONG), needed, expression_exports))
+    text, size = F.col("text"), F.length("text")
+    cut = lambda begin, end: F.substr(text, begin + 1, F.greatest(end - begin, F.lit(0)))
+    # begins and ends stand between tokens, so what is cut has the same tokens as within the text; a list is cut with its brace, behind which a regular expression can stand
+    code = lambda begin, end: blanked(cut(begin, end))
+    listed = lambda begin, end: F.substr(code(begin - 1, end), F.lit(2), F.length(text))
     to = lambda x: F.when(x["to"] < 0, size - 1).otherwise(x["to"])
     imports = lambda: _as_kind(
         F.col("_imports"), "imports", is_dynamic=lambda x: x["dynamic"], is_type_only=lambda x: x["only"],
-        specifiers=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(_bindings(F.when(x["only"], F.regexp_replace(cut(code, x["begin"], x["end"]), r"^\s*type\s", "")).otherwise(cut(code, x["begin"], x["end"])))),
+        specifiers=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(_bindings(F.when(x["only"], F.regexp_replace(code(x["begin"], x["end"]), r"^\s*type\s", "")).otherwise(code(x["begin"], x["end"])))),
         type=lambda x: F.when(x["dynamic"], "dynamic").when(x["source"].startswith("."), "relative").otherwise("package"),
     )
-    named = lambda x: F.when(x["begin"].isNull(), F.array(x["name"])).otherwise(_names(cut(code, x["begin"], F.coalesce(x["end"], size))))
+    named = lambda x: F.when(x["begin"].isNull(), F.array(x["name"])).otherwise(_names(listed(x["begin"], F.coalesce(x["end"], size))))
     each = lambda: F.flatten(F.transform(F.col("_exports"), lambda x: F.transform(named(x), lambda n: F.struct(
         x["anonymous"].alias("is_anonymous"), (x["default"] | (x["begin"].isNotNull() & (n == "default"))).alias("is_default"), x["only"].alias("is_type_only"), x["line"].alias("line"), n.alias("name"), x["source"].alias("source")))))
     inside = lambda x: F.array_sort(F.array_distinct(F.transform(F.filter(F.col("_hooks"), lambda h: (h["at"] >= x["at"]) & (h["at"] < F.coalesce(x["end"], size)) & h["name"].startswith("use")), lambda h: h["name"])))
     may_be = lambda: F.filter(F.col("_components"), lambda x: x["name"].rlike(r"^\p{Lu}") & ~F.coalesce(F.col("path").rlike(ROUTE_HANDLER), F.lit(False)))
     logical = lambda x: F.size(F.filter(F.split(x, "\r?\n", -1), lambda y: y.rlike(r"\S") & ~y.rlike(r"^\s*(?://|/\*|\*)")))
     components = lambda: _as_kind(
-        may_be(), "components", position=lambda x: x["at"], line_count=lambda x: logical(cut(text, x["at"], F.coalesce(x["end"], size))), jsx_depth=lambda x: markup_nesting(cut(code, x["at"], F.coalesce(x["end"], size))),
+        may_be(), "components", position=lambda x: x["at"], line_count=lambda x: logical(cut(x["at"], F.coalesce(x["end"], size))), jsx_depth=lambda x: markup_nesting(code(x["at"], F.coalesce(x["end"], size))),
         exports=lambda x: F.filter(F.array(x["name"]), lambda n: F.exists(F.col("exports"), lambda e: e["name"] == n)), hooks=inside,
-        props=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(split_arguments(cut(text, x["begin"], to(x)))),
+        props=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(split_arguments(cut(x["begin"], to(x)))),
     )
-    hooks = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].startswith("use")), "hooks", position=lambda x: x["at"], arguments=lambda x: split_arguments(cut(text, x["begin"], to(x))))
+    hooks = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].startswith("use")), "hooks", position=lambda x: x["at"], arguments=lambda x: split_arguments(cut(x["begin"], to(x))))
     contexts = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].isin("createContext", "useContext")), "contexts", position=lambda x: x["at"], kind=lambda x: F.when(x["name"] == "createContext", "create").otherwise("use"))
     worst = lambda: F.filter(F.array(F.coalesce("_odd", "_unclosed")), lambda x: x.isNotNull())
     module = lambda: F.array(F.struct(F.coalesce(F.greatest(F.size("_functions"), F.lit(0)), F.lit(0)).alias("function_count"), F.size(F.split("text", "\n", -1)).alias("line_count"))).cast(_type_of("module"))

@@ -150,7 +150,9 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = {"#n1": k + 1, "#n2": k + 2, "#n3": k + 3, "#m10": k % 10, "#m3": k % 3, "#m5": k % 5, "#app": F.when(k % 2 == 0, F.concat(F.lit("App"), k.cast("string"))).otherwise(F.lit("")), "#end": F.when(k % 4 == 0, F.lit("broken = (")).otherwise(F.lit("fine = 1; const more = 1; //")), "#k": k}
     for token, value in tokens.items():
         text = F.replace(text, F.lit(token), value.cast("string"))
-    return table(spark, sf_dir, "part").select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+    # a text is many times its key, so the keys are dealt out before the texts are made
+    keys = table(spark, sf_dir, "part").select("p_partkey").repartition(3 * spark.sparkContext.defaultParallelism, "p_partkey")
+    return keys.select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
 
 
 #: Statements of item (part #p, supplier #s) of an order, by the rest of part plus supplier by 10.
