@@ -35,6 +35,8 @@ FIT_ROWS = 20_000
 FEATURES, EARLIER, LEAST_TEXTS, FOLDS, RIDGE = 384, 64, 5, 5, 0.1
 STRONG_SHARE, STRONG_TIMES = 0.04, 50
 BEGINNINGS = (4, 5, 6)
+#: Rows whose part of the normal matrix is made at once.
+BLOCK = 2048
 CATEGORIES = ("low_quality", "toxic")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,7 +85,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RI
     now = loss(z, b)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * b)
+        curve = weight * p * (1 - p)
+        normal = sum((x[i : i + BLOCK] * curve[i : i + BLOCK, None]).T @ x[i : i + BLOCK] for i in range(0, len(x), BLOCK))
+        step = np.linalg.solve(normal + np.diag(penalty), x.T @ (weight * (y - p)) - penalty * b)
         for _ in range(30):
             after = loss(x @ (b + step), b + step)
             if after <= now:
@@ -112,7 +116,7 @@ class Chosen:
         """The columns of `present` for these features, and whether any strong word, and any strong beginning, is there."""
         x = present[:, [place[f] for f in self.features]]
         kinds = [np.array([s and f[0] == kind for f, s in zip(self.features, self.strong, strict=True)], bool) for kind in "wp"]
-        return np.hstack([x, *(x[:, on].any(axis=1)[:, None] for on in kinds)]).astype(float)
+        return np.hstack([x, *(x[:, on].any(axis=1)[:, None] for on in kinds)])
 
 
 @dataclass
@@ -152,11 +156,11 @@ class Chain:
         return p
 
 
-def _counted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal rows as one, with the sum of their weights: most texts have few of the features."""
-    both = np.ascontiguousarray(np.hstack([x, y[:, None]]))
-    _, first, which = np.unique(both.view(np.dtype((np.void, both.itemsize * both.shape[1]))).ravel(), return_index=True, return_inverse=True)
-    return x[first], y[first], np.bincount(which, weights=weight)
+def _counted(x: np.ndarray, before: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows as one, with the sum of their weights: most texts have few of the features. Rows are compared as bits, and only different ones become numbers, as the driver holds them."""
+    bits = np.ascontiguousarray(np.hstack([np.packbits(x, axis=1), np.ascontiguousarray(before).view(np.uint8).reshape(len(x), 8 * before.shape[1]), y.astype(np.uint8)[:, None]]))
+    _, first, which = np.unique(bits.view(np.dtype((np.void, bits.shape[1]))).ravel(), return_index=True, return_inverse=True)
+    return np.hstack([x[first], before[first]]), y[first], np.bincount(which, weights=weight)
 
 
 def chained(categories: list[str], chosen: dict[tuple[str, int], Chosen], universe: list[str], rows: list[tuple[int, list[int | None], int, list[int]]]) -> Chain:
@@ -168,16 +172,15 @@ def chained(categories: list[str], chosen: dict[tuple[str, int], Chosen], univer
         known = np.array([r[1][c] is not None for r in rows], bool)
         y = np.array([r[1][c] or 0 for r in rows], float)
 
-        def model(k: int, on: np.ndarray) -> tuple[np.ndarray | None, float, np.ndarray]:
+        def model(k: int, on: np.ndarray) -> tuple[np.ndarray | None, float]:
             share = float((y * weight)[on].sum() / weight[on].sum()) if on.any() else 0.0
-            own = np.hstack([chosen[category, k].columns(x, place), before])
-            return (logistic(*_counted(own[on], y[on], weight[on])) if 0 < share < 1 and chosen[category, k].features else None), share, own
+            return (logistic(*_counted(chosen[category, k].columns(x[on], place), before[on], y[on], weight[on])) if 0 < share < 1 and chosen[category, k].features else None), share
 
         out = np.zeros(len(rows))
         for k in sorted(set(fold.tolist())):
-            b, share, own = model(k, known & (fold != k))
-            out[fold == k] = share if b is None else probability(own[fold == k], b)
-        b, share, _ = model(FOLDS, known)
+            (b, share), left = model(k, known & (fold != k)), fold == k
+            out[left] = share if b is None else probability(np.hstack([chosen[category, k].columns(x[left], place), before[left]]), b)
+        b, share = model(FOLDS, known)
         links.append(Link(category, chosen[category, FOLDS], b, share))
         before = np.hstack([before, out[:, None]])
     return Chain(links)
