@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from ..functions.session import bounded, dropped, shipped, stored
 
 #: Edges that a task contracts at once.
 CONTRACTED = 1 << 20
+#: Rows that a task counts.
+TASK_ROWS = 1 << 19
 
 
 def upsert_edges(statements: DataFrame) -> DataFrame:
@@ -57,12 +60,28 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(ends, "id", "left_anti")
 
 
+def _parts(df: DataFrame) -> int:
+    """How many partitions df asks for by its rows: as many as the session has, or more."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // TASK_ROWS))
+
+
 def integrity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: duplicate_nodes, duplicate_edges, dangling_edges; all are 0 in a sound graph."""
-    again = lambda df, by, name: df.groupBy(*by).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias(name))
-    ids = nodes.select("id").distinct()
-    dangling = edges.join(ids, edges["source"] == ids["id"], "left_anti").unionByName(edges.join(ids, edges["source"] == ids["id"], "left_semi").join(ids, edges["target"] == ids["id"], "left_anti"))
-    return again(nodes, ["id"], "duplicate_nodes").crossJoin(again(edges, ["source", "target"], "duplicate_edges")).crossJoin(dangling.agg(F.count(F.lit(1)).alias("dangling_edges")))
+    """One row: duplicate_nodes, duplicate_edges, dangling_edges; all are 0 in a sound graph.
+
+    Rows are dealt out before they are counted, as many to a task as TASK_ROWS says: most keys are unique, so counting before a shuffle holds
+    whatever a task reads. Edges move once by source, and then as sums by target.
+    """
+    parts = max(_parts(nodes), _parts(edges))
+    ids = stored(nodes.select("id").repartition(parts, "id").groupBy("id").agg(F.count(F.lit(1)).alias("times")), "ids")
+    known = ids.select("id").repartition(parts, "id")
+    pairs = edges.select("source", "target").repartition(parts, "source").groupBy("source", "target").agg(F.count(F.lit(1)).alias("times"))
+    found = pairs.join(known, pairs["source"] == known["id"], "left").groupBy("target", F.col("id").isNotNull().alias("known")).agg(F.sum("times").alias("times"), F.sum(F.col("times") - 1).alias("again"))
+    found = stored(found, "targets")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).alias(name)
+    led = found.where("known").repartition(parts, "target")
+    lost = led.join(known, led["target"] == known["id"], "left_anti").agg(total("times", "lost"))
+    told = ids.agg(total(F.col("times") - 1, "duplicate_nodes")).crossJoin(found.agg(total("again", "duplicate_edges"), total(F.when(~F.col("known"), F.col("times")), "sourceless"))).crossJoin(lost)
+    return told.select("duplicate_nodes", "duplicate_edges", (F.col("sourceless") + F.col("lost")).alias("dangling_edges"))
 
 
 def children(edges: DataFrame, node: str | int) -> DataFrame:
@@ -140,11 +159,15 @@ def contracted(edges: DataFrame) -> DataFrame:
 
     def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        a, b = (t.column(c).to_numpy() for c in ("a", "b"))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        root = _roots(len(nodes), at[: len(a)], at[len(a) :])
-        on = root != np.arange(len(nodes))
-        return pa.RecordBatch.from_arrays([pa.array(x, t.schema.field("a").type) for x in (nodes[on], nodes[root[on]])], names=["a", "b"])
+        # Arrow numbers the nodes by a hash, and only different ones are sorted; its strings are in Spark's order, of bytes
+        both = pa.concat_arrays([*t.column("a").chunks, *t.column("b").chunks]).dictionary_encode()
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at = place[both.indices.to_numpy()]
+        root = _roots(len(order), at[: len(t)], at[len(t) :])
+        on = np.flatnonzero(root != np.arange(len(order)))
+        return pa.RecordBatch.from_arrays([both.dictionary.take(pa.array(order[x])) for x in (on, root[on])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
