@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Pieces that are looked at together.
 SLICE = 250_000
+#: Ends each piece of a text that comes as one string; no text that comes so has it itself.
+END = "\x01"
 NAMES = ("(", "{", "[", ")", "}", "]", "=", "=>", ";", ">", "import", "export", "function", "class", "interface", "enum", "type", "Route", "path", "const", "let", "var", "createContext", '"')
 CODE = {name: i for i, name in enumerate(NAMES)}
 _STRING, _HOOK, _OTHER = CODE['"'], len(NAMES), len(NAMES) + 1
@@ -210,13 +212,22 @@ def _heads(t: _Tokens, needed: set[str]) -> np.ndarray:
     return np.flatnonzero(on)
 
 
+def _cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of a column's texts and how many each has: a text is a list of them, or a string where each ends in END."""
+    if not pa.types.is_string(column.type):
+        return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    ends = np.flatnonzero(data == ord(END))
+    counts = np.diff(np.searchsorted(ends, bounds - bounds[0]))
+    offsets = np.concatenate(([0], ends - np.arange(len(ends)))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(np.delete(data, ends))), counts
+
+
 def runner(needed: set[str], asked: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Batches with their last column, the pieces of a text, replaced by the tokens that begin what is needed."""
 
-    def told(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists = batch.column(batch.num_columns - 1)
-        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-        pieces = lists.flatten()
+    def told(batch: pa.RecordBatch, pieces: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
         t = _Tokens(pieces, counts) if len(pieces) else None
         rows = _heads(t, needed) if t else np.zeros(0, np.int64)
         ends = np.searchsorted(t.file[rows], np.arange(len(counts) + 1)) if t else np.zeros(len(counts) + 1)
@@ -227,12 +238,12 @@ def runner(needed: set[str], asked: list[str]) -> Callable[[Iterator[pa.RecordBa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy())
+            pieces, counts = _cut(batch.column(batch.num_columns - 1))
+            sizes = np.concatenate(([0], np.cumsum(counts)))
             at = 0
             while at < len(batch):
-                before = sizes[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, before + SLICE, side="right")))
-                yield told(batch.slice(at, to - at))
+                to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + SLICE, side="right")) - 1)
+                yield told(batch.slice(at, to - at), pieces.slice(sizes[at], sizes[to] - sizes[at]), counts[at:to])
                 at = to
 
     return run
