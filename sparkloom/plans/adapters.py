@@ -120,6 +120,8 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("page_id").cast("string").alias("file_id"), F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"), F.lit(1).alias("line"))
 
 
+#: Rows of a task that makes texts from keys.
+DEALT = 10_000
 #: A source file of part #k; #n1 is k + 1 and so on, #m3 the rest of k by 3; every second default export has no name, every fourth file an open bracket.
 SOURCE = """import React, { useState as s#k, type Kind } from "react";
 import * as all from './p#n1';
@@ -143,6 +145,11 @@ const #end(1;
 """
 
 
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """rows by a key in partitions of about DEALT: a table of keys is a few small files, whose texts one task each would make. The number is given, as what is planned from the keys' bytes alone would join them again."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // DEALT)), by)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts as source files: file_id, path, text."""
     k = F.col("p_partkey")
@@ -150,7 +157,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = {"#n1": k + 1, "#n2": k + 2, "#n3": k + 3, "#m10": k % 10, "#m3": k % 3, "#m5": k % 5, "#app": F.when(k % 2 == 0, F.concat(F.lit("App"), k.cast("string"))).otherwise(F.lit("")), "#end": F.when(k % 4 == 0, F.lit("broken = (")).otherwise(F.lit("fine = 1; const more = 1; //")), "#k": k}
     for token, value in tokens.items():
         text = F.replace(text, F.lit(token), value.cast("string"))
-    return table(spark, sf_dir, "part").select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
+    return _dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(_id("p", "p_partkey").alias("file_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".tsx")).alias("path"), text.alias("text"))
 
 
 #: Statements of item (part #p, supplier #s) of an order, by the rest of part plus supplier by 10.

@@ -5,11 +5,20 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.operators import ahead, extract
-from sparkloom.plans import source_queries
+from sparkloom.plans import adapters, source_queries
 
 HERE = "/root/testdata/sf0.001"
 
 
+def test_texts_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(1000).select(F.col("id").alias("p_partkey")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(adapters, "DEALT", 100)
+    files = adapters.sources(spark, str(tmp_path))
+    sizes = [r["count"] for r in files.groupBy(F.spark_partition_id()).count().collect()]
+    assert files.rdd.getNumPartitions() == 10 and sum(sizes) == 1000 and max(sizes) < 200
+    assert [len(r) for r in (files.where("file_id = 'p:7'").collect(), files.select("file_id").distinct().collect())] == [1, 1000]
+
+
 def test_facts_are_made_once(spark):
     plan = source_queries.extract_hooks(spark, HERE)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("aggregate(regexp_extract_all(") == 2  # of short and of long texts
