@@ -25,12 +25,15 @@ from . import ahead
 _W = r"[\p{L}\p{N}_$]"
 # classes of single characters are looked up in a table of bits, ranges and properties one after another
 _ASCII, _SIGNS = f"{ascii_letters}{digits}_$", r"(){}\[\];,.:<>!?&|+*%@#~^\\-"
-#: A text is a row of these: words, white space, arrows, single signs, comments, strings, templates, regular expressions (only at a / is looked behind); what is most frequent is tried first.
-_PIECE = "|".join((
-    rf"[{_ASCII}]+{_W}*+", r"\s+", rf"[{_SIGNS}]", "=>",
+# comments, strings, templates, regular expressions (only at a / is looked behind)
+_MARKED = (
     r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|\z)", r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'", r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+(?:`|\z)",
-    r"(?=/)(?<=[=(,:\[!&|?{};]\s{0,99})/(?![*/])(?:\\[\s\S]|\[(?:\\[\s\S]|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*", rf"{_W}++", r"[\s\S]",
-))
+    r"(?=/)(?<=[=(,:\[!&|?{};]\s{0,99})/(?![*/])(?:\\[\s\S]|\[(?:\\[\s\S]|[^\]\\\n])*+\]|[^/\\\n\[])++/[a-z]*",
+)
+#: A text is a row of these: words, white space, single signs, arrows, what is marked; what is most frequent is tried first.
+_PIECE = "|".join((rf"[{_ASCII}]+{_W}*+", r"\s+", rf"[{_SIGNS}]", "=>", *_MARKED, rf"{_W}++", r"[\s\S]"))
+#: The same, but that what stands between two marked pieces is one.
+_STRETCH = "|".join((r"[^/'\"`]++", *_MARKED, r"[\s\S]"))
 _TAG = r"</?[A-Za-z][\w.$]*(?:\s(?:[^<>{}]++|\{(?:[^{}]++|\{[^{}]*\})*+\})*+)?/?>|</?>"
 _OPEN, _CLOSE = ("(", "{", "["), (")", "}", "]")
 #: Bytes of text whose tokens one task holds.
@@ -61,7 +64,7 @@ def blanked(text: Column) -> Column:
         inner = F.concat(first, _blank(F.substr(p, F.lit(2), n - 2)), F.substring(p, -1, 1))
         return F.when((n > 1) & first.isin("'", '"', "`"), inner).when((n > 1) & (first == "/"), _blank(p)).otherwise(p)
 
-    return F.array_join(F.transform(_pieces(text), blank), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_STRETCH), F.lit(0)), blank), "")
 
 
 def tokens(sources: DataFrame) -> DataFrame:
@@ -212,10 +215,11 @@ def _route(t: Token) -> Column:
 
 def _symbol(t: Token) -> Column:
     sym, then = t("sym"), t("then")
-    name = F.regexp_extract(then, rf"^(?:\* )?((?!\p{{N}}){_W}+)", 1)
-    real = (name != "") & ~((sym == "class") & name.isin("extends", "implements")) & ~(name == "enum") & ((sym != "type") | then.rlike(rf"^{_W}+ [=<]"))
     kind = F.when(sym.isin("const", "let", "var"), "variable").otherwise(sym)
-    return F.when(sym.isin("function", "class", "interface", "enum", "type", "const", "let", "var") & real, F.struct(t("at").alias("position"), name.alias("name"), kind.alias("type"), *_named(t, "line")))
+    real = lambda name: (name != "") & ~((sym == "class") & name.isin("extends", "implements")) & ~(name == "enum") & ((sym != "type") | then.rlike(rf"^{_W}+ [=<]"))
+    told = lambda name: F.when(real(name), F.struct(t("at").alias("position"), name.alias("name"), kind.alias("type"), *_named(t, "line")))
+    # in a list of one, so that the name is cut once
+    return F.when(sym.isin("function", "class", "interface", "enum", "type", "const", "let", "var"), F.transform(F.array(F.regexp_extract(then, rf"^(?:\* )?((?!\p{{N}}){_W}+)", 1)), told)[0])
 
 
 def _error(t: Token) -> tuple[Column, Column]:
@@ -292,18 +296,25 @@ def _type_of(kind: str) -> str:
     return f"array<struct<{KINDS[kind].replace(' ', ':').replace(',:', ',')}>>"
 
 
-def _texts(sources: DataFrame) -> DataFrame:
-    """The sources by file, with their bytes, as many partitions as TASK_TEXT asks for: texts move once, as tokens are many times their size, and every window, the grouping and the join keep this partitioning."""
-    own = stored(sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text")), "sources")
-    size = own.agg(F.sum(F.col("size").cast("long") + 1)).first()[0] or 0
-    parts = max(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TEXT))
-    return own.repartition(parts, "file_id")
+def _held(sources: DataFrame) -> DataFrame:
+    """The sources with their bytes, and whether their tokens are looked at in lists: written once, so that either side reads its own row groups alone."""
+    own = sources.select("file_id", "path", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
+    return stored(own.withColumn("listed", (F.col("size") <= LONG) & ~F.col("text").contains(ahead.END)), "sources")
+
+
+def _texts(files: DataFrame) -> DataFrame:
+    """Files by their id, as many partitions as TASK_TEXT asks for: texts move once, as tokens are many times their size, and every window, the grouping and the join keep this partitioning."""
+    size = files.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    parts = max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_TEXT))
+    return files.repartition(parts, "file_id")
 
 
 #: What the facts of a kind are made from.
 _NEEDS = {"imports": ("imports",), "exports": ("exports",), "components": ("components", "exports", "hooks"), "hooks": ("hooks",), "contexts": ("hooks",), "routes": ("routes",), "symbols": ("symbols",), "errors": ("odd", "unclosed"), "module": ("functions",)}
 
 
+#: The kinds that are told by more than tokens: what they are made from cuts the text.
+_CUTS = {"imports", "exports", "components", "hooks", "module"}
 _FACTS = ("imports", "exports", "components", "hooks", "routes", "symbols", "functions", "odd", "unclosed")
 
 
@@ -325,16 +336,19 @@ def _of_rows(files: DataFrame, needed: Collection[str], expressions: bool) -> Da
     return files.join(found, F.col("file_id") == F.col("_file"), "left").select("file_id", "path", "text", *(f"_{c}" for c in own))
 
 
-def _of_lists(files: DataFrame, needed: Collection[str], expressions: bool) -> DataFrame:
-    """The same of other texts, whose tasks look at the tokens of many texts at once (ahead.py): the tokens that can begin a fact are a list, its facts are told as those of rows."""
+def _of_lists(files: DataFrame, needed: Collection[str], expressions: bool, text: bool) -> DataFrame:
+    """The same of other texts (these themselves only where they are asked), whose tasks look at the tokens of many texts at once (ahead.py): the tokens that can begin a fact are a list, its facts are told as those of rows."""
     spark, asked = files.sparkSession, ahead.columns({*needed})
     shipped(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    # one string, each piece with an end: it is made and moved in less time than a list of strings
-    pieces = files.select("file_id", "path", "text", F.when(F.col("file_id").isNotNull(), F.regexp_replace("text", F.lit(_PIECE), F.lit(f"$0{ahead.END}"))).alias("pieces"))
-    schema = files.select("file_id", "path", "text").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
-    seen = pieces.mapInArrow(ahead.runner({*needed}, asked), f"{schema}, heads {ahead.shape({*needed})}")
+    # one string, each piece with an end: it is made and moved in less time than a list of strings, and the text is told by it
+    ended = lambda pattern: F.regexp_replace("text", F.lit(pattern), F.lit(f"$0{ahead.END}"))
+    # between marked pieces the tasks tell words from signs, many texts at once, but not which letters there are beyond ASCII
+    pieces = files.select("file_id", "path", F.when(F.octet_length("text") == F.length("text"), ended(_STRETCH)).otherwise(ended(_PIECE)).alias("pieces"))
+    own = ["file_id", "path", *(["text"] if text else [])]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.select(*own).schema)
+    seen = pieces.mapInArrow(ahead.runner({*needed}, asked, text), f"{schema}, heads {ahead.shape({*needed})}")
 
     def facts(name: str) -> Column:
         begins = ahead.BEGINS.get(name)
@@ -342,7 +356,7 @@ def _of_lists(files: DataFrame, needed: Collection[str], expressions: bool) -> D
         told = F.filter(F.transform(mine, lambda x: _facts_of(lambda c: x[c], {name}, expressions)[name]), lambda x: x.isNotNull())
         return F.array_min(told) if name == "odd" else F.array_max(told) if name == "unclosed" else told
 
-    return seen.select("file_id", "path", "text", *(facts(c).alias(f"_{c}") for c in _FACTS if c in needed))
+    return seen.select(*own, *(facts(c).alias(f"_{c}") for c in _FACTS if c in needed))
 
 
 def extract(sources: DataFrame, expression_exports: bool = False, kinds: Collection[str] = tuple(KINDS)) -> DataFrame:
@@ -350,10 +364,11 @@ def extract(sources: DataFrame, expression_exports: bool = False, kinds: Collect
 
     Windows that no asked kind needs are not computed.
     """
-    whole = _texts(sources)
+    whole = _held(sources)
     needed = {n for k in kinds for n in _NEEDS[k]}
-    short = (F.col("size") <= LONG) & ~F.col("text").contains(ahead.END)
-    t = _of_lists(whole.where(short), needed, expression_exports).unionByName(_of_rows(whole.where(~short), needed, expression_exports))
+    cuts = bool(_CUTS & {*kinds})
+    short, long = _of_lists(whole.where("listed"), needed, expression_exports, cuts), _of_rows(_texts(whole.where("NOT listed")), needed, expression_exports)
+    t = short.unionByName(long if cuts else long.drop("text"))
     text, size = F.col("text"), F.length("text")
     cut = lambda begin, end: F.substr(text, begin + 1, F.greatest(end - begin, F.lit(0)))
     # begins and ends stand between tokens, so what is cut has the same tokens as within the text; a list is cut with its brace, behind which a regular expression can stand
@@ -368,14 +383,15 @@ def extract(sources: DataFrame, expression_exports: bool = False, kinds: Collect
     named = lambda x: F.when(x["begin"].isNull(), F.array(x["name"])).otherwise(_names(listed(x["begin"], F.coalesce(x["end"], size))))
     each = lambda: F.flatten(F.transform(F.col("_exports"), lambda x: F.transform(named(x), lambda n: F.struct(
         x["anonymous"].alias("is_anonymous"), (x["default"] | (x["begin"].isNotNull() & (n == "default"))).alias("is_default"), x["only"].alias("is_type_only"), x["line"].alias("line"), n.alias("name"), x["source"].alias("source")))))
-    inside = lambda x: F.array_sort(F.array_distinct(F.transform(F.filter(F.col("_hooks"), lambda h: (h["at"] >= x["at"]) & (h["at"] < F.coalesce(x["end"], size)) & h["name"].startswith("use")), lambda h: h["name"])))
+    inside = lambda hooks, x: F.array_sort(F.array_distinct(F.transform(F.filter(hooks, lambda h: (h["at"] >= x["at"]) & (h["at"] < F.coalesce(x["end"], size)) & h["name"].startswith("use")), lambda h: h["name"])))
     may_be = lambda: F.filter(F.col("_components"), lambda x: x["name"].rlike(r"^\p{Lu}") & ~F.coalesce(F.col("path").rlike(ROUTE_HANDLER), F.lit(False)))
     logical = lambda x: F.size(F.filter(F.split(x, "\r?\n", -1), lambda y: y.rlike(r"\S") & ~y.rlike(r"^\s*(?://|/\*|\*)")))
-    components = lambda: _as_kind(
+    # hooks and exports in a list of one, so that they are made once for a text, and not for each of its components
+    components = lambda: F.transform(F.array(F.struct(F.col("_hooks").alias("hooks"), F.col("exports").alias("exports"))), lambda own: _as_kind(
         may_be(), "components", position=lambda x: x["at"], line_count=lambda x: logical(cut(x["at"], F.coalesce(x["end"], size))), jsx_depth=lambda x: markup_nesting(code(x["at"], F.coalesce(x["end"], size))),
-        exports=lambda x: F.filter(F.array(x["name"]), lambda n: F.exists(F.col("exports"), lambda e: e["name"] == n)), hooks=inside,
+        exports=lambda x: F.filter(F.array(x["name"]), lambda n: F.exists(own["exports"], lambda e: e["name"] == n)), hooks=lambda x: inside(own["hooks"], x),
         props=lambda x: F.when(x["begin"].isNull(), F.array().cast("array<string>")).otherwise(split_arguments(cut(x["begin"], to(x)))),
-    )
+    ))[0]
     hooks = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].startswith("use")), "hooks", position=lambda x: x["at"], arguments=lambda x: split_arguments(cut(x["begin"], to(x))))
     contexts = lambda: _as_kind(F.filter(F.col("_hooks"), lambda x: x["name"].isin("createContext", "useContext")), "contexts", position=lambda x: x["at"], kind=lambda x: F.when(x["name"] == "createContext", "create").otherwise("use"))
     worst = lambda: F.filter(F.array(F.coalesce("_odd", "_unclosed")), lambda x: x.isNotNull())

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkloom.operators import ahead, extract
+from sparkloom.operators import ahead, extract, report
 from sparkloom.plans import adapters, source_queries
 
 HERE = "/root/testdata/sf0.001"
@@ -39,3 +39,29 @@ def test_strings_are_cut_as_lists():
         (pieces, counts), (want, sizes) = ahead._cut(texts.slice(at)), ahead._cut(pa.array(lists, pa.list_(pa.string())).slice(at))
         assert pieces.to_pylist() == want.to_pylist() and np.array_equal(counts, sizes)
     assert not len(ahead._cut(pa.array([None, ""], pa.string()))[0])
+
+
+def test_texts_are_cut_in_stretches_and_told_without_themselves(spark):
+    files = adapters.sources(spark, HERE)
+    plans = {k: str(extract.extract(files, kinds=(k,))._jdf.queryExecution().optimizedPlan()) for k in ("symbols", "errors", "contexts", "components")}
+    short = {k: next(x for x in p.splitlines() if "MapInArrow" in x) for k, p in plans.items()}
+    assert {k: "text#" in x for k, x in short.items()} == {"symbols": False, "errors": False, "contexts": False, "components": True}
+    assert not any("text#" in x and "RepartitionByExpression" in x for p in plans.values() for x in p.split("Union")[0].splitlines())  # texts of lists don't move
+
+
+def test_errors_are_made_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(report, "stored", lambda df, name: kept.append(name) or df)
+    assert report.parser_errors(source_queries._facts(spark, HERE, "errors")).count() and kept == ["parser-errors"]
+
+
+def test_stretches_are_cut_as_pieces(spark):
+    said = ["a=>b==>c = > 'x y'+\"//\" /* é */ `t\n${u}` use_1$\t\r\n{}[]/re'x/g;<a/>\\?", "", " ", "'", "x", "=", "=>", "\x00\x7f\x0b\x0c"]
+    cut = [r[0] for r in spark.createDataFrame([(x,) for x in said], "text string").select(extract._pieces(F.col("text"))).collect()]
+    ended = [r[0] for r in spark.createDataFrame([(x,) for x in said], "text string").select(F.regexp_replace("text", F.lit(extract._STRETCH), F.lit(f"$0{ahead.END}"))).collect()]
+    pieces, counts = ahead._cut(pa.array(ended))
+    bounds = np.frombuffer(pieces.buffers()[1], np.int32)
+    data = np.frombuffer(pieces.buffers()[2], np.uint8)
+    at, sizes = ahead._parted(data, bounds, counts)
+    assert sizes.tolist() == [len(x) for x in cut] and [bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)] == [p for x in cut for p in x]
+    assert ahead._whole(pieces, ahead._places(pieces, np.append(0, np.cumsum(counts)))).to_pylist() == said
