@@ -66,14 +66,14 @@ def band_keys(docs: DataFrame, forest: Forest) -> DataFrame:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """id, hash, at, line, node: the lines with words; the text's hash tells rows apart that share an id."""
-    wordy = F.trim(F.col("line"), F.lit(_WHITE)) != ""
+    wordy = F.ltrim(F.col("line"), F.lit(_WHITE)) != ""
     return docs.select("id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(wordy).withColumn("node", F.xxhash64("line"))
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
     """id, text, node: the lines with words, once for each row that has them."""
     lines = docs.select("id", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("text"))
-    return lines.where(F.trim(F.col("text"), F.lit(_WHITE)) != "").withColumn("node", F.xxhash64("text"))
+    return lines.where(F.ltrim(F.col("text"), F.lit(_WHITE)) != "").withColumn("node", F.xxhash64("text"))
 
 
 def make(column: pa.Array, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

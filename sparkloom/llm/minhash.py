@@ -106,6 +106,9 @@ def shared(keyed: DataFrame, hot: DataFrame) -> DataFrame:
             before = 0
             if last is not None:
                 p, node, known, before = np.concatenate([last[0], p]), np.concatenate([last[1], node]), np.concatenate([last[2], known]), last[3]
+            if p.shape[1] == 1:  # the first row's key stays the least, so what it shares with the row before holds for whichever is first
+                order = np.lexsort((node, p[:, 0]))
+                p, node, known = p[order], node[order], known[order]
             new = np.ones(len(p), bool)
             new[1:] = (node[1:] != node[:-1]) | (p[1:] != p[:-1]).any(1)
             p, node, known = p[new], node[new], known[new]
@@ -117,8 +120,10 @@ def shared(keyed: DataFrame, hot: DataFrame) -> DataFrame:
         if last is not None:
             yield from told(last[0], last[1], np.maximum(last[2], last[3]))
 
-    dealt = dealt.sortWithinPartitions(*path, "node").select(*path, "node", "known")
-    return map_arrow(dealt, run, "level int, key long, node long")
+    # Spark sorts by one number in linear time; the tasks order nodes by batches, and a row that comes again in a later one is dropped behind them
+    by = path if len(path) == 1 else [*path, "node"]
+    found = map_arrow(dealt.sortWithinPartitions(*by).select(*path, "node", "known"), run, "level int, key long, node long")
+    return found.distinct() if len(path) == 1 else found
 
 
 def groups(rows: DataFrame, round_: int = 0) -> DataFrame:

@@ -241,3 +241,20 @@ def test_links_of_repeated_rows_that_share_an_id(spark):
     rows = [(7, one), (7, one), (7, one.replace(" ", "  ")), (8, other)]
     got = near.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == [(7, 7, 3)] * 3 + [(8, 7, 3)]
+
+
+def test_shared_keys_of_one_level_across_batches(spark):
+    r = random.Random(5)
+    rows = [(k, n) for k in range(40) for n in r.choices(range(6), k=k % 7)]
+    r.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        found = minhash.shared(spark.createDataFrame(rows, "p0 long, node long"), spark.createDataFrame([], "key long"))
+        assert "Sort [p0#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "ASC NULLS FIRST, node#" not in plan  # one number, in linear time
+        got = found.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+    by = {}
+    for k, n in rows:
+        by.setdefault(k, set()).add(n)
+    assert sorted(tuple(x) for x in got) == sorted((1, k, n) for k, v in by.items() if len(v) > 1 for n in v)
